@@ -8,7 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import load
+from .mixing import mix
 from .near_dup import near_duplicates
+from .packing import pack
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, spans = mix(load(spark, sf_dir, "documents"))
+    taken = spans.groupBy("k", "at").agg(F.sum("length").alias("taken"))
+    sized = placed.where("size > 0").join(taken, ["k", "at"], "left")
+    rows = sized.unionByName(placed.where("size = 0").withColumn("taken", F.lit(None).cast("long")))
+    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
+
+
+def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(load(spark, sf_dir, "documents"), tokenizer_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +38,8 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_mix_sources": op4_mix_sources,
+        "op7_pack_sequences": op7_pack_sequences,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
     }
 
