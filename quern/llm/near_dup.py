@@ -237,7 +237,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     clusters = components(_pointers(reps, collections(threshold)))
     members = reps.select("rep", *prints).join(clusters.withColumnRenamed("node", "rep").withColumnRenamed("root", "cluster"), "rep")
     units = materialize(_units(members, threshold))
-    texts = units.join(docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")), "rep")
+    # always by shuffle: the members grow with the corpus, and a plan that flips to broadcast hides it
+    texts = units.hint("merge").join(docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")), "rep")
     sets = texts.select("rep", "units", "print_a", "text").mapInArrow(_set_maker(width), "rep long, units array<struct<unit:long,side:int>>, print_a long, found long, shingle_set binary")
     sets = sets.where("print_a = found")  # another text under the same id is another class
     dealt = sets.select("rep", "shingle_set", F.explode("units").alias("u")).select("u.unit", "rep", "u.side", "shingle_set")
