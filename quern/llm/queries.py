@@ -11,6 +11,8 @@ from .common import load
 from .mixing import mix
 from .near_dup import near_duplicates
 from .packing import pack
+from .quality import fit, score
+from .quality_rules import judge
 
 
 def tokenizer_path() -> str:
@@ -27,6 +29,19 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
 
 
+def op5_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    labels = load(spark, sf_dir, "labels")
+    model = fit(docs.where(~held), labels.where(~held & (F.col("quality") == 1)).select("doc_id"))
+    out = score(docs, model).withColumn("held_out", F.coalesce(held, F.lit(False)))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(load(spark, sf_dir, "documents"))
+
+
 def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(load(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -39,6 +54,8 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_mix_sources": op4_mix_sources,
+        "op5_quality_pu": op5_quality_pu,
+        "op10_quality_rules": op10_quality_rules,
         "op7_pack_sequences": op7_pack_sequences,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
     }
