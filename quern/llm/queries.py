@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id, toxicity
 from .common import load
 from .mixing import mix
 from .near_dup import near_duplicates
@@ -21,6 +22,23 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = language_id.fit(docs.where(~held))
+    out = language_id.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op6_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    labels = load(spark, sf_dir, "labels").where(~held).select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(docs.where(~held), labels)
+    out = toxicity.score(docs, model, locate=False)
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, spans = mix(load(spark, sf_dir, "documents"))
     taken = spans.groupBy("k", "at").agg(F.sum("length").alias("taken"))
@@ -53,6 +71,8 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language_mixture": op2_language_mixture,
+        "op6_toxicity_mil": op6_toxicity_mil,
         "op4_mix_sources": op4_mix_sources,
         "op5_quality_pu": op5_quality_pu,
         "op10_quality_rules": op10_quality_rules,
