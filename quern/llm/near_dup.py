@@ -249,3 +249,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     component = F.when(F.col("n_shingles") > 0, F.coalesce("class_root", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """`docs` with one document of each group of near duplicates, the one of the smallest doc_id; edge cases are
+    those of near_duplicates. Rows without an id stay; a row repeated with its id and text stays once.
+    """
+    ids = near_duplicates(docs, width, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    row = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("kept_id"), F.xxhash64(F.col("text").cast("string")).alias("mark"))
+    once = row.join(ids.hint("merge"), "kept_id", "left_semi").dropDuplicates(["kept_id", "mark"])
+    return once.unionByName(row.where("kept_id is null")).select("row.*")

@@ -49,7 +49,7 @@ def rules() -> dict[str, tuple[int, Column]]:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """`docs` (doc_id, text) with the measured properties of whole texts; null text counts as empty."""
+    """The measured properties of whole texts in place of `text`, beside the other columns; null counts as empty."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     plain = F.translate(text, SPACE[1:], " " * 5)
     d = docs.select("*", text.alias("q_text"), F.filter(F.split(plain, " "), lambda w: w != "").alias("q_words"))
@@ -67,7 +67,7 @@ def measures(docs: DataFrame) -> DataFrame:
     reach = F.transform("q_twice", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("q_twice", i + 1) - p, F.lit(WINDOW))))
     count = lambda chars: (F.length("q_text") - F.length(F.translate("q_text", chars, ""))).cast("long")
     return d.select(
-        *docs.columns,
+        *(c for c in docs.columns if c != "text"),
         F.size("q_words").cast("long").alias("n_words"),
         F.length(F.translate("q_text", SPACE, "")).cast("long").alias("word_chars"),
         count(SYMBOLS).alias("n_symbols"),
@@ -114,6 +114,15 @@ def posterior(right: list[float]) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
+def _judged(rows: DataFrame) -> DataFrame:
+    """`rows` (text and whatever else) with the measures and the verdict."""
+    d = materialize(_votes(measures(rows)))
+    right = accuracies(d.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).transform(materialize))
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    d = d.withColumn("base_failed", failed).withColumn("posterior", posterior(right))
+    return d.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= KEEP))
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, the measures, base_failed, posterior, kept.
 
@@ -121,8 +130,9 @@ def judge(docs: DataFrame) -> DataFrame:
     kept: not base_failed and a posterior of at least KEEP. Null and empty texts measure zero and fail; ids may
     be null or repeat, every row is judged by itself; an empty table gives no rows; other columns are ignored.
     """
-    d = materialize(_votes(measures(docs.select("doc_id", "text"))).drop("text"))
-    right = accuracies(d.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).transform(materialize))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    d = d.withColumn("base_failed", failed).withColumn("posterior", posterior(right))
-    return d.select("doc_id", *MEASURES, "base_failed", "posterior", (~F.col("base_failed") & (F.col("posterior") >= KEEP)).alias("kept"))
+    return _judged(docs.select("doc_id", "text")).select("doc_id", *MEASURES, "base_failed", "posterior", "kept")
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that `judge` keeps, with all their columns."""
+    return _judged(docs.select(F.struct("*").alias("row"), F.col("text"))).where("kept").select("row.*")
