@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, toxicity
-from .common import load
+from . import language_id, toxicity, url_filter
+from .common import load, scratch_dir
 from .mixing import mix
 from .near_dup import near_duplicates
 from .packing import pack
 from .quality import fit, score
 from .quality_rules import judge
+from .sharding import ShardTable
+from .topk import quantized, top_k
 
 
 def tokenizer_path() -> str:
@@ -22,6 +24,15 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive as small shards and are compacted; the result is what the last version reads."""
+    table = ShardTable(spark, scratch_dir(spark))
+    table.append(load(spark, sf_dir, "documents"))
+    table.compact()
+    n_bytes = F.octet_length("text").cast("long").alias("n_bytes")
+    return table.read().select("doc_id", "lang", "source", "n_chars", n_bytes, F.md5("text").alias("text_md5"))
+
+
 def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -39,6 +50,17 @@ def op6_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op3_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = quantized(load(spark, sf_dir, "embeddings"))
+    return top_k(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load(spark, sf_dir, "pages")
+    labels = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
+    return url_filter.judge(pages, pages.select("page_id", "url").join(labels, "page_id")).drop("confidence")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, spans = mix(load(spark, sf_dir, "documents"))
     taken = spans.groupBy("k", "at").agg(F.sum("length").alias("taken"))
@@ -71,8 +93,11 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sharding": op1_sharding,
         "op2_language_mixture": op2_language_mixture,
         "op6_toxicity_mil": op6_toxicity_mil,
+        "op3_threshold_topk": op3_threshold_topk,
+        "op8_url_rules": op8_url_rules,
         "op4_mix_sources": op4_mix_sources,
         "op5_quality_pu": op5_quality_pu,
         "op10_quality_rules": op10_quality_rules,
@@ -82,4 +107,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_sharding": "SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS text_md5 FROM documents",
+        "op3_threshold_topk": """
+            WITH v AS (
+                SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+                FROM embeddings
+                WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            s AS (
+                SELECT q.vec_id AS query_id, c.vec_id,
+                       CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+                FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+            r AS (
+                SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+                FROM s)
+            SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    }
