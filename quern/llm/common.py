@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that a kernel works on at once; a single longer text is its own slice.
 SLICE_BYTES = 1 << 19
 WORD = r"[^\x20\x09-\x0D]+"
+ROWS_PER_FILE = 20_000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,11 +30,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/quern-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: later steps reread files, not the lineage."""
+def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write `df` once to the shared folder and read it back: later steps reread files, not the lineage.
+
+    With an estimate of its rows, narrow rows are written in files of about ROWS_PER_FILE.
+    """
     spark = df.sparkSession
     path = scratch_dir(spark)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(8, rows // ROWS_PER_FILE))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -88,37 +88,38 @@ def sketches(docs: DataFrame, width: int, threshold: float) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sketcher(width, bands, ROWS), schema)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None, rounds: int = 60) -> DataFrame:
     """(node, root) with root the smallest node reachable, by alternating large and small stars.
 
-    `edges` has columns a, b. Every step keeps minima and joins them back, so a node with very many
-    neighbours is pre-aggregated and never gathered. Nodes without an edge are not returned.
+    `edges` has columns a, b; `rows` estimates them. Every step keeps minima and joins them back, so a node with very many
+    neighbours is pre-aggregated and never gathered; it ends when every node points to a root. Nodes without
+    an edge are not returned.
     """
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
+    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), rows)
     for _ in range(rounds):
+        ends = now.select("a", F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(now.select(F.col("b").alias("a"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        ends = ends.groupBy("a").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+        n, open_nodes = ends.agg(F.sum("out"), F.count(F.when((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0)), 1))).first()
+        if not open_nodes:
+            break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        now = materialize(small)
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == state:
-            break
-        state = mark
+        now = materialize(small, n)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
-def _pointers(reps: DataFrame, bands: int) -> DataFrame:
+def _pointers(reps: DataFrame, bands: int, n: int) -> DataFrame:
     """(a, b): each member of a table key and the key's smallest member."""
     side = lambda lo, name: reps.select("rep", F.lit(name).alias("side"), F.explode(F.slice("bands", lo, bands)).alias("band"))
     rows = side(1, 0).unionByName(side(bands + 1, 1))
     shared = rows.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("band")
     live = rows.join(shared, "band", "left_semi")
     halves = live.groupBy("rep").agg(F.collect_set(F.when(F.col("side") == 0, F.col("band"))).alias("first"), F.collect_set(F.when(F.col("side") == 1, F.col("band"))).alias("second"))
-    halves = materialize(halves.where((F.size("first") > 0) & (F.size("second") > 0)))
+    halves = materialize(halves.where((F.size("first") > 0) & (F.size("second") > 0)), n)
     keys = halves.select("rep", "second", F.explode("first").alias("x")).select("rep", "x", F.explode("second").alias("y")).select("rep", F.xxhash64("x", "y").alias("key"))
     heads = keys.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("key", "head")
     return keys.join(heads, "key").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
@@ -199,10 +200,10 @@ def _verifier(percent: int):
     return verify
 
 
-def _units(members: DataFrame, threshold: float) -> DataFrame:
+def _units(members: DataFrame, threshold: float, n: int) -> DataFrame:
     """Adds to (rep, n_shingles, cluster) an array of (unit, side): bounded groups that together hold every pair that sizes allow."""
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(1 / threshold)).cast("int")
-    m = materialize(members.withColumn("band", band))
+    m = materialize(members.withColumn("band", band), n)
     total = m.groupBy("cluster").agg(F.count(F.lit(1)).alias("total"))
     parts = m.groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) / UNIT).cast("int").alias("parts"))
     near = lambda d, name: parts.select("cluster", (F.col("band") + d).alias("band"), F.col("parts").alias(name))
@@ -233,10 +234,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     base = materialize(sketches(docs, width, threshold))
     usable = base.where("n_shingles > 0 and doc_id is not null")
     prints = ["print_a", "print_b", "n_shingles"]
-    reps = materialize(usable.groupBy(*prints).agg(F.min(F.struct("doc_id", "bands")).alias("one")).select(*prints, F.col("one.doc_id").alias("rep"), F.col("one.bands").alias("bands")))
-    clusters = components(_pointers(reps, collections(threshold)))
+    reps = usable.groupBy(*prints).agg(F.min(F.struct("doc_id", "bands")).alias("one")).select(*prints, F.col("one.doc_id").alias("rep"), F.col("one.bands").alias("bands"))
+    reps = materialize(reps, base.count())
+    n = reps.count()
+    clusters = components(_pointers(reps, collections(threshold), n), n)
     members = reps.select("rep", *prints).join(clusters.withColumnRenamed("node", "rep").withColumnRenamed("root", "cluster"), "rep")
-    units = materialize(_units(members, threshold))
+    units = materialize(_units(members, threshold, n), n)
     # always by shuffle: the members grow with the corpus, and a plan that flips to broadcast hides it
     texts = units.hint("merge").join(docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")), "rep")
     sets = texts.select("rep", "units", "print_a", "text").mapInArrow(_set_maker(width), "rep long, units array<struct<unit:long,side:int>>, print_a long, found long, shingle_set binary")
