@@ -1,0 +1,24 @@
+"""Writers of canonical messages as transcript lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..operators.turns import strictly_increasing
+
+
+def claude_lines(messages: DataFrame) -> DataFrame:
+    """(session_id, message_idx, line): a chain of records by deterministic ids, times strictly increasing.
+    Needs session_id, message_idx, role, text, created_ms, dir."""
+    uid = lambda idx: F.sha2(F.concat_ws("/", "session_id", idx.cast("string")), 256).substr(1, 32)
+    m = strictly_increasing(messages, "session_id", "message_idx", "created_ms")
+    m = m.withColumn("uuid", uid(F.col("message_idx"))).withColumn("parentUuid", F.lag("uuid").over(Window.partitionBy("session_id").orderBy("message_idx")))
+    stamp = F.date_format(F.timestamp_millis("created_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    body = F.struct("parentUuid", F.lit(False).alias("isSidechain"), F.col("role").alias("type"), "uuid", F.col("dir").alias("cwd"), F.col("session_id").alias("sessionId"), stamp.alias("timestamp"), F.struct("role", F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content")).alias("message"))
+    return m.select("session_id", "message_idx", F.to_json(body).alias("line"))
+
+
+def write_sessions(rows: DataFrame, path: str) -> None:
+    """One folder per session; within it the lines are in message order."""
+    rows.repartition("session_id").sortWithinPartitions("session_id", "message_idx").select("session_id", F.col("line").alias("value")).write.partitionBy("session_id").text(path)
