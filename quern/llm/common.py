@@ -41,6 +41,18 @@ def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch: texts may be long, and a batch is held several times on its way to Python and back.
+BATCH_ROWS = 512
+
+
+def map_texts(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow with batches of few rows (a session setting, lowered where it is larger)."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 # ---------------------------------------------------------------------------------------------
 # slices of string columns
 

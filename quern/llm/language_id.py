@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, word_bounds
+from .common import map_texts, slices, word_bounds
 
 #: Bound of the fitted sample: labelled texts of each language (chosen by a hash of the id).
 PER_LANGUAGE = 1500
@@ -114,7 +114,7 @@ def fit(docs: DataFrame) -> Model | None:
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id"))
     ids = some.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= PER_LANGUAGE).select("doc_id", F.col("lang").alias("of")).distinct()
     picked = some.join(F.broadcast(ids), (some["doc_id"] == ids["doc_id"]) & (F.col("lang") == F.col("of")))
-    rows = picked.select("lang", "text").mapInArrow(_counter, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    rows = picked.select("lang", "text").transform(map_texts, _counter, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     if not rows.num_rows:
         return None
     langs = sorted(set(rows["lang"].to_pylist()))
@@ -164,4 +164,4 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """
     docs = docs.drop("lang_pred", "score", "languages")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_predictor(model), f"{fields}, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
+    return docs.transform(map_texts, _predictor(model), f"{fields}, lang_pred string, score double, languages array<struct<lang:string,share:double>>")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, word_bounds
+from .common import map_texts, materialize, slices, word_bounds
 
 #: Words in a block, and slots in an output shard.
 BLOCK = 128
@@ -117,7 +117,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> t
     read on the driver, documents are not.
     """
     spark = docs.sparkSession
-    sized = materialize(_keyed(docs).mapInArrow(_counter, "doc_id long, source string, mark long, size long"))
+    sized = materialize(_keyed(docs).transform(map_texts, _counter, "doc_id long, source string, mark long, size long"))
     sizes = {r["source"]: r["words"] for r in sized.groupBy("source").agg(F.sum("size").alias("words")).collect()}
     target = shares(sizes, weights) if sizes else {}
     order = list(target)

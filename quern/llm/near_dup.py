@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, shingles, slices, words
+from .common import map_texts, materialize, mix, shingles, slices, words
 
 #: Texts of one side of a work unit.
 UNIT = 256
@@ -85,7 +85,7 @@ def sketches(docs: DataFrame, width: int, threshold: float) -> DataFrame:
     """doc_id, n_shingles, two fingerprint halves, and the bands of both collections, for every row of `docs`."""
     bands = collections(threshold)
     schema = "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sketcher(width, bands, ROWS), schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_texts, _sketcher(width, bands, ROWS), schema)
 
 
 def components(edges: DataFrame, rows: int | None = None, rounds: int = 60) -> DataFrame:
@@ -242,10 +242,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     units = materialize(_units(members, threshold, n), n)
     # always by shuffle: the members grow with the corpus, and a plan that flips to broadcast hides it
     texts = units.hint("merge").join(docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")), "rep")
-    sets = texts.select("rep", "units", "print_a", "text").mapInArrow(_set_maker(width), "rep long, units array<struct<unit:long,side:int>>, print_a long, found long, shingle_set binary")
+    sets = texts.select("rep", "units", "print_a", "text").transform(map_texts, _set_maker(width), "rep long, units array<struct<unit:long,side:int>>, print_a long, found long, shingle_set binary")
     sets = sets.where("print_a = found")  # another text under the same id is another class
     dealt = sets.select("rep", "shingle_set", F.explode("units").alias("u")).select("u.unit", "rep", "u.side", "shingle_set")
-    links = dealt.repartition("unit").sortWithinPartitions("unit").mapInArrow(_verifier(percent), "a long, b long")
+    links = dealt.repartition("unit").sortWithinPartitions("unit").transform(map_texts, _verifier(percent), "a long, b long")
     roots = components(links)
     classes = reps.select(*prints, "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*prints, F.coalesce("root", "rep").alias("class_root"))
     out = base.join(classes, prints, "left")

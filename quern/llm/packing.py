@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, span_hashes, word_bounds
+from .common import map_texts, slices, span_hashes, word_bounds
 
 CAPACITY = 2048
 END_ID = 1
@@ -255,4 +255,4 @@ def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     Other columns are ignored. A document longer than the span that is solved at once is held whole.
     """
     schema = "doc_id long, start long, length long, tokens binary, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_packer(tokenizer_path), schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_texts, _packer(tokenizer_path), schema)

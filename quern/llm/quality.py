@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, words
+from .common import map_texts, slices, words
 
 #: Bounds of the fitted samples: trusted positives and unlabelled texts (chosen by a hash of the id).
 POSITIVES = 6000
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, trusted: DataFrame) -> Model | None:
     web_ids = some.select("doc_id").distinct().orderBy(order, "doc_id").limit(UNLABELLED).withColumn("positive", F.lit(False))
     picked = some.join(F.broadcast(chosen.unionByName(web_ids)), "doc_id")
     schema = "doc_id long, positive boolean, x array<float>"
-    rows = picked.select("doc_id", "positive", "text").mapInArrow(_featurizer(["doc_id", "positive"]), schema).orderBy("doc_id", "positive").toArrow()
+    rows = picked.select("doc_id", "positive", "text").transform(map_texts, _featurizer(["doc_id", "positive"]), schema).orderBy("doc_id", "positive").toArrow()
     if not rows.num_rows:
         return None
     x = rows["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES).astype(np.float64)
@@ -186,5 +186,5 @@ def score(docs: DataFrame, model: Model | None, name: str = "score") -> DataFram
     """
     docs = docs.drop(name)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = docs.mapInArrow(_scorer(model), f"{fields}, score double")
+    out = docs.transform(map_texts, _scorer(model), f"{fields}, score double")
     return out if name == "score" else out.withColumnRenamed("score", name)

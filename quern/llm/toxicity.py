@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _WS, slices, span_hashes, word_bounds
+from .common import _WS, map_texts, slices, span_hashes, word_bounds
 
 #: Bound of the fitted sample: labelled texts of each class (chosen by a hash of the id).
 PER_CLASS = 3000
@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     chosen = known.where("label = 1").orderBy(*order).limit(PER_CLASS).unionByName(known.where("label = 0").orderBy(*order).limit(PER_CLASS))
     # a broadcast of at most 2 * PER_CLASS ids
     picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
-    rows = picked.select("doc_id", "label", "text").mapInArrow(_bagger, "doc_id long, label int, bucket array<int>, sentence array<int>, n long").orderBy("doc_id").toArrow()
+    rows = picked.select("doc_id", "label", "text").transform(map_texts, _bagger, "doc_id long, label int, bucket array<int>, sentence array<int>, n long").orderBy("doc_id").toArrow()
     bags = [(np.array(b.values.to_numpy()), np.array(s.values.to_numpy()), n) for b, s, n in zip(rows["bucket"], rows["sentence"], rows["n"].to_pylist(), strict=True)]
     return train(bags, rows["label"].to_numpy(), counts[1] / sum(counts.values()))
 
@@ -188,4 +188,4 @@ def score(docs: DataFrame, model: Model | None, locate: bool = True) -> DataFram
     docs = docs.drop("score", "offending")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     more = ", offending array<struct<sentence:string,probability:double>>" if locate else ""
-    return docs.mapInArrow(_scorer(model, locate), f"{fields}, score double{more}")
+    return docs.transform(map_texts, _scorer(model, locate), f"{fields}, score double{more}")
