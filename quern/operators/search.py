@@ -83,9 +83,8 @@ def candidates(indexed: DataFrame, wanted: DataFrame, key: str, text: str, liter
 
 def trigram_postings(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(gram, key): the inverted index of lower-case character trigrams."""
-    low = F.lower(F.col(text))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - 2)), lambda i: low.substr(i, F.lit(3))))
-    return rows.select(key, F.explode(grams).alias("gram")).where(F.length("gram") == 3)
+    grams = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("(?s)(?=(...))"), 1))
+    return rows.select(key, F.explode(grams).alias("gram"))
 
 
 def posting_hits(postings: DataFrame, key: str, terms: list[str]) -> DataFrame:

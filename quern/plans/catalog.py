@@ -205,9 +205,9 @@ def search_ranked(spark, sf_dir):
     return S.ranked(hits, "doc_id", 50).select("doc_id", F.col("hit_group").cast("int").alias("hit_group"), "score", "total_matches")
 
 
-@query("SELECT doc_id FROM documents WHERE regexp_matches(text, 'AKIA[0-9A-Z]{8}')")
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, 'ERTION!+')")
 def regex_scan(spark, sf_dir):
-    return S.regex_scan(load(spark, sf_dir, "documents"), "text", "AKIA[0-9A-Z]{8}").select("doc_id")
+    return S.regex_scan(load(spark, sf_dir, "documents"), "text", "ERTION!+").select("doc_id")
 
 
 @query("SELECT doc_id FROM documents WHERE (doc_id % 3 <> 0 AND contains(lower(text), 'license')) OR doc_id % 3 = 0")
@@ -236,9 +236,9 @@ def clipped_records(spark, sf_dir):
 
 
 @query("""
-    WITH a AS (SELECT doc_id, text, strpos(lower(text), 'tion') AS at, length(text) AS n FROM documents),
-    b AS (SELECT *, greatest(1, at - 120) AS lo, least(n, at + 3 + 240) AS hi FROM a)
-    SELECT doc_id, CASE WHEN at > 0 THEN concat(CASE WHEN lo > 1 THEN '…' ELSE '' END, substr(text, lo, hi - lo + 1), CASE WHEN hi < n THEN '…' ELSE '' END) ELSE substr(text, 1, 240) END AS snippet FROM b""")
+    WITH a AS (SELECT doc_id, text, strpos(lower(text), 'tion') AS pos, length(text) AS n FROM documents),
+    b AS (SELECT *, greatest(1, pos - 120) AS lo, least(n, pos + 3 + 240) AS hi FROM a)
+    SELECT doc_id, CASE WHEN pos > 0 THEN concat(CASE WHEN lo > 1 THEN '…' ELSE '' END, substr(text, lo, hi - lo + 1), CASE WHEN hi < n THEN '…' ELSE '' END) ELSE substr(text, 1, 240) END AS snippet FROM b""")
 def snippet_window(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", X.snippet(F.col("text"), "tion").alias("snippet"))
 
@@ -293,8 +293,8 @@ def usage_grouping_sets(spark, sf_dir):
 
 
 @query("""
-    WITH t AS (SELECT user_id AS session, event_type AS model, CAST(sum(event_id % 1000) AS BIGINT) AS tokens, min(event_id) AS at FROM events GROUP BY ALL)
-    SELECT session, model, tokens FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY tokens DESC, at) AS n FROM t) WHERE n = 1""")
+    WITH t AS (SELECT user_id AS session, event_type AS model, CAST(sum(event_id % 1000) AS BIGINT) AS tokens, min(event_id) AS pos FROM events GROUP BY ALL)
+    SELECT session, model, tokens FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY tokens DESC, pos) AS n FROM t) WHERE n = 1""")
 def dominant_model(spark, sf_dir):
     e = load(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_type").alias("model"), (F.col("event_id") % 1000).alias("input"), F.lit(0).alias("output"), F.col("event_id").alias("first_at"))
     return U.dominant_model(e, "session")
@@ -513,8 +513,8 @@ def ancestor_closure(spark, sf_dir):
 
 @query("""
     WITH RECURSIVE n AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey IN (3, 4, 5) THEN CASE n_nationkey WHEN 3 THEN 4 WHEN 4 THEN 5 ELSE 3 END WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_nationkey - 1 END AS parent_id FROM nation),
-    w AS (SELECT id AS start, parent_id AS at FROM n WHERE parent_id IS NOT NULL UNION SELECT w.start, n.parent_id FROM w JOIN n ON n.id = w.at WHERE n.parent_id IS NOT NULL)
-    SELECT CAST(id AS BIGINT) AS id FROM n WHERE parent_id IS NULL OR parent_id NOT IN (SELECT id FROM n) OR id IN (SELECT start FROM w WHERE start = at)""")
+    w AS (SELECT id AS start, parent_id AS pos FROM n WHERE parent_id IS NOT NULL UNION SELECT w.start, n.parent_id FROM w JOIN n ON n.id = w.pos WHERE n.parent_id IS NOT NULL)
+    SELECT CAST(id AS BIGINT) AS id FROM n WHERE parent_id IS NULL OR parent_id NOT IN (SELECT id FROM n) OR id IN (SELECT start FROM w WHERE start = pos)""")
 def cycle_roots(spark, sf_dir):
     k = F.col("n_nationkey").cast("long")
     parent = F.when(k == 3, 4).when(k == 4, 5).when(k == 5, 3).when(k % 4 == 0, F.lit(None).cast("long")).otherwise(k - 1)
