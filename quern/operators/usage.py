@@ -19,8 +19,8 @@ def match_prices(models: DataFrame, prices: DataFrame) -> DataFrame:
     p = prices.withColumn("_p", model_key(F.col("name")))
     follows = lambda a, b: F.startswith(a, b) & F.substring(a, 1, 10_000).substr(F.length(b) + 1, F.lit(1)).isin("-", "_", ".", ":")
     rank = F.when(F.col("model") == F.col("name"), 0).when(F.col("_m") == F.col("_p"), 1).when(follows(F.col("_m"), F.col("_p")) | follows(F.col("_p"), F.col("_m")), 2)
-    # a price list is a small dimension; the first two letters of either name must agree in every kind of match
-    pairs = m.withColumn("_k", F.substring("_m", 1, 2)).join(p.withColumn("_k", F.substring("_p", 1, 2)), "_k").withColumn("_rank", rank).where("_rank is not null")
+    # a price list is a small dimension; the first letters of the names must agree in every kind of match
+    pairs = m.withColumn("_k", F.substring("_m", 1, 1)).join(p.withColumn("_k", F.substring("_p", 1, 1)), "_k").withColumn("_rank", rank).where("_rank is not null")
     best = F.row_number().over(Window.partitionBy("model").orderBy("_rank", F.abs(F.length("_m") - F.length("_p")), "ordinal"))
     return pairs.withColumn("_best", best).where("_best = 1").select("model", "name", *(f"price_{x}" for x in PARTS))
 

@@ -14,7 +14,7 @@ PI = "type string, id string, parentId string, timestamp string, cwd string, ver
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no, raw, size, modified_ms of every line below `path`. The order of a file's lines is that of
     its bytes: files are read whole, split at CR, LF or CRLF (never at other separators)."""
-    files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     files = files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.unix_millis("_metadata.file_modification_time").alias("modified_ms"), "value")
     rows = files.select("file", "size", "modified_ms", F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line_no", "raw"))
     return rows.where("trim(raw) <> ''")
