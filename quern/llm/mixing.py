@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import map_texts, materialize, slices, word_bounds
 
@@ -136,7 +137,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> t
     return placed, slot.join(held, ["k", "block"]).select("shard", "slot", "k", "at", "start", "length")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _cut(text: pd.Series, spans: pd.Series) -> pd.Series:
     out = []
     for t, items in zip(text, spans, strict=True):

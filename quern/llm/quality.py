@@ -165,14 +165,14 @@ def fit(docs: DataFrame, trusted: DataFrame) -> Model | None:
     return _fit(pos, web, estimate_prior(pos, web))
 
 
-def _scorer(model: Model | None):
+def _scorer(model: Model | None, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in slices(batch, "text"):
                 with np.errstate(over="ignore"):
                     s = model.score(features(data, offsets)) if model else np.full(hi - lo, 0.5)
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(part.num_columns)), pa.array(s)], [*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(part.num_columns)), pa.array(s)], [*part.schema.names, name])
 
     return run
 
@@ -186,5 +186,4 @@ def score(docs: DataFrame, model: Model | None, name: str = "score") -> DataFram
     """
     docs = docs.drop(name)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = docs.transform(map_texts, _scorer(model), f"{fields}, score double")
-    return out if name == "score" else out.withColumnRenamed("score", name)
+    return docs.transform(map_texts, _scorer(model, name), f"{fields}, `{name}` double")
