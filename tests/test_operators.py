@@ -200,3 +200,24 @@ def test_stream_merges_deltas(spark, tmp_path):
     go()
     sink(batch((1, 2), (2, 1)), 9)
     assert seen == [(1, [(1, "upsert")]), (2, [(2, "upsert")])]
+
+
+def test_tool_inputs_and_fidelity(spark):
+    from quern.operators import tools as K
+
+    cases = [
+        ("fs.read", '{"file_path":"a"}', True), ("fs.read", '{"file_path":""}', False), ("fs.read", '{"file_path":"a","offset":true}', False), ("fs.read", '{"file_path":"a","offset":null}', True), ("fs.write", '{"file_path":"a"}', False),
+        ("fs.write", '{"file_path":"a","content":""}', True), ("tool.invoke", '{"namespace":"n","name":"m","input":{"x":1}}', True), ("tool.invoke", '{"namespace":"n","name":"m","input":3}', False), ("fs.patch", '{"operations":[]}', True), ("nope", "{}", False), ("fs.read", "[1]", False), ("fs.read", "{torn", False), ("fs.read", None, False),
+    ]
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, op string, input string, want boolean")
+    assert [r.got for r in df.select("k", K.valid_input("op", "input").alias("got")).orderBy("k").collect()] == [c[2] for c in cases]
+    target = K.rules(spark, {"fs.read": ("transformed", ["file_path"]), "shell.exec": ("exact", ["command"]), "web.fetch": ("dropped", [])})
+    calls = [
+        ("shell.exec", '{"command":"ls","description":"d"}', "success", ["text"], 0, False, "exact"), ("shell.exec", '{"command":"ls","workdir":"/"}', "success", ["text"], 0, False, "lossy"), ("shell.exec", '{"command":"ls"}', "unknown", [], 0, False, "narrated"), ("shell.exec", '{"command":"ls"}', "success", ["json"], 0, False, "transformed"),
+        ("shell.exec", '{"command":"ls"}', None, None, None, None, "exact"), ("shell.exec", '{"command":"ls"}', "success", ["image"], 0, False, "lossy"), ("shell.exec", '{"command":"ls"}', "success", [], 1, True, "lossy"), ("fs.read", '{"file_path":"a"}', "success", ["text"], 0, False, "transformed"), ("web.fetch", '{"url":"u"}', None, None, None, None, "dropped"), ("fs.glob", '{"pattern":"*"}', None, None, None, None, "narrated"), ("fs.read", "{}", None, None, None, None, "narrated"),
+    ]
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(calls)], "k int, op string, input string, status string, block_kinds array<string>, attachments int, truncated boolean, want string")
+    got = K.decide(df, target, ["success", "error"], ["text"], ["json"])
+    assert [r.fidelity for r in got.orderBy("k").collect()] == [c[-1] for c in calls]
+    one = K.plan(got, spark.createDataFrame([("text",), ("image",), ("tool",)], "kind string"), spark.createDataFrame([("migration.truncated",), ("session.unpaired_tool_use",), ("other",)], "code string")).first()
+    assert (one["native"], one["degrade"], one["drop"], one["exact"], one["lossy"], one["dropped"]) == (3, 9, 3, 3, 3, 2)
