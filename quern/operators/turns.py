@@ -72,3 +72,20 @@ def pending_owner(rows: DataFrame, session: str, order: str) -> DataFrame:
     nxt = lambda role: F.min(F.when(F.col("role") == role, F.col(order))).over(ahead)
     owner = F.when(nxt("user").isNull() | (nxt("assistant") < nxt("user")), nxt("assistant"))
     return rows.withColumn("owner", owner)
+
+
+def page(messages: DataFrame, session: str, order: str, text: str, start: int, limit: int, budget: int) -> DataFrame:
+    """One page of each session from message `start` (from 0): at most `limit` messages and `budget` bytes of text, at
+    least one message, with the cursor of the next page (null at the end)."""
+    rest = messages.where(F.col(order) >= start)
+    n = F.row_number().over(Window.partitionBy(session).orderBy(order))
+    fits = byte_budget(rest.withColumn("_at", n).where(F.col("_at") <= limit), session, order, text, budget)
+    last = fits.groupBy(session).agg(F.max(order).alias("_last"))
+    total = messages.groupBy(session).agg(F.max(order).alias("_end"))
+    cursor = F.when(F.col("_last") < F.col("_end"), F.col("_last") + 1)
+    return fits.join(last, session).join(total, session).withColumn("next_message", cursor).drop("_at", "_last", "_end")
+
+
+def keep_rounds(messages: DataFrame, session: str, order: str, rounds: int) -> DataFrame:
+    """The messages of the first `rounds` rounds."""
+    return round_numbers(messages, session, order).where(F.col("round_no") <= rounds).drop("round_no")

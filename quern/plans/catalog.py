@@ -134,6 +134,19 @@ def increasing_timestamps(spark, sf_dir):
     return M.strictly_increasing(c, "conv_id", "turn", "t")
 
 
+@query("""
+    WITH a AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, CAST(sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used_bytes FROM conversations WHERE turn >= 1),
+    b AS (SELECT * FROM a WHERE n <= 3 AND (used_bytes <= 2000 OR n = 1)), e AS (SELECT conv_id, max(turn) AS fin FROM conversations GROUP BY conv_id), l AS (SELECT conv_id, max(turn) AS last FROM b GROUP BY conv_id)
+    SELECT conv_id, turn, used_bytes, CASE WHEN last < fin THEN last + 1 END AS next_message FROM b JOIN l USING (conv_id) JOIN e USING (conv_id)""")
+def context_page(spark, sf_dir):
+    return M.page(load(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 1, 3, 2000).select("conv_id", "turn", "used_bytes", "next_message")
+
+
+@query(f"SELECT conv_id, turn FROM (SELECT conv_id, turn, greatest(1, {_RUN}) AS r FROM conversations) WHERE r <= 2")
+def keep_first_rounds(spark, sf_dir):
+    return M.keep_rounds(load(spark, sf_dir, "conversations"), "conv_id", "turn", 2).select("conv_id", "turn")
+
+
 # search ----------------------------------------------------------------------------------------
 
 TERMS = ["the", "ing"]

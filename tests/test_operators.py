@@ -221,3 +221,24 @@ def test_tool_inputs_and_fidelity(spark):
     assert [r.fidelity for r in got.orderBy("k").collect()] == [c[-1] for c in calls]
     one = K.plan(got, spark.createDataFrame([("text",), ("image",), ("tool",)], "kind string"), spark.createDataFrame([("migration.truncated",), ("session.unpaired_tool_use",), ("other",)], "code string")).first()
     assert (one["native"], one["degrade"], one["drop"], one["exact"], one["lossy"], one["dropped"]) == (3, 9, 3, 3, 3, 2)
+
+
+def test_database_and_bundles(spark, tmp_path):
+    import sqlite3
+
+    from quern.sources import stores as D
+
+    with sqlite3.connect(tmp_path / "a.db") as db:
+        db.execute("create table session (id text, title text, directory text, time_updated int, time_created int, parent_id text)")
+        db.execute("create table message (id text, session_id text, data text, time_created int)")
+        db.executemany("insert into session values (?, ?, ?, ?, ?, ?)", [("s", "T", "/d", 5, 1, None), ("empty", "E", "/d", 5, 1, None)])
+        say = lambda role, **x: json.dumps({"role": role, **x})
+        db.executemany("insert into message values (?, 's', ?, ?)", [("1", say("user"), 1), ("2", say("assistant", modelID="m", tokens={"input": 3, "output": 2, "reasoning": 1, "cache": {"read": 7}}), 2), ("3", "torn{", 3)])
+    read = lambda t, s: D.sqlite(spark, str(tmp_path / "a.db"), t, s)
+    rows_ = D.database_rows(read("session", "id string, title string, directory string, time_updated long, time_created long, parent_id string"), read("message", "id string, session_id string, data string, time_created long")).collect()
+    assert [(r["id"], r["count"], r["input"], r["output"], r["cache_read"], r["model"]) for r in rows_] == [("s", 3, 3, 3, 7, "m")]
+    for k, fmt in (("a", 1), ("b", 2)):
+        (tmp_path / "g" / k).mkdir(parents=True)
+        (tmp_path / "g" / k / "summary.json").write_text(json.dumps({"info": {"id": k, "cwd": "/w"}, "generated_title": "", "session_summary": "S", "updated_at": "2024-01-01T00:00:00Z", "num_messages": 4, "chat_format_version": fmt}, indent=1))
+    r = D.bundle_rows(spark, f"file://{tmp_path}/g").collect()
+    assert [(x["id"], x["title"], x["count"], x["updated_ms"], x["root_id"]) for x in r] == [("a", "S", 4, 1704067200000, "a")]
