@@ -242,3 +242,21 @@ def test_database_and_bundles(spark, tmp_path):
         (tmp_path / "g" / k / "summary.json").write_text(json.dumps({"info": {"id": k, "cwd": "/w"}, "generated_title": "", "session_summary": "S", "updated_at": "2024-01-01T00:00:00Z", "num_messages": 4, "chat_format_version": fmt}, indent=1))
     r = D.bundle_rows(spark, f"file://{tmp_path}/g").collect()
     assert [(x["id"], x["title"], x["count"], x["updated_ms"], x["root_id"]) for x in r] == [("a", "S", 4, 1704067200000, "a")]
+
+
+def test_dialects_round_trip(spark):
+    from quern.operators import dialects as D
+
+    calls = {
+        "claude": [("Bash", {"command": "ls", "timeout": 5}, "shell.exec", {"command": "ls", "timeout_ms": 5}), ("Edit", {"file_path": "a", "old_string": "x", "new_string": "y"}, "fs.edit", {"file_path": "a", "old": "x", "new": "y"}), ("Other", {"z": [1, {"k": None}]}, "tool.invoke", {"namespace": "claude", "name": "Other", "input": {"z": [1, {"k": None}]}})],
+        "pi": [("bash", {"command": "ls", "timeout": 1.5}, "shell.exec", {"command": "ls", "timeout_ms": 1500}), ("read", {"path": "a"}, "fs.read", {"file_path": "a"})],
+    }
+    for tool, cases in calls.items():
+        df = spark.createDataFrame([(k, c[0], json.dumps(c[1])) for k, c in enumerate(cases)], "k int, name string, input string")
+        op, canonical = D.parse(tool, F.col("name"), F.col("input"))
+        parsed = df.select("k", op.alias("op"), canonical.alias("canonical"))
+        assert [(r.op, json.loads(r.canonical)) for r in parsed.orderBy("k").collect()] == [c[2:] for c in cases]
+        name, native = D.render(tool, F.col("op"), F.col("canonical"))
+        assert [(r[0], json.loads(r[1])) for r in parsed.orderBy("k").select(name, native).collect()] == [c[:2] for c in cases]
+    one = spark.createDataFrame([("shell.exec", '{"command":"a","workdir":"/"}')], "op string, j string")
+    assert one.select(D.unmapped("claude", F.col("op"), F.col("j"))).first()[0] == ["workdir"]
