@@ -260,3 +260,26 @@ def test_dialects_round_trip(spark):
         assert [(r[0], json.loads(r[1])) for r in parsed.orderBy("k").select(name, native).collect()] == [c[:2] for c in cases]
     one = spark.createDataFrame([("shell.exec", '{"command":"a","workdir":"/"}')], "op string, j string")
     assert one.select(D.unmapped("claude", F.col("op"), F.col("j"))).first()[0] == ["workdir"]
+
+
+def test_tail_reads_only_whole_new_lines(spark, tmp_path):
+    from quern.streaming.tail import _TailReader, tail
+
+    log = tmp_path / "a.jsonl"
+    log.write_text("one\ntwo\nthr")
+    reader = _TailReader({"path": f"{tmp_path}/*.jsonl", "step": "5"})
+    rows_, at = reader.read({})
+    assert [r[2] for r in rows_] == ["one"] and at == {str(log): 4}
+    assert [r[2] for r in reader.readBetweenOffsets({}, at)] == ["one"]
+    stream = tail(spark, f"{tmp_path}/*.jsonl").select("raw").writeStream.format("memory").queryName("tailed").option("checkpointLocation", f"{tmp_path}/cp").start()
+    try:
+        stream.processAllAvailable()
+        with log.open("a") as f:
+            f.write("ee\n")
+        for _ in range(20):
+            stream.processAllAvailable()
+            if spark.table("tailed").count() == 3:
+                break
+        assert sorted(r.raw for r in spark.table("tailed").collect()) == ["one", "three", "two"]
+    finally:
+        stream.stop()
