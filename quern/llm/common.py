@@ -12,7 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel works on at once; a single longer text is its own slice.
 SLICE_BYTES = 1 << 19
@@ -41,6 +42,22 @@ def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(rows: DataFrame, n: int, salt: int, by: str | None = None) -> DataFrame:
+    """The `n` distinct rows of least hashed doc_id (for each value of `by`, if given), all where there are fewer.
+
+    Rows whose hash cannot be among them are left out before anything is sorted, so about 2 * n rows (for each
+    value) meet in one task, whatever the number of rows and of tasks.
+    """
+    key = F.xxhash64("doc_id", F.lit(salt))
+    place = key.cast("double") / 2.0**64 + 0.5
+    if by is None:
+        return rows.where(place <= 2 * n / max(1, rows.count())).distinct().orderBy(key, "doc_id").limit(n)
+    counts = rows.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_n"))
+    near = rows.join(counts, F.col(by) == F.col("_by")).where(place <= 2 * n / F.col("_n")).distinct()
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(key, "doc_id"))
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank", "_by", "_n")
+
+
 #: Rows of an Arrow batch: texts may be long, and a batch is held several times on its way to Python and back.
 BATCH_ROWS = 512
 

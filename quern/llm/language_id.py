@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices, word_bounds
+from .common import hash_sample, map_texts, slices, word_bounds
 
 #: Bound of the fitted sample: labelled texts of each language (chosen by a hash of the id).
 PER_LANGUAGE = 1500
@@ -111,8 +111,7 @@ def fit(docs: DataFrame) -> Model | None:
     languages are left out; None where nothing is left. The sample's ids and the table of trigram counts
     (65536 rows a language) are bounded whatever the corpus."""
     some = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where("doc_id is not null and lang is not null and text is not null")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id"))
-    ids = some.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= PER_LANGUAGE).select("doc_id", F.col("lang").alias("of")).distinct()
+    ids = hash_sample(some.select("doc_id", "lang"), PER_LANGUAGE, 9, "lang").select("doc_id", F.col("lang").alias("of")).distinct()
     picked = some.join(F.broadcast(ids), (some["doc_id"] == ids["doc_id"]) & (F.col("lang") == F.col("of")))
     rows = picked.select("lang", "text").transform(map_texts, _counter, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     if not rows.num_rows:

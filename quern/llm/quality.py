@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices, words
+from .common import hash_sample, map_texts, slices, words
 
 #: Bounds of the fitted samples: trusted positives and unlabelled texts (chosen by a hash of the id).
 POSITIVES = 6000
@@ -146,12 +146,11 @@ def fit(docs: DataFrame, trusted: DataFrame) -> Model | None:
     web text. Both samples are bounded (POSITIVES, UNLABELLED) and chosen by a hash of the id. None where there is
     no positive to learn from.
     """
-    order = F.xxhash64("doc_id", F.lit(11))
     some = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     ids = trusted.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
-    chosen = ids.orderBy(order, "doc_id").limit(POSITIVES).withColumn("positive", F.lit(True))
-    # the bounded id sample is small by its bound; the web sample is a top-k by hash
-    web_ids = some.select("doc_id").distinct().orderBy(order, "doc_id").limit(UNLABELLED).withColumn("positive", F.lit(False))
+    chosen = hash_sample(ids, POSITIVES, 11).withColumn("positive", F.lit(True))
+    web_ids = hash_sample(some.select("doc_id"), UNLABELLED, 11).withColumn("positive", F.lit(False))
+    # a broadcast of at most POSITIVES + UNLABELLED ids
     picked = some.join(F.broadcast(chosen.unionByName(web_ids)), "doc_id")
     schema = "doc_id long, positive boolean, x array<float>"
     rows = picked.select("doc_id", "positive", "text").transform(map_texts, _featurizer(["doc_id", "positive"]), schema).orderBy("doc_id", "positive").toArrow()

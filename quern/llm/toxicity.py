@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _WS, map_texts, slices, span_hashes, word_bounds
+from .common import _WS, hash_sample, map_texts, slices, span_hashes, word_bounds
 
 #: Bound of the fitted sample: labelled texts of each class (chosen by a hash of the id).
 PER_CLASS = 3000
@@ -142,8 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(counts) < 2:
         return None
-    order = [F.xxhash64("doc_id", F.lit(5)), F.col("doc_id")]
-    chosen = known.where("label = 1").orderBy(*order).limit(PER_CLASS).unionByName(known.where("label = 0").orderBy(*order).limit(PER_CLASS))
+    chosen = hash_sample(known, PER_CLASS, 5, "label")
     # a broadcast of at most 2 * PER_CLASS ids
     picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
     rows = picked.select("doc_id", "label", "text").transform(map_texts, _bagger, "doc_id long, label int, bucket array<int>, sentence array<int>, n long").orderBy("doc_id").toArrow()
