@@ -46,11 +46,26 @@ def query_terms(query: str) -> list[str]:
     return [w.lower() for w, (phrase, _) in zip(words, found, strict=True) if phrase or w.upper() not in ("OR", "AND", "NOT")]
 
 
+#: What the prefilter reads: escapes of signs and of the classes and anchors both dialects share, a class of plain
+#: characters, a repeat count, any other single character. `]` may not start a class, `[` and `\` not lie in one.
+_PIECE = re.compile(r"\\[dDwWsSbBtnrf]|\\[^0-9A-Za-z]|\[\^?[^\[\]\\^][^\[\]\\]*\]|\{\d*,?\d*\}|[^\\\[{]", re.DOTALL)
+
+
 def required_literals(pattern: str, least: int = 3) -> list[str]:
-    """Literal runs that every match of `pattern` holds: those outside groups, classes, options and alternatives."""
-    if "|" in re.sub(r"\\.|\[[^\]]*\]", "", pattern) or re.search(r"\(\?[a-zA-Z]*i", pattern):
+    """Literal runs that every match of `pattern` holds: those outside groups, classes, options and alternatives.
+    None where the pattern holds anything that is not surely read: other escapes, classes with an escape or a nested
+    bracket, comments, flags that fold case or skip white space."""
+    if re.search(r"\(\?(#|[a-zA-Z-]*[ix])", pattern):
+        return []
+    pieces, at = [], 0
+    while at < len(pattern):
+        if (piece := _PIECE.match(pattern, at)) is None:
+            return []
+        pieces.append(piece[0])
+        at = piece.end()
+    if "|" in pieces:
         return []
-    out, run, depth, i = [], "", 0, 0
+    out, run, depth = [], "", 0
 
     def close() -> None:
         nonlocal run
@@ -58,29 +73,18 @@ def required_literals(pattern: str, least: int = 3) -> list[str]:
             out.append(run)
         run = ""
 
-    while i < len(pattern):
-        c = pattern[i]
-        size = 1
-        literal = c if c not in ".^$*+?{}[]()|\\" else ""
-        if c == "\\":
-            size, nxt = 2, pattern[i + 1 : i + 2]
-            literal = nxt if nxt and not nxt.isalnum() else ""
-        elif c == "[":
-            size = pattern.index("]", i + 2) - i + 1
-        follow = pattern[i + size : i + size + 1]
-        if literal and follow not in ("*", "?", "{"):
+    for piece, follow in zip(pieces, [*pieces[1:], ""], strict=True):
+        literal = piece[-1] if len(piece) == 1 and piece not in ".^$*+?}]()" or len(piece) == 2 and not piece[1].isalnum() else ""
+        if literal and follow[:1] not in ("*", "?", "{"):
             run += literal
             if follow == "+":
                 close()
         else:
             close()
-        if c == "(":
+        if piece == "(":
             depth += 1
-        elif c == ")":
+        elif piece == ")":
             depth -= 1
-        elif c == "{":
-            size = pattern.index("}", i) - i + 1
-        i += size
     close()
     return out
 

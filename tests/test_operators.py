@@ -78,6 +78,16 @@ def test_regex_falls_back_to_python(spark):
     assert rows(S.regex_scan(df, "t", r"(?P<w>abc)\d")) == [("abc1",)] == rows(S.regex_scan(df, "t", r"abc\d"))
 
 
+def test_regex_scan_keeps_every_match(spark):
+    texts = ["Abcd", "41bcd", "u0041bcd", "]", "abc", "\x01bcd", "Abcd", "a b c", "x|bcd", "[abc]", "q.abc.", "tabbcd", "\tbcd", "zzabc", "éabc", "ab{2}c", "abbc", "Abc\nbcd", "def", ")def", "xdef"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    patterns = [r"\x41bcd", r"\u0041bcd", r"\cAbcd", r"[\]abc]+", r"[^]abc]+", r"[]abc]+", r"[x[abc]]+", r"[abc&&[^b]]+", r"(?x) abc # bcd", r"(?x:a b c)", r"(?i)ABC", r"(?s-i:a)bcd", r"\Qabc\E", r"\x{41}bcd", r"\0101bcd", r"(b)\1c", r"\p{Lu}bcd", r"\tbcd", r"\babc\b", r"[x|]\|bcd", r"[(]abc|def", r"[)]def", r"\.abc\.", r"ab{2}c", r"abbc?", r"(abc)?def", r"(?!zz)..abc"]
+    for p in patterns:
+        assert rows(S.regex_scan(df, "t", p)) == rows(df.where(F.col("t").rlike(p))), p
+    assert X.required_literals(r"\[abc\]+def\w{3}") == ["[abc]", "def"] and X.required_literals("ERTION!+") == ["ERTION!"]
+    assert X.required_literals("abc{x") == [] == X.required_literals(r"[\]abc]+")
+
+
 def test_trigrams_find_supersets(spark):
     df = spark.createDataFrame([(1, "Hello World"), (2, "help")], "k int, t string")
     assert rows(S.posting_hits(S.trigram_postings(df, "k", "t"), "k", ["hello"])) == [(1,)]
