@@ -21,8 +21,6 @@ WINDOW = 5
 ROUNDS = 12
 #: A document is kept where its posterior is at least this.
 KEEP = 0.5
-#: Bits of a packed window entry that hold its position; texts of more words compare by whole entries.
-_POSITION_BITS = 24
 
 
 def _share(part: str, whole: str) -> Column:
@@ -55,15 +53,13 @@ def measures(docs: DataFrame) -> DataFrame:
     d = docs.select("*", text.alias("q_text"), F.filter(F.split(plain, " "), lambda w: w != "").alias("q_words"))
     lines = F.filter(F.split("q_text", "\n"), lambda s: F.trim(F.translate(s, SPACE, "")) != "")
     d = d.withColumn("q_lines", lines).withColumn("q_hashes", F.transform("q_words", lambda w: F.xxhash64(w)))
-    low = (1 << _POSITION_BITS) - 1
     starts = F.when(F.size("q_words") >= WINDOW, F.sequence(F.lit(0), F.size("q_words") - WINDOW)).otherwise(F.array().cast("array<int>"))
-    entry = lambda i: F.shiftleft(F.xxhash64(*(F.get("q_hashes", i + k) for k in range(WINDOW))), _POSITION_BITS).bitwiseOR(i.cast("long"))
+    entry = lambda i: F.struct(F.xxhash64(*(F.get("q_hashes", i + k) for k in range(WINDOW))).alias("h"), i.alias("at"))
     d = d.withColumn("q_sorted", F.sort_array(F.transform(starts, entry)))
     # neighbours in hash order that agree in hash and in all their words are windows found twice
-    at = lambda x: x.bitwiseAND(F.lit(low)).cast("int")
-    agree = lambda x, y: (F.shiftright(x.bitwiseXOR(y), _POSITION_BITS) == 0) & (F.slice("q_words", at(x) + 1, WINDOW) == F.slice("q_words", at(y) + 1, WINDOW))
+    agree = lambda x, y: (x["h"] == y["h"]) & (F.slice("q_words", x["at"] + 1, WINDOW) == F.slice("q_words", y["at"] + 1, WINDOW))
     again = lambda x, i: F.coalesce(agree(x, F.get("q_sorted", i - 1)), F.lit(False)) | F.coalesce(agree(x, F.get("q_sorted", i + 1)), F.lit(False))
-    d = d.withColumn("q_twice", F.sort_array(F.transform(F.filter("q_sorted", again), at)))
+    d = d.withColumn("q_twice", F.sort_array(F.transform(F.filter("q_sorted", again), lambda x: x["at"])))
     reach = F.transform("q_twice", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("q_twice", i + 1) - p, F.lit(WINDOW))))
     count = lambda chars: (F.length("q_text") - F.length(F.translate("q_text", chars, ""))).cast("long")
     return d.select(

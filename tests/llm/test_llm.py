@@ -252,6 +252,12 @@ def test_rules_measure_like_brute_force(spark, odd):
     assert kept.columns == odd.columns and quality_rules.judge(odd).count() == odd.count() and quality_rules.judge(odd.limit(0)).count() == 0
 
 
+def test_repeats_are_found_beside_windows_of_like_hash(spark):
+    # "a b c d w1586667" and "a b c d w2453334" agree in the low 40 bits of their hash, other windows are unique
+    texts = ["a b c d w1586667 f0 a b c d w2453334 f1 a b c d w1586667", "a b c d w2453334 f0 a b c d w1586667 f1 a b c d w2453334"]
+    assert [r.n_repeat_words for r in quality_rules.judge(docs_of(spark, texts)).orderBy("doc_id").collect()] == [10, 10]
+
+
 def test_shards_merge_and_commit(spark, tmp_path, odd):
     t = sharding.ShardTable(spark, f"file://{tmp_path}/t", target=40_000)
     for k in range(4):
