@@ -124,6 +124,19 @@ def test_threshold_search_stops_early():
     assert ids == [0] and scores == [10000]
 
 
+def test_lists_run_on_until_the_bound_stops():
+    rng = np.random.default_rng(5)
+    v = np.floor(64 * (rng.normal(size=(4000, 1)) * np.ones(16) + rng.normal(size=(4000, 16)))).astype(np.int64)
+    order, ids = np.argsort(-v, axis=0, kind="stable"), [np.array([k]) for k in range(4000)]
+    for row in range(0, 4000, 400):
+        q = np.abs(v[row])
+        pairs, met = topk._read_lists(q, q, row, v, v, order, ids, 20)
+        assert pairs == sorted((-int(v[i] @ q), i) for i in range(4000) if i != row)[:20]
+        assert met < 4000  # the bound has stopped it
+    rows, ids_, scores = topk.threshold_search(np.zeros((1, 16), np.int64), np.array([0]), v, ids, 3)
+    assert (rows, ids_, scores) == ([0] * 3, [1, 2, 3], [0] * 3)
+
+
 def test_shares_follow_the_rule():
     s = mixing.shares({"a": 100, "b": 1000, None: 10})
     assert s[None] == 20 and s["a"] == 200 and s["b"] == Fraction(3, 2) * 1110 - 220
