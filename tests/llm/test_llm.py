@@ -246,6 +246,16 @@ def test_url_rules_are_mined(spark):
     assert want == [bad for _, bad in rows]
 
 
+def test_url_rules_need_a_count_not_a_share(spark):
+    schema = "url string, bad boolean"
+    few = [(f"http://h{k % 7}.test/{k}", k % 5 == 0) for k in range(98)]
+    assert url_filter.mine(spark.createDataFrame(few, schema)) == []
+    many = [(f"http://{'spam' if k % 1000 == 7 else 'fine'}.test/{k % 50}/{k}", k % 1000 == 7 or k % 5 == 0) for k in range(20_000)]
+    assert [r[0] for r in url_filter.mine(spark.createDataFrame(many, schema)) if "host=spam" in r[0]] == [("host=spam",)]
+    usual = [(f"http://h.test/{k}", k % 10 < 9) for k in range(200)]
+    assert url_filter.mine(spark.createDataFrame(usual, schema)) == []
+
+
 def test_rules_measure_like_brute_force(spark, odd):
     texts = [*odd_texts(), "a b c d e a b c d e f g", "x y z w v " * 30, "THE!! BIG!! END!! " * 8, *family(30, 80, 8, 3), *(" ".join(f"{w}###" for w in f.split()) for f in family(8, 40, 9, 3))]
     got = {r.doc_id: r for r in quality_rules.judge(docs_of(spark, texts)).collect()}
