@@ -9,14 +9,18 @@ passing every rule.
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-SPACE = " \t\n\x0b\f\r"
+SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+MARKS = "!?"
 WINDOW = 5
 ROUNDS = 12
 #: A document is kept where its posterior is at least this.
@@ -29,7 +33,8 @@ def _share(part: str, whole: str) -> Column:
 
 def rules() -> dict[str, tuple[int, Column]]:
     """name: (vote, where). -1 speaks for bad, 1 for good; elsewhere the rule abstains."""
-    symbols, repeats, lines, ups, length = _share("n_symbols", "n_words"), _share("n_repeat_words", "n_words"), _share("n_dup_lines", "n_lines"), _share("n_upper", "word_chars"), _share("word_chars", "n_words")
+    symbols, repeats = _share("n_symbols", "n_words"), _share("n_repeat_words", "n_words")
+    lines, ups, length = _share("n_dup_lines", "n_lines"), _share("n_upper", "word_chars"), _share("word_chars", "n_words")
     marks, kinds = _share("n_marks", "n_words"), _share("n_kinds", "n_words")
     sober = (symbols < 0.05) & (ups < 0.15) & (marks < 0.05)
     return {
@@ -46,34 +51,61 @@ def rules() -> dict[str, tuple[int, Column]]:
     }
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once for each row and not kept as a column."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _paired(left: Column, right: Column) -> Column:
+    return F.zip_with(left, right, lambda x, y: F.xxhash64(x, y))
+
+
+def _window_hashes(words: Column) -> Column:
+    """A hash of each window of five words: of its first four (two pairs of neighbours) and its last."""
+    n = F.size(words)
+    two = _paired(F.slice(words, 1, n - 1), F.slice(words, 2, n - 1))
+    four = _let(two, lambda t: _paired(F.slice(t, 1, n - 4), F.slice(t, 3, n - 4)))
+    return _paired(four, F.slice(words, 5, n - 4))
+
+
+def _covered(words: Column, hashes: Column) -> Column:
+    """Words in windows found twice: neighbours in the order of (hash, position) that agree in hash and all words."""
+
+    def agree(x: Column, y: Column) -> Column:
+        same = F.slice(words, x["at"] + 1, WINDOW) == F.slice(words, y["at"] + 1, WINDOW)
+        return F.coalesce((x["h"] == y["h"]) & same, F.lit(False))
+
+    def count(entries: Column) -> Column:
+        again = F.filter(entries, lambda x, i: agree(x, F.get(entries, i - 1)) | agree(x, F.get(entries, i + 1)))
+        places = F.sort_array(F.transform(again, lambda x: x["at"]))
+        width = F.lit(WINDOW)
+        reach = _let(places, lambda t: F.transform(t, lambda p, i: F.least(width, F.coalesce(F.get(t, i + 1) - p, width))))
+        return F.aggregate(reach, F.lit(0), lambda a, x: a + x)
+
+    return _let(F.sort_array(F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("at")))), count)
+
+
+def _repeat_words(words: Column) -> Column:
+    """Most texts have no two windows of one hash: only the others are sorted and compared by their words."""
+    some = lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), _covered(words, h)).otherwise(F.lit(0))
+    return F.when(F.size(words) >= WINDOW, _let(_window_hashes(words), some)).otherwise(F.lit(0))
+
+
 def measures(docs: DataFrame) -> DataFrame:
     """The measured properties of whole texts in place of `text`, beside the other columns; null counts as empty."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    plain = F.translate(text, SPACE[1:], " " * 5)
-    d = docs.select("*", text.alias("q_text"), F.filter(F.split(plain, " "), lambda w: w != "").alias("q_words"))
-    lines = F.filter(F.split("q_text", "\n"), lambda s: F.trim(F.translate(s, SPACE, "")) != "")
-    d = d.withColumn("q_lines", lines).withColumn("q_hashes", F.transform("q_words", lambda w: F.xxhash64(w)))
-    starts = F.when(F.size("q_words") >= WINDOW, F.sequence(F.lit(0), F.size("q_words") - WINDOW)).otherwise(F.array().cast("array<int>"))
-    entry = lambda i: F.struct(F.xxhash64(*(F.get("q_hashes", i + k) for k in range(WINDOW))).alias("h"), i.alias("at"))
-    d = d.withColumn("q_sorted", F.sort_array(F.transform(starts, entry)))
-    # neighbours in hash order that agree in hash and in all their words are windows found twice
-    agree = lambda x, y: (x["h"] == y["h"]) & (F.slice("q_words", x["at"] + 1, WINDOW) == F.slice("q_words", y["at"] + 1, WINDOW))
-    again = lambda x, i: F.coalesce(agree(x, F.get("q_sorted", i - 1)), F.lit(False)) | F.coalesce(agree(x, F.get("q_sorted", i + 1)), F.lit(False))
-    d = d.withColumn("q_twice", F.sort_array(F.transform(F.filter("q_sorted", again), lambda x: x["at"])))
-    reach = F.transform("q_twice", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("q_twice", i + 1) - p, F.lit(WINDOW))))
-    count = lambda chars: (F.length("q_text") - F.length(F.translate("q_text", chars, ""))).cast("long")
-    return d.select(
-        *(c for c in docs.columns if c != "text"),
-        F.size("q_words").cast("long").alias("n_words"),
-        F.length(F.translate("q_text", SPACE, "")).cast("long").alias("word_chars"),
-        count(SYMBOLS).alias("n_symbols"),
-        (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long").alias("n_dup_lines"),
-        F.aggregate(reach, F.lit(0), lambda a, x: a + x).cast("long").alias("n_repeat_words"),
-        F.size("q_lines").cast("long").alias("n_lines"),
-        count("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
-        count("!?").alias("n_marks"),
-        F.size(F.array_distinct("q_hashes")).cast("long").alias("n_kinds"),
-    )
+    words = F.array_remove(F.split(text, f"{SPACE}+"), "")
+    lines = F.filter(F.split(text, "\n"), lambda s: F.rlike(s, F.lit(r"[^\x20\x09-\x0D]")))
+    signs = F.regexp_replace(text, f"[^{CAPITALS}{re.escape(SYMBOLS + MARKS)}]+", "")
+    long = lambda x, name: x.cast("long").alias(name)
+    count = lambda s, chars, name: long(F.length(s) - F.length(F.translate(s, chars, "")), name)
+    by_words = lambda w: F.struct(long(F.size(w), "n_words"), long(F.length(F.array_join(w, "")), "word_chars"), long(_repeat_words(w), "n_repeat_words"), long(F.size(F.array_distinct(w)), "n_kinds"))
+    by_lines = lambda x: F.struct(long(F.size(x), "n_lines"), long(F.size(x) - F.size(F.array_distinct(x)), "n_dup_lines"))
+    by_signs = lambda s: F.struct(count(s, SYMBOLS, "n_symbols"), count(s, CAPITALS, "n_upper"), count(s, MARKS, "n_marks"))
+    parts = {"q_words": _let(words, by_words), "q_lines": _let(lines, by_lines), "q_signs": _let(signs, by_signs)}
+    others = [c for c in docs.columns if c != "text"]
+    d = docs.select(*others, *(v.alias(k) for k, v in parts.items()))
+    return d.select(*others, *(f"{k}.*" for k in parts)).select(*others, *MEASURES)
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_kinds")
