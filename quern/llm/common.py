@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Bytes of text that a kernel works on at once; a single longer text is its own slice.
 SLICE_BYTES = 1 << 19
@@ -26,8 +27,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder name under the cluster's shared checkpoint folder (a local one only where none is set)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/quern"
+    """A new folder name under spark.checkpoint.dir. Where that is unset a machine-local folder serves a local master
+    only: on a cluster the executors would not see each other's files, so this raises."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        root = "file:///tmp/checkpoints/quern"
     return f"{root.rstrip('/')}/quern-{uuid.uuid4().hex}"
 
 
@@ -45,24 +51,37 @@ def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
 def hash_sample(rows: DataFrame, n: int, salt: int, by: str | None = None) -> DataFrame:
     """The `n` distinct rows of least hashed doc_id (for each value of `by`, if given), all where there are fewer.
 
-    Rows whose hash cannot be among them are left out before anything is sorted, so about 2 * n rows (for each
-    value) meet in one task, whatever the number of rows and of tasks.
+    Repeated rows count once, a null id hashes like any value, an empty table gives no rows. Rows whose hash cannot
+    be among the chosen are left out before anything is sorted, so about 2 * n rows (for each value) meet in one
+    task, whatever the number of rows and of tasks.
     """
     key = F.xxhash64("doc_id", F.lit(salt))
     place = key.cast("double") / 2.0**64 + 0.5
+    seen = F.approx_count_distinct("doc_id", 0.02)
     if by is None:
-        return rows.where(place <= 2 * n / max(1, rows.count())).distinct().orderBy(key, "doc_id").limit(n)
-    counts = rows.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_n"))
-    near = rows.join(counts, F.col(by) == F.col("_by")).where(place <= 2 * n / F.col("_n")).distinct()
+        return rows.where(place <= _reach(n, max(1, rows.agg(seen).first()[0]))).distinct().orderBy(key, "doc_id").limit(n)
+    counts = rows.groupBy(F.col(by).alias("_by")).agg(_reach(n, F.greatest(F.lit(1), seen)).alias("_reach"))
+    near = rows.join(counts, F.col(by) == F.col("_by")).where(place <= F.col("_reach")).distinct()
     rank = F.row_number().over(Window.partitionBy(by).orderBy(key, "doc_id"))
-    return near.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank", "_by", "_n")
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank", "_by", "_reach")
+
+
+def _reach(n: int, seen):
+    """Share of the hash range that holds `n` of about `seen` ids: a fifth more for the error of the count, and ten
+    standard deviations more for chance."""
+    return (1.2 * n + 10 * (n + 100) ** 0.5) / seen
 
 
 #: Rows of an Arrow batch: texts may be long, and a batch is held several times on its way to Python and back.
 BATCH_ROWS = 512
 
 
-def map_texts(df: DataFrame, function, schema: str) -> DataFrame:
+def with_fields(df: DataFrame, **kinds: str) -> StructType:
+    """The schema of `df` and these fields after it, whatever the names of its columns hold."""
+    return StructType([*df.schema.fields, *(StructField(name, DataType.fromDDL(kind)) for name, kind in kinds.items())])
+
+
+def map_texts(df: DataFrame, function, schema: str | StructType) -> DataFrame:
     """mapInArrow with batches of few rows (a session setting, lowered where it is larger)."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, map_texts, slices, word_bounds
+from .common import hash_sample, map_texts, slices, with_fields, word_bounds
 
 #: Bound of the fitted sample: labelled texts of each language (chosen by a hash of the id).
 PER_LANGUAGE = 1500
@@ -162,5 +162,5 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     (columns of these three names are replaced).
     """
     docs = docs.drop("lang_pred", "score", "languages")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.transform(map_texts, _predictor(model), f"{fields}, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
+    schema = with_fields(docs, lang_pred="string", score="double", languages="array<struct<lang:string,share:double>>")
+    return docs.transform(map_texts, _predictor(model), schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, map_texts, slices, words
+from .common import hash_sample, map_texts, slices, with_fields, words
 
 #: Bounds of the fitted samples: trusted positives and unlabelled texts (chosen by a hash of the id).
 POSITIVES = 6000
@@ -30,11 +30,6 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(offsets) - 1
     x = np.zeros((n, N_FEATURES), np.float32)
     h, first = words(data, offsets, fold=True)
-    upper = (data >= 65) & (data <= 90)
-    letter = upper | ((data >= 97) & (data <= 122)) | (data >= 128)
-    solid = np.cumsum(np.concatenate([[0], (data > 32).astype(np.int64)]))
-    caps = np.cumsum(np.concatenate([[0], upper.astype(np.int64)]))
-    let = np.cumsum(np.concatenate([[0], letter.astype(np.int64)]))
     for i in range(n):
         a, b = int(offsets[i]), int(offsets[i + 1])
         w = h[first[i] : first[i + 1]]
@@ -45,7 +40,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         count = np.bincount(data[a:b], minlength=256)
         x[i, :128] = np.sqrt(count[:128] / size)
         x[i, 128:132] = np.sqrt(count[128:].reshape(4, 32).sum(axis=1) / size)
-        ink, ups, lets = (int(c[b] - c[a]) for c in (solid, caps, let))
+        ink, ups = int(count[33:].sum()), int(count[65:91].sum())
+        lets = ups + int(count[97:123].sum() + count[128:].sum())
         kinds = len(np.unique(w))
         pairs = w[:-1] * np.uint64(3) + w[1:]
         repeats = 1 - len(np.unique(pairs)) / max(1, len(pairs))
@@ -184,5 +180,4 @@ def score(docs: DataFrame, model: Model | None, name: str = "score") -> DataFram
     is replaced).
     """
     docs = docs.drop(name)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.transform(map_texts, _scorer(model, name), f"{fields}, `{name}` double")
+    return docs.transform(map_texts, _scorer(model, name), with_fields(docs, **{name: "double"}))

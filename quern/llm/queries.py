@@ -46,8 +46,8 @@ def op6_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     labels = load(spark, sf_dir, "labels").where(~held).select("doc_id", F.col("toxic").alias("label"))
     model = toxicity.fit(docs.where(~held), labels)
-    out = toxicity.score(docs, model, locate=False)
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "offending")
 
 
 def op3_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

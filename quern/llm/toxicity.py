@@ -13,16 +13,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _WS, hash_sample, map_texts, slices, span_hashes, word_bounds
+from .common import hash_sample, map_texts, materialize, slices, span_hashes, with_fields, word_bounds
 
 #: Bound of the fitted sample: labelled texts of each class (chosen by a hash of the id).
 PER_CLASS = 3000
+#: Bytes of the sample's texts, in the order of their hash, beyond which no further text is taken.
+SAMPLE_BYTES = 64 << 20
 #: Hashed word space, and sample documents that must hold a word.
 BUCKETS = 1 << 20
-MIN_DOCS = 10
+MIN_DOCS = 5
 #: Bytes of a word's beginning that are features of their own.
 STEMS = (4, 5)
 #: Weight of the absolute-value penalty that keeps the model to few words.
@@ -34,8 +36,9 @@ _MARK = np.isin(np.arange(256), [ord(c) for c in ".,;:!?\"'()#*$%&|<>"])
 def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(feature bucket, sentence of each feature, document of each sentence, first byte and end byte of each sentence).
 
-    The features of a word are the word and, where it is longer, its first bytes (for inflected words). A sentence ends after a word that ends in . ! or ?, at a line end and at the end of its text. Marks around
-    a word are not part of it, A-Z are folded.
+    The features of a word are the word and, where it is longer, its first bytes (for inflected words). A sentence
+    ends after a word that ends in . ! or ?, at a line end and at the end of its text. Marks around a word are not
+    part of it, A-Z are folded.
     """
     starts, ends = word_bounds(data, offsets)
     if not len(starts):
@@ -74,23 +77,20 @@ class Model:
         return 1 - (1 - self.leak) * np.exp(-np.bincount(doc, np.logaddexp(0, logits), n))
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray, share: float, epochs: int = 40, seed: int = 3) -> Model:
-    """bags: for each document its word buckets and their sentence numbers, and the count of sentences.
+def train(bags: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], labels: np.ndarray, share: float, epochs: int = 40, seed: int = 3) -> Model:
+    """bags: for each document its word buckets, their sentence numbers, how often each is there, and the count of
+    sentences.
 
     `share` is the share of label 1 among the labelled rows; the sample's classes are weighted back to it.
     """
-    held = np.zeros(BUCKETS, np.int32)
-    for bucket, _, _ in bags:
-        held[np.unique(bucket)] += 1
-    kept = held >= MIN_DOCS
-    words, sent, doc, base = [], [], [], 0
-    for k, (bucket, s, n) in enumerate(bags):
-        use = kept[bucket]
-        words.append(bucket[use])
-        sent.append(s[use] + base)
+    words, sent, times, doc, base = [], [], [], [], 0
+    for k, (bucket, s, often, n) in enumerate(bags):
+        words.append(bucket)
+        times.append(often)
+        sent.append(s + base)
         doc.append(np.full(n, k))
         base += n
-    words, sent, doc = np.concatenate(words), np.concatenate(sent), np.concatenate(doc)
+    words, sent, times, doc = (np.concatenate(x) for x in (words, sent, times, doc))
     known, code = np.unique(words, return_inverse=True)
     w = np.zeros(len(known))
     bias, leak = -4.0, np.log(0.02 / 0.98)
@@ -100,7 +100,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndar
     weight = np.where(y == 1, share / max(rate, 1e-9), (1 - share) / max(1 - rate, 1e-9))
     weight /= weight.sum()
     for t in range(1, epochs * 5 + 1):
-        z = np.bincount(sent, w[code], base) + bias
+        z = np.bincount(sent, w[code] * times, base) + bias
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         lk = 1 / (1 + np.exp(-leak))
         quiet = np.log1p(-lk) - np.bincount(doc, np.logaddexp(0, z), len(bags))  # log P(no toxic sentence)
@@ -108,7 +108,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndar
         # d loss / d z of a sentence: (1 - y) p - y p (1 - pd) / pd
         up = np.where(y == 1, -(1 - pd) / pd, 1.0) * weight
         dz = up[doc] * p
-        grad = np.concatenate([np.bincount(code, dz[sent], len(known)) + SPARSITY * np.sign(w), [dz.sum(), (up * lk).sum()]])
+        grad = np.concatenate([np.bincount(code, dz[sent] * times, len(known)) + SPARSITY * np.sign(w), [dz.sum(), (up * lk).sum()]])
         m[0] += 0.1 * (grad - m[0])
         m[1] += 0.01 * (grad * grad - m[1])
         step = 0.1 * (m[0] / (1 - 0.9**t)) / (np.sqrt(m[1] / (1 - 0.99**t)) + 1e-6)
@@ -120,33 +120,60 @@ def train(bags: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndar
     return Model(full.astype(np.float32), float(bias), float(1 / (1 + np.exp(-leak))))
 
 
-def _bagger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, hi, data, offsets in slices(batch, "text"):
-            bucket, sentence, doc, _, _ = sentences(data, offsets)
-            first = np.searchsorted(doc, np.arange(hi - lo + 1))
-            edge = np.searchsorted(sentence, first)
-            part = batch.slice(lo, hi - lo)
-            at = pa.array(edge.astype(np.int32))
-            relative = sentence - np.repeat(first[:-1], np.diff(edge))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.ListArray.from_arrays(at, pa.array(bucket.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(relative.astype(np.int32))), pa.array(np.diff(first).astype(np.int64))],
-                ["doc_id", "label", "bucket", "sentence", "n"],
-            )
+def _bagger(kept: np.ndarray | None):
+    """doc_id, label, the distinct (bucket, sentence) pairs of the text and its number of sentences. With `kept`, a
+    bit for each bucket, only pairs of those buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use = None if kept is None else np.unpackbits(kept).astype(bool)
+        for batch in batches:
+            for lo, hi, data, offsets in slices(batch, "text"):
+                bucket, sentence, doc, _, _ = sentences(data, offsets)
+                first = np.searchsorted(doc, np.arange(hi - lo + 1))
+                if use is not None:
+                    bucket, sentence = bucket[use[bucket]], sentence[use[bucket]]
+                pair, times = np.unique(sentence * BUCKETS + bucket, return_counts=True)
+                bucket, sentence = pair % BUCKETS, pair // BUCKETS
+                edge = np.searchsorted(sentence, first)
+                part = batch.slice(lo, hi - lo)
+                at = pa.array(edge.astype(np.int32))
+                relative = sentence - np.repeat(first[:-1], np.diff(edge))
+                lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (bucket, relative, times)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists, pa.array(np.diff(first).astype(np.int64))], ["doc_id", "label", "bucket", "sentence", "times", "n"])
+
+    return run
+
+
+_BAG = "doc_id long, label int, bucket array<int>, sentence array<int>, times array<int>, n long"
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Fits on documents (doc_id, text) and labels (doc_id, label 0 or 1), on PER_CLASS texts of each label at
-    most, chosen by a hash of the id. Null ids and labels are left out. None where either class is missing."""
-    known = labels.select(F.col("doc_id").cast("long"), F.col("label").cast("int")).where("doc_id is not null and label in (0, 1)").dropDuplicates(["doc_id"])
+    """Fits on documents (doc_id, text) and labels (doc_id, label 0 or 1), on PER_CLASS texts of each label and
+    SAMPLE_BYTES of text at most, chosen by a hash of the id. Null ids and labels are left out, as are ids that have
+    both labels; repeated labels count once, repeated texts each. None where either class is missing.
+
+    The words that MIN_DOCS of the sample's texts hold are counted before anything comes to the driver: it gets only
+    pairs of such a word and a sentence.
+    """
+    known = labels.select(F.col("doc_id").cast("long"), F.col("label").cast("int")).where("doc_id is not null and label in (0, 1)")
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").drop("most")
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(counts) < 2:
         return None
     chosen = hash_sample(known, PER_CLASS, 5, "label")
     # a broadcast of at most 2 * PER_CLASS ids
     picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
-    rows = picked.select("doc_id", "label", "text").transform(map_texts, _bagger, "doc_id long, label int, bucket array<int>, sentence array<int>, n long").orderBy("doc_id").toArrow()
-    bags = [(np.array(b.values.to_numpy()), np.array(s.values.to_numpy()), n) for b, s, n in zip(rows["bucket"], rows["sentence"], rows["n"].to_pylist(), strict=True)]
+    taken = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "text"))
+    picked = materialize(picked.withColumn("_taken", taken).where(F.col("_taken") <= SAMPLE_BYTES // 2).select("doc_id", "label", "text"))
+    held = picked.transform(map_texts, _bagger(None), _BAG).select(F.explode(F.array_distinct("bucket")).alias("bucket"))
+    frequent = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCS).select("bucket").toArrow()
+    kept = np.zeros(BUCKETS, bool)
+    kept[frequent["bucket"].to_numpy()] = True
+    rows = picked.transform(map_texts, _bagger(np.packbits(kept)), _BAG).orderBy("doc_id").toArrow()
+    if len(set(rows["label"].to_pylist())) < 2:
+        return None
+    columns = [rows[name] for name in ("bucket", "sentence", "times")]
+    bags = [(*(np.array(x.values.to_numpy()) for x in lists), n) for *lists, n in zip(*columns, rows["n"].to_pylist(), strict=True)]
     return train(bags, rows["label"].to_numpy(), counts[1] / sum(counts.values()))
 
 
@@ -185,6 +212,5 @@ def score(docs: DataFrame, model: Model | None, locate: bool = True) -> DataFram
     scored by itself: repeated rows, null ids and other columns pass through (columns of these names are replaced).
     """
     docs = docs.drop("score", "offending")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    more = ", offending array<struct<sentence:string,probability:double>>" if locate else ""
-    return docs.transform(map_texts, _scorer(model, locate), f"{fields}, score double{more}")
+    more = {"offending": "array<struct<sentence:string,probability:double>>"} if locate else {}
+    return docs.transform(map_texts, _scorer(model, locate), with_fields(docs, score="double", **more))
