@@ -82,11 +82,16 @@ def with_fields(df: DataFrame, **kinds: str) -> StructType:
 
 
 def map_texts(df: DataFrame, function, schema: str | StructType) -> DataFrame:
-    """mapInArrow with batches of few rows (a session setting, lowered where it is larger)."""
+    """mapInArrow with batches of few rows (a session setting, lowered where it is larger). Columns whose names hold
+    a dot or a backtick, which mapInArrow cannot take, pass under plain names and get theirs back."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:
         conf.set(key, str(BATCH_ROWS))
-    return df.mapInArrow(function, schema)
+    odd = {c: f"quern_{k}" for k, c in enumerate(df.columns) if "`" in c or "." in c}
+    if not odd:
+        return df.mapInArrow(function, schema)
+    plain = StructType([StructField(odd.get(f.name, f.name), f.dataType) for f in schema.fields])
+    return df.toDF(*(odd.get(c, c) for c in df.columns)).mapInArrow(function, plain).toDF(*schema.names)
 
 
 # ---------------------------------------------------------------------------------------------

@@ -1,14 +1,14 @@
 """Mixing sources to target weights, block by block.
 
 Each source's words, in the order of its documents, are cut into blocks of fixed length. The sources' shares
-become block counts; every output shard draws its counts from the remaining quotas (a multinomial draw
-conditioned on the totals, so that the targets are met). The n-th slot of a source is mapped to a block by a
+become block counts; every output shard draws its counts from the quotas (multinomial draws conditioned on the
+totals, so that the targets are met), inside the task that needs them. The n-th slot of a source is mapped to a block by a
 pseudorandom permutation of the source's block indices, pass after pass, and joined to the block by index.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -50,21 +50,47 @@ def shares(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, tot
     return out
 
 
-def shard_draws(quota: list[int], shard: int = SHARD, seed: int = 7) -> list[tuple[int, int, int, int]]:
-    """(shard, source number, first slot of the source, slots): each shard's counts are drawn without
-    replacement from what is left of the quotas, so that they sum to the quotas in the end."""
-    rng, left, used, out = np.random.default_rng(seed), np.array(quota, np.int64), np.zeros(len(quota), np.int64), []
-    for s in range(-(-int(left.sum()) // shard)):
-        n = min(shard, int(left.sum()))
-        # of a multinomial draw, what exceeds a quota is drawn again among the others
-        got = np.zeros_like(left)
-        while n:
-            room = left - got
-            draw = np.minimum(rng.multinomial(n, room / room.sum()), room)
-            got, n = got + draw, n - int(draw.sum())
-        out += [(s, k, int(used[k]), int(got[k])) for k in np.flatnonzero(got).tolist()]
-        left, used = left - got, used + got
-    return out
+def _draw(rng: np.random.Generator, n: int, left: np.ndarray) -> np.ndarray:
+    """`n` slots by a multinomial draw from the quotas `left`; what exceeds a quota is drawn again among the others."""
+    got = np.zeros_like(left)
+    while n:
+        room = left - got
+        draw = np.minimum(rng.multinomial(n, room / room.sum()), room)
+        got, n = got + draw, n - int(draw.sum())
+    return got
+
+
+def shard_draws(quota: list[int], shards: Iterable[int], shard: int = SHARD, seed: int = 7) -> Iterator[tuple[int, int, int, int]]:
+    """(shard, source number, first slot of the source, slots) of some of the shards.
+
+    The quotas are split by a binary tree over the shards: a node draws its left half's counts from its own, seeded
+    by its place. So every task finds its shards' counts and first slots by a walk down the tree, they agree in any
+    order and sum to the quotas in the end.
+    """
+    total = sum(quota)
+    whole = (0, -(-total // shard), np.array(quota, np.int64), np.zeros(len(quota), np.int64))
+    path = [whole]
+    for s in shards:
+        while not path[-1][0] <= s < path[-1][1]:
+            path.pop()
+        while path[-1][1] - path[-1][0] > 1:
+            lo, hi, left, used = path[-1]
+            mid = (lo + hi) // 2
+            got = _draw(np.random.default_rng([seed, lo, hi]), (mid - lo) * shard, left)
+            path.append((lo, mid, got, used) if s < mid else (mid, hi, left - got, used + got))
+        _, _, got, used = path[-1]
+        yield from ((s, k, int(used[k]), int(got[k])) for k in np.flatnonzero(got).tolist())
+
+
+def _drawer(quota: list[int], blocks: list[int], seed: int):
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shards = sorted(batch.column(0).to_pylist())
+            rows = [(s, k, at, n, blocks[k]) for s, k, at, n in shard_draws(quota, shards, seed=seed)]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(columns)], ["shard", "k", "first", "slots", "blocks"])
+
+    return draw
 
 
 def permuted(index: Column, n: Column, source: Column, pass_no: Column) -> Column:
@@ -128,7 +154,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> t
     dim = spark.createDataFrame([(s, k, sizes[s], float(target[s])) for k, s in enumerate(order)], "name string, k int, source_size long, target double")
     numbered = sized.join(F.broadcast(dim), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     placed = materialize(_positions(numbered))
-    draws = spark.createDataFrame([(s, k, a, n, blocks[k]) for s, k, a, n in shard_draws(quota, seed=seed)], "shard long, k int, first long, slots long, blocks long")
+    n_shards = -(-sum(quota) // SHARD)
+    draws = spark.range(n_shards).mapInArrow(_drawer(quota, blocks, seed), "shard long, k int, first long, slots long, blocks long")
     slot = draws.select("shard", "k", "blocks", F.explode(F.expr("sequence(first, first + slots - 1)")).alias("slot"))
     slot = slot.select("shard", "slot", "k", permuted(F.pmod("slot", "blocks"), F.col("blocks"), F.col("k"), F.floor(F.col("slot") / F.col("blocks"))).alias("block"))
     held = placed.where("size > 0").select("k", "at", "size", F.explode(F.expr(f"sequence(at div {BLOCK}, (at + size - 1) div {BLOCK})")).alias("block"))
@@ -155,10 +182,11 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Data
     placed, spans = mix(docs, weights)
     taken = spans.groupBy("k", "at").agg(F.array_sort(F.collect_list(F.struct("slot", "start", "length"))).alias("spans"))
     copy = lambda by: F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy(by))
-    taken = placed.where("size > 0").join(taken, ["k", "at"]).withColumn("copy", copy("at")).select(F.col("doc_id").alias("own_id"), F.col("mark").alias("own_mark"), F.col("copy").alias("own_copy"), F.col("spans").alias("own_spans"))
+    taken = placed.where("size > 0").join(taken, ["k", "at"]).withColumn("copy", copy("at"))
+    taken = taken.select(*(F.col(c).alias(f"own_{c}") for c in ("doc_id", "mark", "copy", "spans")))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long"), F.xxhash64("text", F.col("source").cast("string")).alias("mark"))
     rows = rows.withColumn("copy", copy(F.lit(0)))
-    out = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark")) & (F.col("copy") == F.col("own_copy")))
+    out = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("own_doc_id")) & (F.col("mark") == F.col("own_mark")) & (F.col("copy") == F.col("own_copy")))
     out = out.select("row", _cut(F.col("row.text"), F.col("own_spans")).alias("own_text"))
     edited = {"text": F.col("own_text"), "n_chars": F.length("own_text").cast("long")}
     return out.select(*(edited.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

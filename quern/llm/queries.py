@@ -33,6 +33,27 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read().select("doc_id", "lang", "source", "n_chars", n_bytes, F.md5("text").alias("text_md5"))
 
 
+def op1_sharding_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the manifests of op1_sharding's table say, by step: rows that the version holds, whether its shards are
+    fewer than those that arrived, whether any tier still has shards to merge, rows that lie in more than one shard.
+
+    A table of fewer than ARRIVAL_ROWS * FANOUT rows may arrive in so few shards that nothing is to be merged.
+    """
+    table = ShardTable(spark, scratch_dir(spark))
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    arrived = table.append(docs)
+    steps = [("arrived", arrived), ("compacted", table.compact())]
+    before, out = len(table.manifest(arrived)["shards"]), None
+    for step, version in steps:
+        m = table.manifest(version)
+        rows = table.read(version).select("doc_id", F.col("_metadata.file_path").alias("file"))
+        one = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("files"))
+        one = one.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.when(F.col("files") > 1, 1)).alias("rows_in_two"))
+        one = one.select(F.lit(step).alias("step"), "rows", F.lit(len(m["shards"]) < before).alias("fewer_shards"), F.lit(bool(table.plan(m))).alias("to_merge"), "rows_in_two")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -94,6 +115,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op1_sharding_manifest": op1_sharding_manifest,
         "op2_language_mixture": op2_language_mixture,
         "op6_toxicity_mil": op6_toxicity_mil,
         "op3_threshold_topk": op3_threshold_topk,
@@ -109,6 +131,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_sharding": "SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS text_md5 FROM documents",
+        "op1_sharding_manifest": """
+            SELECT s.step, (SELECT count(*) FROM documents) AS rows, s.step = 'compacted' AND d.n >= 1000 AS fewer_shards,
+                   s.step = 'arrived' AND d.n >= 1000 AS to_merge, CAST(0 AS BIGINT) AS rows_in_two
+            FROM (VALUES ('arrived'), ('compacted')) s(step) CROSS JOIN (SELECT count(*) AS n FROM documents) d""",
         "op3_threshold_topk": """
             WITH v AS (
                 SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v

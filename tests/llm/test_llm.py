@@ -141,8 +141,9 @@ def test_shares_follow_the_rule():
     s = mixing.shares({"a": 100, "b": 1000, None: 10})
     assert s[None] == 20 and s["a"] == 200 and s["b"] == Fraction(3, 2) * 1110 - 220
     assert mixing.shares({"a": 0}) == {"a": 0}
-    d = mixing.shard_draws([5, 0, 7], shard=4)
-    assert Counter({k: 0 for k in range(3)}) + Counter() == Counter() and sum(n for _, k, _, n in d if k == 0) == 5 and sum(n for _, k, _, n in d if k == 2) == 7
+    d = list(mixing.shard_draws([5, 0, 7], range(3), shard=4))
+    assert sorted(r for s in (2, 0, 1) for r in mixing.shard_draws([5, 0, 7], [s], shard=4)) == d
+    assert sum(n for _, k, _, n in d if k == 0) == 5 and sum(n for _, k, _, n in d if k == 2) == 7
     assert all(sum(n for s2, _, _, n in d if s2 == t) == 4 for t in range(3))
 
 
@@ -246,6 +247,28 @@ def test_url_rules_are_mined(spark):
     assert want == [bad for _, bad in rows]
 
 
+def test_tokens_that_come_together_are_mined_as_one(spark):
+    rows = [("http://spam.test/" + "/".join(f"part{i}" for i in range(12)) + f"/{k}", True) for k in range(60)] + [(f"http://fine.test/{k}", False) for k in range(200)]
+    assert [r[0] for r in url_filter.mine(spark.createDataFrame(rows, "url string, bad boolean"))] == [("host=spam",)]
+    # nearly together: each URL lacks one of the parts
+    rows = [("http://spam.test/" + "/".join(f"part{i}" for i in range(14) if i != k % 14) + f"/{k}", True) for k in range(140)] + [(f"http://fine.test/{k}", False) for k in range(200)]
+    rules = [r[0] for r in url_filter.mine(spark.createDataFrame(rows, "url string, bad boolean"))]
+    assert ("host=spam",) in rules and all(len(r) == 1 for r in rules)
+
+
+def test_samples_survive_repeated_rows(spark):
+    ids = spark.range(2000).select(F.col("id").alias("doc_id")).crossJoin(spark.range(50).select(F.lit(1).alias("one"))).drop("one")
+    assert common.hash_sample(ids, 1000, 3).count() == 1000
+    by = ids.withColumn("kind", F.col("doc_id") % 2)
+    assert [r.n for r in common.hash_sample(by, 300, 3, "kind").groupBy("kind").agg(F.count("*").alias("n")).collect()] == [300, 300]
+
+
+def test_column_names_with_backticks_pass_through(spark):
+    d = spark.createDataFrame([(1, "one two", 5)], "doc_id long, text string, n int").withColumnRenamed("n", "a`b c")
+    for out in (quality.score(d, None), language_id.predict(d, None), toxicity.score(d, None)):
+        assert out.columns[:3] == d.columns and out.count() == 1
+
+
 def test_url_rules_need_a_count_not_a_share(spark):
     schema = "url string, bad boolean"
     few = [(f"http://h{k % 7}.test/{k}", k % 5 == 0) for k in range(98)]
@@ -292,7 +315,9 @@ def test_shards_merge_and_commit(spark, tmp_path, odd):
     assert key(t.read()) == key(t.read(4)) == Counter({k: 4 * n for k, n in key(odd).items()})
     with pytest.raises(RuntimeError):
         t._commit(before, before["shards"], before["schema"])
-    assert t.vacuum() > 0 and key(t.read()) == Counter({k: 4 * n for k, n in key(odd).items()}) and len(t.versions()) == 1
+    with pytest.raises(ValueError):
+        t.append(odd.withColumn("n_chars", F.col("n_chars").cast("string")))
+    assert t.vacuum() == 0 and t.vacuum(0) > 0 and key(t.read()) == Counter({k: 4 * n for k, n in key(odd).items()}) and len(t.versions()) == 1
     e = sharding.ShardTable(spark, f"file://{tmp_path}/e")
     e.append(odd.limit(0))
     assert e.read().count() == 0 and e.read().columns == odd.columns
