@@ -91,22 +91,28 @@ def sketches(docs: DataFrame, width: int, threshold: float) -> DataFrame:
 def components(edges: DataFrame, rows: int | None = None, rounds: int = 60) -> DataFrame:
     """(node, root) with root the smallest node reachable, by alternating large and small stars.
 
-    `edges` has columns a, b; `rows` estimates them. Every step keeps minima and joins them back, so a node with very many
-    neighbours is pre-aggregated and never gathered; it ends when every node points to a root. Nodes without
-    an edge are not returned.
+    `edges` has columns a, b; `rows` estimates them. Every step keeps minima and joins them back, so a node with very
+    many neighbours is pre-aggregated and never gathered; it ends when every node points to a root, and raises where
+    that takes more than `rounds` (they grow with the logarithm of the longest path). Nulls and self links are left
+    out, repeated links count once, no edges give no rows. Nodes without an edge are not returned.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), rows)
-    for _ in range(rounds):
-        ends = now.select("a", F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(now.select(F.col("b").alias("a"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    for round_no in range(rounds + 1):
+        ends = now.select("a", F.lit(1).alias("out"), F.lit(0).alias("into"))
+        ends = ends.unionByName(now.select(F.col("b").alias("a"), F.lit(0).alias("out"), F.lit(1).alias("into")))
         ends = ends.groupBy("a").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
-        n, open_nodes = ends.agg(F.sum("out"), F.count(F.when((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0)), 1))).first()
+        is_open = (F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0))
+        n, open_nodes = ends.agg(F.sum("out"), F.count(F.when(is_open, 1))).first()
         if not open_nodes:
             break
+        if round_no == rounds:
+            raise RuntimeError(f"components are not complete after {rounds} rounds")
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        both_ends = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        small = large.join(low, "a").select(F.explode(both_ends).alias("e")).select("e.*").where("a <> b").distinct()
         now = materialize(small, n)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
@@ -118,10 +124,13 @@ def _pointers(reps: DataFrame, bands: int, n: int) -> DataFrame:
     rows = side(1, 0).unionByName(side(bands + 1, 1))
     shared = rows.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("band")
     live = rows.join(shared, "band", "left_semi")
-    halves = live.groupBy("rep").agg(F.collect_set(F.when(F.col("side") == 0, F.col("band"))).alias("first"), F.collect_set(F.when(F.col("side") == 1, F.col("band"))).alias("second"))
+    of = lambda side: F.collect_set(F.when(F.col("side") == side, F.col("band")))
+    halves = live.groupBy("rep").agg(of(0).alias("first"), of(1).alias("second"))
     halves = materialize(halves.where((F.size("first") > 0) & (F.size("second") > 0)), n)
-    keys = halves.select("rep", "second", F.explode("first").alias("x")).select("rep", "x", F.explode("second").alias("y")).select("rep", F.xxhash64("x", "y").alias("key"))
-    heads = keys.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("key", "head")
+    pairs = halves.select("rep", "second", F.explode("first").alias("x")).select("rep", "x", F.explode("second").alias("y"))
+    keys = pairs.select("rep", F.xxhash64("x", "y").alias("key"))
+    heads = keys.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last"))
+    heads = heads.where("head < last").select("key", "head")
     return keys.join(heads, "key").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
 
 
@@ -234,21 +243,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     base = materialize(sketches(docs, width, threshold))
     usable = base.where("n_shingles > 0 and doc_id is not null")
     prints = ["print_a", "print_b", "n_shingles"]
-    reps = usable.groupBy(*prints).agg(F.min(F.struct("doc_id", "bands")).alias("one")).select(*prints, F.col("one.doc_id").alias("rep"), F.col("one.bands").alias("bands"))
+    reps = usable.groupBy(*prints).agg(F.min(F.struct("doc_id", "bands")).alias("one"))
+    reps = reps.select(*prints, F.col("one.doc_id").alias("rep"), F.col("one.bands").alias("bands"))
     reps = materialize(reps, base.count())
     n = reps.count()
     clusters = components(_pointers(reps, collections(threshold), n), n)
-    members = reps.select("rep", *prints).join(clusters.withColumnRenamed("node", "rep").withColumnRenamed("root", "cluster"), "rep")
+    clusters = clusters.select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
+    members = reps.select("rep", *prints).join(clusters, "rep")
     units = materialize(_units(members, threshold, n), n)
     # always by shuffle: the members grow with the corpus, and a plan that flips to broadcast hides it
-    texts = units.hint("merge").join(docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")), "rep")
-    sets = texts.select("rep", "units", "print_a", "text").transform(map_texts, _set_maker(width), "rep long, units array<struct<unit:long,side:int>>, print_a long, found long, shingle_set binary")
+    whole = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string"))
+    texts = units.hint("merge").join(whole, "rep").select("rep", "units", "print_a", "text")
+    kind = "rep long, units array<struct<unit:long,side:int>>, print_a long, found long, shingle_set binary"
+    sets = texts.transform(map_texts, _set_maker(width), kind)
     sets = sets.where("print_a = found")  # another text under the same id is another class
-    dealt = sets.select("rep", "shingle_set", F.explode("units").alias("u")).select("u.unit", "rep", "u.side", "shingle_set")
+    dealt = sets.select("rep", "shingle_set", F.explode("units").alias("u"))
+    dealt = dealt.select("u.unit", "rep", "u.side", "shingle_set")
     links = dealt.repartition("unit").sortWithinPartitions("unit").transform(map_texts, _verifier(percent), "a long, b long")
     roots = components(links)
     classes = reps.select(*prints, "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*prints, F.coalesce("root", "rep").alias("class_root"))
-    out = base.join(classes, prints, "left")
+    # blank rows belong to no class: they would all meet in one key of the join
+    wordless = base.where("n_shingles = 0")
+    out = base.where("n_shingles > 0").join(classes, prints, "left").unionByName(wordless, allowMissingColumns=True)
     component = F.when(F.col("n_shingles") > 0, F.coalesce("class_root", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -55,6 +55,7 @@ def op1_sharding_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, held out or not, with its predicted language; rows with a null id are not held out."""
     docs = load(spark, sf_dir, "documents")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = language_id.fit(docs.where(~held))
@@ -63,6 +64,7 @@ def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its score and its offending sentences; without labels of both kinds every score is 0.5."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     labels = load(spark, sf_dir, "labels").where(~held).select("doc_id", F.col("toxic").alias("label"))
@@ -72,17 +74,20 @@ def op6_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 20 of every query vector. Vectors that are null or hold a null or non-finite component take no part."""
     vectors = quantized(load(spark, sf_dir, "embeddings"))
     return top_k(vectors, F.col("vec_id") % 20 == 0, 20)
 
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page. Labels are the quality labels of `labels` for the number of the page (see the README)."""
     pages = load(spark, sf_dir, "pages")
     labels = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
     return url_filter.judge(pages, pages.select("page_id", "url").join(labels, "page_id")).drop("confidence")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that the mix takes of it; a null or empty text has none."""
     placed, spans = mix(load(spark, sf_dir, "documents"))
     taken = spans.groupBy("k", "at").agg(F.sum("length").alias("taken"))
     sized = placed.where("size > 0").join(taken, ["k", "at"], "left")
@@ -91,6 +96,7 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its score; a null or empty text is scored too, without positives every score is 0.5."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     labels = load(spark, sf_dir, "labels")
@@ -100,15 +106,18 @@ def op5_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its measures and verdict; a null or empty text fails."""
     return judge(load(spark, sf_dir, "documents"))
 
 
 def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document; a null or empty text is its end id alone."""
     pieces = pack(load(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its set size and component; a null or blank text is its own component."""
     return near_duplicates(load(spark, sf_dir, "documents"), width=3, percent=85)
 
 
