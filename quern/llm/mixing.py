@@ -161,7 +161,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> t
     held = placed.where("size > 0").select("k", "at", "size", F.explode(F.expr(f"sequence(at div {BLOCK}, (at + size - 1) div {BLOCK})")).alias("block"))
     lo, hi = F.greatest("at", F.col("block") * BLOCK), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * BLOCK)
     held = held.select("k", "block", "at", (lo - F.col("at")).alias("start"), (hi - lo).alias("length"))
-    return placed, slot.join(held, ["k", "block"]).select("shard", "slot", "k", "at", "start", "length")
+    # always by shuffle: slots grow with the corpus, and their size is not known from the range they come from
+    return placed, slot.hint("merge").join(held, ["k", "block"]).select("shard", "slot", "k", "at", "start", "length")
 
 
 @F.pandas_udf(StringType())
