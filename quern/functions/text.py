@@ -89,9 +89,18 @@ def required_literals(pattern: str, least: int = 3) -> list[str]:
     return out
 
 
+#: What both dialects read alike: plain ASCII characters but for the signs below, escaped ASCII signs, the escapes of
+#: control characters, classes of ASCII letters, digits and plain signs, counts and groups. Not in it: classes such as
+#: \\w, \\d, \\s and \\b (Unicode in one dialect), `.` and `$` (line ends differ), classes within classes.
+_ALIKE = re.compile(
+    r"(?:[A-Za-z0-9 _@#%&=:;,<>/~!'\"`-]|\\[.^$*+?{}\[\]()|\\/-]|\\[tnr]|\[\^?(?:[A-Za-z0-9]-[A-Za-z0-9]|[A-Za-z0-9 _.,:;@#%=<>/!'\"+*?()]|\\[\]\[^\\-])+\]"
+    r"|\((?:\?[:=!])?(?!\?)|\)|[|*+?]|\{\d+(?:,\d*)?\}|\^)*"
+)
+
+
 def java_regex(pattern: str) -> str | None:
-    """The pattern for `rlike` where both dialects agree on it; None where it needs a Python function."""
-    return None if re.search(r"\(\?P|\\Z|\(\?\(|\\N\{", pattern) else pattern
+    """The pattern for `rlike` where both dialects surely read it alike; None where it needs a Python function."""
+    return pattern if _ALIKE.fullmatch(pattern) else None
 
 
 def model_key(model: Column) -> Column:

@@ -75,9 +75,16 @@ def regex_scan(rows: DataFrame, text: str, pattern: str) -> DataFrame:
     return rows.where(matches(F.col(text)))
 
 
+def holding_all(rows: DataFrame, key: str, text: str, literals: list[str]) -> DataFrame:
+    """Keys (sessions) whose rows hold every literal, be it in different rows: one flag a literal, kept by maximum."""
+    flags = [F.max(contains(F.col(text), x)).alias(f"_l{k}") for k, x in enumerate(literals)]
+    every = reduce(lambda a, b: a & b, [F.col(f"_l{k}") for k in range(len(literals))], F.lit(True))
+    return (rows.groupBy(key).agg(*flags) if flags else rows.select(key).distinct()).where(every).select(key)
+
+
 def candidates(indexed: DataFrame, wanted: DataFrame, key: str, text: str, literals: list[str]) -> DataFrame:
-    """Keys to scan: indexed ones that hold every literal, and all that are not indexed."""
-    holding = indexed.where(all_terms(F.col(text), literals)).select(key)
+    """Keys to scan: indexed ones whose rows together hold every literal, and all that are not indexed."""
+    holding = holding_all(indexed, key, text, literals)
     return wanted.join(holding, key, "left_semi").select(key).union(wanted.join(indexed, key, "left_anti").select(key))
 
 

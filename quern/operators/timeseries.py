@@ -25,7 +25,8 @@ def heatmap(rows: DataFrame, at: str, now: str, weeks: int = 52) -> DataFrame:
     today = F.to_date(F.lit(now))
     monday = F.date_sub(today, F.expr(f"weekday(date'{now[:10]}')"))
     days = rows.sparkSession.range(weeks * 7).select(F.date_add(F.date_sub(monday, 7 * (weeks - 1)), F.col("id").cast("int")).alias("day"), F.floor(F.col("id") / 7).cast("int").alias("week"), (F.col("id") % 7).cast("int").alias("weekday"))
-    counts = rows.groupBy(F.to_date(at).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    span = F.to_date(at).between(F.date_sub(monday, 7 * (weeks - 1)), F.date_add(monday, 6))
+    counts = rows.where(span).groupBy(F.to_date(at).alias("day")).agg(F.count(F.lit(1)).alias("n"))
     out = days.join(F.broadcast(counts), "day", "left")
     return out.select("week", "weekday", "day", F.when(F.col("day") > today, -1).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n"))
 

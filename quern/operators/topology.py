@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +10,11 @@ from pyspark.sql import functions as F
 
 def _durable(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.abspath('/tmp/checkpoints/quern')}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        root = "file:///tmp/checkpoints/quern"
     path = f"{root.rstrip('/')}/tree-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -22,10 +25,12 @@ def closure(nodes: DataFrame, node: str = "id", parent: str = "parent_id", round
     to 2^r apart is there, so deep chains take few joins. A node of a cycle ends at itself."""
     step = nodes.select(F.col(parent).alias("ancestor"), F.col(node).alias("node"), F.lit(1).cast("long").alias("depth")).where("ancestor is not null and ancestor <> node")
     pairs, count = _durable(step), -1
-    for _ in range(rounds):
+    for round_no in range(rounds + 1):
         n = pairs.count()
         if n == count:
             break
+        if round_no == rounds:
+            raise RuntimeError(f"the closure is not complete after {rounds} rounds")
         count = n
         left, right = pairs.alias("l"), pairs.alias("r")
         longer = left.join(right, F.col("l.node") == F.col("r.ancestor")).select(F.col("l.ancestor"), F.col("r.node"), (F.col("l.depth") + F.col("r.depth")).alias("depth")).where("ancestor <> node")
@@ -58,11 +63,29 @@ def roots(nodes: DataFrame, node: str = "id", parent: str = "parent_id") -> Data
 
 
 def active_branch(records: DataFrame, session: str, node: str, parent: str, order: str) -> DataFrame:
-    """The path from the last record of each session up to its root, in order from the root."""
-    leaf = records.groupBy(session).agg(F.max_by(node, order).alias("node"))
-    c = closure(records, node, parent)
-    path = c.join(leaf, "node").select(session, F.col("ancestor").alias(node), "depth")
-    return path.withColumn("step", F.row_number().over(Window.partitionBy(session).orderBy(F.desc("depth"))).cast("long")).drop("depth")
+    """The path from the last record of each session up to its root, in order from the root; sessions may use the same
+    ids. Where records share an id the last is followed; a path ends at a root, at an unknown parent or where it would
+    meet a node again.
+
+    Pointers are doubled (the parent, the 2nd, 4th, ... ancestor of every record), then the path is marked from the
+    leaf by the widest pointer first: records times the logarithm of the longest session, never all pairs.
+    """
+    last = F.max_by(F.struct(F.col(node).alias("node"), F.col(parent).alias("up")), order).alias("r")
+    nodes = records.where(F.col(node).isNotNull()).groupBy(session, F.col(node).alias("_id")).agg(last, F.max(order).alias("_at"))
+    nodes = _durable(nodes.select(F.col(session).alias("s"), "r.node", "r.up", "_at"))
+    known = nodes.select("s", F.col("node").alias("up"))
+    pointers = [_durable(nodes.select("s", "node", "up").join(known, ["s", "up"]).select("s", "node", "up"))]
+    longest = nodes.groupBy("s").count().agg(F.max("count")).first()[0] or 0
+    while 2 ** len(pointers) < longest:
+        p = pointers[-1]
+        further = p.alias("a").join(p.alias("b"), (F.col("a.s") == F.col("b.s")) & (F.col("a.up") == F.col("b.node")))
+        pointers.append(_durable(further.select("a.s", "a.node", "b.up")))
+    path = nodes.groupBy("s").agg(F.max_by("node", "_at").alias("node")).withColumn("depth", F.lit(0).cast("long"))
+    for k in range(len(pointers) - 1, -1, -1):
+        up = path.join(pointers[k], ["s", "node"]).select("s", F.col("up").alias("node"), (F.col("depth") + 2**k).alias("depth"))
+        path = _durable(path.unionByName(up).groupBy("s", "node").agg(F.min("depth").alias("depth")))
+    step = F.row_number().over(Window.partitionBy("s").orderBy(F.desc("depth"))).cast("long")
+    return path.select(F.col("s").alias(session), F.col("node").alias(node), step.alias("step"))
 
 
 def relinked(nodes: DataFrame, removed: DataFrame, node: str = "id", parent: str = "parent_id") -> DataFrame:

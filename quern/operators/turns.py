@@ -23,15 +23,17 @@ def round_numbers(messages: DataFrame, session: str, order: str) -> DataFrame:
 
 def turn_spans(messages: DataFrame, session: str, order: str) -> DataFrame:
     """[start, end) of each turn by message position (from 0)."""
-    at = messages.select(session, F.col(order).cast("long").alias("start"), F.col("role"), F.count(F.lit(1)).over(Window.partitionBy(session)).alias("n"))
+    w = Window.partitionBy(session)
+    at = messages.select(session, (F.row_number().over(w.orderBy(order)) - 1).cast("long").alias("start"), "role", F.count(F.lit(1)).over(w).alias("n"))
     users = at.where("role = 'user'")
     return users.select(session, "start", F.coalesce(F.lead("start").over(Window.partitionBy(session).orderBy("start")), "n").cast("long").alias("end"))
 
 
 def page_ends(messages: DataFrame, session: str, order: str, limit: int) -> DataFrame:
     """Where a first page of `limit` messages ends so that it never splits a turn."""
-    stop = F.min(F.when((F.col("role") == "user") & (F.col(order) >= limit), F.col(order)))
-    return messages.groupBy(session).agg(F.coalesce(stop, F.count(F.lit(1))).cast("long").alias("page_end"))
+    at = F.row_number().over(Window.partitionBy(session).orderBy(order)) - 1
+    stop = F.min(F.when((F.col("role") == "user") & (F.col("_at") >= limit), F.col("_at")))
+    return messages.withColumn("_at", at).groupBy(session).agg(F.coalesce(stop, F.count(F.lit(1))).cast("long").alias("page_end"))
 
 
 def merge_chunks(rows: DataFrame, session: str, order: str, kind: str, text: str) -> DataFrame:
@@ -77,13 +79,12 @@ def pending_owner(rows: DataFrame, session: str, order: str) -> DataFrame:
 def page(messages: DataFrame, session: str, order: str, text: str, start: int, limit: int, budget: int) -> DataFrame:
     """One page of each session from message `start` (from 0): at most `limit` messages and `budget` bytes of text, at
     least one message, with the cursor of the next page (null at the end)."""
-    rest = messages.where(F.col(order) >= start)
-    n = F.row_number().over(Window.partitionBy(session).orderBy(order))
-    fits = byte_budget(rest.withColumn("_at", n).where(F.col("_at") <= limit), session, order, text, budget)
-    last = fits.groupBy(session).agg(F.max(order).alias("_last"))
-    total = messages.groupBy(session).agg(F.max(order).alias("_end"))
-    cursor = F.when(F.col("_last") < F.col("_end"), F.col("_last") + 1)
-    return fits.join(last, session).join(total, session).withColumn("next_message", cursor).drop("_at", "_last", "_end")
+    w = Window.partitionBy(session)
+    at = messages.withColumn("_at", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    rest = at.where((F.col("_at") >= start) & (F.col("_at") < start + limit)).withColumnRenamed("_n", "_total")
+    fits = byte_budget(rest, session, "_at", text, budget).withColumn("_last", F.max("_at").over(w))
+    cursor = F.when(F.col("_last") + 1 < F.col("_total"), (F.col("_last") + 1).cast("long"))
+    return fits.withColumn("next_message", cursor).drop("_at", "_last", "_total")
 
 
 def keep_rounds(messages: DataFrame, session: str, order: str, rounds: int) -> DataFrame:

@@ -24,7 +24,7 @@ NOW = "2024-01-30 00:00:00"
 PRICES = [("acme/alpha-2", 3.0, 15.0, 0.3, 3.75), ("beta", 1.0, 5.0, 0.1, 1.25), ("gamma-mini", 0.25, 2.0, 0.025, 0.3), ("delta.pro", 10.0, 40.0, 1.0, 12.5)]
 MODELS = ("ALPHA-2", "beta", "beta-20240101", "gamma-mini", "x/delta.pro", "unlisted")
 
-_PRICES_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {a!r}::DOUBLE, {b!r}::DOUBLE, {c!r}::DOUBLE, {d!r}::DOUBLE, {k})" for k, (n, a, b, c, d) in enumerate(PRICES)) + ") t(name, price_input, price_output, price_cache_read, price_cache_write, ordinal)"
+_PRICES_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {a!r}::DECIMAL(10,6), {b!r}::DECIMAL(10,6), {c!r}::DECIMAL(10,6), {d!r}::DECIMAL(10,6), {k})" for k, (n, a, b, c, d) in enumerate(PRICES)) + ") t(name, price_input, price_output, price_cache_read, price_cache_write, ordinal)"
 _MODEL_SQL = "CASE user_id % 6 " + " ".join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(MODELS)) + " END"
 _USAGE_SQL = f"""
     prices AS ({_PRICES_SQL}),
@@ -43,7 +43,7 @@ _USAGE_SQL = f"""
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY rank, abs(length(m) - length(p)), ordinal) AS best FROM pairs WHERE rank IS NOT NULL) WHERE best = 1),
     priced AS (
         SELECT r.*, k.name AS priced_as,
-               coalesce((r.input * k.price_input + r.output * k.price_output + r.cache_read * k.price_cache_read + r.cache_write * k.price_cache_write) / 1e6, 0.0) AS cost
+               coalesce((r.input::INTEGER * k.price_input + r.output::INTEGER * k.price_output + r.cache_read::INTEGER * k.price_cache_read + r.cache_write::INTEGER * k.price_cache_write) * 0.000001::DECIMAL(7,6), 0) AS cost
         FROM rows0 r LEFT JOIN matched k ON r.model = k.model)"""
 _SUMS_SQL = "CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(cache_write) AS BIGINT) AS cache_write"
 
@@ -70,7 +70,11 @@ def usage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
     model = F.element_at(F.array(*map(F.lit, MODELS)), (F.col("user_id") % 6 + 1).cast("int"))
     rows = e.select(F.concat_ws("/", "user_id", F.to_date("ts")).alias("session"), F.col("event_type").alias("tool"), F.concat(F.lit("p"), F.col("user_id") % 12).alias("project"), model.alias("model"), "ts", "event_id", (F.col("event_id") % 1000).alias("input"), (F.col("event_id") % 97).alias("output"), (F.col("user_id") % 13).alias("cache_read"), (F.col("event_id") % 7).alias("cache_write"))
-    return U.priced(rows, prices(spark))
+    return rows
+
+
+def usage_priced(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    return U.cells(usage_rows(spark, sf_dir), prices(spark), list(keys))
 
 
 # turns -----------------------------------------------------------------------------------------
@@ -89,8 +93,8 @@ def round_numbering(spark, sf_dir):
 
 
 @query("""
-    WITH c AS (SELECT conv_id, turn, role, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
-    SELECT conv_id, CAST(turn AS BIGINT) AS start, CAST(coalesce(lead(turn) OVER (PARTITION BY conv_id ORDER BY turn), n) AS BIGINT) AS "end" FROM c WHERE role = 'user'""")
+    WITH c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+    SELECT conv_id, CAST(pos AS BIGINT) AS start, CAST(coalesce(lead(pos) OVER (PARTITION BY conv_id ORDER BY pos), n) AS BIGINT) AS "end" FROM c WHERE role = 'user'""")
 def turn_spans(spark, sf_dir):
     return M.turn_spans(load(spark, sf_dir, "conversations"), "conv_id", "turn")
 
@@ -266,50 +270,50 @@ def trigram_index_hits(spark, sf_dir):
 # usage -----------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_USAGE_SQL} SELECT {_SUMS_SQL}, count(DISTINCT session) AS sessions, round(sum(cost), 4) AS cost FROM priced")
+@query(f"WITH {_USAGE_SQL} SELECT {_SUMS_SQL}, count(DISTINCT session) AS sessions, CAST(round(sum(cost), 4) AS DOUBLE) AS cost FROM priced")
 def usage_total(spark, sf_dir):
-    return U.total(usage_rows(spark, sf_dir))
+    return U.total(usage_rows(spark, sf_dir), prices(spark))
 
 
 def _by(key: str) -> str:
-    return f"WITH {_USAGE_SQL} SELECT coalesce(nullif({key}, ''), 'unknown') AS {key}, {_SUMS_SQL}, round(sum(cost), 6) AS cost FROM priced GROUP BY 1"
+    return f"WITH {_USAGE_SQL} SELECT coalesce(nullif({key}, ''), 'unknown') AS {key}, {_SUMS_SQL}, CAST(round(sum(cost), 6) AS DOUBLE) AS cost FROM priced GROUP BY 1"
 
 
 @query(_by("tool"))
 def usage_by_agent(spark, sf_dir):
-    return U.by(usage_rows(spark, sf_dir), "tool")
+    return U.by(usage_priced(spark, sf_dir, "tool"), "tool")
 
 
 @query(_by("model"))
 def usage_by_model(spark, sf_dir):
-    return U.by(usage_rows(spark, sf_dir), "model")
+    return U.by(usage_priced(spark, sf_dir), "model")
 
 
 @query(_by("project"))
 def usage_by_project(spark, sf_dir):
-    return U.by(usage_rows(spark, sf_dir), "project")
+    return U.by(usage_priced(spark, sf_dir, "project"), "project")
 
 
-@query(f"WITH {_USAGE_SQL}, b AS (SELECT project, {_SUMS_SQL}, round(sum(cost), 6) AS cost FROM priced GROUP BY 1) SELECT *, input + output + cache_read + cache_write AS tokens FROM b ORDER BY cost DESC, tokens DESC, project LIMIT 15")
+@query(f"WITH {_USAGE_SQL}, b AS (SELECT project, {_SUMS_SQL}, CAST(round(sum(cost), 6) AS DOUBLE) AS cost FROM priced GROUP BY 1) SELECT *, input + output + cache_read + cache_write AS tokens FROM b ORDER BY cost DESC, tokens DESC, project LIMIT 15")
 def top_by_cost(spark, sf_dir):
-    return U.top_by_cost(usage_rows(spark, sf_dir), "project")
+    return U.top_by_cost(usage_priced(spark, sf_dir, "project"), "project")
 
 
 @query(f"WITH {_USAGE_SQL} SELECT DISTINCT model FROM priced WHERE priced_as IS NULL AND model IS NOT NULL ORDER BY model LIMIT 20")
 def unpriced_models(spark, sf_dir):
-    return U.unpriced_models(usage_rows(spark, sf_dir))
+    return U.unpriced_models(usage_priced(spark, sf_dir))
 
 
-@query(f"WITH {_USAGE_SQL} SELECT tool, model, project, {_SUMS_SQL}, round(sum(cost), 6) AS cost FROM priced GROUP BY GROUPING SETS ((), (tool), (model), (project))")
+@query(f"WITH {_USAGE_SQL} SELECT CASE WHEN grouping(tool) = 0 THEN 'tool' WHEN grouping(model) = 0 THEN 'model' WHEN grouping(project) = 0 THEN 'project' ELSE 'total' END AS grouped_by, CASE WHEN grouping(tool) = 0 THEN coalesce(nullif(tool, ''), 'unknown') WHEN grouping(model) = 0 THEN coalesce(nullif(model, ''), 'unknown') WHEN grouping(project) = 0 THEN coalesce(nullif(project, ''), 'unknown') END AS name, {_SUMS_SQL}, CAST(round(sum(cost), 6) AS DOUBLE) AS cost FROM priced GROUP BY GROUPING SETS ((), (tool), (model), (project))")
 def usage_grouping_sets(spark, sf_dir):
-    return U.grouping_sets(usage_rows(spark, sf_dir), ["tool", "model", "project"])
+    return U.grouping_sets(usage_priced(spark, sf_dir, "tool", "project"), ["tool", "model", "project"])
 
 
 @query("""
-    WITH t AS (SELECT user_id AS session, event_type AS model, CAST(sum(event_id % 1000) AS BIGINT) AS tokens, min(event_id) AS pos FROM events GROUP BY ALL)
+    WITH t AS (SELECT user_id AS session, event_type AS model, CAST(sum(event_id % 1000 + event_id % 97 + 2 * (user_id % 13)) AS BIGINT) AS tokens, min(event_id) AS pos FROM events GROUP BY ALL)
     SELECT session, model, tokens FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY tokens DESC, pos) AS n FROM t) WHERE n = 1""")
 def dominant_model(spark, sf_dir):
-    e = load(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_type").alias("model"), (F.col("event_id") % 1000).alias("input"), F.lit(0).alias("output"), F.col("event_id").alias("first_at"))
+    e = load(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_type").alias("model"), (F.col("event_id") % 1000).alias("input"), (F.col("event_id") % 97).alias("output"), (F.col("user_id") % 13).alias("cache_read"), (F.col("user_id") % 13).alias("cache_write"), F.col("event_id").alias("first_at"))
     return U.dominant_model(e, "session")
 
 
@@ -322,9 +326,9 @@ _T = "(input + output + cache_read + cache_write)"
 _CUR, _PREV = "ts >= TIMESTAMP '2024-01-23'", "ts >= TIMESTAMP '2024-01-16' AND ts < TIMESTAMP '2024-01-23'"
 
 
-@query(f"""WITH {_USAGE_SQL} SELECT {", ".join(f"count(CASE WHEN {w} THEN 1 END) AS {n}_rows, CAST(coalesce(sum(CASE WHEN {w} THEN {_T} END), 0) AS BIGINT) AS {n}_tokens, coalesce(round(sum(CASE WHEN {w} THEN cost END), 6), 0.0) AS {n}_cost" for n, w in (("current", _CUR), ("previous", _PREV)))} FROM priced""")
+@query(f"""WITH {_USAGE_SQL} SELECT {", ".join(f"count(CASE WHEN {w} THEN 1 END) AS {n}_rows, CAST(coalesce(sum(CASE WHEN {w} THEN {_T} END), 0) AS BIGINT) AS {n}_tokens, coalesce(CAST(round(sum(CASE WHEN {w} THEN cost END), 6) AS DOUBLE), 0.0) AS {n}_cost" for n, w in (("current", _CUR), ("previous", _PREV)))} FROM priced""")
 def kpi_period_delta(spark, sf_dir):
-    return U.period_delta(usage_rows(spark, sf_dir), "ts", NOW, 7)
+    return U.period_delta(usage_priced(spark, sf_dir, "session", "ts"), "ts", NOW, 7)
 
 
 @query(f"WITH {_USAGE_SQL}, s AS (SELECT {_SUMS_SQL} FROM priced), u AS (UNPIVOT s ON input, output, cache_read, cache_write INTO NAME part VALUE tokens) SELECT part, tokens, round(tokens / sum(tokens) OVER () * 100, 4) AS pct FROM u")
@@ -332,14 +336,14 @@ def token_composition(spark, sf_dir):
     return U.composition(usage_rows(spark, sf_dir))
 
 
-@query(f"WITH {_USAGE_SQL} SELECT CASE WHEN priced_as IS NOT NULL THEN lower(split_part(model, '/', -1)) ELSE model END AS model, round(sum(cost), 6) AS cost, CAST(sum(input + output) AS BIGINT) AS tokens FROM priced GROUP BY 1 ORDER BY cost DESC, model LIMIT 5")
+@query(f"WITH {_USAGE_SQL} SELECT lower(split_part(model, '/', -1)) AS model, CAST(round(sum(cost), 6) AS DOUBLE) AS cost, CAST(sum(input + output + cache_read + cache_write) AS BIGINT) AS tokens FROM priced WHERE priced_as IS NOT NULL GROUP BY 1 ORDER BY cost DESC, model LIMIT 5")
 def cost_table(spark, sf_dir):
-    return U.cost_table(usage_rows(spark, sf_dir))
+    return U.cost_table(usage_priced(spark, sf_dir))
 
 
-@query(f"WITH {_USAGE_SQL} SELECT count(DISTINCT model) AS models, CAST(coalesce(sum(input + output), 0) AS BIGINT) AS tokens FROM priced WHERE priced_as IS NULL AND model IS NOT NULL")
+@query(f"WITH {_USAGE_SQL} SELECT count(DISTINCT model) AS models, CAST(coalesce(sum(input + output + cache_read + cache_write), 0) AS BIGINT) AS tokens FROM priced WHERE priced_as IS NULL AND model IS NOT NULL")
 def unpriced_summary(spark, sf_dir):
-    return U.unpriced_summary(usage_rows(spark, sf_dir))
+    return U.unpriced_summary(usage_priced(spark, sf_dir))
 
 
 # time ------------------------------------------------------------------------------------------

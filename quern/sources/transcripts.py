@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import clip
+from ..operators.topology import active_branch
+
 USAGE = "struct<input_tokens:bigint,output_tokens:bigint,cache_read_input_tokens:bigint,cache_creation_input_tokens:bigint>"
-CLAUDE = f"type string, uuid string, parentUuid string, cwd string, sessionId string, timestamp string, isSidechain boolean, message struct<role:string,model:string,content:string,usage:{USAGE}>"
+CLAUDE = f"type string, uuid string, parentUuid string, cwd string, sessionId string, timestamp string, isSidechain boolean, title string, message struct<role:string,model:string,content:string,usage:{USAGE}>"
 CODEX = "type string, timestamp string, payload string"
 PI = "type string, id string, parentId string, timestamp string, cwd string, version int, name string, message struct<role:string,model:string,content:string,usage:struct<input:bigint,output:bigint,cacheRead:bigint,cacheWrite:bigint>>"
 
@@ -28,23 +34,50 @@ def records(rows: DataFrame, schema: str) -> DataFrame:
 
 
 def _title(text) -> F.Column:
-    return F.when(~F.startswith(F.ltrim(text), F.lit("<")) & ~F.startswith(F.ltrim(text), F.lit("[")), F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, 80))
-
-
-def claude_rows(rows: DataFrame) -> DataFrame:
-    """One session row per file: user and assistant records, first directory, first timestamp, tokens by part and
-    the model of most tokens (synthetic ones do not count)."""
-    r = records(rows, CLAUDE).where("r is not null").select("file", "size", "modified_ms", "line_no", "r.*")
-    used = F.when(F.coalesce(F.col("message.model"), F.lit("")) != "<synthetic>", F.col("message.usage"))
-    r = r.withColumn("u", used).withColumn("spent", F.coalesce(F.col("u.input_tokens"), F.lit(0)) + F.coalesce(F.col("u.output_tokens"), F.lit(0)))
-    by_model = r.where("u is not null").groupBy("file", F.col("message.model").alias("model")).agg(F.sum("spent").alias("t"), F.min("line_no").alias("at"))
-    model = by_model.groupBy("file").agg(F.max_by("model", F.struct("t", (-F.col("at")).alias("early"))).alias("model"))
-    text = F.when(F.col("message.role") == "user", F.when(F.get_json_object("message.content", "$[0].text").isNotNull(), F.get_json_object("message.content", "$[0].text")).otherwise(F.col("message.content")))
-    out = r.withColumn("title_text", _title(text)).groupBy("file").agg(
-        F.lit("claude").alias("tool"), F.max("size").alias("size"), F.max("modified_ms").alias("updated_ms"), F.count(F.when(F.col("type").isin("user", "assistant"), 1)).alias("count"), F.min_by("cwd", F.when(F.col("cwd").isNotNull(), F.col("line_no"))).alias("dir"),
-        F.min(F.unix_millis(F.try_to_timestamp("timestamp"))).alias("created_ms"), F.min_by("title_text", F.when(F.col("title_text").isNotNull(), F.col("line_no"))).alias("title"), F.first("sessionId", True).alias("id"),
-        *(F.coalesce(F.sum(f"u.{c}"), F.lit(0)).alias(n) for n, c in (("input", "input_tokens"), ("output", "output_tokens"), ("cache_read", "cache_read_input_tokens"), ("cache_write", "cache_creation_input_tokens"))),
-    )
+    return F.when(~F.startswith(F.ltrim(text), F.lit("<")) & ~F.startswith(F.ltrim(text), F.lit("[")), clip(text))
+
+
+def _filled(c) -> F.Column:
+    return F.nullif(F.col(c), F.lit(""))
+
+
+def claude_rows(rows: DataFrame, base: str = "") -> DataFrame:
+    """One session row per file. Only user and assistant records count, give the first directory and the earliest
+    time; tokens and the model of most tokens come from assistant records whose model is not synthetic. The title is
+    the last one that was generated, else the first text of a user. The id is the file's name; below `base`, a file
+    more than two levels deep is a child of the folder on the second level. A file with a line that is no JSON, or
+    without messages, gives no row."""
+    r = records(rows, CLAUDE)
+    broken = r.where("r is null").select("file").distinct()
+    r = r.join(broken, "file", "left_anti").select("file", "size", "modified_ms", "line_no", "r.*")
+    said = F.col("type").isin("user", "assistant")
+    counted = (F.col("type") == "assistant") & (F.coalesce(F.col("message.model"), F.lit("")) != "") & (F.col("message.model") != "<synthetic>")
+    parts = (("input", "input_tokens"), ("output", "output_tokens"), ("cache_read", "cache_read_input_tokens"), ("cache_write", "cache_creation_input_tokens"))
+    r = r.select("*", F.when(counted, F.col("message.model")).alias("used"), *(F.when(counted, F.coalesce(F.col(f"message.usage.{c}"), F.lit(0))).alias(n) for n, c in parts))
+    spent = sum((F.col(n) for n, _ in parts[1:]), F.col("input"))
+    by_model = r.where("used is not null").groupBy("file", "used").agg(F.sum(spent).alias("t"), F.min("line_no").alias("at"))
+    model = by_model.groupBy("file").agg(F.max_by("used", F.struct("t", (-F.col("at")).alias("early"))).alias("model"))
+    content = F.when((F.col("type") == "user") & ~F.startswith(F.ltrim("message.content"), F.lit("[")), F.col("message.content"))
+    text = F.when((F.trim(content) != "") & ~F.startswith(F.trim(content), F.lit("<")), clip(content))
+    generated = F.when((F.col("type") == "ai-title"), _filled("title"))
+    r = r.select("*", text.alias("asked"), generated.alias("generated"), F.when(said, _filled("cwd")).alias("place"))
+    at = lambda c: F.when(F.col(c).isNotNull(), F.col("line_no"))
+    out = r.groupBy("file").agg(
+        F.lit("claude").alias("tool"),
+        F.max("size").alias("size"),
+        F.max("modified_ms").alias("updated_ms"),
+        F.count(F.when(said, 1)).alias("count"),
+        F.coalesce(F.min_by("place", at("place")), F.lit("")).alias("dir"),
+        F.min(F.when(said, F.unix_millis(F.try_to_timestamp("timestamp")))).alias("created_ms"),
+        F.coalesce(F.max_by("generated", at("generated")), F.min_by("asked", at("asked")), F.lit("")).alias("title"),
+        *(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n, _ in parts),
+    )
+    root = re.sub("^file:/*", "/", base.rstrip("/"))
+    below = F.replace(F.regexp_replace("file", "^file:/*", "/"), F.lit(root), F.lit(""))
+    below = F.split(F.regexp_replace(below, "^/+", ""), "/")
+    stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]*$", "")
+    child = F.when((F.size(below) > 2) & F.lit(bool(base)), F.get(below, F.lit(1)))
+    out = out.where("count > 0").withColumn("id", stem).withColumn("parent_id", child).withColumn("root_id", F.coalesce(child, stem))
     return out.join(model, "file", "left")
 
 
@@ -63,15 +96,36 @@ def codex_rows(rows: DataFrame) -> DataFrame:
 
 
 def pi_rows(rows: DataFrame) -> DataFrame:
-    """One session row per file of version 3. A torn last line is tolerated, any other bad line rejects its file."""
+    """One session row per file of version 3. A torn last line is tolerated, any other bad line rejects its file.
+    Only the active branch counts, from the last record that has an id and a parent field up to its root: messages of
+    users, assistants and shell runs, tokens and the last model of assistants; the title is the last session name,
+    else the first text of a user. A file without messages gives no row."""
     r = records(rows, PI)
     bad = r.where("r is null and not torn").select("file").distinct()
-    r = r.where("r is not null").join(bad, "file", "left_anti").select("file", "size", "modified_ms", "line_no", "r.*")
-    head = r.where("line_no = 0 and type = 'session' and version = 3").select("file", F.col("id").alias("session"), F.col("cwd").alias("dir"))
-    r = r.join(head, "file")
+    linked = F.array_contains(F.json_object_keys("raw"), "parentId")
+    r = r.where("r is not null").join(bad, "file", "left_anti").select("file", "size", "modified_ms", "line_no", linked.alias("linked"), "r.*")
+    named = reduce(lambda a, b: a & b, [_filled(c).isNotNull() for c in ("id", "timestamp", "cwd")])
+    first = F.min("line_no").over(Window.partitionBy("file"))
+    head = r.withColumn("first", first).where("line_no = first and type = 'session' and version = 3").where(named)
+    head = head.select("file", F.col("id").alias("session"), F.col("cwd").alias("dir"), "size", F.col("modified_ms").alias("updated_ms"), F.unix_millis(F.try_to_timestamp("timestamp")).alias("created_ms"))
+    r = r.where("linked and id is not null").join(head.select("file"), "file", "left_semi")
+    branch = active_branch(r, "file", "id", "parentId", "line_no")
+    r = r.groupBy("file", "id").agg(F.max_by(F.struct("type", "name", "message"), "line_no").alias("r"))
+    r = r.join(branch, ["file", "id"]).select("file", "step", "r.*")
     text = F.coalesce(F.get_json_object("message.content", "$[0].text"), F.col("message.content"))
-    title = F.coalesce(F.max_by("name", F.when(F.col("type") == "session_info", F.col("line_no"))), F.min_by(text, F.when(F.col("message.role") == "user", F.col("line_no"))))
-    return r.groupBy("file", "session", "dir").agg(F.lit("pi").alias("tool"), F.max("size").alias("size"), F.max("modified_ms").alias("updated_ms"), F.count(F.when(F.col("type") == "message", 1)).alias("count"), F.substring(title, 1, 80).alias("title"), *(F.coalesce(F.sum(f"message.usage.{c}"), F.lit(0)).alias(n) for n, c in (("input", "input"), ("output", "output"), ("cache_read", "cacheRead"), ("cache_write", "cacheWrite")))).withColumnRenamed("session", "id")
+    asked = F.when((F.col("message.role") == "user") & (F.trim(text) != ""), clip(text))
+    message, said = F.col("type") == "message", F.col("message.role") == "assistant"
+    r = r.select("*", F.when(message, asked).alias("asked"), F.when(F.col("type") == "session_info", _filled("name")).alias("title"), F.when(message & said, _filled("message.model")).alias("model"))
+    at = lambda c: F.when(F.col(c).isNotNull(), F.col("step"))
+    parts = (("input", "input"), ("output", "output"), ("cache_read", "cacheRead"), ("cache_write", "cacheWrite"))
+    out = r.groupBy("file").agg(
+        F.lit("pi").alias("tool"),
+        F.count(F.when(message & F.col("message.role").isin("user", "assistant", "bashExecution"), 1)).alias("count"),
+        F.coalesce(F.max_by("title", at("title")), F.min_by("asked", at("asked")), F.lit("")).alias("title"),
+        F.coalesce(F.max_by("model", at("model")), F.lit("")).alias("model"),
+        *(F.coalesce(F.sum(F.when(message & said, F.col(f"message.usage.{c}"))), F.lit(0)).alias(n) for n, c in parts),
+    )
+    return out.where("count > 0").join(head, "file").withColumnRenamed("session", "id")
 
 
 def blocks(rows: DataFrame, schema: str = CLAUDE) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.state import StateTable, apply_delta, delta
+from ..operators.state import StateTable, apply_delta
 
 
 def stream_rows(spark: SparkSession, path: str, schema: str, per_trigger: int = 1000) -> DataFrame:
@@ -16,19 +16,23 @@ def stream_rows(spark: SparkSession, path: str, schema: str, per_trigger: int =
 
 def delta_sink(table: StateTable, keys: list[str], revision: str, emit: Callable[[int, DataFrame], None]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: the newest row per key is merged into the table, the version is the generation, and
-    only rows that changed are emitted. A batch that is run again changes nothing and emits nothing."""
+    only rows that changed are emitted; a row older than the table's changes nothing. A delta is emitted before its
+    version is written: after a crash between the two the batch runs again and emits it again (at least once, with the
+    same generation), it is never lost. `emit` must therefore take a generation twice."""
 
     def merge(batch: DataFrame, _: int) -> None:
         rows = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), revision).alias("r")).select("r.*")
         if not table.version():
-            emit(table.replace(rows), rows.select(*keys, F.lit("upsert").alias("op")))
+            emit(1, rows.select(*keys, F.lit("upsert").alias("op")))
+            table.replace(rows, 0)
             return
-        have = table.read()
-        after = apply_delta(have, rows, rows.limit(0), keys)
-        changed = delta(have, after, keys, revision)
+        version, have = table.version(), table.read()
+        known = have.select(*keys, F.col(revision).alias("_known"))
+        newer = rows.join(known, keys, "left").where(F.col("_known").isNull() | (F.col(revision) > F.col("_known"))).drop("_known")
+        changed = newer.select(*keys, F.lit("upsert").alias("op"))
         if not changed.isEmpty():
-            generation = table.replace(after)
-            emit(generation, changed)
+            emit(version + 1, changed)
+            table.replace(apply_delta(have, newer, newer.limit(0), keys), version)
 
     return merge
 

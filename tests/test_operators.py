@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,9 +82,9 @@ def test_regex_falls_back_to_python(spark):
 def test_regex_scan_keeps_every_match(spark):
     texts = ["Abcd", "41bcd", "u0041bcd", "]", "abc", "\x01bcd", "Abcd", "a b c", "x|bcd", "[abc]", "q.abc.", "tabbcd", "\tbcd", "zzabc", "éabc", "ab{2}c", "abbc", "Abc\nbcd", "def", ")def", "xdef"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    patterns = [r"\x41bcd", r"\u0041bcd", r"\cAbcd", r"[\]abc]+", r"[^]abc]+", r"[]abc]+", r"[x[abc]]+", r"[abc&&[^b]]+", r"(?x) abc # bcd", r"(?x:a b c)", r"(?i)ABC", r"(?s-i:a)bcd", r"\Qabc\E", r"\x{41}bcd", r"\0101bcd", r"(b)\1c", r"\p{Lu}bcd", r"\tbcd", r"\babc\b", r"[x|]\|bcd", r"[(]abc|def", r"[)]def", r"\.abc\.", r"ab{2}c", r"abbc?", r"(abc)?def", r"(?!zz)..abc"]
+    patterns = [r"\x41bcd", r"\u0041bcd", r"[\]abc]+", r"[^]abc]+", r"[]abc]+", r"[x[abc]+", r"(?x) abc # bcd", r"(?x:a b c)", r"(?i)ABC", r"(?s-i:a)bcd", r"(b)\1c", r"\tbcd", r"\babc\b", r"[x|]\|bcd", r"[(]abc|def", r"[)]def", r"\.abc\.", r"ab{2}c", r"abbc?", r"(abc)?def", r"(?!zz)..abc", r"\wabc", r"c$", r"c.bcd", r"[a&&b]"]
     for p in patterns:
-        assert rows(S.regex_scan(df, "t", p)) == rows(df.where(F.col("t").rlike(p))), p
+        assert rows(S.regex_scan(df, "t", p)) == sorted((t,) for t in texts if re.search(p, t)), p
     assert X.required_literals(r"\[abc\]+def\w{3}") == ["[abc]", "def"] and X.required_literals("ERTION!+") == ["ERTION!"]
     assert X.required_literals("abc{x") == [] == X.required_literals(r"[\]abc]+")
 
@@ -163,14 +164,18 @@ def test_readers(spark, tmp_path):
     from quern.sources import transcripts as A
 
     sep = " "
-    claude = [{"type": "user", "cwd": "/w", "sessionId": "s", "timestamp": "2024-01-01T00:00:00Z", "message": {"role": "user", "content": f"Do{sep}it"}}, {"type": "assistant", "message": {"role": "assistant", "model": "m1", "content": [{"type": "text", "text": "ok"}, {"type": "tool_use", "id": "t1", "name": "Read", "input": {"p": 1}}], "usage": {"input_tokens": 5, "output_tokens": 2}}}, {"type": "assistant", "message": {"role": "assistant", "model": "<synthetic>", "content": "x", "usage": {"input_tokens": 99}}}]
+    claude = [{"type": "summary", "timestamp": "2020-01-01T00:00:00Z", "cwd": "/x"}, {"type": "user", "cwd": "/w", "sessionId": "other", "timestamp": "2024-01-01T00:00:00Z", "message": {"role": "user", "content": f"Do{sep}it"}}, {"type": "assistant", "message": {"role": "assistant", "model": "m1", "content": [{"type": "text", "text": "ok"}, {"type": "tool_use", "id": "t1", "name": "Read", "input": {"p": 1}}], "usage": {"input_tokens": 5, "output_tokens": 2}}}, {"type": "assistant", "message": {"role": "assistant", "model": "<synthetic>", "content": "x", "usage": {"input_tokens": 99}}}]
     d = tmp_path / "c" / "p"
-    d.mkdir(parents=True)
-    (d / "s.jsonl").write_text("\n".join(json.dumps(x, ensure_ascii=False) for x in claude) + '\n{"torn')
+    (d / "s" / "subagents").mkdir(parents=True)
+    text = "\n".join(json.dumps(x, ensure_ascii=False) for x in claude)
+    (d / "s.jsonl").write_text(text)
+    (d / "s" / "subagents" / "k.jsonl").write_text(text + "\n" + json.dumps({"type": "ai-title", "title": "T"}))
+    (d / "torn.jsonl").write_text(text + '\n{"torn')
     lines = A.lines(spark, f"file://{tmp_path}/c")
-    r = A.claude_rows(lines).first()
-    assert (r["id"], r["count"], r["dir"], r["input"], r["output"], r["model"], r["created_ms"]) == ("s", 3, "/w", 5, 2, "m1", 1704067200000)
-    b = A.blocks(lines).orderBy("line_no", "block_idx").collect()
+    one, two = A.claude_rows(lines, f"file://{tmp_path}/c").orderBy("id").collect()
+    assert (two["id"], two["count"], two["dir"], two["input"], two["output"], two["model"], two["created_ms"], two["parent_id"]) == ("s", 3, "/w", 5, 2, "m1", 1704067200000, None)
+    assert (one["id"], one["title"], one["parent_id"], one["root_id"]) == ("k", "T", "s", "s")
+    b = A.blocks(lines.where("file like '%/s.jsonl'")).orderBy("line_no", "block_idx").collect()
     assert [x["type"] for x in b] == ["text", "text", "tool_use", "text"] and b[0]["text"] == f"Do{sep}it"
     usage = lambda i, c, o, q: {"type": "event_msg", "payload": {"type": "token_count", "info": {"total_token_usage": {"input_tokens": i, "cached_input_tokens": c, "output_tokens": o, "reasoning_output_tokens": q}}}}
     said = lambda t: {"type": "response_item", "payload": {"type": "message", "role": "user", "content": [{"type": "input_text", "text": t}]}}
@@ -179,10 +184,53 @@ def test_readers(spark, tmp_path):
     r = A.codex_rows(A.lines(spark, f"file://{tmp_path}/x")).first()
     assert (r["id"], r["dir"], r["title"], r["input"], r["output"], r["cache_read"]) == ("i", "/d", "Fix it", 15, 5, 5)
     (tmp_path / "y").mkdir()
-    pi = [{"type": "session", "version": 3, "id": "q", "cwd": "/e"}, {"type": "message", "id": "1", "message": {"role": "user", "content": "Hello"}}]
+    say = lambda i, up, role, text, **more: {"type": "message", "id": i, "parentId": up, "message": {"role": role, "content": text, **more}}
+    use = lambda n: {"input": n, "output": 1, "cacheRead": 0, "cacheWrite": 0}
+    head = {"type": "session", "version": 3, "id": "q", "cwd": "/e", "timestamp": "2024-01-01T00:00:00Z"}
+    pi = [head, say("1", None, "user", "Hello"), say("2", "1", "assistant", "a", model="m", usage=use(50)), say("3", "1", "assistant", "b", model="n", usage=use(7)), say("4", "3", "toolResult", "r", usage=use(9)), {"type": "message", "id": "9", "message": {"role": "user", "content": "no parent"}}]
     (tmp_path / "y" / "good.jsonl").write_text("\n".join(map(json.dumps, pi)) + '\n{"torn')
     (tmp_path / "y" / "bad.jsonl").write_text(json.dumps(pi[0]) + '\n{"torn\n' + json.dumps(pi[1]))
-    assert [(r["id"], r["count"], r["title"]) for r in A.pi_rows(A.lines(spark, f"file://{tmp_path}/y")).collect()] == [("q", 1, "Hello")]
+    (tmp_path / "y" / "also.jsonl").write_text("\n".join(map(json.dumps, [head | {"id": "z"}, say("1", None, "user", "Other"), say("3", "1", "user", "more")])))
+    got = [(r["id"], r["count"], r["title"], r["model"], r["input"]) for r in A.pi_rows(A.lines(spark, f"file://{tmp_path}/y")).orderBy("id").collect()]
+    assert got == [("q", 2, "Hello", "n", 7), ("z", 2, "Other", "", 0)]
+
+
+def test_branches_of_sessions_that_share_ids(spark):
+    r = spark.createDataFrame([("s1", "a", None, 0), ("s1", "b", "a", 1), ("s1", "x", "b", 2), ("s1", "b", "a", 3), ("s2", "x", None, 0), ("s2", "b", "x", 1), ("s3", "p", "q", 0), ("s3", "q", "p", 1)], "s string, id string, up string, at int")
+    assert rows(G.active_branch(r, "s", "id", "up", "at")) == [("s1", "a", 1), ("s1", "b", 2), ("s2", "b", 2), ("s2", "x", 1), ("s3", "p", 1), ("s3", "q", 2)]
+    deep = spark.createDataFrame([("d", k, k - 1 if k else None, k) for k in range(300)], "s string, id int, up int, at int")
+    assert rows(G.active_branch(deep, "s", "id", "up", "at"), "id", "step") == [(k, k + 1) for k in range(300)]
+
+
+def test_positions_do_not_need_gapless_order(spark):
+    c = spark.createDataFrame([("a", 10, "user", "x"), ("a", 20, "assistant", "y"), ("a", 35, "user", "z")], "s string, i int, role string, text string")
+    assert rows(M.turn_spans(c, "s", "i")) == [("a", 0, 2), ("a", 2, 3)] and rows(M.page_ends(c, "s", "i", 1)) == [("a", 2)]
+    assert rows(M.page(c, "s", "i", "text", 0, 2, 99), "i", "next_message") == [(10, 2), (20, 2)]
+
+
+def test_literals_may_meet_in_different_messages(spark):
+    m = spark.createDataFrame([("a", "one"), ("a", "two"), ("b", "one")], "s string, t string")
+    wanted = spark.createDataFrame([("a",), ("b",), ("new",)], "s string")
+    assert rows(S.candidates(m, wanted, "s", "t", ["one", "two"])) == [("a",), ("new",)]
+
+
+def test_older_revisions_change_nothing(spark, tmp_path):
+    from quern.streaming import live as V
+
+    table, seen = R.StateTable(spark, f"file://{tmp_path}/t", ["k"]), []
+    batch = lambda *x: spark.createDataFrame(list(x), "k int, rev int")
+    sink = V.delta_sink(table, ["k"], "rev", lambda g, d: seen.append((g, rows(d))))
+    sink(batch((1, 5)), 0)
+    sink(batch((1, 3)), 1)
+    assert rows(table.read()) == [(1, 5)] and [g for g, _ in seen] == [1]
+
+    def broken(g, d):
+        raise OSError("consumer is gone")
+
+    with pytest.raises(OSError):
+        V.delta_sink(table, ["k"], "rev", broken)(batch((1, 6)), 2)
+    sink(batch((1, 6)), 2)
+    assert seen[-1] == (2, [(1, "upsert")])
 
 
 def test_writer_round_trip(spark, tmp_path):
