@@ -16,6 +16,10 @@ def all_terms(text: Column, terms: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [contains(text, t) for t in terms])
 
 
+def any_of(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
 def any_pattern(rows: DataFrame, key: str, text: str, patterns: list[list[str]]) -> DataFrame:
     """Rows that match a pattern (all of its terms), with the number of the first that does. One scan: the
     union of the patterns' hits, deduplicated by the best, is the least matching number."""
@@ -82,6 +86,11 @@ def holding_all(rows: DataFrame, key: str, text: str, literals: list[str]) -> Da
     return (rows.groupBy(key).agg(*flags) if flags else rows.select(key).distinct()).where(every).select(key)
 
 
+def sessions_to_scan(indexed: DataFrame, wanted: DataFrame, key: str, text: str, literals: list[str]) -> DataFrame:
+    """`candidates` where there are literals; else every wanted key."""
+    return candidates(indexed, wanted, key, text, literals) if literals else wanted.select(key)
+
+
 def candidates(indexed: DataFrame, wanted: DataFrame, key: str, text: str, literals: list[str]) -> DataFrame:
     """Keys to scan: indexed ones whose rows together hold every literal, and all that are not indexed."""
     holding = holding_all(indexed, key, text, literals)
