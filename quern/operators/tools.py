@@ -7,28 +7,94 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Inputs of the canonical operations. A trailing * marks a required input, + one that must also
-# not be empty; after the colon the allowed JSON types.
+# Inputs of the canonical operations: optional, required, or required and not empty (filled), and the
+# allowed JSON types.
 OPERATIONS = {
-    "shell.exec": "command+:string workdir:string timeout_ms:int background:bool sandbox_policy:string description:string",
-    "fs.read": "file_path+:string offset:int limit:int",
-    "fs.write": "file_path+:string content*:string",
-    "fs.edit": "file_path+:string old*:string new*:string replace_all:bool",
-    "fs.patch": "operations*:array raw_patch:string workdir:string",
-    "fs.search": "query+:string path:string glob:string max_results:int",
-    "fs.glob": "pattern+:string path:string",
-    "web.fetch": "url+:string method:string headers:object body:string|object|array prompt:string format:string timeout_ms:int",
-    "web.search": "query+:string domains:array recency_days:int num_results:int",
-    "tool.invoke": "namespace+:string name+:string input*:object|string structure_summary:object|string children:array",
-    "agent.spawn": "description+:string prompt*:string subagent_type+:string task_name:string model:string fork_mode:string fork_turns:string reasoning_effort:string",
+    "shell.exec": {
+        "command": ("filled", ["string"]),
+        "workdir": ("optional", ["string"]),
+        "timeout_ms": ("optional", ["int"]),
+        "background": ("optional", ["bool"]),
+        "sandbox_policy": ("optional", ["string"]),
+        "description": ("optional", ["string"]),
+    },
+    "fs.read": {
+        "file_path": ("filled", ["string"]),
+        "offset": ("optional", ["int"]),
+        "limit": ("optional", ["int"]),
+    },
+    "fs.write": {
+        "file_path": ("filled", ["string"]),
+        "content": ("required", ["string"]),
+    },
+    "fs.edit": {
+        "file_path": ("filled", ["string"]),
+        "old": ("required", ["string"]),
+        "new": ("required", ["string"]),
+        "replace_all": ("optional", ["bool"]),
+    },
+    "fs.patch": {
+        "operations": ("required", ["array"]),
+        "raw_patch": ("optional", ["string"]),
+        "workdir": ("optional", ["string"]),
+    },
+    "fs.search": {
+        "query": ("filled", ["string"]),
+        "path": ("optional", ["string"]),
+        "glob": ("optional", ["string"]),
+        "max_results": ("optional", ["int"]),
+    },
+    "fs.glob": {
+        "pattern": ("filled", ["string"]),
+        "path": ("optional", ["string"]),
+    },
+    "web.fetch": {
+        "url": ("filled", ["string"]),
+        "method": ("optional", ["string"]),
+        "headers": ("optional", ["object"]),
+        "body": ("optional", ["string", "object", "array"]),
+        "prompt": ("optional", ["string"]),
+        "format": ("optional", ["string"]),
+        "timeout_ms": ("optional", ["int"]),
+    },
+    "web.search": {
+        "query": ("filled", ["string"]),
+        "domains": ("optional", ["array"]),
+        "recency_days": ("optional", ["int"]),
+        "num_results": ("optional", ["int"]),
+    },
+    "tool.invoke": {
+        "namespace": ("filled", ["string"]),
+        "name": ("filled", ["string"]),
+        "input": ("required", ["object", "string"]),
+        "structure_summary": ("optional", ["object", "string"]),
+        "children": ("optional", ["array"]),
+    },
+    "agent.spawn": {
+        "description": ("filled", ["string"]),
+        "prompt": ("required", ["string"]),
+        "subagent_type": ("filled", ["string"]),
+        "task_name": ("optional", ["string"]),
+        "model": ("optional", ["string"]),
+        "fork_mode": ("optional", ["string"]),
+        "fork_turns": ("optional", ["string"]),
+        "reasoning_effort": ("optional", ["string"]),
+    },
 }
 # Inputs that only annotate a call, so that losing them loses nothing.
 ANNOTATIONS = {"shell.exec": ["description"]}
 # Outcome of a loss code.
 LOSSES = {
-    "migration.children_not_migrated": "dropped", "migration.fork_parent_fallback": "degraded", "migration.reasoning_dropped": "dropped", "migration.reasoning_metadata_dropped": "degraded", "migration.truncated": "dropped",
-    "migration.unknown_block_dropped": "dropped", "session.child_foreign_ignored": "dropped", "session.child_parent_conflict": "dropped", "session.unpaired_tool_use": "degraded",
-}
+    "migration.children_not_migrated": "dropped",
+    "migration.fork_parent_fallback": "degraded",
+    "migration.reasoning_dropped": "dropped",
+    "migration.reasoning_metadata_dropped": "degraded",
+    "migration.truncated": "dropped",
+    "migration.unknown_block_dropped": "dropped",
+    "session.child_foreign_ignored": "dropped",
+    "session.child_parent_conflict": "dropped",
+    "session.unpaired_tool_use": "degraded",
+}
 FIDELITY = ("exact", "transformed", "lossy", "narrated", "dropped")
 
 _KIND = {"string": "STRING", "int": "BIGINT", "bool": "BOOLEAN", "array": "ARRAY<", "object": "OBJECT<"}
@@ -36,11 +102,7 @@ _KIND = {"string": "STRING", "int": "BIGINT", "bool": "BOOLEAN", "array": "ARRAY
 
 def fields(op: str) -> list[tuple[str, bool, bool, list[str]]]:
     """(name, required, not empty, types) of an operation's inputs."""
-    out = []
-    for item in OPERATIONS[op].split():
-        name, kinds = item.split(":")
-        out.append((name.rstrip("*+"), name[-1] in "*+", name[-1] == "+", kinds.split("|")))
-    return out
+    return [(name, need != "optional", need == "filled", kinds) for name, (need, kinds) in OPERATIONS[op].items()]
 
 
 def valid_input(op: str | Column, json: str | Column) -> Column:
