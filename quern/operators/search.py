@@ -59,6 +59,23 @@ def ranked(hits: DataFrame, newest: str, limit: int) -> DataFrame:
     return hits.orderBy(*order).limit(limit).join(F.broadcast(total))
 
 
+def ranked_rows(rows: DataFrame, key: str, text: str, terms: list[str], metadata: Column, limit: int) -> DataFrame:
+    """`key`, hit_group (0 both kinds of hit, 1 content, 2 metadata), score, total_matches: the best `limit` rows, by
+    group, then score, then larger key. One pass for the statistics, which also count the hits, and one for the rows."""
+    tf = [f"_tf{k}" for k in range(len(terms))]
+    base = rows.select(key, metadata.alias("_meta"), F.length(text).cast("double").alias("_size"), *(occurrences(F.col(text), t).alias(c) for t, c in zip(terms, tf, strict=True)))
+    held = reduce(lambda a, b: a & b, [F.col(c) > 0 for c in tf])
+    stats = base.agg(F.count(F.lit(1)).alias("_n"), F.avg("_size").alias("_avg"), F.count(F.when(F.col("_meta") | held, 1)).alias("total_matches"), *(F.count(F.when(F.col(c) > 0, 1)).alias(f"{c}d") for c in tf))
+    score = F.lit(0.0)
+    for c in tf:
+        idf = F.greatest(F.lit(1e-6), F.log((F.col("_n") - F.col(f"{c}d") + 0.5) / (F.col(f"{c}d") + 0.5)))
+        score = score + idf * F.col(c) * (K1 + 1) / (F.col(c) + K1 * (1 - B + B * F.col("_size") / F.col("_avg")))
+    group = F.when(F.col("_meta") & held, 0).when(held, 1).otherwise(2)
+    # the statistics are one row
+    hits = base.where(F.col("_meta") | held).join(F.broadcast(stats)).withColumn("hit_group", group).withColumn("score", F.when(held, F.round(score, 6)))
+    return hits.orderBy("hit_group", F.desc_nulls_last("score"), F.desc(key)).limit(limit).select(key, "hit_group", "score", "total_matches")
+
+
 def top_hits(hits: DataFrame, session: str, order: list[Column], k: int = 3) -> DataFrame:
     w = Window.partitionBy(session).orderBy(*order)
     return hits.withColumn("hit_no", F.row_number().over(w)).where(F.col("hit_no") <= k).withColumn("hit_no", F.col("hit_no").cast("long"))
@@ -97,13 +114,35 @@ def candidates(indexed: DataFrame, wanted: DataFrame, key: str, text: str, liter
     return wanted.join(holding, key, "left_semi").select(key).union(wanted.join(indexed, key, "left_anti").select(key))
 
 
-def trigram_postings(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(gram, key): the inverted index of lower-case character trigrams."""
+def grams_of(terms: list[str]) -> list[str]:
+    return sorted({t[i : i + 3].lower() for t in terms for i in range(len(t) - 2)})
+
+
+def trigram_postings(rows: DataFrame, key: str, text: str, only: list[str] | None = None) -> DataFrame:
+    """(gram, key): the inverted index of lower-case character trigrams; with `only`, of these grams, which is cheaper
+    than the whole index where it is not stored."""
+    if only is not None:
+        held = F.array_compact(F.array(*(F.when(contains(F.col(text), g), g) for g in only)))
+        return rows.select(key, F.explode(held).alias("gram"))
     grams = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("(?s)(?=(...))"), 1))
     return rows.select(key, F.explode(grams).alias("gram"))
 
 
 def posting_hits(postings: DataFrame, key: str, terms: list[str]) -> DataFrame:
     """Keys that hold every trigram of every term (a superset of the true hits)."""
-    grams = sorted({t[i : i + 3].lower() for t in terms for i in range(len(t) - 2)})
+    grams = grams_of(terms)
     return postings.where(F.col("gram").isin(grams)).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(grams)).select(key)
+
+
+def write_postings(postings: DataFrame, path: str, buckets: int = 64) -> None:
+    """Stores an index by buckets of grams; each bucket is a folder, so that a search reads only its grams' folders."""
+    bucket = F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int")
+    postings.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64(postings.columns[0]), F.lit(8))).write.partitionBy("bucket").parquet(path)
+
+
+def stored_hits(spark, path: str, rows: DataFrame, key: str, text: str, terms: list[str], buckets: int = 64) -> DataFrame:
+    """Rows that hold every term: candidates from the stored index, verified on their texts."""
+    grams = spark.createDataFrame([(g,) for g in grams_of(terms)], "gram string")
+    wanted = sorted(r[0] for r in grams.select(F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int")).distinct().collect())
+    found = posting_hits(spark.read.parquet(path).where(F.col("bucket").isin(wanted)), key, terms)
+    return rows.join(found, key, "left_semi").where(all_terms(F.col(text), terms))

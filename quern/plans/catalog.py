@@ -216,10 +216,7 @@ _BM25 = """
     SELECT doc_id, CAST(hit_group AS INTEGER) AS hit_group, round(score, 6) AS score, (SELECT count(*) FROM g WHERE hit_group IS NOT NULL) AS total_matches
     FROM g WHERE hit_group IS NOT NULL ORDER BY hit_group, round(score, 6) DESC NULLS LAST, doc_id DESC LIMIT 50""")
 def search_ranked(spark, sf_dir):
-    d = load(spark, sf_dir, "documents")
-    content = S.bm25(d, "text", ["thea"]).select("doc_id", F.round("score", 6).alias("score"))
-    hits = S.combine_hits(d.select("doc_id", "source"), d.where(X.contains(F.col("source"), "src1")), content, "doc_id")
-    return S.ranked(hits, "doc_id", 50).select("doc_id", F.col("hit_group").cast("int").alias("hit_group"), "score", "total_matches")
+    return S.ranked_rows(load(spark, sf_dir, "documents"), "doc_id", "text", ["thea"], X.contains(F.col("source"), "src1"), 50)
 
 
 @query("SELECT doc_id FROM documents WHERE regexp_matches(text, 'ERTION!+')")
@@ -264,7 +261,7 @@ def snippet_window(spark, sf_dir):
     WITH g AS (SELECT doc_id, lower(text) AS t FROM documents)
     SELECT doc_id FROM g WHERE contains(t, 'wor') AND contains(t, 'ort') AND contains(t, 'rth') AND contains(t, 'thl') AND contains(t, 'hle') AND contains(t, 'les') AND contains(t, 'ess')""")
 def trigram_index_hits(spark, sf_dir):
-    return S.posting_hits(S.trigram_postings(load(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", ["worthless"])
+    return S.posting_hits(S.trigram_postings(load(spark, sf_dir, "documents"), "doc_id", "text", S.grams_of(["worthless"])), "doc_id", ["worthless"])
 
 
 # usage -----------------------------------------------------------------------------------------

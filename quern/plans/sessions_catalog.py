@@ -10,6 +10,7 @@ from ..operators import migration as K
 from ..operators import records as R
 from ..operators import search as S
 from ..operators import sessions as C
+from ..sources import canonical as N
 from .catalog import load, query
 
 # stand-ins: a conversation is a session, its rows are messages -----------------------------------
@@ -520,3 +521,67 @@ def turn_starts(spark, sf_dir):
 def scan_progress(spark, sf_dir):
     by = load(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.when(F.col("lang") == "en", 1)).alias("processed"), F.count(F.lit(1)).alias("total"))
     return R.progress(by)
+
+
+# canonical readers over records that are made of conversations -------------------------------------
+
+
+def _records(spark, sf_dir, raw):
+    c = load(spark, sf_dir, "conversations")
+    return c.select(F.concat(F.lit("c"), "conv_id").alias("file"), (F.col("turn") + 1).cast("int").alias("line_no"), raw.alias("raw"))
+
+
+def _shown(tables):
+    said = F.coalesce("text", F.get_json_object("input", "$.command"))
+    return tables.blocks.select("session", "message_idx", "role", "kind", "op", F.md5(said).alias("said_md5"))
+
+
+_TOOL = "CASE WHEN role = 'system' THEN 'tool' ELSE 'text' END AS kind, CASE WHEN role = 'system' THEN 'shell.exec' END AS op, md5(text) AS said_md5"
+
+
+@query(f"SELECT concat('c', conv_id) AS session, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS message_idx, CASE role WHEN 'system' THEN 'assistant' ELSE role END AS role, {_TOOL} FROM conversations")
+def canonical_claude(spark, sf_dir):
+    role = F.when(F.col("role") == "system", "assistant").otherwise(F.col("role"))
+    call = F.array(F.struct(F.lit("tool_use").alias("type"), F.lit("t").alias("id"), F.lit("Bash").alias("name"), F.struct(F.col("text").alias("command")).alias("input")))
+    line = lambda content: F.to_json(F.struct(role.alias("type"), F.col("turn").cast("string").alias("uuid"), F.struct(role.alias("role"), content.alias("content")).alias("message")))
+    return _shown(N.claude(_records(spark, sf_dir, F.when(F.col("role") == "system", line(call)).otherwise(line(F.col("text"))))))
+
+
+@query(f"""
+    WITH a AS (SELECT *, min(CASE WHEN role <> 'system' THEN turn END) OVER w AS nxt, max(turn) OVER (PARTITION BY conv_id) + 1 AS fin FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+    b AS (SELECT a.*, n.role AS next_role FROM a LEFT JOIN conversations n ON a.conv_id = n.conv_id AND a.nxt = n.turn),
+    c AS (SELECT *, CASE WHEN role = 'system' THEN coalesce(nxt, fin) ELSE turn END AS pos_at, CASE WHEN role = 'system' AND coalesce(next_role, 'user') = 'user' THEN 0 ELSE 1 END AS sub FROM b)
+    SELECT concat('c', conv_id) AS session, dense_rank() OVER (PARTITION BY conv_id ORDER BY pos_at, sub) AS message_idx, CASE role WHEN 'system' THEN 'assistant' ELSE role END AS role, {_TOOL} FROM c""")
+def canonical_codex(spark, sf_dir):
+    call = F.struct(F.lit("function_call").alias("type"), F.lit("shell").alias("name"), F.lit("k").alias("call_id"), F.to_json(F.struct(F.col("text").alias("command"))).alias("arguments"))
+    kind = F.when(F.col("role") == "user", "input_text").otherwise("output_text")
+    said = F.struct(F.lit("message").alias("type"), "role", F.array(F.struct(kind.alias("type"), "text")).alias("content"))
+    line = lambda payload: F.to_json(F.struct(F.lit("response_item").alias("type"), payload.alias("payload")))
+    return _shown(N.codex(_records(spark, sf_dir, F.when(F.col("role") == "system", line(call)).otherwise(line(said)))))
+
+
+@query(f"SELECT concat('c', conv_id) AS session, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS message_idx, CASE role WHEN 'system' THEN 'user' ELSE role END AS role, {_TOOL} FROM conversations WHERE (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM conversations WHERE turn % 3 = 2 AND (conv_id, turn + 1) IN (SELECT (conv_id, turn) FROM conversations))")
+def canonical_pi(spark, sf_dir):
+    """Every third message is left: the next one goes on from the message before it."""
+    up = F.when(F.col("turn") % 3 == 0, F.col("turn") - 2).otherwise(F.col("turn") - 1)
+    parent = F.when(F.col("turn") > 0, up.cast("string"))
+    body = F.when(F.col("role") == "system", F.to_json(F.struct(F.lit("bashExecution").alias("role"), F.col("text").alias("command")))).otherwise(F.to_json(F.struct("role", F.col("text").alias("content"))))
+    raw = F.concat(F.lit('{"type":"message","id":"'), "turn", F.lit('","parentId":'), F.coalesce(F.concat(F.lit('"'), parent, F.lit('"')), F.lit("null")), F.lit(',"message":'), body, F.lit("}"))
+    lines = _records(spark, sf_dir, raw)
+    head = lines.select("file").distinct().select("file", F.lit(0).alias("line_no"), F.lit('{"type":"session","version":3,"id":"s"}').alias("raw"))
+    return _shown(N.pi(lines.unionByName(head)))
+
+
+@query(f"SELECT CAST(conv_id AS VARCHAR) AS session, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS message_idx, CASE role WHEN 'system' THEN 'assistant' ELSE role END AS role, CASE WHEN role = 'system' THEN 'tool' ELSE 'text' END AS kind, CASE WHEN role = 'system' THEN 'shell.exec' END AS op, md5(text) AS said_md5 FROM conversations")
+def canonical_database(spark, sf_dir):
+    c = load(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.concat_ws(".", "conv_id", "turn").alias("id"), F.col("turn").alias("time_created"), F.when(F.col("role") == "system", "assistant").otherwise(F.col("role")).alias("said"), "role", "text")
+    tool = F.struct(F.lit("tool").alias("type"), F.lit("bash").alias("tool"), F.col("id").alias("callID"), F.struct(F.lit("completed").alias("status"), F.struct(F.col("text").alias("command")).alias("input")).alias("state"))
+    data = F.when(F.col("role") == "system", F.to_json(tool)).otherwise(F.to_json(F.struct(F.lit("text").alias("type"), "text")))
+    m = c.select("id", "session_id", F.to_json(F.struct(F.col("said").alias("role"))).alias("data"), "time_created")
+    return _shown(N.database(m, c.select(F.concat(F.lit("p"), "id").alias("id"), F.col("id").alias("message_id"), "session_id", data.alias("data"), "time_created")))
+
+
+@query("SELECT concat('c', conv_id) AS session, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS message_idx, role, 'text' AS kind, md5(text) AS said_md5 FROM conversations WHERE role <> 'system'")
+def canonical_chat(spark, sf_dir):
+    raw = F.to_json(F.struct(F.when(F.col("role") == "system", "note").otherwise(F.col("role")).alias("type"), F.col("text").alias("content")))
+    return _shown(N.chat(_records(spark, sf_dir, raw))).drop("op")

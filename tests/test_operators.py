@@ -94,6 +94,12 @@ def test_trigrams_find_supersets(spark):
     assert rows(S.posting_hits(S.trigram_postings(df, "k", "t"), "k", ["hello"])) == [(1,)]
 
 
+def test_stored_postings_are_read_by_bucket_and_verified(spark, tmp_path):
+    df = spark.createDataFrame([(1, "hello world"), (2, "hell ello"), (3, "HELLO"), (4, "")], "k int, t string")
+    S.write_postings(S.trigram_postings(df, "k", "t"), f"file://{tmp_path}/i", 4)
+    assert rows(S.stored_hits(spark, f"file://{tmp_path}/i", df, "k", "t", ["hello"], 4), "k") == [(1,), (3,)]
+
+
 def test_rank_groups_and_ties(spark):
     df = spark.createDataFrame([(1, "m"), (2, "c"), (3, "mc"), (4, "")], "k int, t string")
     hits = S.combine_hits(df, df.where("t like 'm%'"), df.where("t like '%c'").withColumn("score", F.lit(1.0)), "k")
