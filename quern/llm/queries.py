@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id, toxicity, url_filter
-from .common import load, scratch_dir
+from .common import WORD, load, materialize, scratch_dir
 from .mixing import mix
 from .near_dup import near_duplicates
 from .packing import pack
@@ -121,6 +121,48 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+# parts of the operators' results that SQL can express, each from the whole operator ----------------
+
+
+def op2_language_mixture_und(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents have no language."""
+    out = op2_language_mixture(spark, sf_dir)
+    return out.select("doc_id", (F.col("lang_pred") == "und").alias("und"), (F.col("score") == 0).alias("zero"))
+
+
+def op4_mix_sources_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, and whether each document and source keeps its bounds."""
+    out = op4_mix_sources(spark, sf_dir)
+    bounded = (F.col("taken") <= 2 * F.col("size")) & (F.col("target") <= 2 * F.col("source_size"))
+    return out.select("doc_id", "size", "source_size", bounded.alias("bounded"))
+
+
+def op7_pack_sequences_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By document: whether its pieces cover it, and whether its sequences stay within 2048 tokens without a gap."""
+    out = op7_pack_sequences(spark, sf_dir).transform(materialize)
+    full = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    good = out.join(full, "sequence_id").groupBy("doc_id").agg((F.sum("length") == F.max("doc_tokens")).alias("covered"), F.every((F.col("n") <= 2048) & (F.col("n") == F.col("end"))).alias("gapless"))
+    return good
+
+
+def op8_url_rules_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts, paths and fixed rules, with the verdict where a fixed rule decides."""
+    out = op8_url_rules(spark, sf_dir)
+    return out.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
+def op9_minhash_near_dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether documents of equal text share a component, and whether the kept one is the smallest of its component."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("m"))
+    out = op9_minhash_near_dedup(spark, sf_dir).join(docs, "doc_id")
+    return out.groupBy("m").agg(F.count(F.lit(1)).alias("n"), (F.min("component_id") == F.max("component_id")).alias("together"), F.every(F.col("kept") == (F.col("doc_id") == F.col("component_id"))).alias("smallest"))
+
+
+def op10_quality_rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base measures."""
+    return op10_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -134,6 +176,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality_rules": op10_quality_rules,
         "op7_pack_sequences": op7_pack_sequences,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
+        "op2_language_mixture_und": op2_language_mixture_und,
+        "op4_mix_sources_sizes": op4_mix_sources_sizes,
+        "op7_pack_sequences_cover": op7_pack_sequences_cover,
+        "op8_url_rules_fixed": op8_url_rules_fixed,
+        "op9_minhash_near_dedup_exact": op9_minhash_near_dedup_exact,
+        "op10_quality_rules_base": op10_quality_rules_base,
     }
 
 
@@ -158,4 +206,28 @@ def oracle_sql() -> dict[str, str]:
                 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
                 FROM s)
             SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+        "op2_language_mixture_und": r"SELECT doc_id, NOT coalesce(regexp_matches(text, '\p{L}'), false) AS und, NOT coalesce(regexp_matches(text, '\p{L}'), false) AS zero FROM documents",
+        "op4_mix_sources_sizes": f"""
+            WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size FROM documents)
+            SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(sum(size) OVER (PARTITION BY source) AS BIGINT) AS source_size, true AS bounded FROM d""",
+        "op7_pack_sequences_cover": "SELECT DISTINCT doc_id, true AS covered, true AS gapless FROM documents",
+        "op8_url_rules_fixed": r"""
+            WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+            h AS (SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+            r AS (SELECT * FROM (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) t(kind, rh, rp)),
+            f AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(kind, length(rh || rp)) AS verdict FROM h JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY 1)
+            SELECT h.page_id, host, path, rule, verdict FROM h LEFT JOIN f ON h.page_id = f.page_id""",
+        "op9_minhash_near_dedup_exact": "SELECT md5(text) AS m, count(*) AS n, true AS together, true AS smallest FROM documents WHERE text IS NOT NULL GROUP BY 1",
+        "op10_quality_rules_base": f"""
+            WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+            w AS (SELECT r, doc_id, t, regexp_extract_all(t, '{WORD}') AS w FROM d),
+            l AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS l FROM w),
+            g AS (SELECT r, unnest(range(1, len(w) - 3)) AS i, w FROM w WHERE len(w) >= 5),
+            k AS (SELECT r, i, list_aggregate(w[i:i + 4], 'string_agg', chr(0)) AS k FROM g),
+            n AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM k) WHERE c > 1),
+            c AS (SELECT r, count(DISTINCT spot) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS spot FROM n) GROUP BY 1)
+            SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                   CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+                   CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, len(w) < 10 OR 100 * coalesce(c.n, 0) > 20 * len(w) AS base_failed
+            FROM w JOIN l USING (r) LEFT JOIN c USING (r)""",
     }
