@@ -67,23 +67,27 @@ def active_branch(records: DataFrame, session: str, node: str, parent: str, orde
     ids. Where records share an id the last is followed; a path ends at a root, at an unknown parent or where it would
     meet a node again.
 
-    Pointers are doubled (the parent, the 2nd, 4th, ... ancestor of every record), then the path is marked from the
-    leaf by the widest pointer first: records times the logarithm of the longest session, never all pairs.
+    Pointers are doubled (the parent, the 2nd, 4th, ... ancestor of every record). The leaf's ancestor at each distance
+    is then found by the pointers of the distance's binary digits: records times the logarithm of the longest session,
+    never all pairs.
     """
     last = F.max_by(F.struct(F.col(node).alias("node"), F.col(parent).alias("up")), order).alias("r")
     nodes = records.where(F.col(node).isNotNull()).groupBy(session, F.col(node).alias("_id")).agg(last, F.max(order).alias("_at"))
     nodes = _durable(nodes.select(F.col(session).alias("s"), "r.node", "r.up", "_at"))
-    known = nodes.select("s", F.col("node").alias("up"))
-    pointers = [_durable(nodes.select("s", "node", "up").join(known, ["s", "up"]).select("s", "node", "up"))]
+    leaves = nodes.groupBy("s").agg(F.max_by("node", "_at").alias("node"), F.count(F.lit(1)).alias("n"))
     longest = nodes.groupBy("s").count().agg(F.max("count")).first()[0] or 0
-    while 2 ** len(pointers) < longest:
-        p = pointers[-1]
-        further = p.alias("a").join(p.alias("b"), (F.col("a.s") == F.col("b.s")) & (F.col("a.up") == F.col("b.node")))
-        pointers.append(_durable(further.select("a.s", "a.node", "b.up")))
-    path = nodes.groupBy("s").agg(F.max_by("node", "_at").alias("node")).withColumn("depth", F.lit(0).cast("long"))
-    for k in range(len(pointers) - 1, -1, -1):
-        up = path.join(pointers[k], ["s", "node"]).select("s", F.col("up").alias("node"), (F.col("depth") + 2**k).alias("depth"))
-        path = _durable(path.unionByName(up).groupBy("s", "node").agg(F.min("depth").alias("depth")))
+    path = leaves.select("s", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("depth"))
+    known = nodes.select("s", F.col("node").alias("up"))
+    pointer, k = nodes.select("s", "node", "up").join(known, ["s", "up"]).select("s", "node", "up"), 0
+    while 2**k < longest:
+        pointer = _durable(pointer)
+        digit = F.shiftright("depth", k).bitwiseAND(1).cast("int")
+        hop = pointer.withColumn("hops", F.lit(1))
+        path = path.withColumn("hops", digit).join(hop, ["s", "node", "hops"], "left")
+        path = path.select("s", F.when(F.col("hops") == 1, F.col("up")).otherwise(F.col("node")).alias("node"), "depth").where("node is not null")
+        further = pointer.alias("a").join(pointer.alias("b"), (F.col("a.s") == F.col("b.s")) & (F.col("a.up") == F.col("b.node")))
+        pointer, k = further.select("a.s", "a.node", "b.up"), k + 1
+    path = path.groupBy("s", "node").agg(F.min("depth").alias("depth"))
     step = F.row_number().over(Window.partitionBy("s").orderBy(F.desc("depth"))).cast("long")
     return path.select(F.col("s").alias(session), F.col("node").alias(node), step.alias("step"))
 

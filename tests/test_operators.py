@@ -327,14 +327,16 @@ def test_dialects_round_trip(spark):
 
 
 def test_tail_reads_only_whole_new_lines(spark, tmp_path):
-    from quern.streaming.tail import _TailReader, tail
+    from quern.streaming.tail import TailReader, tail
 
     log = tmp_path / "a.jsonl"
-    log.write_text("one\ntwo\nthr")
-    reader = _TailReader({"path": f"{tmp_path}/*.jsonl", "step": "5"})
-    rows_, at = reader.read({})
-    assert [r[2] for r in rows_] == ["one"] and at == {str(log): 4}
-    assert [r[2] for r in reader.readBetweenOffsets({}, at)] == ["one"]
+    log.write_text("one\ntwo\n\nlonger than a step\nthr")
+    reader = TailReader({"path": f"{tmp_path}/*.jsonl", "step": "3"})
+    end = reader.latestOffset()
+    assert end == {str(log): 28}
+    parts = reader.partitions({}, end)
+    assert len(parts) == 10 and [(r[1], r[2]) for p in parts for r in reader.read(p)] == [(0, "one"), (4, "two"), (9, "longer than a step")]
+    assert reader.partitions(end, reader.latestOffset()) == []
     stream = tail(spark, f"{tmp_path}/*.jsonl").select("raw").writeStream.format("memory").queryName("tailed").option("checkpointLocation", f"{tmp_path}/cp").start()
     try:
         stream.processAllAvailable()
@@ -342,8 +344,8 @@ def test_tail_reads_only_whole_new_lines(spark, tmp_path):
             f.write("ee\n")
         for _ in range(20):
             stream.processAllAvailable()
-            if spark.table("tailed").count() == 3:
+            if spark.table("tailed").count() == 4:
                 break
-        assert sorted(r.raw for r in spark.table("tailed").collect()) == ["one", "three", "two"]
+        assert sorted(r.raw for r in spark.table("tailed").collect()) == ["longer than a step", "one", "three", "two"]
     finally:
         stream.stop()
