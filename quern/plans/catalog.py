@@ -224,10 +224,12 @@ def regex_scan(spark, sf_dir):
     return S.regex_scan(load(spark, sf_dir, "documents"), "text", "ERTION!+").select("doc_id")
 
 
-@query("SELECT doc_id FROM documents WHERE (doc_id % 3 <> 0 AND contains(lower(text), 'license')) OR doc_id % 3 = 0")
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'license') OR doc_id NOT IN (SELECT doc_id FROM labels)")
 def regex_prefilter_candidates(spark, sf_dir):
+    """Documents with labels stand for the indexed ones."""
     d = load(spark, sf_dir, "documents")
-    return S.candidates(d.where("doc_id % 3 <> 0"), d.select("doc_id"), "doc_id", "text", ["license"])
+    indexed = d.join(load(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return S.candidates(indexed, d.select("doc_id"), "doc_id", "text", ["license"])
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(concat_ws(' ', source, lang)), 'src1') AND contains(lower(concat_ws(' ', source, lang)), 'en')")
@@ -472,13 +474,17 @@ def merge_newest(spark, sf_dir):
 # snapshots -------------------------------------------------------------------------------------
 
 _SNAP = """
-    a AS (SELECT doc_id, md5(text) AS rev FROM documents WHERE doc_id % 10 <> 1), b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE md5(text) END AS rev FROM documents WHERE doc_id % 10 <> 2),
+    a AS (SELECT doc_id, md5(text) AS rev FROM documents),
+    b AS (SELECT CASE WHEN quality = 0 THEN -1 - l.doc_id ELSE l.doc_id END AS doc_id, CASE WHEN toxic = 1 THEN 'old' ELSE md5(text) END AS rev FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
     r AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'new' WHEN a.doc_id IS NULL THEN 'missing' WHEN a.rev = b.rev THEN 'same' ELSE 'changed' END AS state FROM a FULL JOIN b ON a.doc_id = b.doc_id)"""
 
 
 def _snapshots(spark, sf_dir):
+    """Now: the documents. Stored: those with labels, bad ones under another id, toxic ones with an old revision."""
     d = load(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("rev"))
-    return d.where("doc_id % 10 <> 1"), d.where("doc_id % 10 <> 2").withColumn("rev", F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.col("rev")))
+    known = d.join(load(spark, sf_dir, "labels"), "doc_id")
+    stored = known.select(F.when(F.col("quality") == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"), F.when(F.col("toxic") == 1, "old").otherwise(F.col("rev")).alias("rev"))
+    return d, stored
 
 
 @query(f"WITH {_SNAP} SELECT * FROM r")
