@@ -156,10 +156,14 @@ def visible_text(text: Column) -> Column:
     return F.when(~text.rlike(r"(?U)^\s*$"), text)
 
 
+def shell_word(word: Column) -> Column:
+    """A word quoted for a shell where it needs it."""
+    return F.when(word.rlike(_PLAIN_WORD), word).otherwise(F.concat(F.lit("'"), F.replace(word, F.lit("'"), F.lit("'\"'\"'")), F.lit("'")))
+
+
 def in_workdir(command: Column, workdir: Column) -> Column:
     """The command after a change of directory, the directory quoted for a shell where it needs it."""
-    quoted = F.when(workdir.rlike(_PLAIN_WORD), workdir).otherwise(F.concat(F.lit("'"), F.replace(workdir, F.lit("'"), F.lit("'\"'\"'")), F.lit("'")))
-    return F.when(F.coalesce(workdir, F.lit("")) == "", command).otherwise(F.concat(F.lit("cd "), quoted, F.lit(" && "), command))
+    return F.when(F.coalesce(workdir, F.lit("")) == "", command).otherwise(F.concat(F.lit("cd "), shell_word(workdir), F.lit(" && "), command))
 
 
 def merged_metadata(current: Column, patch: Column) -> Column:

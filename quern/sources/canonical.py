@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import IMAGE_TYPES, image_of, result_status, visible_text
+from ..functions.scalars import IMAGE_TYPES, image_of, patch_changes, result_status, visible_text
 from ..operators import dialects
 from ..operators.topology import active_branch
 from ..operators.turns import pair_calls
@@ -172,6 +172,12 @@ def codex(rows: DataFrame) -> Tables:
     by_user = F.col("owner.role") == "user"
     source = F.concat(F.lit("record:"), F.col("owner.record"))
     op, canonical = dialects.parse("codex", _json("p", "$.name"), F.coalesce(_json("p", "$.arguments"), _json("p", "$.input"), F.lit("{}")))
+    given = F.coalesce(_json("p", "$.arguments"), _json("p", "$.input"))
+    patch = F.when(_json("p", "$.name") == "apply_patch", F.coalesce(_json(given, "$.patch"), _json(given, "$.input"), given))
+    changed = F.size(patch_changes(patch)) > 0
+    changes = F.transform(patch_changes(patch), lambda c: F.struct(c["operation"].alias("operation"), c["path"].alias("path"), c["destination"].alias("destination"), c["hunks"].alias("hunk_count")))
+    op = F.when(changed, "fs.patch").otherwise(op)
+    canonical = F.when(changed, F.to_json(F.struct(changes.alias("operations"), patch.alias("raw_patch")))).otherwise(canonical)
     none = F.lit(None).cast("string").alias("parent_id")
     held = waiting.select("session", F.coalesce("owner.at", "end").alias("at"), F.when(by_user | F.col("owner").isNull(), 0).otherwise(1).alias("sub"), (F.when(call, 1).otherwise(0) * F.lit(_WIDE**2) + F.col("at")).alias("part"), F.col("at").alias("ordinal"), F.lit("assistant").alias("role"), source.alias("source_id"), none, F.col("owner.created").alias("created"), *_block(F.when(call, "tool").otherwise("text"), F.when(~call, thought), name=F.when(call, _json("p", "$.name")), op=F.when(call, op), call_id=F.when(call, _json("p", "$.call_id")), input=F.when(call, canonical)))
     own = items.where("kind = 'message'")
