@@ -88,3 +88,21 @@ def test_bundle(blocks):
     assert [u["sessionUpdate"] for u in updates] == ["user_message_chunk", "agent_message_chunk", "agent_message_chunk", "tool_call", "tool_call_update", "tool_call", "tool_call_update", "agent_message_chunk", "user_message_chunk"]
     assert [u["_meta"]["promptIndex"] for u in updates if "_meta" in u] == [0, 1] and updates[3]["rawInput"] == {"command": 'ls "a" é'}
     assert [u["status"] for u in updates if "status" in u] == ["pending", "completed", "pending", "failed"]
+
+
+def test_spawns_meet_children_in_order(spark):
+    from quern.operators.migration import spawn_matches
+
+    calls = [("p", "c1", "uses <a> and <b>", 1), ("p", "c2", "uses <a>", 2), ("p", "c3", "uses <b> or <n>", 3), ("p", "c4", "uses <b>", 4), ("q", "c1", "<a>", 1), ("q", "c5", "", 2)]
+    children = [("p", "A", "<a>", 1), ("p", "A", "<n>", 1), ("p", "B", "<b>", 2), ("p", "C", "", 3), ("q", "A", "<z>", 1)]
+    c = spark.createDataFrame(calls, "parent string, call_id string, haystack string, ordinal int")
+    d = spark.createDataFrame(children, "parent string, child string, identity string, ordinal int")
+
+    want, used = [], set()
+    for parent, call, text, _ in calls:  # one call after the other
+        mine = [k for p, k, identity, _ in children if p == parent and identity and identity in text and (p, k) not in used]
+        if mine:
+            used.add((parent, mine[0]))
+            want.append((parent, call, mine[0]))
+    assert sorted(map(tuple, spawn_matches(c, d).collect())) == want == [("p", "c1", "A"), ("p", "c3", "B")]
+    assert spawn_matches(c.limit(0), d).count() == 0
