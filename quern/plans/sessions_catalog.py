@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..operators import edits as E
 from ..operators import library as L
 from ..operators import migration as K
 from ..operators import records as R
@@ -458,6 +459,27 @@ def edit_invariants(spark, sf_dir):
     return K.broken_invariants(records, m.select("session", kind.alias("type"), F.concat(F.lit("t"), "turn").alias("id")))
 
 
+@query(f"""
+    WITH {_MESSAGES}, k AS (SELECT session, message, source_id, lag(source_id) OVER (PARTITION BY session ORDER BY message) AS parent FROM num WHERE turn <> 2)
+    SELECT session, source_id AS uuid, parent FROM k""")
+def deleted_turn(spark, sf_dir):
+    """The second turn of every session goes: a chain closes over it."""
+    m = C.numbered(messages(spark, sf_dir))
+    up = F.lag("source_id").over(C.Window.partitionBy("session").orderBy("message"))
+    records = m.select("session", F.col("source_id").alias("uuid"), up.alias("parent"), "turn", F.col("message").alias("at"))
+    return E.deleted_turns(records, m.where("turn = 2").select("session", "turn")).select("session", "uuid", "parent")
+
+
+@query(f"WITH {_MESSAGES} SELECT session, source_id AS uuid, CASE WHEN role = 'user' THEN concat('new ', message) ELSE text END AS text FROM msg")
+def rewritten_messages(spark, sf_dir):
+    """Every message has its text twice; those of users are rewritten, the others keep the first."""
+    m = messages(spark, sf_dir).withColumnRenamed("source_id", "uuid")
+    copies = F.when(F.col("role") == "user", F.sequence(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    parts = m.select("session", "uuid", F.explode(copies).alias("part"), F.lit("text").alias("type"), "text")
+    new = m.where("role = 'user'").select("session", "uuid", F.concat(F.lit("new "), "message").alias("text"))
+    return E.rewritten(parts, new)[0].select("session", "uuid", "text")
+
+
 @query(f"WITH {_MESSAGES} SELECT session, source_id AS edge FROM msg WHERE role = 'user' AND message <= 3")
 def kept_children(spark, sf_dir):
     m = messages(spark, sf_dir)

@@ -106,3 +106,23 @@ def test_spawns_meet_children_in_order(spark):
             want.append((parent, call, mine[0]))
     assert sorted(map(tuple, spawn_matches(c, d).collect())) == want == [("p", "c1", "A"), ("p", "c3", "B")]
     assert spawn_matches(c.limit(0), d).count() == 0
+
+
+def test_edits(spark):
+    from quern.operators.edits import deleted_turns, rewritten
+
+    rows = [("s", "a", None, 1, 1, "x"), ("s", "b", "a", 2, 2, "x"), ("s", "c", "b", 2, 3, "x"), ("s", "d", "c", 3, 4, "x"), ("s", "e", "gone", 3, 5, "x"), ("s", "f", "a", None, 6, "x"), ("t", "b", None, 2, 1, "x"), ("t", "d", "b", 3, 2, "x")]
+    records = spark.createDataFrame(rows, "session string, uuid string, parent string, turn int, at int, more string")
+    turns = spark.createDataFrame([("s", 2), ("s", 2)], "session string, turn int")
+    got = sorted(tuple(r) for r in deleted_turns(records, turns).select("session", "uuid", "parent", "more").fillna("-").collect())
+    assert got == [("s", "a", "-", "x"), ("s", "d", "a", "x"), ("s", "e", "gone", "x"), ("s", "f", "a", "x"), ("t", "b", "-", "x"), ("t", "d", "b", "x")]
+    loop = spark.createDataFrame([("s", "a", "b", 1, 1), ("s", "b", "a", 1, 2)], "session string, uuid string, parent string, turn int, at int")
+    assert deleted_turns(loop, turns).count() == 2
+    with pytest.raises(ValueError):
+        deleted_turns(loop, spark.createDataFrame([("s", 1)], "session string, turn int"))
+
+    parts = [("s", "a", 0, "text", "1"), ("s", "a", 1, "image", None), ("s", "a", 2, "text", "2"), ("s", "b", 0, "image", None), ("t", "a", 0, "text", "3")]
+    parts = spark.createDataFrame(parts, "session string, uuid string, part int, type string, text string")
+    out, refused = rewritten(parts, spark.createDataFrame([("s", "a", "new"), ("s", "b", "new"), ("s", "z", "new")], "session string, uuid string, text string"))
+    assert sorted(tuple(r) for r in out.fillna("-").collect()) == [("s", "a", 0, "text", "new"), ("s", "a", 1, "image", "-"), ("s", "b", 0, "image", "-"), ("t", "a", 0, "text", "3")]
+    assert sorted(map(tuple, refused.collect())) == [("s", "b", "no_text"), ("s", "z", "stale")]
