@@ -94,6 +94,26 @@ def map_texts(df: DataFrame, function, schema: str | StructType) -> DataFrame:
     return df.toDF(*(odd.get(c, c) for c in df.columns)).mapInArrow(function, plain).toDF(*schema.names)
 
 
+#: Groups of a thousandth of all rows or more: a thousand of them at most, whatever the number of rows.
+HOT_SHARE = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str) -> DataFrame:
+    """`rows` with the columns of `groups` (one row per value of `key`, null included) but `count`, the rows of the
+    group. Rows of values that are not in `groups` get nulls; no rows give none.
+
+    Groups that hold a thousandth of what `groups` counts, or more, are at most 1000: they are broadcast, so their rows
+    stay where they are. The others, of less than a thousandth each, meet their rows by a shuffle.
+    """
+    groups = materialize(groups.withColumnRenamed(key, "quern_key"))
+    total = groups.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    is_hot = F.col(count) * HOT_SHARE >= total
+    hot, rest = F.broadcast(groups.where(is_hot).drop(count)), groups.where(~is_hot).drop(count)
+    meets = F.col(key).eqNullSafe(F.col("quern_key"))
+    others = rows.join(hot.select("quern_key"), meets, "left_anti").join(rest, meets, "left")
+    return rows.join(hot, meets).unionByName(others).drop("quern_key")
+
+
 # ---------------------------------------------------------------------------------------------
 # slices of string columns
 

@@ -16,6 +16,9 @@ from .quality import fit, score
 from .quality_rules import judge
 from .sharding import ShardTable
 from .topk import quantized, top_k
+from .vector_codes import compressed
+from .warc import archived
+from .whitening import whitened
 
 
 def tokenizer_path() -> str:
@@ -121,6 +124,21 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector with its eight leading components; without any the result is empty."""
+    return whitened(load(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector with its code; without any the result is empty."""
+    return compressed(load(spark, sf_dir, "embeddings"))
+
+
+def op13_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its archives give it back; a null html is an empty payload."""
+    return archived(load(spark, sf_dir, "pages"), scratch_dir(spark))
+
+
 # parts of the operators' results that SQL can express, each from the whole operator ----------------
 
 
@@ -163,6 +181,19 @@ def op10_quality_rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
+def op11_embedding_whitening_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By row and component: the exact columns, and whether the whitened values of the component have mean 0 and
+    variance 1, its share lies within 0 and 1 and the identity is met."""
+    out = op11_embedding_whitening(spark, sf_dir).transform(materialize)
+    good = [F.abs(F.avg("whitened")) < 1e-6, F.abs(F.avg(F.col("whitened") * F.col("whitened")) - 1) < 1e-4]
+    good += [F.min("explained") == F.max("explained"), F.max("explained") < 1, F.min("explained") > 0, F.max("identity_error") <= 1e-4]
+    sound = F.lit(True)
+    for test in good:
+        sound &= test
+    checks = out.groupBy("component").agg(sound.alias("sound"))
+    return out.join(F.broadcast(checks), "component").select("vec_id", "component", "n", "deviation", "sound")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -176,6 +207,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality_rules": op10_quality_rules,
         "op7_pack_sequences": op7_pack_sequences,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
+        "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_warc_transactions": op13_warc_transactions,
+        "op11_embedding_whitening_exact": op11_embedding_whitening_exact,
         "op2_language_mixture_und": op2_language_mixture_und,
         "op4_mix_sources_sizes": op4_mix_sources_sizes,
         "op7_pack_sequences_cover": op7_pack_sequences_cover,
@@ -185,8 +220,71 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """The codebooks and codes of op12 by plain comparison of every part with every entry."""
+    out = [
+        f"""
+            WITH v AS (
+                SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+                       list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+                FROM embeddings WHERE {USABLE}),
+            s AS (SELECT r, v, unnest(range({parts})) AS part, len(v) // {parts} AS w FROM v),
+            p AS (SELECT r, part, v[part * w + 1:(part + 1) * w] AS x FROM s),
+            c0 AS (SELECT part, r - 1 AS entry, x FROM p WHERE r <= {entries})"""
+    ]
+    for k in range(rounds + 1):
+        out.append(f"""
+            a{k} AS (
+                SELECT r, part, min(dist) AS dist, arg_min(entry, dist * {entries} + entry) AS entry
+                FROM (SELECT p.r, p.part, c.entry,
+                             CAST(list_sum(list_transform(list_zip(p.x, c.x), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS BIGINT) AS dist
+                      FROM p JOIN c{k} c ON p.part = c.part)
+                GROUP BY r, part)""")
+        if k < rounds:
+            out.append(f"""
+            m{k} AS (
+                SELECT part, entry, list(mean ORDER BY pos) AS x
+                FROM (SELECT part, entry, pos, CAST(floor(sum(y)::DOUBLE / count(*)) AS BIGINT) AS mean
+                      FROM (SELECT a.part, a.entry, unnest(p.x) AS y, unnest(range(len(p.x))) AS pos
+                            FROM a{k} a JOIN p ON a.r = p.r AND a.part = p.part)
+                      GROUP BY part, entry, pos)
+                GROUP BY part, entry),
+            c{k + 1} AS (
+                SELECT c.part, c.entry, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN m{k} m ON c.part = m.part AND c.entry = m.entry)""")
+    out.append(f"""
+            h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds}),
+            e AS (SELECT r, string_agg(lpad(format('{{:x}}', entry), 2, '0'), '' ORDER BY part) AS code, CAST(sum(dist) AS BIGINT) AS error
+                  FROM a{rounds} GROUP BY r)
+            SELECT v.vec_id, e.code, e.error, CAST(sum(e.error) OVER (PARTITION BY v.label) AS BIGINT) AS label_error, h.codebooks_sha256
+            FROM v JOIN e ON v.r = e.r CROSS JOIN h""")
+    return ",".join(out[:-1]) + "," + out[-1]
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_embedding_whitening_exact": f"""
+            WITH v AS (
+                SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS HUGEINT) + 100000) AS x
+                FROM embeddings WHERE {USABLE}),
+            c AS (SELECT r, unnest(x) AS x, unnest(range(len(x))) AS pos FROM v),
+            s AS (SELECT pos, count(*) AS n, CAST(sum(x) AS HUGEINT) AS s FROM c GROUP BY pos),
+            d AS (SELECT c.r, CAST(sum((s.n * c.x - s.s) * (s.n * c.x - s.s)) AS BIGINT) AS deviation FROM c JOIN s ON c.pos = s.pos GROUP BY c.r)
+            SELECT v.vec_id, CAST(k.component AS INTEGER) AS component, (SELECT count(*) FROM v) AS n, d.deviation, true AS sound
+            FROM v JOIN d ON v.r = d.r JOIN range(1, 9) k(component) ON k.component <= len(v.x)""",
+        "op12_vector_codes": _codes_sql(),
+        "op13_warc_transactions": """
+            WITH p AS (SELECT row_number() OVER () AS r, page_id, url, coalesce(html, '') AS html FROM pages),
+            f AS (SELECT r, page_id, url, html, row_number() OVER (PARTITION BY html ORDER BY page_id NULLS LAST, url NULLS LAST, r) AS nth,
+                         first_value(page_id) OVER (PARTITION BY html ORDER BY page_id NULLS LAST, url NULLS LAST, r) AS first_page FROM p),
+            b AS (SELECT *, list_transform(range(8), lambda g: CAST('0x' || substr(sha1(html), 5 * g + 1, 5) AS BIGINT)) AS bits FROM f)
+            SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+                   array_to_string(list_transform(range(32), lambda i:
+                       substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((bits[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+                   CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN nth > 1 THEN first_page END AS refers_to, url
+            FROM b""",
         "op1_sharding": "SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS text_md5 FROM documents",
         "op1_sharding_manifest": """
             SELECT s.step, (SELECT count(*) FROM documents) AS rows, s.step = 'compacted' AND d.n >= 1000 AS fewer_shards,
