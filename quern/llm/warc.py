@@ -20,6 +20,7 @@ from .near_dup import components
 
 #: Separator of rows: two line ends.
 GAP = "\r\n\r\n"
+_GAP = GAP.encode()
 #: Records of an archive file (three a capture).
 RECORDS_PER_FILE = 30_000
 #: Records of one nested row; a capture of more has further rows, told apart by `part`.
@@ -165,28 +166,48 @@ def _header(head: bytes) -> tuple[dict, int | None]:
 
 
 class _Assembler:
-    """Puts the pieces of one archive together, record by record."""
+    """Puts the pieces of one archive together: as bytes again, cut where the lengths of blocks say.
+
+    A block may itself hold separators, or end in a line end that the separator after it takes in.
+    """
 
     def __init__(self, archive: str):
-        self.archive, self.fields, self.length, self.held, self.size = archive, None, 0, [], 0
-
-    def feed(self, piece: bytes) -> dict | None:
-        if self.fields is None:
-            if not piece.startswith(b"WARC/"):  # what lies between records
-                return {"block": piece, "complete": False} if piece.strip() else None
-            self.fields, self.length = _header(piece)
-            self.held, self.size = [], 0
-            return self.close() if self.length is None else None
-        self.held.append(piece)
-        self.size += len(piece) + (len(GAP) if len(self.held) > 1 else 0)
-        return self.close() if self.size >= self.length else None
-
-    def close(self) -> dict | None:
-        if self.fields is None:
-            return None
-        out = self.fields | {"block": GAP.encode().join(self.held), "complete": self.size == self.length}
-        self.fields = None
-        return out
+        self.archive, self.fields, self.length = archive, None, 0
+        self.held: list[bytes] = []
+        self.size = 0
+
+    def _keep(self, data: bytes) -> None:
+        self.held, self.size = [data], len(data)
+
+    def feed(self, piece: bytes) -> Iterator[dict]:
+        """The records that this piece completes."""
+        self.held += [piece, _GAP]
+        self.size += len(piece) + len(_GAP)
+        while self.size >= (1 if self.fields is None else self.length + len(_GAP)):
+            data = b"".join(self.held)
+            if self.fields is not None:
+                end = self.length + len(_GAP)
+                yield self.fields | {"block": data[: self.length], "complete": data[self.length : end] == _GAP}
+                self.fields = None
+                self._keep(data[end:])
+                continue
+            head, _, data = data.lstrip(b"\r\n").partition(_GAP)
+            self._keep(data)
+            if not head.startswith(b"WARC/"):
+                if head:
+                    yield {"block": head, "complete": False}
+                continue
+            self.fields, length = _header(head)
+            if length is None:
+                yield self.fields | {"block": b"", "complete": False}
+                self.fields = None
+            else:
+                self.length = length
+
+    def close(self) -> Iterator[dict]:
+        """The torn record at the end, if there is one."""
+        if self.fields is not None:
+            yield self.fields | {"block": b"".join(self.held)[: -len(_GAP)], "complete": False}
 
 
 def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,24 +218,24 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def batch():
         return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in out], k) for n, k in zip(names, kinds, strict=True)], names=names)
 
+    def add(archive: str, records: Iterator[dict]) -> None:
+        nonlocal held
+        for record in records:
+            out.append(record | {"archive": archive})
+            held += len(record["block"])
+
     for pieces in batches:
-        files = pieces.column(1).to_pylist()
-        for at, archive in enumerate(files):
-            ended = []
+        for at, archive in enumerate(pieces.column(1).to_pylist()):
             if reader is None or reader.archive != archive:
-                ended = [(reader.archive, reader.close())] if reader else []
+                if reader:
+                    add(reader.archive, reader.close())
                 reader = _Assembler(archive)
-            ended.append((archive, reader.feed(pieces.column(0)[at].as_py())))
-            for name, record in ended:
-                if record is not None:
-                    out.append(record | {"archive": name})
-                    held += len(record["block"])
+            add(archive, reader.feed(pieces.column(0)[at].as_py()))
             if held > OUT_BYTES or len(out) >= BATCH_ROWS:
                 yield batch()
                 out, held = [], 0
-    last = reader.close() if reader else None
-    if last is not None:
-        out.append(last | {"archive": reader.archive})
+    if reader:
+        add(reader.archive, reader.close())
     if out:
         yield batch()
 
