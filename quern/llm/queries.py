@@ -40,11 +40,11 @@ def op1_sharding_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the manifests of op1_sharding's table say, by step: rows that the version holds, whether its shards are
     fewer than those that arrived, whether any tier still has shards to merge, rows that lie in more than one shard.
 
-    A table of fewer than ARRIVAL_ROWS * FANOUT rows may arrive in so few shards that nothing is to be merged.
+    Here the rows arrive in shards of 100, so that tables of a thousand rows have something to merge.
     """
     table = ShardTable(spark, scratch_dir(spark))
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    arrived = table.append(docs)
+    arrived = table.append(docs, 100)
     steps = [("arrived", arrived), ("compacted", table.compact())]
     before, out = len(table.manifest(arrived)["shards"]), None
     for step, version in steps:

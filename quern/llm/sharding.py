@@ -26,8 +26,9 @@ from pyspark.sql.types import StructType
 TARGET = 128 << 20
 #: Ratio of sizes within a tier, and shards of a tier that start a merge.
 FANOUT = 4
-#: Rows of an arriving shard, and shards that one job merges at most (their names pass through the driver).
-ARRIVAL_ROWS = 100
+#: Bytes of an arriving shard before encoding, about, and shards that one job merges at most (their names pass
+#: through the driver).
+ARRIVAL_BYTES = 4 << 20
 JOB_SHARDS = 50_000
 #: Hours that a shard outside every manifest is kept: another writer may be about to commit it.
 GRACE_HOURS = 24
@@ -85,9 +86,18 @@ class ShardTable:
         names = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length").orderBy("file").toArrow().to_pylist()
         return [{"file": f"{folder}/{r['file']}", "bytes": r["length"]} for r in names]
 
-    def append(self, df: DataFrame, rows: int = ARRIVAL_ROWS) -> int:
-        """Adds the rows of `df` as new shards of `rows` rows at most and commits; an empty `df` commits its schema
-        alone. Columns go by name; a column that is missing, more than the table has, or of another type is refused
+    def _arrival_rows(self, df: DataFrame) -> int:
+        """Rows that fill a shard: by the mean length of a row's texts and binaries, and eight bytes for any other column."""
+        long = {f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")}
+        size = F.lit(8 * (len(df.columns) - len(long)))
+        for name in long:
+            size = size + F.coalesce(F.octet_length(F.col(f"`{name.replace('`', '``')}`")), F.lit(0))
+        mean = df.agg(F.avg(size)).first()[0]
+        return max(1, int(ARRIVAL_BYTES / max(mean or 1, 1)))
+
+    def append(self, df: DataFrame, rows: int | None = None) -> int:
+        """Adds the rows of `df` as new shards of `rows` rows at most (as many as make ARRIVAL_BYTES, if not given) and
+        commits; an empty `df` commits its schema alone. Columns go by name; a column that is missing, more than the table has, or of another type is refused
         with ValueError before anything is written."""
         base = self.manifest()
         schema = base["schema"] or df.schema.json()
@@ -95,7 +105,7 @@ class ShardTable:
         if have != want:
             raise ValueError(f"the table's columns are {want}, not {have}")
         df = df.select(*(F.col(f"`{name.replace('`', '``')}`") for name in want))
-        return self._commit(base, base["shards"] + self._write(df, rows), schema)
+        return self._commit(base, base["shards"] + self._write(df, rows or self._arrival_rows(df)), schema)
 
     def tier(self, size: int) -> int:
         """0 from the target on; otherwise 1, 2, ... for each factor of the fan-out below it."""
@@ -136,8 +146,9 @@ class ShardTable:
         return own
 
     def compact(self) -> int:
-        """Merges until no tier holds `fanout` mergeable shards; each round is one commit. Returns the version. A round
-        that fails or is cut off leaves the last version as it was. A table that needs no merge is not changed."""
+        """Merges until no tier holds `fanout` mergeable shards, or a round would not make fewer shards than it takes
+        (its files then stay outside every manifest, for `vacuum`); each round is one commit. Returns the version. A
+        round that fails or is cut off leaves the last version as it was. A table that needs no merge is not changed."""
         packing = self._packing()
         while tiers := self.plan(base := self.manifest()):
             made = []
