@@ -20,7 +20,7 @@ from .common import hash_sample, map_texts, materialize, slices, span_hashes, wi
 
 #: Bound of the fitted sample: labelled texts of each class (chosen by a hash of the id).
 PER_CLASS = 3000
-#: Bytes of the sample's texts, in the order of their hash, beyond which no further text is taken.
+#: Bytes of the sample's texts; those that do not fit are left out (see _within_bytes).
 SAMPLE_BYTES = 64 << 20
 #: Hashed word space, and sample documents that must hold a word.
 BUCKETS = 1 << 20
@@ -147,10 +147,21 @@ def _bagger(kept: np.ndarray | None):
 _BAG = "doc_id long, label int, bucket array<int>, sentence array<int>, times array<int>, n long"
 
 
+def _within_bytes(sized: DataFrame, most: int | None = None) -> DataFrame:
+    """The rows (doc_id, label, size; two classes of PER_CLASS ids at most) whose texts are taken: half of the bytes go
+    to each label. Texts of up to a sixteenth of that come first, in the order of a hash, then longer ones, the shortest
+    first. A text that does not fit is left out; a label keeps one text at least."""
+    most = (most or SAMPLE_BYTES) // 2
+    is_long = F.col("size") > most // 16
+    order = Window.partitionBy("label").orderBy(is_long, F.when(is_long, F.col("size")), F.xxhash64("doc_id", F.lit(5)), "doc_id")
+    return sized.withColumn("taken", F.sum("size").over(order)).withColumn("nth", F.row_number().over(order)).where((F.col("taken") <= most) | (F.col("nth") == 1))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Fits on documents (doc_id, text) and labels (doc_id, label 0 or 1), on PER_CLASS texts of each label and
-    SAMPLE_BYTES of text at most, chosen by a hash of the id. Null ids and labels are left out, as are ids that have
-    both labels; repeated labels count once, repeated texts each. None where either class is missing.
+    SAMPLE_BYTES of text (or one text of each label, if longer), chosen by a hash of the id. Null ids and labels are left
+    out, as are ids that have both labels; repeated labels count once, as do rows of one id, whose text of least hash is
+    taken. None where either class has no document; texts too long for the sample do not make a class empty.
 
     The words that MIN_DOCS of the sample's texts hold are counted before anything comes to the driver: it gets only
     pairs of such a word and a sentence.
@@ -161,10 +172,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     if len(counts) < 2:
         return None
     chosen = hash_sample(known, PER_CLASS, 5, "label")
-    # a broadcast of at most 2 * PER_CLASS ids
-    picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
-    taken = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "text"))
-    picked = materialize(picked.withColumn("_taken", taken).where(F.col("_taken") <= SAMPLE_BYTES // 2).select("doc_id", "label", "text"))
+    # a broadcast of at most 2 * PER_CLASS ids; of texts that share an id the one of least hash
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("mark", F.xxhash64("text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    sized = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("mark", size.alias("size"))).alias("one"))
+    picked = F.broadcast(_within_bytes(sized.select("doc_id", "label", "one.*")).select("doc_id", "label", "mark"))
+    picked = texts.join(picked, ["doc_id", "mark"]).groupBy("doc_id", "label").agg(F.first("text").alias("text"))
+    picked = materialize(picked)
     held = picked.transform(map_texts, _bagger(None), _BAG).select(F.explode(F.array_distinct("bucket")).alias("bucket"))
     frequent = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCS).select("bucket").toArrow()
     kept = np.zeros(BUCKETS, bool)
