@@ -139,8 +139,8 @@ def estimate_prior(pos: np.ndarray, web: np.ndarray, delta: float = 0.1) -> floa
 
 def fit(docs: DataFrame, trusted: DataFrame) -> Model | None:
     """Fits on documents (doc_id, text): those whose id is in `trusted` (doc_id) are positives, all are unlabelled
-    web text. Both samples are bounded (POSITIVES, UNLABELLED) and chosen by a hash of the id. None where there is
-    no positive to learn from.
+    web text. Both samples are bounded (POSITIVES, UNLABELLED) and chosen by a hash of the id; of rows that share an id
+    the text of least hash counts. None where there is no positive to learn from.
     """
     some = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     ids = trusted.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
@@ -148,6 +148,8 @@ def fit(docs: DataFrame, trusted: DataFrame) -> Model | None:
     web_ids = hash_sample(some.select("doc_id"), UNLABELLED, 11).withColumn("positive", F.lit(False))
     # a broadcast of at most POSITIVES + UNLABELLED ids
     picked = some.join(F.broadcast(chosen.unionByName(web_ids)), "doc_id")
+    # of rows that share an id one text, so that what comes to the driver is bounded by the ids
+    picked = picked.groupBy("doc_id", "positive").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     schema = "doc_id long, positive boolean, x array<float>"
     rows = picked.select("doc_id", "positive", "text").transform(map_texts, _featurizer(["doc_id", "positive"]), schema).orderBy("doc_id", "positive").toArrow()
     if not rows.num_rows:
