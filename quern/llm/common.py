@@ -72,8 +72,9 @@ def _reach(n: int, seen):
     return (1.2 * n + 10 * (n + 100) ** 0.5) / seen
 
 
-#: Rows of an Arrow batch: texts may be long, and a batch is held several times on its way to Python and back.
+#: Rows and bytes of an Arrow batch: texts may be long, and a batch is held several times on its way to Python and back.
 BATCH_ROWS = 512
+BATCH_BYTES = 32 << 20
 
 
 def with_fields(df: DataFrame, **kinds: str) -> StructType:
@@ -82,11 +83,12 @@ def with_fields(df: DataFrame, **kinds: str) -> StructType:
 
 
 def map_texts(df: DataFrame, function, schema: str | StructType) -> DataFrame:
-    """mapInArrow with batches of few rows (a session setting, lowered where it is larger). Columns whose names hold
+    """mapInArrow with batches of few rows and bytes (session settings, lowered where they are larger). Columns whose names hold
     a dot or a backtick, which mapInArrow cannot take, pass under plain names and get theirs back."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:
         conf.set(key, str(BATCH_ROWS))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     odd = {c: f"quern_{k}" for k, c in enumerate(df.columns) if "`" in c or "." in c}
     if not odd:
         return df.mapInArrow(function, schema)

@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, materialize, mix, shingles, slices, words
 
-#: Texts of one side of a work unit.
+#: Texts of one side of a work unit, and the shingles that they hold together, about (a longer text is a side of its own).
 UNIT = 256
+UNIT_SHINGLES = 1 << 22
+#: Cells of the grid in which a unit's sets are compared, so many texts of it at a time.
+GRID = 1 << 26
 #: Minhashes in a band; two bands make a table key.
 ROWS = 4
 #: Chance that a pair exactly at the threshold meets in no table.
@@ -166,8 +169,9 @@ def _forest(ids: list[int], sides: list[int], sets: list[np.ndarray], percent: i
     left = [i for i, s in enumerate(sides) if s < 1]
     right = [i for i, s in enumerate(sides) if s != 0]
     out = []
-    for p in range(0, len(left), 64):
-        rows = left[p : p + 64]
+    step = max(1, min(64, GRID // width))
+    for p in range(0, len(left), step):
+        rows = left[p : p + step]
         counts = np.zeros((len(rows), len(right)), np.int64)
         grid = np.zeros((len(rows), width), bool)
         for k, i in enumerate(rows):
@@ -192,13 +196,13 @@ def _verifier(percent: int):
                 found.extend(e for e in _forest(ids, sides, sets, percent) if e[0] != e[1])
 
         for batch in batches:
-            for u, i, side, s in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for at, (u, i, side) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True)):
                 if u != unit:
                     close()
                     unit, ids, sides, sets = u, [], [], []
                 ids.append(i)
                 sides.append(side)
-                sets.append(np.frombuffer(s, np.uint64))
+                sets.append(np.frombuffer(batch.column(3)[at].as_py(), np.uint64))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
                 found = []
@@ -213,8 +217,10 @@ def _units(members: DataFrame, threshold: float, n: int) -> DataFrame:
     """Adds to (rep, n_shingles, cluster) an array of (unit, side): bounded groups that together hold every pair that sizes allow."""
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(1 / threshold)).cast("int")
     m = materialize(members.withColumn("band", band), n)
-    total = m.groupBy("cluster").agg(F.count(F.lit(1)).alias("total"))
-    parts = m.groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) / UNIT).cast("int").alias("parts"))
+    # how many sides rows fill: by their number, or by their shingles where those are more
+    sides = F.ceil(F.greatest(F.count(F.lit(1)) / UNIT, F.sum("n_shingles") / UNIT_SHINGLES)).cast("int")
+    total = m.groupBy("cluster").agg(sides.alias("total"))
+    parts = m.groupBy("cluster", "band").agg(sides.alias("parts"))
     near = lambda d, name: parts.select("cluster", (F.col("band") + d).alias("band"), F.col("parts").alias(name))
     m = m.join(total, "cluster").join(parts, ["cluster", "band"]).join(near(-1, "above"), ["cluster", "band"], "left").join(near(1, "below"), ["cluster", "band"], "left").fillna(0, ["above", "below"])
     own = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("parts")).cast("int")
@@ -226,7 +232,7 @@ def _units(members: DataFrame, threshold: float, n: int) -> DataFrame:
     up = F.transform(upto("above"), lambda t: item(unit(2, F.col("band"), F.col("own"), t), F.lit(0)))
     down = F.transform(upto("below"), lambda t: item(unit(2, F.col("band") - 1, t, F.col("own")), F.lit(1)))
     whole = F.array(item(unit(0, F.lit(0), F.lit(0), F.lit(0)), F.lit(-1)))
-    return m.select("rep", "print_a", "print_b", F.when(F.col("total") <= UNIT, whole).otherwise(F.concat(same, up, down)).alias("units"))
+    return m.select("rep", "print_a", "print_b", F.when(F.col("total") == 1, whole).otherwise(F.concat(same, up, down)).alias("units"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
