@@ -31,6 +31,8 @@ PASSES = 2
 GROUP = 512
 #: Rounds of the block permutation.
 ROUNDS = 16
+#: Copies of one row that a task gives their places.
+COPIES = 4096
 
 def shares(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, total: Fraction = TOTAL, most: int = PASSES) -> dict[str | None, Fraction]:
     """Target words of each source: sources in code-point order (null last) weigh `weights` in turn and share
@@ -114,31 +116,64 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(size)], ["doc_id", "source", "mark", "size"])
 
 
+def _mark() -> Column:
+    return F.xxhash64(F.col("text").cast("string"), F.col("source").cast("string"))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64("text", "source").alias("mark"), F.col("text").cast("string"))
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), _mark().alias("mark"), F.col("text").cast("string"))
+
+
+def _copy_numbers(rows: DataFrame) -> DataFrame:
+    """Adds `copy`, from 0 among the rows of one doc_id and mark, to rows with their number in a scan: counted within
+    each partition of the scan, behind the rows of the partitions before it, so no task sees all rows of a key."""
+    rows = rows.withColumn("split", F.shiftright("number", 33))
+    key = ["doc_id", "mark"]
+    counts = rows.groupBy(*key, "split").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*key).orderBy("split")) - F.col("n")
+    counts = counts.select(*(F.col(c).alias(f"of_{c}") for c in [*key, "split"]), before.alias("before"))
+    within = F.row_number().over(Window.partitionBy(*key, "split").orderBy("number")) - 1
+    rows = rows.withColumn("within", within.cast("long"))
+    same = F.lit(True)
+    for c in [*key, "split"]:
+        same &= F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    return rows.join(counts, same).select("number", *key, (F.col("before") + F.col("within")).alias("copy"))
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """A row for each of the `copies` of a row, numbered from 0 (`copy`). What is repeated very often is cut into runs
+    first, so that no task makes all copies of a row that is a large part of the table."""
+    few = rows.where(F.col("copies") <= COPIES).withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)")))
+    many = rows.where(F.col("copies") > COPIES).withColumn("run", F.explode(F.expr(f"sequence(0L, copies - 1, {COPIES}L)")))
+    many = many.repartition("k", "mark", "run").withColumn("copy", F.explode(F.expr(f"sequence(run, least(run + {COPIES}, copies) - 1)")))
+    return few.unionByName(many.drop("run"))
 
 
 def _positions(docs: DataFrame) -> DataFrame:
     """Adds `at`, the words of the source before the document: sums of hashed groups first, then within a group,
-    so that a source of any size is spread over many groups. Needs doc_id, k (source number), mark, size."""
+    so that a source of any size is spread over many groups. Needs doc_id, k (source number), mark and size;
+    rows that agree in all of them are counted first and placed one behind the other, so they take no more than a row."""
+    same = docs.columns
+    docs = docs.groupBy(*same).agg(F.count(F.lit(1)).alias("copies")).withColumn("words", F.col("size") * F.col("copies"))
     groups = max(1, docs.agg(F.count(F.lit(1))).first()[0] // GROUP)
-    docs = docs.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(groups)))
-    sums = docs.groupBy("k", "part").agg(F.sum("size").alias("words")).withColumn("row", F.floor(F.col("part") / GROUP))
+    docs = docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "mark", F.lit(3)), F.lit(groups)))
+    sums = docs.groupBy("k", "part").agg(F.sum("words").alias("words")).withColumn("row", F.floor(F.col("part") / GROUP))
     rows = sums.groupBy("k", "row").agg(F.sum("words").alias("words"))
     rows = rows.select("k", "row", (F.sum("words").over(Window.partitionBy("k").orderBy("row")) - F.col("words")).alias("row_at"))
     sums = sums.withColumn("part_at", F.sum("words").over(Window.partitionBy("k", "row").orderBy("part")) - F.col("words"))
     start = sums.join(rows, ["k", "row"]).select("k", "part", (F.col("row_at") + F.col("part_at")).alias("start"))
     within = Window.partitionBy("k", "part").orderBy("doc_id", "mark", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    docs = docs.withColumn("before", F.sum("size").over(within) - F.col("size"))
-    return docs.join(start, ["k", "part"]).withColumn("at", F.col("start") + F.col("before")).drop("start", "before", "part")
+    docs = docs.withColumn("before", F.sum("words").over(within) - F.col("words"))
+    docs = docs.join(start, ["k", "part"]).withColumn("first_at", F.col("start") + F.col("before"))
+    return _copies(docs).withColumn("at", F.col("first_at") + F.col("copy") * F.col("size")).select(*same, "copy", "at")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """The mix of `docs` (doc_id, text, source): a table of its documents and a table of its spans.
 
-    Documents: doc_id, source, mark, size (words), k (number of the source), source_size, target, at (words of
-    the source before it) - one row per row of `docs`. Spans: shard, slot, k, at, start, length - the words of
-    each slot of each output shard, by document. A null or empty text has no words and no span; null is a source
+    Documents: doc_id, source, mark, size (words), k (number of the source), source_size, target, copy, at (words
+    of the source before it) - one row per row of `docs`. Spans: shard, slot, k, at, start, length - the words of
+    each slot of each output shard, by document. `copy` numbers the rows of one doc_id, text and source from 0. A null or empty text has no words and no span; null is a source
     of its own, the last; a null doc_id comes first in its group; repeated rows are interchangeable and each keep
     their place. An empty table gives empty tables. The number of sources is a configuration's: their sizes are
     read on the driver, documents are not.
@@ -178,16 +213,21 @@ def _cut(text: pd.Series, spans: pd.Series) -> pd.Series:
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The mix as documents: the columns of `docs`, each document's text being the words that the mix takes of
     it (pass by pass, a line per span) and n_chars, where there is such a column, their length. A document of
-    which nothing is taken is not in the mix. Edge cases are those of `mix`.
+    which nothing is taken is not in the mix. Edge cases are those of `mix`. `docs` is scanned three times and must
+    give its rows in the same partitions and order each time, as tables and files do.
     """
     placed, spans = mix(docs, weights)
     taken = spans.groupBy("k", "at").agg(F.array_sort(F.collect_list(F.struct("slot", "start", "length"))).alias("spans"))
-    copy = lambda by: F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy(by))
-    taken = placed.where("size > 0").join(taken, ["k", "at"]).withColumn("copy", copy("at"))
-    taken = taken.select(*(F.col(c).alias(f"own_{c}") for c in ("doc_id", "mark", "copy", "spans")))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long"), F.xxhash64("text", F.col("source").cast("string")).alias("mark"))
-    rows = rows.withColumn("copy", copy(F.lit(0)))
-    out = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("own_doc_id")) & (F.col("mark") == F.col("own_mark")) & (F.col("copy") == F.col("own_copy")))
+    own = ["doc_id", "mark", "copy"]
+    taken = placed.where("size > 0").join(taken, ["k", "at"]).select(*(F.col(c).alias(f"own_{c}") for c in [*own, "spans"]))
+    same = F.lit(True)
+    for c in own:
+        same &= F.col(c).eqNullSafe(F.col(f"own_{c}"))
+    # rows by their number in the scan: numbers and keys alone say which copy a row is, its text is dealt once
+    row = F.struct("*").alias("row")
+    numbered = docs.select(row, F.col("doc_id").cast("long"), _mark().alias("mark"), F.monotonically_increasing_id().alias("number"))
+    chosen = _copy_numbers(numbered.select("number", "doc_id", "mark")).join(taken, same).select("number", "own_spans")
+    out = numbered.select("row", "number").join(chosen.hint("merge"), "number")
     out = out.select("row", _cut(F.col("row.text"), F.col("own_spans")).alias("own_text"))
     edited = {"text": F.col("own_text"), "n_chars": F.length("own_text").cast("long")}
     return out.select(*(edited.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
