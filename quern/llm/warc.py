@@ -275,6 +275,23 @@ def with_payload_facts(records: DataFrame) -> DataFrame:
 # assembly
 
 
+def _captures(records: DataFrame) -> DataFrame:
+    """(node, root) of all records that name another or are named: root is the smallest id of the capture.
+
+    Where no record that is named names another itself, and none names two (what most writers do), the named ones are
+    the middles of all captures, and one aggregation finds the smallest ids. Otherwise components are sought.
+    """
+    links = records.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b")).where("a is not null and a <> b").distinct()
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("b").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("into")))).alias("e"))
+    ends = ends.groupBy("e.id").agg(F.sum("e.out").alias("out"), F.max("e.into").alias("into"))
+    if not ends.where((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0))).isEmpty():
+        return components(links.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")))
+    middles = links.groupBy("b").agg(F.min("a").alias("least"), F.count(F.lit(1)).alias("n_rows")).withColumn("root", F.least("b", "least"))
+    middles = materialize(middles)
+    named = join_groups(links, middles.select("b", "root", "n_rows"), "b", "n_rows").select(F.col("a").alias("node"), "root")
+    return named.unionByName(middles.select(F.col("b").alias("node"), "root"))
+
+
 def transactions(records: DataFrame) -> DataFrame:
     """One nested row per capture: capture_id, part, n_records, and arrays responses, requests, metadata, others of
     the columns of `records` (record_id, record_type, concurrent_to and any others).
@@ -285,10 +302,7 @@ def transactions(records: DataFrame) -> DataFrame:
     without an id is a capture of its own with the null id. A capture of more than RECORDS_PER_ROW records is dealt over
     rows of about that many by the hash of the ids (`part` from 0). Records that share an id are all kept.
     """
-    links = records.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b")).where("a is not null")
-    links = links.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a"))
-    roots = materialize(components(links))
-    roots = roots.select(F.col("node").alias("record_id"), F.col("root").alias("capture_id"))
+    roots = materialize(_captures(records)).select(F.col("node").alias("record_id"), F.col("root").alias("capture_id"))
     own = records.select(F.struct(*[F.col(f"`{c}`") for c in records.columns]).alias("record"), "record_id", "record_type")
     placed = own.where("record_id is not null").join(roots, "record_id", "left").withColumn("capture_id", F.coalesce("capture_id", "record_id"))
     sizes = placed.groupBy("capture_id").agg(F.count(F.lit(1)).alias("n_records"))
