@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .topology import _durable, closure
+from .topology import _durable, forest
 
 
 def linked_edges(calls: DataFrame, edges: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def consecutive_groups(rows: DataFrame, partition: str, order: str, key: Column)
 
 def tree_counts(sessions: DataFrame, messages: DataFrame, edges: DataFrame) -> DataFrame:
     """By root: sessions, messages and edges of the tree. Sessions: id, parent_id."""
-    top = closure(sessions).join(sessions.where("parent_id is null").select(F.col("id").alias("ancestor")), "ancestor").select(F.col("ancestor").alias("root"), F.col("node").alias("session"))
+    top = forest(sessions).select(F.col("top").alias("root"), F.col("node").alias("session"))
     m = messages.groupBy("session").agg(F.count(F.lit(1)).alias("_m"))
     e = edges.groupBy("session").agg(F.count(F.lit(1)).alias("_e"))
     zero = lambda c: F.sum(F.coalesce(c, F.lit(0))).cast("long")
@@ -112,10 +112,10 @@ def strict_closure(nodes: DataFrame, registry: DataFrame) -> DataFrame:
     tree = both.select("id", F.coalesce("parent_id", "_r").alias("parent_id"))
     if not tree.where("parent_id is not null").join(tree.select(F.col("id").alias("parent_id")), "parent_id", "left_anti").isEmpty():
         raise ValueError("a parent is missing")
-    roots = tree.where("parent_id is null").select(F.col("id").alias("ancestor"))
-    reached = closure(tree).join(roots, "ancestor").select(F.col("ancestor").alias("root"), "node")
-    if not tree.join(reached.select(F.col("node").alias("id")), "id", "left_anti").isEmpty():
+    reached = _durable(forest(tree).select(F.col("top").alias("root"), "node", "parent"))
+    if not tree.where("parent_id is not null").join(reached.where("parent is null").select(F.col("node").alias("id")), "id", "left_semi").isEmpty():
         raise ValueError("a tree runs in a circle")
+    reached = reached.drop("parent")
     digest = reached.groupBy("root").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("node")), "\n"), 256).alias("digest"))
     return reached.join(digest, "root")
 

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def _durable(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read again."""
+    return _counted(df, None)[0]
+
+
+def _counted(df: DataFrame, column: str | None) -> tuple[DataFrame, int]:
+    """_durable, and how many values of `column` are not null, counted while they are written."""
     spark: SparkSession = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -16,8 +22,9 @@ def _durable(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a shared folder")
         root = "file:///tmp/checkpoints/quern"
     path = f"{root.rstrip('/')}/tree-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    (df if column is None else df.observe(seen, F.count(column).alias("n"))).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), 0 if column is None else seen.get["n"]
 
 
 def closure(nodes: DataFrame, node: str = "id", parent: str = "parent_id", rounds: int = 40) -> DataFrame:
@@ -39,27 +46,93 @@ def closure(nodes: DataFrame, node: str = "id", parent: str = "parent_id", round
     return pairs.unionByName(own)
 
 
+def _doubled(state: DataFrame, sums: list[str], maxima: list[str]) -> DataFrame:
+    """One round: (node, up, top, depth, ...) with `up` the ancestor 2^k steps above becomes that 2^(k + 1) above, and
+    what is folded over the nearest 2^k levels below a node becomes that of twice as many."""
+    below = [F.sum(c).alias(f"_{c}") for c in sums] + [F.max(c).alias(f"_{c}") for c in maxima]
+    if below:
+        given = state.where("up is not null").groupBy(F.col("up").alias("node")).agg(*below)
+        both = state.join(given, "node", "left")
+        more = {c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)) for c in sums} | {c: F.greatest(c, f"_{c}") for c in maxima}
+    else:
+        both, more = state, {}
+    far = state.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"), F.col("depth").alias("_depth"))
+    moved = both.where("up is not null").join(far, "up")
+    step = (F.col("reach") + F.col("_depth")).alias("depth")
+    kept = [more.get(c, F.col(c)).alias(c) for c in [*sums, *maxima]]
+    moved = moved.select("node", F.col("_up").alias("up"), F.col("_top").alias("top"), step, (2 * F.col("reach")).alias("reach"), *kept)
+    still = both.where("up is null").select("node", "up", "top", "depth", "reach", *kept)
+    return moved.unionByName(still)
+
+
+def _placed(state: DataFrame, start: DataFrame) -> DataFrame:
+    return state.drop("up", "reach").join(start.select("node", F.col("up").alias("parent")), "node")
+
+
+def forest(nodes: DataFrame, node: str = "id", parent: str = "parent_id", sums: dict | None = None, maxima: dict | None = None) -> DataFrame:
+    """Every node once (node), with its parent in the forest (`parent`, null for a root), its root (`top`), its `depth`,
+    and for each name in `sums` and `maxima` the sum or maximum of a column expression over its subtree.
+
+    A parent that is unknown, or the node itself, makes a root, and so does being a member of a cycle. Of rows that share
+    an id the greatest counts; rows without one are left out; an empty table gives no rows. Pointers are
+    doubled with partial sums beside them: nodes times the logarithm of the depth, never pairs of nodes.
+    """
+    sums, maxima = sums or {}, maxima or {}
+    values = [v.alias(k) for k, v in (sums | maxima).items()]
+    own = nodes.where(F.col(node).isNotNull()).select(F.col(node).alias("node"), F.col(parent).alias("up"), *values)
+    # a repeated id would double in every join
+    own = own.groupBy("node").agg(F.max(F.struct(*(c for c in own.columns if c != "node"))).alias("r")).select("node", "r.*")
+    known = own.select(F.col("node").alias("_known")).distinct()
+    own = own.join(known, F.col("up") == F.col("_known"), "left").withColumn("up", F.when(F.col("_known") != F.col("node"), F.col("_known"))).drop("_known")
+    own, n = _counted(own, "node")
+    cut = None
+    while True:
+        start = own if cut is None else own.join(cut, "node", "left").withColumn("up", F.when(F.col("_in_cycle").isNull(), F.col("up"))).drop("_in_cycle")
+        one = F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")
+        state = start.select("node", "up", F.coalesce("up", "node").alias("top"), one.alias("depth"), F.lit(1).cast("long").alias("reach"), *sums, *maxima)
+        reach, left = 1, n
+        while reach <= n and left:
+            state, left = _counted(_doubled(state, list(sums), list(maxima)), "up")
+            reach *= 2
+        if not left:
+            return _placed(state, start)
+        # more steps than nodes: whoever is still reached lies on a cycle
+        circles = state.where("up is not null").select(F.col("up").alias("node")).distinct()
+        cut = _durable(circles.withColumn("_in_cycle", F.lit(True)))
+
+
+def settled(hops: DataFrame) -> DataFrame:
+    """(node, up) with `up` the first on the way up that is not itself a node of `hops` (node, up); null where the way
+    ends or runs in a circle. Ways are halved each round, so long ones take few joins."""
+    now, reach = _durable(hops.select("node", "up")), 1
+    n = now.count()
+    while True:
+        far = now.select(F.col("node").alias("_node"), F.col("up").alias("_up"))
+        open_ways = now.join(far, F.col("up") == F.col("_node"))
+        if open_ways.isEmpty():
+            return now
+        if reach > n:
+            circling = open_ways.select(F.col("node").alias("_node")).distinct()
+            both = now.join(circling, F.col("node") == F.col("_node"), "left")
+            return both.select("node", F.when(F.col("_node").isNull(), F.col("up")).alias("up"))
+        both = now.join(far, F.col("up") == F.col("_node"), "left")
+        now = _durable(both.select("node", F.when(F.col("_node").isNotNull(), F.col("_up")).otherwise(F.col("up")).alias("up")))
+        reach *= 2
+
+
 def rollup(nodes: DataFrame, node: str = "id", parent: str = "parent_id") -> DataFrame:
     """Sums of count and size and the newest update over each subtree; tokens are the node's own."""
-    c = closure(nodes, node, parent)
-    values = nodes.select(F.col(node).alias("node"), "count", "size", "updated")
-    tree = c.join(values, "node").groupBy("ancestor").agg(F.sum("count").cast("long").alias("count"), F.sum("size").cast("long").alias("size"), F.max("updated").alias("updated"), F.count(F.lit(1)).alias("tree_count"), F.count(F.when(F.col("depth") == 1, 1)).alias("child_count"))
-    return nodes.select(F.col(node).alias("ancestor"), "tokens").join(tree, "ancestor").withColumnRenamed("ancestor", node)
+    values = {"count": F.col("count").cast("long"), "size": F.col("size").cast("long"), "tree_count": F.lit(1).cast("long")}
+    tree = forest(nodes, node, parent, values, {"updated": F.col("updated")})
+    children = tree.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("child_count"))
+    tokens = nodes.select(F.col(node).alias("node"), "tokens")
+    out = tree.join(children, "node", "left").join(tokens, "node")
+    return out.select(F.col("node").alias(node), "tokens", "count", "size", "updated", "tree_count", F.coalesce("child_count", F.lit(0)).cast("long").alias("child_count"))
 
 
 def roots(nodes: DataFrame, node: str = "id", parent: str = "parent_id") -> DataFrame:
     """Nodes without a known parent, and every member of a cycle."""
-    known = nodes.select(F.col(node).alias(parent)).distinct()
-    orphan = nodes.join(known, parent, "left_anti").select(node)
-    step = nodes.select(F.col(parent).alias("a"), F.col(node).alias("n")).where("a is not null")
-    # a member of a cycle reaches itself: doubling over the pairs, keeping those that return
-    pairs, size, cyclic = _durable(step), -1, step.where("a = n").select(F.col("n").alias(node))
-    while (n := pairs.count()) != size:
-        size = n
-        longer = pairs.alias("l").join(pairs.alias("r"), F.col("l.n") == F.col("r.a")).select(F.col("l.a"), F.col("r.n"))
-        pairs = _durable(pairs.union(longer).distinct())
-    cyclic = cyclic.union(pairs.where("a = n").select(F.col("n").alias(node)))
-    return orphan.union(cyclic).distinct()
+    return forest(nodes, node, parent).where("parent is null").select(F.col("node").alias(node))
 
 
 def active_branch(records: DataFrame, session: str, node: str, parent: str, order: str) -> DataFrame:
@@ -93,18 +166,22 @@ def active_branch(records: DataFrame, session: str, node: str, parent: str, orde
 
 
 def relinked(nodes: DataFrame, removed: DataFrame, node: str = "id", parent: str = "parent_id") -> DataFrame:
-    """Surviving nodes with their nearest surviving ancestor as parent."""
-    c = closure(nodes, node, parent).where("depth > 0")
-    alive = c.join(removed.select(F.col(node).alias("ancestor")), "ancestor", "left_anti")
-    near = alive.groupBy("node").agg(F.min_by("ancestor", "depth").alias(parent)).withColumnRenamed("node", node)
-    return nodes.drop(parent).join(removed.select(node), node, "left_anti").join(near, node, "left")
+    """Surviving nodes with their nearest surviving ancestor as parent; null where there is none."""
+    gone = removed.select(F.col(node).alias("_gone")).distinct()
+    hops = nodes.select(F.col(node).alias("node"), F.col(parent).alias("up")).join(gone, F.col("node") == F.col("_gone"), "left_semi")
+    near = settled(hops).select(F.col("node").alias("_from"), F.col("up").alias("_near"))
+    known = nodes.select(F.col(node).alias("_known")).distinct()
+    alive = nodes.join(gone, F.col(node) == F.col("_gone"), "left_anti").join(near, F.col(parent) == F.col("_from"), "left")
+    alive = alive.withColumn(parent, F.when(F.col("_from").isNotNull(), F.col("_near")).otherwise(F.col(parent)))
+    out = alive.join(known, F.col(parent) == F.col("_known"), "left").withColumn(parent, F.col("_known"))
+    return out.select(*(c for c in nodes.columns if c != parent), parent)
 
 
 def shape(nodes: DataFrame, label: str, node: str = "id", parent: str = "parent_id") -> DataFrame:
     """An order-free digest of each tree: equal where the trees have equal labels level by level under equal parents.
     Digests are folded upwards one level at a time, so the number of joins is the height of the tallest tree."""
-    depth = closure(nodes, node, parent).groupBy("node").agg(F.max("depth").alias("level"))
-    now = _durable(nodes.join(depth.withColumnRenamed("node", node), node).select(node, parent, "level", F.sha2(F.col(label), 256).alias("digest")))
+    placed = forest(nodes, node, parent).select(F.col("node").alias(node), F.col("parent").alias(parent), F.col("depth").alias("level"))
+    now = _durable(nodes.select(node, label).join(placed, node).select(node, parent, "level", F.sha2(F.col(label), 256).alias("digest")))
     top = now.agg(F.max("level")).first()[0] or 0
     for level in range(top, 0, -1):
         kids = now.where(F.col("level") == level).groupBy(F.col(parent).alias("_p")).agg(F.array_join(F.array_sort(F.collect_list("digest")), ",").alias("kids"))
