@@ -12,6 +12,7 @@ from ..operators import records as R
 from ..operators import search as S
 from ..operators import sessions as C
 from ..sources import canonical as N
+from ..sources import updates as N2
 from .catalog import load, query
 
 # stand-ins: a conversation is a session, its rows are messages -----------------------------------
@@ -607,3 +608,46 @@ def canonical_database(spark, sf_dir):
 def canonical_chat(spark, sf_dir):
     raw = F.to_json(F.struct(F.when(F.col("role") == "system", "note").otherwise(F.col("role")).alias("type"), F.col("text").alias("content")))
     return _shown(N.chat(_records(spark, sf_dir, raw))).drop("op")
+
+
+@query("""
+    WITH p AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS pr FROM conversations),
+    i AS (SELECT *, row_number() OVER (PARTITION BY conv_id, pr ORDER BY turn) - row_number() OVER (PARTITION BY conv_id, pr, role ORDER BY turn) AS isl FROM p WHERE role <> 'user'),
+    b AS (
+        SELECT conv_id, pr, 0 AS sub, turn AS place, 'user' AS role, 'text' AS kind, text, NULL AS op FROM p WHERE role = 'user'
+        UNION ALL SELECT conv_id, pr, 1, min(turn), 'assistant', 'text', string_agg(text, '' ORDER BY turn), NULL FROM i WHERE role = 'assistant' GROUP BY conv_id, pr, isl
+        UNION ALL SELECT conv_id, pr, 1, turn, 'assistant', 'tool', text, 'shell.exec' FROM i WHERE role = 'system')
+    SELECT concat('c', conv_id) AS session, dense_rank() OVER (PARTITION BY conv_id ORDER BY pr, sub) AS message_idx,
+           row_number() OVER (PARTITION BY conv_id, pr, sub ORDER BY place) - 1 AS block_idx, role, kind, op, md5(text) AS said_md5,
+           CASE WHEN kind = 'tool' THEN 'success' END AS status, CASE WHEN kind = 'tool' THEN md5(text) END AS output_md5
+    FROM b WHERE text <> ''""")
+def canonical_updates(spark, sf_dir):
+    """Each message as two chunks or as a call with two updates, prompts named by id or by index alone; then a prompt
+    that a marker takes back."""
+    w = N.Window.partitionBy("conv_id").orderBy("turn")
+    c = load(spark, sf_dir, "conversations").withColumn("pr", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w))
+    half = F.floor(F.length("text") / 2).cast("int")
+    parts = [F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))]
+    named = F.struct(F.concat(F.lit("p"), "pr").alias("promptId"), F.col("pr").alias("promptIndex"))
+    line = lambda update, meta: F.to_json(F.struct(F.lit("session/update").alias("method"), F.struct(update.alias("update"), meta.alias("_meta")).alias("params")))
+    nested = F.struct(F.col("pr").alias("promptIndex")).alias("_meta")
+    user = lambda text: F.struct(F.lit("user_message_chunk").alias("sessionUpdate"), text.alias("content"), nested)
+    said = lambda text: F.struct(F.lit("agent_message_chunk").alias("sessionUpdate"), F.struct(text.alias("text")).alias("content"))
+    call = F.concat(F.lit("call"), "turn")
+    of_call = F.struct(call.alias("toolCallId"), F.lit("Completed").alias("status")).alias("updateParams")
+    tool = [
+        line(F.struct(F.lit("Shell").alias("title"), F.struct(F.col("text").alias("command")).alias("rawInput")), F.struct(F.lit("ToolCall").alias("updateType"), F.concat(F.lit("p"), "pr").alias("promptId"), F.struct(call.alias("toolCallId")).alias("updateParams"))),
+        line(F.struct(F.lit("partial").alias("rawOutput")), F.struct(F.lit("ToolCallUpdate").alias("updateType"), of_call)),
+        line(F.struct(F.col("text").alias("content")), F.struct(F.lit("ToolCallUpdate").alias("updateType"), F.struct(call.alias("toolCallId"), F.lit("InProgress").alias("status")).alias("updateParams"))),
+    ]
+    lines = F.when(F.col("role") == "user", F.array(line(user(parts[0]), named), line(user(parts[1]), F.struct(F.col("pr").alias("promptIndex")))))
+    lines = lines.when(F.col("role") == "system", F.array(*tool)).otherwise(F.array(line(said(parts[0]), named), line(said(parts[1]), named)))
+    file = F.concat(F.lit("c"), "conv_id").alias("file")
+    rows = c.select(file, "turn", F.posexplode(lines).alias("k", "raw")).select("file", (F.col("turn") * 3 + F.col("k")).cast("int").alias("line_no"), "raw")
+    ends = c.groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max("pr").alias("pr"))
+    undone = F.to_json(F.struct(F.lit("session/update").alias("method"), F.struct(F.struct(F.lit("user_message_chunk").alias("sessionUpdate"), F.lit("undone").alias("content"), F.struct(F.lit(100_000).alias("promptIndex")).alias("_meta")).alias("update")).alias("params")))
+    marker = F.to_json(F.struct(F.lit("_x.ai/session/update").alias("method"), F.struct(F.struct(F.lit("rewind_marker").alias("sessionUpdate"), F.col("pr").alias("target_prompt_index")).alias("update")).alias("params")))
+    ends = ends.select(file, "turn", F.posexplode(F.array(undone, marker)).alias("k", "raw")).select("file", (F.col("turn") * 3 + 3 + F.col("k")).cast("int").alias("line_no"), "raw")
+    out = N2.updates(rows.unionByName(ends)).blocks
+    text = F.coalesce("text", F.get_json_object("input", "$.command"))
+    return out.select("session", "message_idx", "block_idx", "role", "kind", "op", F.md5(text).alias("said_md5"), "status", F.md5("output").alias("output_md5"))

@@ -3,7 +3,7 @@
 blocks: session, message_idx (from 1), block_idx (from 0), role, source_id, parent_id, created, kind (text, thinking,
 image, tool), text, name, op, call_id, input, status, output. messages: one row per message of blocks. losses: session,
 code, detail. compactions: session, ordinal, id, after_message_id, trigger, state, summary_status, summary_text,
-summary_message_id, replaces. A session is its file. Readers are joins and windows by session; a null or torn line is a
+summary_message_id, replaces, and metrics (a map of token counts and durations) where the format has any. A session is its file. Readers are joins and windows by session; a null or torn line is a
 loss, an empty table gives empty tables.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import IMAGE_TYPES, image_of, patch_changes, result_status, visible_text
 from ..operators import dialects
-from ..operators.topology import active_branch
+from ..operators.topology import active_branch, settled
 from ..operators.turns import pair_calls
 
 #: How texts begin that a tool put into the user's place.
@@ -125,21 +125,48 @@ def claude(rows: DataFrame, child: bool = False) -> Tables:
 
 
 def _claude_compactions(r: DataFrame) -> DataFrame:
-    """Boundaries and summaries: a summary belongs to the boundary that is its parent; a boundary's anchor is walked up
-    to the next message that is shown."""
+    """Boundaries and summaries. Of the summaries that name a boundary as their parent the last is its own; one whose
+    parent is no boundary is a compaction by itself. An anchor is walked up, however far, to a record that is shown: the
+    way through records that are not is halved each round, and an anchor that runs in a circle is null."""
     base = r.select("session", "at", F.col("r.uuid").alias("id"), F.col("r.parentUuid").alias("up"), "r.*", "raw")
-    end = base.where("subtype = 'compact_boundary' and type = 'system'").select("session", F.col("at").alias("ordinal"), F.coalesce("uuid", F.concat(F.lit("compact-boundary:"), "at")).alias("id"), F.col("logicalParentUuid").alias("anchor"), _json("compactMetadata", "$.trigger").alias("trigger"))
-    content = F.when(_kind_at("raw", "$.message.content") == "STRING", F.col("message.content")).otherwise(_plain_output(F.col("message.content")))
-    text = base.where("isCompactSummary").select("session", F.col("at").alias("said_at"), F.coalesce("parentUuid", "uuid").alias("id"), F.col("uuid").alias("summary_message_id"), F.col("logicalParentUuid").alias("own_anchor"), content.alias("summary_text"))
-    c = end.join(text, ["session", "id"], "full_outer").withColumn("anchor", F.coalesce("anchor", "own_anchor")).withColumn("ordinal", F.coalesce("ordinal", "said_at"))
-    # one step a round: anchors lead through a few system records
-    hidden = base.where("uuid is not null").where(~F.col("type").isin("user", "assistant") | F.coalesce("isCompactSummary", F.lit(False))).select("session", F.col("uuid").alias("anchor"), F.col("up").alias("_up"), F.lit(True).alias("_hidden"))
-    for _ in range(4):
-        c = c.join(hidden, ["session", "anchor"], "left").withColumn("anchor", F.when(F.col("_hidden"), F.col("_up")).otherwise(F.col("anchor"))).drop("_up", "_hidden")
+    said = F.coalesce("isCompactSummary", F.lit(False))
+    meta = lambda name: F.try_variant_get(F.try_parse_json("compactMetadata"), f"$.{name}", "variant")
+    number = lambda name: F.when(F.schema_of_variant(meta(name)) == "BIGINT", meta(name).cast("bigint"))
+    gone = number("preTokens") - number("postTokens")
+    lost = F.when(gone.isNotNull(), F.greatest(F.lit(0), gone))
+    measured = {"pre_tokens": number("preTokens"), "post_tokens": number("postTokens"), "cumulative_dropped_tokens": number("cumulativeDroppedTokens"), "duration_ms": number("durationMs"), "dropped_tokens": lost}
+    segment = F.to_json(F.struct(meta("preservedSegment").alias("preserved_segment"), meta("preservedMessages").alias("preserved_messages")))
+    end = base.where("subtype = 'compact_boundary' and type = 'system'")
+    end = end.select("session", F.col("at").alias("ordinal"), F.coalesce("uuid", F.concat(F.lit("compact-boundary:"), "at")).alias("id"), F.col("logicalParentUuid").alias("anchor"), _json("compactMetadata", "$.trigger").alias("trigger"), F.col("timestamp").alias("created"), _metrics(measured), F.nullif(segment, F.lit("{}")).alias("source_meta"))
+    parts = F.filter(F.from_json("message.content", "array<struct<type:string,text:string>>"), lambda p: (p["type"] == "text") & (p["text"] != ""))
+    listed = F.coalesce(F.array_join(F.transform(parts, lambda p: p["text"]), "\n"), F.lit(""))
+    content = F.when(_kind_at("raw", "$.message.content") == "STRING", F.col("message.content")).otherwise(listed)
+    text = base.where(said).select("session", F.col("at").alias("said_at"), F.col("parentUuid").alias("of"), F.coalesce("parentUuid", "uuid", F.concat(F.lit("compact-summary:"), "at")).alias("own_id"), F.col("uuid").alias("summary_message_id"), F.col("logicalParentUuid").alias("own_anchor"), F.col("timestamp").alias("own_created"), content.alias("summary_text"))
+    # of boundaries that share an id the last has the summary
+    named = end.groupBy("session", F.col("id").alias("of")).agg(F.max("ordinal").alias("ordinal"))
+    text = text.join(named, ["session", "of"], "left")
+    last = text.where("ordinal is not null").groupBy("session", "ordinal").agg(F.max_by(F.struct("summary_message_id", "summary_text"), "said_at").alias("s")).select("session", "ordinal", "s.*")
+    alone = text.where("ordinal is null").select("session", F.col("said_at").alias("ordinal"), F.col("own_id").alias("id"), F.col("own_anchor").alias("anchor"), F.col("own_created").alias("created"), "summary_message_id", "summary_text")
+    c = end.join(last.withColumn("_said", F.lit(True)), ["session", "ordinal"], "left")
+    c = c.unionByName(alone.withColumn("_said", F.lit(True)), allowMissingColumns=True)
+    shown = F.col("type").isin("user", "assistant") & ~said
+    latest = base.where("uuid is not null").groupBy("session", F.col("uuid").alias("_id")).agg(F.max_by(F.struct("up", F.coalesce(shown, F.lit(False)).alias("shown")), "at").alias("r"))
+    place = lambda name: F.when(F.col(name).isNotNull(), F.struct("session", F.col(name).alias("id")))
+    hidden = latest.where("not r.shown").select("session", "_id", F.col("r.up").alias("_up")).select(place("_id").alias("node"), place("_up").alias("up"))
+    ways = settled(hidden).select(F.col("node.session").alias("session"), F.col("node.id").alias("anchor"), F.col("up.id").alias("_up"), F.lit(True).alias("_hidden"))
+    c = c.join(ways, ["session", "anchor"], "left").withColumn("anchor", F.when(F.col("_hidden"), F.col("_up")).otherwise(F.col("anchor")))
     trigger = F.when(F.col("trigger") == "auto", "automatic").when(F.col("trigger") == "manual", "manual").otherwise("unknown")
-    filled = F.coalesce(F.trim("summary_text") != "", F.lit(False))
-    status = F.when(F.col("summary_message_id").isNull(), "missing").otherwise(F.when(filled, "available").otherwise("missing"))
-    return c.select("session", "ordinal", "id", F.col("anchor").alias("after_message_id"), trigger.alias("trigger"), F.when(filled, "completed").otherwise("incomplete").alias("state"), status.alias("summary_status"), F.when(filled, F.col("summary_text")).alias("summary_text"), "summary_message_id", F.lit(True).alias("replaces"))
+    filled = F.coalesce(F.col("_said") & (F.col("summary_text") != ""), F.lit(False))
+    status = F.when(filled, "available").otherwise("missing")
+    return c.select("session", "ordinal", "id", F.col("anchor").alias("after_message_id"), trigger.alias("trigger"), F.when(filled, "completed").otherwise("incomplete").alias("state"), status.alias("summary_status"), F.when(filled, F.col("summary_text")).alias("summary_text"), "summary_message_id", F.lit(True).alias("replaces"), F.coalesce("metrics", _metrics({})).alias("metrics"), "source_meta", "created")
+
+
+def _metrics(values: dict[str, Column]) -> Column:
+    """A map of the measures that are there."""
+    entries = [F.struct(F.lit(name).alias("key"), value.cast("bigint").alias("value")) for name, value in values.items()]
+    if not entries:
+        return F.create_map().cast("map<string,bigint>").alias("metrics")
+    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull())).alias("metrics")
 
 
 CODEX = "type string, timestamp string, payload string"
@@ -218,7 +245,7 @@ def _codex_compactions(r: DataFrame, messages: DataFrame) -> DataFrame:
     return out.select("session", F.col("record").cast("long").alias("ordinal"), name.alias("id"), "after_message_id", F.lit("unknown").alias("trigger"), F.lit("completed").alias("state"), status.alias("summary_status"), F.nullif("summary_text", F.lit("")).alias("summary_text"), F.lit(None).cast("string").alias("summary_message_id"), (F.coalesce(F.size(items), F.lit(0)) > 0).alias("replaces"))
 
 
-PI = "type string, id string, parentId string, timestamp string, summary string, firstKeptEntryId string, message struct<role:string,content:string,output:string,command:string,cancelled:boolean,exitCode:bigint,toolCallId:string,isError:boolean>"
+PI = "type string, id string, parentId string, timestamp string, summary string, firstKeptEntryId string, tokensBefore bigint, message struct<role:string,content:string,output:string,command:string,cancelled:boolean,exitCode:bigint,toolCallId:string,isError:boolean>"
 _PI_PARTS = "array<struct<type:string,text:string,thinking:string,id:string,name:string,arguments:string,mimeType:string,data:string>>"
 
 
@@ -234,7 +261,7 @@ def pi(rows: DataFrame) -> Tables:
     branch = active_branch(entries.where("linked and id is not null"), "session", "id", "parentId", "at")
     known = entries.where("id is not null").join(branch.select("session", "id"), ["session", "id"], "left_anti")
     losses = losses.unionByName(_loss(known, "migration.unknown_block_dropped", F.concat(F.lit("inactive_branch "), "id")))
-    latest = entries.where("linked and id is not null").groupBy("session", "id").agg(F.max_by(F.struct("raw", "type", "parentId", "timestamp", "summary", "firstKeptEntryId", "message"), "at").alias("e"))
+    latest = entries.where("linked and id is not null").groupBy("session", "id").agg(F.max_by(F.struct("raw", "type", "parentId", "timestamp", "summary", "firstKeptEntryId", "tokensBefore", "message"), "at").alias("e"))
     e = latest.join(branch, ["session", "id"]).select("session", "id", F.col("step").alias("at"), "e.*")
     role, message = F.col("message.role"), F.col("type") == "message"
     plain = _kind_at("raw", "$.message.content") == "STRING"
@@ -268,7 +295,7 @@ def pi(rows: DataFrame) -> Tables:
     shown_id = F.when(F.col("type").isin("branch_summary", "message") & ~F.coalesce(role == "toolResult", F.lit(False)), F.col("id"))
     c = e.withColumn("after_message_id", F.last(shown_id, ignorenulls=True).over(w.orderBy("at").rowsBetween(Window.unboundedPreceding, -1))).where("type = 'compaction'")
     filled = F.coalesce(F.col("summary") != "", F.lit(False))
-    c = c.select("session", F.col("at").alias("ordinal"), "id", "after_message_id", F.lit("unknown").alias("trigger"), F.lit("completed").alias("state"), F.when(filled, "available").otherwise("missing").alias("summary_status"), F.when(filled, F.col("summary")).alias("summary_text"), F.lit(None).cast("string").alias("summary_message_id"), F.lit(False).alias("replaces"))
+    c = c.select("session", F.col("at").alias("ordinal"), "id", "after_message_id", F.lit("unknown").alias("trigger"), F.lit("completed").alias("state"), F.when(filled, "available").otherwise("missing").alias("summary_status"), F.when(filled, F.col("summary")).alias("summary_text"), F.lit(None).cast("string").alias("summary_message_id"), F.lit(False).alias("replaces"), _metrics({"tokens_before": F.col("tokensBefore")}))
     return Tables(messages, out, losses, c)
 
 
@@ -340,56 +367,57 @@ def chat(rows: DataFrame) -> Tables:
     return Tables(messages, out, losses)
 
 
-def _rewind(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sessions come whole and in order; what a marker takes back is cut off the end of what is visible."""
-    visible: list[tuple] = []
-    starts: list[int] = []
-    session, state = None, {}
-
-    def opened() -> tuple[list[tuple], list[int], dict]:
-        return [], [], {"indexed": False, "key": None, "run": False}
-
-    def close() -> pd.DataFrame:
-        return pd.DataFrame([row for row, _ in visible], columns=["session", "at", "raw"])
-
+def _cuts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(session, lo, hi) of the lines that markers take back, from the users' lines and the markers alone. Sessions come
+    whole and in order; `others` counts the lines of any other kind so far."""
+    session, state, starts, others = None, None, [], None
     for frame in frames:
+        found = []
         for row in frame.itertuples(index=False):
             if row.session != session:
-                if session is not None and visible:
-                    yield close()
-                session = row.session
-                visible, starts, state = opened()
+                session, starts, others = row.session, [], None
+                state = (False, None, False)  # a prompt was numbered, the last number, within a run without numbers
+            if row.others != others:
+                state, others = (*state[:2], False), row.others
+            indexed, key, run = state
             if not row.marker:
-                if not row.user:
-                    state["run"] = False
-                elif pd.notna(row.prompt):
-                    if state["key"] != row.prompt:
-                        starts.append(len(visible))
-                    state.update(indexed=True, key=row.prompt, run=False)
-                elif not state["indexed"] and not state["run"]:
-                    starts.append(len(visible))
-                    state.update(key=None, run=True)
-                visible.append(((row.session, row.at, row.raw), dict(state)))
-                continue
-            if pd.notna(row.target) and 0 <= row.target < len(starts):
-                at = starts[int(row.target)]
-                visible, starts = visible[:at], starts[: int(row.target)]
-                state = dict(visible[-1][1]) if visible else opened()[2]
-            elif pd.isna(row.target) or row.target != len(starts):
-                state["run"] = False
-                visible.append(((row.session, row.at, row.raw), dict(state)))
-    if session is not None and visible:
-        yield close()
+                if pd.notna(row.prompt):
+                    if key != row.prompt:
+                        starts.append((row.at, state))
+                    state = (True, row.prompt, False)
+                elif not indexed and not run:
+                    starts.append((row.at, state))
+                    state = (indexed, None, True)
+            elif pd.notna(row.target) and 0 <= row.target < len(starts):
+                lo, state = starts[int(row.target)]
+                del starts[int(row.target) :]
+                found.append((session, lo, row.at))
+            elif pd.notna(row.target) and row.target == len(starts):
+                found.append((session, row.at, row.at))
+            else:
+                state = (indexed, key, False)
+        if found:
+            yield pd.DataFrame(found, columns=["session", "lo", "hi"])
 
 
 def without_rewound(rows: DataFrame) -> DataFrame:
     """Update lines (file, line_no, raw) that are still visible after rewind markers. A marker that names an unknown
-    prompt stays as a record. The order matters from line to line, so each session is walked once in its task; a task
-    holds one session's visible lines."""
+    prompt stays as a record. Only the users' lines and the markers of sessions with markers are walked in order, for
+    the ranges that are taken back; lines are then held against the farthest end of the ranges before them."""
     u = lambda path, kind: F.try_variant_get(F.try_parse_json("raw"), path, kind)
     update = u("$.params.update.sessionUpdate", "string")
     user = (u("$.method", "string") == "session/update") & (update == "user_message_chunk") & ~F.coalesce(u("$.params.update._meta.hostTurn", "boolean"), F.lit(False))
     marker = (u("$.method", "string") == "_x.ai/session/update") & (update == "rewind_marker")
     no = F.lit(False)
-    r = rows.select(F.col("file").alias("session"), F.col("line_no").cast("long").alias("at"), "raw", F.coalesce(user, no).alias("user"), F.coalesce(marker, no).alias("marker"), u("$.params.update._meta.promptIndex", "double").alias("prompt"), u("$.params.update.target_prompt_index", "double").alias("target"))
-    return r.repartition("session").sortWithinPartitions("session", "at").mapInPandas(_rewind, "session string, at long, raw string")
+    whole = lambda path: F.when(u(path, "double") == F.floor(u(path, "double")), u(path, "double"))
+    lines = rows.select(F.col("file").alias("session"), F.col("line_no").cast("long").alias("at"), "raw")
+    kinds = lines.select("session", "at", F.coalesce(user, no).alias("user"), F.coalesce(marker, no).alias("marker"), whole("$.params.update._meta.promptIndex").alias("prompt"), whole("$.params.update.target_prompt_index").alias("target"))
+    marked = kinds.where("marker").select("session").distinct()
+    so_far = Window.partitionBy("session").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    other = F.when(F.col("user") | F.col("marker"), 0).otherwise(1)
+    steps = kinds.join(marked, "session", "left_semi").withColumn("others", F.sum(other).over(so_far)).where("user or marker")
+    ranges = steps.repartition("session").sortWithinPartitions("session", "at").mapInPandas(_cuts, "session string, lo long, hi long")
+    held = lines.withColumn("hi", F.lit(None).cast("long")).withColumn("line", F.lit(1))
+    ends = ranges.select("session", F.col("lo").alias("at"), F.lit(None).cast("string").alias("raw"), "hi", F.lit(0).alias("line"))
+    order = Window.partitionBy("session").orderBy("at", "line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return held.unionByName(ends).withColumn("until", F.max("hi").over(order)).where("line = 1 and (until is null or until < at)").select("session", "at", "raw")
