@@ -22,30 +22,6 @@ def linked_edges(calls: DataFrame, edges: DataFrame) -> DataFrame:
     return out.withColumn("edge_id", F.coalesce("_call", "_agent", "_message")).drop("_call", "_agent", "_message")
 
 
-def spawn_matches(calls: DataFrame, children: DataFrame) -> DataFrame:
-    """Spawn calls and child sessions of a parent, one to one: a call's text holds an identity of the child (a child
-    may have a row for each). In the calls' order each takes the first child that is left. Calls: parent, call_id,
-    haystack, ordinal; children: parent, child, identity, ordinal.
-
-    A pair where each is the other's first is sure; the rest is matched again without it. Every round fixes at least
-    the earliest open call of each parent, and mostly all of them.
-    """
-    c = calls.select("parent", "call_id", "haystack", F.col("ordinal").alias("_a"))
-    d = children.where("identity <> ''").select("parent", "child", "identity", F.col("ordinal").alias("_b"))
-    pairs = c.join(d, "parent").where(F.contains("haystack", F.col("identity")))
-    pairs = _durable(pairs.groupBy("parent", "call_id", "child").agg(F.min("_a").alias("_a"), F.min("_b").alias("_b")))
-    first = lambda key, *order: F.row_number().over(Window.partitionBy("parent", key).orderBy(*order))
-    found = pairs.limit(0).select("parent", "call_id", "child")
-    while not pairs.isEmpty():
-        placed = pairs.withColumn("_x", first("call_id", "_b", "child")).withColumn("_y", first("child", "_a", "call_id"))
-        sure = _durable(placed.where("_x = 1 and _y = 1").select("parent", "call_id", "child"))
-        found = found.unionByName(sure)
-        for key in ("call_id", "child"):
-            pairs = pairs.join(sure.select("parent", key), ["parent", key], "left_anti")
-        pairs = _durable(pairs)
-    return found
-
-
 def difference_counts(differences: DataFrame) -> DataFrame:
     return differences.groupBy("fidelity").agg(F.count(F.lit(1)).alias("n"))
 

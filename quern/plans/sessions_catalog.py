@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..operators import agents as A
 from ..operators import edits as E
 from ..operators import library as L
 from ..operators import migration as K
@@ -423,12 +424,82 @@ def agent_edge_links(spark, sf_dir):
     return K.linked_edges(calls, edges).select("call", "edge_id")
 
 
-@query("SELECT n_regionkey AS parent, n_nationkey AS call_id, n_nationkey AS child FROM nation WHERE n_nationkey % 5 <> 4")
+# agents: nations spawn customers. A nation's calls name customers in another order than the customers are listed, some
+# calls name several and some none; a tenth of the customers is known to the registry only
+
+_AGENTS = """
+    child AS (SELECT concat('c', c_custkey) AS id, CASE WHEN c_custkey % 10 <> 0 THEN concat('n', c_nationkey) END AS own, concat('n', c_nationkey) AS parent_id, c_custkey AS k, concat('/agents/', lpad(CAST(c_custkey AS VARCHAR), 8, '0')) AS path FROM customer),
+    call AS (SELECT parent_id, k AS ordinal, concat('call', k) AS call_id, CASE WHEN k % 4 = 3 THEN [] WHEN k % 4 = 1 THEN [path, concat('/agents/', lpad(CAST(k + 25 AS VARCHAR), 8, '0'))] ELSE [path] END AS names FROM child WHERE k % 3 <> 0)"""
+
+
+def _agents(spark, sf_dir):
+    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.lit("n"), "c_nationkey").alias("parent"))
+    path = lambda k: F.concat(F.lit("/agents/"), F.lpad(k.cast("string"), 8, "0"))
+    none = F.lit(None).cast("string")
+    child = c.select(F.concat(F.lit("c"), "k").alias("id"), F.when(F.col("k") % 10 != 0, F.col("parent")).alias("parent_id"), none.alias("agent_id"), path(F.col("k")).alias("agent_path"), none.alias("agent_type"))
+    top = c.select("parent").distinct().select(F.col("parent").alias("id"), none.alias("parent_id"), none.alias("agent_id"), none.alias("agent_path"), none.alias("agent_type"))
+    registry = c.where("k % 5 = 0").select(F.concat(F.lit("c"), "k").alias("child"), "parent", F.lit("open").alias("status"))
+    named = F.when(F.col("k") % 4 == 3, F.lit("")).when(F.col("k") % 4 == 1, F.concat_ws(" and ", path(F.col("k")), path(F.col("k") + 25))).otherwise(path(F.col("k")))
+    calls = c.where("k % 3 <> 0").select(F.col("parent").alias("session"), F.concat(F.lit("call"), "k").alias("call_id"), F.concat(F.lit("m"), "k").alias("message_id"), none.alias("result_id"), F.col("k").alias("ordinal"), F.to_json(F.struct(F.concat(F.lit("start "), named).alias("prompt"))).alias("input"), none.alias("output"), F.when(F.col("k") % 2 == 0, "completed").alias("status"))
+    return top.unionByName(child), registry, calls
+
+
+#: Calls in their order, each taking the first child that it names and that is left.
+_MATCHED = """
+    pair AS (SELECT call.parent_id, call_id, ordinal, child.id, child.path FROM call JOIN child ON call.parent_id = child.parent_id AND list_contains(names, path)),
+    ord AS (SELECT parent_id, call_id, ordinal, row_number() OVER (PARTITION BY parent_id ORDER BY ordinal) AS n FROM call),
+    st AS (
+        SELECT parent_id, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS VARCHAR) AS call_id, CAST(NULL AS VARCHAR) AS got FROM (SELECT DISTINCT parent_id FROM ord)
+        UNION ALL
+        SELECT s.parent_id, o.n, CASE WHEN g.id IS NULL THEN s.taken ELSE list_append(s.taken, g.id) END, o.call_id, g.id
+        FROM st s JOIN ord o ON o.parent_id = s.parent_id AND o.n = s.n + 1
+        LEFT JOIN LATERAL (SELECT p.id FROM pair p WHERE p.parent_id = s.parent_id AND p.call_id = o.call_id AND NOT list_contains(s.taken, p.id) ORDER BY p.path, p.id LIMIT 1) g ON true),
+    hit AS (SELECT got AS id, st.call_id, ordinal FROM st JOIN ord ON st.parent_id = ord.parent_id AND st.n = ord.n WHERE got IS NOT NULL)"""
+
+
+@query(f"""
+    WITH RECURSIVE {_AGENTS}, {_MATCHED},
+    e AS (SELECT child.*, call_id, ordinal AS call_at FROM child LEFT JOIN hit ON child.id = hit.id)
+    SELECT parent_id AS session, row_number() OVER (PARTITION BY parent_id ORDER BY call_at NULLS LAST, path, id) AS ordinal, id AS child_session_id, call_id AS source_call_id,
+           CASE WHEN call_id IS NOT NULL THEN 'spawn-call' WHEN own IS NULL THEN 'sqlite-parent' ELSE 'parent-metadata' END AS association,
+           CASE WHEN call_id IS NOT NULL THEN 1.0::DOUBLE WHEN own IS NULL THEN 0.95::DOUBLE ELSE 0.75::DOUBLE END AS confidence,
+           CASE WHEN call_at % 2 = 0 THEN 'closed' WHEN k % 5 = 0 THEN 'open' END AS status
+    FROM e""")
+def session_edges(spark, sf_dir):
+    headers, registry, calls = _agents(spark, sf_dir)
+    edges, _ = A.session_edges(A.parents(headers, registry), calls, registry)
+    return edges.select("session", "ordinal", "child_session_id", "source_call_id", "association", "confidence", "status")
+
+
+@query(f"WITH RECURSIVE {_AGENTS}, {_MATCHED} SELECT parent_id AS parent, st.call_id, got AS child FROM st WHERE got IS NOT NULL")
 def spawn_matching(spark, sf_dir):
-    n = load(spark, sf_dir, "nation")
-    calls = n.select(F.col("n_regionkey").alias("parent"), F.col("n_nationkey").alias("call_id"), F.concat(F.lit("start agent <"), F.col("n_nationkey"), F.lit(">")).alias("haystack"), F.col("n_nationkey").alias("ordinal"))
-    identity = F.when(F.col("n_nationkey") % 5 == 4, "").otherwise(F.concat(F.lit("<"), F.col("n_nationkey"), F.lit(">")))
-    return K.spawn_matches(calls, n.select(F.col("n_regionkey").alias("parent"), F.col("n_nationkey").alias("child"), identity.alias("identity"), F.col("n_nationkey").alias("ordinal")))
+    headers, registry, calls = _agents(spark, sf_dir)
+    edges, _ = A.session_edges(A.parents(headers, registry), calls, registry)
+    return edges.where("source_call_id is not null").select(F.col("session").alias("parent"), F.col("source_call_id").alias("call_id"), F.col("child_session_id").alias("child"))
+
+
+@query(f"WITH {_AGENTS} SELECT call.parent_id AS parent, call_id, child.id AS child FROM call JOIN child ON call.parent_id = child.parent_id AND list_contains(names, path)")
+def spawn_candidates(spark, sf_dir):
+    headers, registry, calls = _agents(spark, sf_dir)
+    children = A.parents(headers, registry).where("parent_id is not null")
+    names = children.select(F.col("parent_id").alias("parent"), F.col("id").alias("child"), F.col("agent_path").alias("identity"))
+    return A.containing(calls.select(F.col("session").alias("parent"), "call_id", "input"), names, "parent", "input", "identity").select("parent", "call_id", "child")
+
+
+@query("""
+    SELECT r AS root, x AS id FROM (
+        SELECT concat('r', n_regionkey) AS r, concat('c', c_custkey) AS x FROM customer JOIN nation ON c_nationkey = n_nationkey
+        UNION ALL SELECT concat('r', n_regionkey), concat('n', n_nationkey) FROM nation
+        UNION ALL SELECT concat('r', r_regionkey), concat('r', r_regionkey) FROM region
+        UNION ALL SELECT concat('n', n_nationkey), concat('n', n_nationkey) FROM nation WHERE n_nationkey % 2 = 0
+        UNION ALL SELECT concat('n', c_nationkey), concat('c', c_custkey) FROM customer WHERE c_nationkey % 2 = 0)""")
+def descendants(spark, sf_dir):
+    """Regions and every other nation are asked for."""
+    region = load(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent_id"))
+    nation = load(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"))
+    customer = load(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.concat(F.lit("n"), "c_nationkey").alias("parent_id"))
+    asked = region.select("id").unionByName(load(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("n"), "n_nationkey").alias("id")))
+    return A.descendants(region.unionByName(nation).unionByName(customer), asked)
 
 
 @query("""

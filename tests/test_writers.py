@@ -91,7 +91,7 @@ def test_bundle(blocks):
 
 
 def test_spawns_meet_children_in_order(spark):
-    from quern.operators.migration import spawn_matches
+    from quern.operators.agents import spawn_matches
 
     calls = [("p", "c1", "uses <a> and <b>", 1), ("p", "c2", "uses <a>", 2), ("p", "c3", "uses <b> or <n>", 3), ("p", "c4", "uses <b>", 4), ("q", "c1", "<a>", 1), ("q", "c5", "", 2)]
     children = [("p", "A", "<a>", 1), ("p", "A", "<n>", 1), ("p", "B", "<b>", 2), ("p", "C", "", 3), ("q", "A", "<z>", 1)]
