@@ -46,10 +46,10 @@ def session_snippet(text: Column, terms: list[str], before: int = 240, after: in
     return F.when(at.isNotNull(), F.substring(around(text, at, before, after), 1, most))
 
 
-def regex_snippet(text: Column, pattern: str, before: int = 120, after: int = 240) -> Column:
-    """Surroundings of the first match; null without one."""
-    at, match = F.regexp_instr(text, F.lit(pattern)), F.regexp_substr(text, F.lit(pattern))
-    lo, hi = F.greatest(F.lit(1), at - before), F.least(F.length(text), at - 1 + F.length(match) + after)
+def regex_snippet(text: Column, span: Column, before: int = 120, after: int = 240) -> Column:
+    """Surroundings of a match (at, length); null without one."""
+    at = span["at"]
+    lo, hi = F.greatest(F.lit(1), at - before), F.least(F.length(text), at - 1 + span["length"] + after)
     cut = F.when(lo > 1, "…").otherwise(""), F.when(hi < F.length(text), "…").otherwise("")
     return F.when(at > 0, F.concat(cut[0], text.substr(lo, hi - lo + 1), cut[1]))
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,14 +88,23 @@ def regex_scan(rows: DataFrame, text: str, pattern: str) -> DataFrame:
     Java reads differently goes through a vectorised Python function."""
     for literal in required_literals(pattern):
         rows = rows.where(F.contains(F.col(text), F.lit(literal)))
+    return rows.where(regex_span(F.col(text), pattern)["at"] > 0)
+
+
+def regex_span(text: Column, pattern: str) -> Column:
+    """Where the pattern first matches: (at, from 1, and length), zeros where it does not. Patterns that Java reads
+    differently are matched, and placed, by one vectorised Python function."""
     if (java := java_regex(pattern)) is not None:
-        return rows.where(F.col(text).rlike(java))
+        at = F.coalesce(F.regexp_instr(text, F.lit(java)), F.lit(0))
+        return F.struct(at.alias("at"), F.coalesce(F.length(F.regexp_substr(text, F.lit(java))), F.lit(0)).alias("length"))
+    held = re.compile(pattern)
 
-    @F.pandas_udf("boolean")
-    def matches(s):
-        return s.str.contains(pattern, regex=True).fillna(False)
+    @F.pandas_udf("at int, length int")
+    def span(texts: pd.Series) -> pd.DataFrame:
+        found = [held.search(t) if t is not None else None for t in texts]
+        return pd.DataFrame({"at": [m.start() + 1 if m else 0 for m in found], "length": [len(m[0]) if m else 0 for m in found]})
 
-    return rows.where(matches(F.col(text)))
+    return span(text)
 
 
 def holding_all(rows: DataFrame, key: str, text: str, literals: list[str]) -> DataFrame:
@@ -118,14 +129,14 @@ def grams_of(terms: list[str]) -> list[str]:
     return sorted({t[i : i + 3].lower() for t in terms for i in range(len(t) - 2)})
 
 
-def trigram_postings(rows: DataFrame, key: str, text: str, only: list[str] | None = None) -> DataFrame:
-    """(gram, key): the inverted index of lower-case character trigrams; with `only`, of these grams, which is cheaper
-    than the whole index where it is not stored."""
-    if only is not None:
-        held = F.array_compact(F.array(*(F.when(contains(F.col(text), g), g) for g in only)))
-        return rows.select(key, F.explode(held).alias("gram"))
-    grams = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("(?s)(?=(...))"), 1))
-    return rows.select(key, F.explode(grams).alias("gram"))
+def text_grams(text: Column) -> Column:
+    """The distinct lower-case trigrams of a text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))"), 1))
+
+
+def trigram_postings(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, gram): the inverted index of lower-case character trigrams."""
+    return rows.select(key, F.explode(text_grams(F.col(text))).alias("gram"))
 
 
 def posting_hits(postings: DataFrame, key: str, terms: list[str]) -> DataFrame:

@@ -6,17 +6,17 @@ tool_text), message being the position from 1.
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import regex_snippet
-from ..functions.text import bounded, contains, java_regex, occurrences, query_terms, required_literals, snippet
+from ..functions.text import bounded, contains, occurrences, query_terms, required_literals, snippet
 from ..functions.validation import bounded_int, patterns, string_set, time_ms
-from .search import K1, B, all_terms, any_of, regex_scan, sessions_to_scan
-from .state import reconcile
+from . import content_index
+from .search import K1, B, all_terms, any_of, regex_span, sessions_to_scan
+from .topology import _durable
 
 SCOPES = ("any", "metadata", "content")
 BUDGET_BYTES = 64 * 1024
@@ -44,13 +44,16 @@ def numbered(messages: DataFrame) -> DataFrame:
     return messages.withColumn("turn", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w).cast("long"))
 
 
-def group_score(rows: DataFrame, text: str, groups: list[list[str]]) -> DataFrame:
+def group_score(rows: DataFrame, text: str, groups: list[list[str]], corpus: DataFrame | None = None) -> DataFrame:
     """`rows` that hold all terms of a group, with `score`, the best bm25 of a group that they hold. One pass for the
-    counts of all terms, one row of statistics."""
+    counts of all terms, one row of statistics. `corpus` (one row: n, chars) stands for the size of all messages where
+    `rows` are only those that may hold a term."""
     terms = sorted({t for g in groups for t in g})
     tf = {t: f"_tf{k}" for k, t in enumerate(terms)}
     counted = rows.select("*", F.length(text).cast("double").alias("_size"), *(occurrences(F.col(text), t).alias(c) for t, c in tf.items()))
     stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_size").alias("_avg"), *(F.count(F.when(F.col(c) > 0, 1)).alias(f"{c}d") for c in tf.values()))
+    if corpus is not None:
+        stats = stats.drop("_n", "_avg").join(corpus.select(F.col("n").alias("_n"), (F.col("chars") / F.col("n")).alias("_avg")))
 
     def part(t: str) -> Column:
         c, d = F.col(tf[t]), F.col(f"{tf[t]}d")
@@ -65,16 +68,54 @@ def group_score(rows: DataFrame, text: str, groups: list[list[str]]) -> DataFram
     score = F.greatest(*scores) if len(scores) > 1 else scores[0]
     # the statistics are one row
     out = counted.where(any_of([reduce(lambda a, b: a & b, [F.col(tf[t]) > 0 for t in g]) for g in groups])).join(F.broadcast(stats))
-    return out.withColumn("score", score).drop(*(c for c in out.columns if c.startswith("_")))
+    own = {"_size", "_n", "_avg", *tf.values(), *(f"{c}d" for c in tf.values())}
+    return out.withColumn("score", score).drop(*(c for c in out.columns if c in own))
 
 
 def content_hits(hits: DataFrame, rows: int = 3) -> DataFrame:
-    """By session: number of hits, the best score, and the best `rows` hits (message, turn, role, snippet)."""
+    """By session: number of hits, the best score, and the best `rows` hits (message, role, snippet)."""
     place = F.row_number().over(Window.partitionBy("session").orderBy(F.desc_nulls_last("score"), "message"))
-    item = F.struct("_place", "message", "turn", "role", "snippet")
+    item = F.struct("_place", "message", "role", "snippet")
     best = F.array_sort(F.collect_list(F.when(F.col("_place") <= rows, item)))
     counts = hits.withColumn("_place", place).groupBy("session").agg(F.count(F.lit(1)).alias("content_match_count"), F.max("score").alias("best_score"), best.alias("rows"))
-    return counts.withColumn("rows", F.transform("rows", lambda r: F.struct(r["message"].alias("message"), r["turn"].alias("turn"), r["role"].alias("role"), r["snippet"].alias("snippet"))))
+    return counts.withColumn("rows", F.transform("rows", lambda r: F.struct(r["message"].alias("message"), r["role"].alias("role"), r["snippet"].alias("snippet"))))
+
+
+def of_sessions(messages: DataFrame, sessions: DataFrame, most: int = 1000) -> DataFrame:
+    """Messages of these sessions: by a list in the scan's filter, which skips files and row groups, where there are
+    `most` of them or fewer; else by a semi join."""
+    ids = [r[0] for r in sessions.select("session").distinct().limit(most + 1).collect()]
+    return messages.where(F.col("session").isin(*ids)) if len(ids) <= most else messages.join(sessions, "session", "left_semi")
+
+
+def _term_rows(asked: DataFrame, messages: DataFrame, groups: list[list[str]], index: str | None, text: Column) -> tuple[DataFrame, DataFrame | None]:
+    """(messages that may hold a term, with `_searched`; the size of all of them). Without an index, or with a term too
+    short for it, these are all messages; with one, what the index finds and the sessions that it does not know."""
+    spark = messages.sparkSession
+    found = [content_index.lookup(spark, index, t) for t in sorted({t for g in groups for t in g})] if index else [None]
+    if any(f is None for f in found):
+        return messages.join(asked.select("session"), "session", "left_semi").withColumn("_searched", text), None
+    known = content_index.live(spark, index).where("state = 'indexed'").join(asked.select("session"), "session", "left_semi")
+    hits = _durable(reduce(lambda a, b: a.unionByName(b), found).distinct().join(known.select("session"), "session", "left_semi"))
+    unknown = asked.select("session").join(known.select("session"), "session", "left_anti")
+    some = of_sessions(messages, hits).join(hits, ["session", "message"], "left_semi").withColumn("_searched", text)
+    rest = of_sessions(messages, unknown).withColumn("_searched", text)
+    sizes = known.select(F.col("messages").alias("n"), "chars").unionByName(rest.select(F.lit(1).cast("long").alias("n"), F.length("_searched").cast("long").alias("chars")))
+    return some.unionByName(rest), sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"))
+
+
+def _regex_plan(asked: DataFrame, regex: str, index: str | None, budget: int | None) -> DataFrame:
+    """session, state: which sessions a regular expression is tried on (see scan_plan). With an index only those that
+    hold its literals, and those that the index does not know."""
+    may, spark = None, asked.sparkSession
+    if index and (literals := required_literals(regex)):
+        known = content_index.live(spark, index).where("state = 'indexed'").select("session")
+        if (held := content_index.holding(spark, index, literals)) is not None:
+            may = held.unionByName(asked.select("session").join(known, "session", "left_anti"))
+    if budget is None:
+        ids = asked.select("session") if may is None else asked.select("session").join(may, "session", "left_semi")
+        return ids.withColumn("state", F.lit("scanned"))
+    return scan_plan(asked, may, budget).select("session", "state")
 
 
 def search_sessions(
@@ -91,12 +132,19 @@ def search_sessions(
     now_ms: int = 0,
     limit: int = 20,
     budget: int = BUDGET_BYTES,
+    tool_outputs: bool = True,
+    index: str | None = None,
+    scan_bytes: int | None = None,
 ) -> DataFrame:
     """Sessions that the query hits, the best first: both kinds of hit, then content by score, then metadata; without
-    content hits the newest first. Any of the patterns may hit, all terms of it in one message (or in the metadata).
+    content hits the newest first. Any of the patterns may hit, all terms of it in one message (or in the metadata);
+    what tools said (tool_text, where there is one) is part of a message unless `tool_outputs` is false.
 
     Columns: place, session, tool, title, dir, updated, record_count, model, matched_in, content_match_count, rows (the
-    best three hits), total_matches, has_more. At most `limit` rows and `budget` bytes of them as JSON.
+    best three hits), total_matches, has_more, and, of the scan of texts, scanned_sessions, skipped_sessions (beyond
+    `scan_bytes`, the newest first; None for no bound) and unindexed_sessions. At most `limit` rows and `budget` bytes
+    of them as JSON. With `index` (the path of a content index) only the messages that it finds are read, and those of
+    sessions that it does not know; hits and scores are those of a scan.
     """
     limit = bounded_int(limit, 20, 1, 50, "limit")
     needles = patterns(query, more)
@@ -104,41 +152,62 @@ def search_sessions(
         raise ValueError(f"scope is one of {SCOPES}; content needs a query, patterns or a regular expression")
     if regex is not None and (needles or not 0 < len(regex) <= 500):
         raise ValueError("a regular expression has at most 500 characters and stands alone")
+    spark = sessions.sparkSession
     asked = restricted(sessions, string_set(agents, "agents", 8, 32), string_set(projects, "projects", 50, 1024), time_ms(start, now_ms), time_ms(end, now_ms))
     groups = [query_terms(n) or [n.lower()] for n in needles]
-    has_needle = bool(groups or regex)
-    said = numbered(messages).join(asked.select("session"), "session", "left_semi")
-    metadata = F.lit(False)
+    has_needle, of_content = bool(groups or regex), bool(groups or regex) and scope != "metadata"
+    sources = ["text", "tool_text"] if tool_outputs and "tool_text" in messages.columns else ["text"]
+    metadata, hits, counts = F.lit(False), None, {"scanned": None, "skipped": 0}
     if regex:
-        hits = regex_scan(said, "text", regex).withColumn("score", F.lit(None).cast("double"))
-        window = regex_snippet(F.col("text"), regex) if java_regex(regex) else F.substring("text", 1, 320)
-        held = re.compile(regex)
-        metadata = F.rlike(haystack(), F.lit(regex)) if java_regex(regex) else F.pandas_udf(lambda s: s.map(lambda t: bool(held.search(t))), "boolean")(haystack())
+        metadata = regex_span(haystack(), regex)["at"] > 0
+        if of_content:
+            plan = _durable(_regex_plan(asked, regex, index, scan_bytes))
+            counts |= {r.state: r["count"] for r in plan.groupBy("state").count().collect()}
+            said = of_sessions(messages, plan.where("state = 'scanned'"))
+            for k, c in enumerate(sources):
+                said = said.withColumn(f"_span{k}", regex_span(F.col(c), regex))
+            windows = [regex_snippet(F.col(c), F.col(f"_span{k}")) for k, c in enumerate(sources)]
+            hits = said.withColumn("snippet", F.coalesce(*windows)).where("snippet is not null").withColumn("score", F.lit(None).cast("double"))
     elif groups:
-        hits = group_score(said, "text", groups)
-        window = F.coalesce(*(F.when(contains(F.col("text"), t), snippet(F.col("text"), t)) for g in groups for t in g))
         metadata = any_of([all_terms(haystack(), g) for g in groups])
+        if of_content:
+            said, corpus = _term_rows(asked, messages, groups, index, content_index.searched_text(messages, tool_outputs))
+            window = F.coalesce(*(F.when(contains(F.col(c), t), snippet(F.col(c), t)) for c in sources for g in groups for t in g))
+            hits = group_score(said, "_searched", groups, corpus).withColumn("snippet", window)
     out = asked.withColumn("metadata_hit", metadata)
-    if has_needle and scope != "metadata":
-        found = content_hits(hits.withColumn("snippet", F.substring(window, 1, 320)))
+    if of_content:
+        found = content_hits(hits.withColumn("snippet", F.substring("snippet", 1, 320)))
         out = out.join(found, "session", "left")
     else:
-        out = out.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("content_match_count", "long"), ("best_score", "double"), ("rows", "array<struct<message:long,turn:long,role:string,snippet:string>>"))))
+        out = out.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("content_match_count", "long"), ("best_score", "double"), ("rows", "array<struct<message:long,role:string,snippet:string>>"))))
     content = F.col("content_match_count").isNotNull()
     wanted = {"any": F.col("metadata_hit") | content, "metadata": F.col("metadata_hit"), "content": content}[scope]
-    out = out.where(wanted) if has_needle else out
-    kinds = F.array_compact(F.array(F.when(F.col("metadata_hit"), "metadata"), F.when(content, "content")))
     rank = F.when(content & F.col("metadata_hit"), 0).when(content, 1).otherwise(2)
-    totals = out.agg(F.count(F.lit(1)).alias("total_matches"))
-    page = out.withColumn("_rank", rank).orderBy("_rank", F.desc_nulls_last("best_score"), F.desc("updated"), "session").limit(limit)
-    order = Window.partitionBy().orderBy("_rank", F.desc_nulls_last("best_score"), F.desc("updated"), "session")  # at most 50 rows
+    # texts are read once: the page, its totals and its turns come from what is written here
+    out = _durable((out.where(wanted) if has_needle else out).withColumn("_rank", rank))
+    best = ["_rank", F.desc_nulls_last("best_score"), F.desc("updated"), "session"]
+    page = out.orderBy(*best).limit(limit).withColumn("place", F.row_number().over(Window.partitionBy().orderBy(*best)))  # at most 50 rows
+    page = _with_turns(page, messages)
+    kinds = F.array_compact(F.array(F.when(F.col("metadata_hit"), "metadata"), F.when(content, "content")))
     title, model = bounded(F.col("title"), 200)[0], bounded(F.col("model"), 120)[0]
-    page = page.select(F.row_number().over(order).alias("place"), "session", "tool", title.alias("title"), "dir", "updated", F.col("count").alias("record_count"), model.alias("model"), kinds.alias("matched_in"), "content_match_count", "rows")
+    page = page.select("place", "session", "tool", title.alias("title"), "dir", "updated", F.col("count").alias("record_count"), model.alias("model"), kinds.alias("matched_in"), "content_match_count", "rows")
     used = F.sum(F.octet_length(F.to_json(F.struct("*")))).over(Window.partitionBy().orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     fits = page.withColumn("_used", used).where(F.col("_used") <= budget).drop("_used")
-    # one row each
-    last = fits.agg(F.count(F.lit(1)).alias("_returned"))
-    return fits.join(F.broadcast(totals)).join(F.broadcast(last)).withColumn("has_more", F.col("total_matches") > F.col("_returned")).drop("_returned")
+    total = out.count()
+    returned = F.count(F.lit(1)).over(Window.partitionBy())  # at most 50 rows
+    unknown = asked.select("session").join(content_index.live(spark, index).where("state = 'indexed'"), "session", "left_anti").count() if index else None
+    fits = fits.withColumn("total_matches", F.lit(total).cast("long")).withColumn("has_more", F.lit(total) > returned)
+    number = lambda n: F.lit(n).cast("long")
+    return fits.select("*", number(counts["scanned"]).alias("scanned_sessions"), number(counts["skipped"]).alias("skipped_sessions"), number(unknown).alias("unindexed_sessions"))
+
+
+def _with_turns(page: DataFrame, messages: DataFrame) -> DataFrame:
+    """The page (50 sessions at most) with the turns of its rows: only its sessions' messages are counted."""
+    turns = numbered(of_sessions(messages, page.where("rows is not null"))).select("session", "message", "turn")
+    flat = page.select("session", F.posexplode("rows").alias("pos", "r")).select("session", "pos", F.col("r.message").alias("message"), F.col("r.role").alias("role"), F.col("r.snippet").alias("snippet"))
+    flat = flat.join(turns, ["session", "message"])
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("pos", "message", "turn", "role", "snippet"))), lambda r: F.struct(r["message"].alias("message"), r["turn"].alias("turn"), r["role"].alias("role"), r["snippet"].alias("snippet")))
+    return page.drop("rows").join(flat.groupBy("session").agg(rows.alias("rows")), "session", "left")
 
 
 def result_rows(found: DataFrame, most: int = 160) -> DataFrame:
@@ -243,19 +312,6 @@ def assets(blocks: DataFrame, asset_id: str) -> DataFrame:
     return blocks.where((F.col("kind") == "image") & (F.col("image_id") == asset_id)).select("mime_type", "data", "filename").limit(1)
 
 
-def index_plan(current: DataFrame, stored: DataFrame, rows: int = 32, budget: int = 32 << 20) -> DataFrame:
-    """What a sync of the content index does with each session: stale rows are removed, changed ones indexed now (the
-    newest, up to `rows` sessions and `budget` bytes) or later. Keys are (tool, session)."""
-    keys = ["tool", "session"]
-    state = reconcile(current, stored, keys, "revision").join(current.select(*keys, "updated", "size"), keys, "left")
-    wanted = state.where(F.col("state").isin("new", "changed"))
-    first = wanted.orderBy(F.desc("updated"), *keys).limit(rows)
-    used = F.sum(F.coalesce("size", F.lit(0))).over(Window.partitionBy().orderBy(F.desc("updated"), *keys).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    now = first.withColumn("_used", used).where(F.col("_used") <= budget).select(*keys, F.lit("index_now").alias("_action"))  # at most `rows` rows
-    action = F.when(F.col("state") == "same", "keep").when(F.col("state") == "missing", "remove").otherwise(F.coalesce("_action", F.lit("index_later")))
-    return state.join(now, keys, "left").select(*keys, action.alias("action"))
-
-
 def resolved(wanted: DataFrame, index: DataFrame) -> DataFrame:
     """Handles to rows: (handle, state found, stale or unknown, session). A handle names a session and its revision."""
     out = wanted.join(index.select("handle", "session", F.col("revision").alias("_now")), "handle", "left")

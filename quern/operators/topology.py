@@ -8,6 +8,16 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name in the shared folder that the session names; for local masters it may be unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        root = "file:///tmp/checkpoints/quern"
+    return f"{root.rstrip('/')}/tree-{uuid.uuid4().hex}"
+
+
 def _durable(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read again."""
     return _counted(df, None)[0]
@@ -16,12 +26,7 @@ def _durable(df: DataFrame) -> DataFrame:
 def _counted(df: DataFrame, column: str | None) -> tuple[DataFrame, int]:
     """_durable, and how many values of `column` are not null, counted while they are written."""
     spark: SparkSession = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        root = "file:///tmp/checkpoints/quern"
-    path = f"{root.rstrip('/')}/tree-{uuid.uuid4().hex}"
+    path = scratch(spark)
     seen = Observation()
     (df if column is None else df.observe(seen, F.count(column).alias("n"))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), 0 if column is None else seen.get["n"]

@@ -259,11 +259,12 @@ def snippet_window(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", X.snippet(F.col("text"), "tion").alias("snippet"))
 
 
-@query("""
-    WITH g AS (SELECT doc_id, lower(text) AS t FROM documents)
-    SELECT doc_id FROM g WHERE contains(t, 'wor') AND contains(t, 'ort') AND contains(t, 'rth') AND contains(t, 'thl') AND contains(t, 'hle') AND contains(t, 'les') AND contains(t, 'ess')""")
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'worthless') AND contains(lower(text), 'idiot')")
 def trigram_index_hits(spark, sf_dir):
-    return S.posting_hits(S.trigram_postings(load(spark, sf_dir, "documents"), "doc_id", "text", S.grams_of(["worthless"])), "doc_id", ["worthless"])
+    """The whole index is built and stored; the search reads the folders of its trigrams and verifies what they find."""
+    docs, path = load(spark, sf_dir, "documents").select("doc_id", "text"), G.scratch(spark)
+    S.write_postings(S.trigram_postings(docs, "doc_id", "text"), path)
+    return S.stored_hits(spark, path, docs, "doc_id", "text", ["worthless", "idiot"]).select("doc_id")
 
 
 # usage -----------------------------------------------------------------------------------------

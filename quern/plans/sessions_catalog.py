@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import agents as A
+from ..operators import content_index as I
 from ..operators import edits as E
 from ..operators import library as L
 from ..operators import migration as K
 from ..operators import records as R
 from ..operators import search as S
 from ..operators import sessions as C
+from ..operators import topology as G
 from ..sources import canonical as N
 from ..sources import updates as N2
 from .catalog import load, query
@@ -80,6 +82,82 @@ def search_result_rows(spark, sf_dir):
     return C.result_rows(found).select("place", "session", "dir", F.array_join("matched_in", "+").alias("matched_in"), "match_count", "snippet")
 
 
+# an index that is synced three times: first all sessions of before, then removals and changes, then what was left ----
+
+_SEARCH = """
+    d AS (SELECT *, CAST(length(text) AS DOUBLE) AS size, CAST((length(lower(text)) - length(replace(lower(text), 'thea', ''))) / 4 AS BIGINT) AS tf FROM num),
+    st AS (SELECT count(*) AS n, avg(size) AS a, count(CASE WHEN tf > 0 THEN 1 END) AS df FROM d),
+    sc AS (SELECT session, message, text, greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / a)) AS score FROM d CROSS JOIN st WHERE tf > 0),
+    hit AS (SELECT session, count(*) AS k, max(score) AS best FROM sc GROUP BY 1)"""
+
+
+def tool_messages(spark, sf_dir):
+    """What system messages say is what tools said."""
+    m = messages(spark, sf_dir)
+    said = F.col("role") == "system"
+    return m.withColumn("tool_text", F.when(said, F.col("text"))).withColumn("text", F.when(~said, F.col("text")))
+
+
+def synced(spark, sf_dir):
+    """(path, actions of the last sync): the index knew every session by an older revision or not at all, and one more."""
+    path, now = G.scratch(spark), sessions(spark, sf_dir).select("tool", "session", F.md5("title").alias("revision"), "updated", "size")
+    k = F.xxhash64("session") % 3
+    old = now.where(k != 0).withColumn("revision", F.when(k == 1, F.lit("old")).otherwise(F.col("revision")))
+    more = now.where("session = 'c0'").withColumn("session", F.lit("gone"))
+    said = tool_messages(spark, sf_dir)
+    stale = said.withColumn("text", F.when(F.xxhash64("session") % 3 == 1, F.lit("thea as it was")).otherwise(F.col("text")))
+    I.sync(spark, path, old.unionByName(more), stale, 1_000_000, 1 << 40)
+    I.sync(spark, path, now, said, 20, 1 << 40)
+    return path, I.sync(spark, path, now, said, 1_000_000, 1 << 40)
+
+
+@query(f"""
+    WITH {_MESSAGES}, {_SESSIONS}, {_SEARCH},
+    r AS (SELECT session, updated, k, best, row_number() OVER (ORDER BY best DESC, updated DESC, session) AS place, count(*) OVER () AS total_matches FROM ses JOIN hit USING (session))
+    SELECT CAST(place AS INTEGER) AS place, session, k AS content_match_count, round(best, 9) AS score, total_matches, CAST(0 AS BIGINT) AS unindexed_sessions FROM r WHERE place <= 50""")
+def search_sessions_indexed(spark, sf_dir):
+    path, _ = synced(spark, sf_dir)
+    blank = sessions(spark, sf_dir).withColumn("model", F.lit(None).cast("string"))
+    out = C.search_sessions(blank, tool_messages(spark, sf_dir), "thea", scope="content", limit=50, budget=1 << 20, index=path)
+    scores = C.group_score(tool_messages(spark, sf_dir).withColumn("_all", I.searched_text(tool_messages(spark, sf_dir))), "_all", [["thea"]]).groupBy("session").agg(F.round(F.max("score"), 9).alias("score"))
+    return out.join(scores, "session").select("place", "session", "content_match_count", "score", "total_matches", "unindexed_sessions")
+
+
+@query(f"""
+    WITH {_MESSAGES}, {_SESSIONS}, h AS (SELECT session, count(*) AS k, min(message) AS first FROM msg WHERE regexp_matches(text, 'thea[a-z]+ [a-z]') GROUP BY 1),
+    p AS (SELECT session, k, first, row_number() OVER (ORDER BY updated DESC, session) AS place, count(*) OVER () AS total_matches FROM ses JOIN h USING (session))
+    SELECT CAST(place AS INTEGER) AS place, p.session, k AS content_match_count, first AS first_message, turn AS first_turn, true AS snippet_holds_it, total_matches, true AS fewer_scanned
+    FROM p JOIN num ON p.session = num.session AND p.first = num.message WHERE place <= 50""")
+def search_regex_indexed(spark, sf_dir):
+    """A pattern that needs Python (a named group), tried only on the sessions that may hold its literal."""
+    path, _ = synced(spark, sf_dir)
+    blank = sessions(spark, sf_dir).withColumn("title", F.lit("")).withColumn("model", F.lit(""))
+    out = C.search_sessions(blank, tool_messages(spark, sf_dir), regex="(?P<before>x?)thea[a-z]+ [a-z]", scope="content", limit=50, budget=1 << 20, index=path)
+    first, n = F.get("rows", F.lit(0)), blank.count()
+    return out.select("place", "session", "content_match_count", first["message"].alias("first_message"), first["turn"].alias("first_turn"), first["snippet"].rlike("thea[a-z]+ [a-z]").alias("snippet_holds_it"), "total_matches", (F.col("scanned_sessions") < n).alias("fewer_scanned"))
+
+
+@query(f"WITH {_SESSIONS} SELECT tool, session, 'keep' AS action FROM ses")
+def index_after_syncs(spark, sf_dir):
+    """After the third sync nothing is left to do: a fourth one keeps every session."""
+    path, _ = synced(spark, sf_dir)
+    now = sessions(spark, sf_dir).select("tool", "session", F.md5("title").alias("revision"), "updated", "size")
+    return I.sync(spark, path, now, tool_messages(spark, sf_dir)).select("tool", "session", "action")
+
+
+@query(f"""
+    WITH {_MESSAGES}, {_SESSIONS}, {_SEARCH},
+    b AS (SELECT session, text, row_number() OVER (PARTITION BY session ORDER BY score DESC, message) AS nth FROM sc),
+    a AS (SELECT session, text, strpos(lower(text), 'thea') AS pos, length(text) AS n FROM b WHERE nth = 1),
+    s AS (SELECT session, concat(CASE WHEN pos > 121 THEN '…' ELSE '' END, substr(text, greatest(1, pos - 120), least(n, pos + 3 + 240) - greatest(1, pos - 120) + 1), CASE WHEN pos + 243 < n THEN '…' ELSE '' END) AS snippet FROM a),
+    r AS (SELECT session, k, row_number() OVER (ORDER BY best DESC, updated DESC, session) AS place FROM ses JOIN hit USING (session))
+    SELECT CAST(place AS INTEGER) AS place, r.session, k AS match_count, substr(snippet, 1, 160) AS snippet FROM r JOIN s ON r.session = s.session WHERE place <= 50""")
+def search_result_snippets(spark, sf_dir):
+    blank = sessions(spark, sf_dir).withColumn("model", F.lit(None).cast("string"))
+    found = C.search_sessions(blank, messages(spark, sf_dir), "thea", scope="content", limit=50, budget=1 << 20)
+    return C.result_rows(found).select("place", "session", "match_count", "snippet")
+
+
 @query(f"WITH {_MESSAGES} SELECT session FROM msg GROUP BY session HAVING bool_or(contains(lower(text), 'thea')) AND bool_or(contains(lower(text), 'tion')) AND bool_or(contains(lower(text), 'what'))")
 def and_across_messages(spark, sf_dir):
     return S.holding_all(messages(spark, sf_dir), "session", "text", ["thea", "tion", "what"])
@@ -109,7 +187,7 @@ def index_sync(spark, sf_dir):
     current = sessions(spark, sf_dir).select("tool", "session", F.md5("title").alias("revision"), "updated", "size", "dir")
     stored = current.where("dir <> '/w/P1'").select("tool", "session", F.when(F.col("tool") == "pi", "old").otherwise(F.col("revision")).alias("revision"))
     stored = stored.unionByName(spark.createDataFrame([("claude", "gone", "x")], stored.schema))
-    return C.index_plan(current.drop("dir"), stored, 8, 12_000)
+    return I.index_plan(current.drop("dir"), stored, 8, 12_000)
 
 
 @query(f"""
@@ -238,7 +316,7 @@ def session_snippets(spark, sf_dir):
     b AS (SELECT *, greatest(1, strpos(text, m) - 120) AS lo, least(n, strpos(text, m) - 1 + length(m) + 240) AS hi FROM a)
     SELECT doc_id, concat(CASE WHEN lo > 1 THEN '…' ELSE '' END, substr(text, lo, hi - lo + 1), CASE WHEN hi < n THEN '…' ELSE '' END) AS snippet FROM b""")
 def regex_snippets(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", X.regex_snippet(F.col("text"), "ERTION!+").alias("snippet")).where("snippet is not null")
+    return load(spark, sf_dir, "documents").select("doc_id", X.regex_snippet(F.col("text"), S.regex_span(F.col("text"), "ERTION!+")).alias("snippet")).where("snippet is not null")
 
 
 @query("""SELECT doc_id, sha256(concat('{"file_identity":null,"ref":"', source, '/', doc_id, '","size":', n_chars, ',"tool":"', lang, '","updated":', doc_id * 10, '}')) AS revision FROM documents""")
