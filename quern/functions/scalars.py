@@ -124,8 +124,11 @@ def patch_changes(patch: Column) -> Column:
 
 
 def to_int(value: Column) -> Column:
-    """A number or its text, cut to a whole number; anything else is null."""
-    return F.floor(F.abs(value.try_cast("double"))).cast("long") * F.signum(value.try_cast("double")).cast("long")
+    """A number or its text, cut to a whole number; anything else is null. Whole numbers of up to 28 digits are exact on
+    the way, so every long is; other numbers go through double."""
+    exact, rough = value.try_cast("decimal(38,10)"), value.try_cast("double")
+    cut = lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).try_cast("long")
+    return F.when(exact.isNotNull(), cut(exact)).when(F.abs(rough) < 2.0**63, cut(rough))
 
 
 def to_bool(value: Column) -> Column:

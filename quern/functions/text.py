@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import shlex
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -111,7 +110,3 @@ def model_key(model: Column) -> Column:
 def project_name(path: Column) -> Column:
     """Last part of a directory that is not empty."""
     return F.element_at(F.filter(F.split(F.regexp_replace(path, r"\\", "/"), "/"), lambda x: x != ""), -1)
-
-
-def in_workdir(command: str, workdir: str | None) -> str:
-    return f"cd {shlex.quote(workdir)} && {command}" if workdir else command

@@ -112,3 +112,23 @@ def progress(sources: DataFrame) -> DataFrame:
     """Processed and total files over all sources, and whether all are done."""
     done = F.sum("processed").cast("long").alias("processed"), F.sum("total").cast("long").alias("total")
     return sources.agg(*done).withColumn("complete", F.col("processed") >= F.col("total"))
+
+
+def handle_log(log: DataFrame, active: DataFrame, generation: int) -> DataFrame:
+    """Rows to append to a log of handles (tool, session, handle, generation, present): sessions that came, with the
+    handle that they once had or a new one, and those that went, whose handle stays as a tombstone. `active` (tool,
+    session) is what the generation holds; sessions that did not change get no row."""
+    keys = ["tool", "session"]
+    last = handles_as_of(log, generation).select(*keys, "handle", "present")
+    now = active.select(*keys).distinct().withColumn("_now", F.lit(True))
+    both = last.join(now, keys, "full_outer").withColumn("_now", F.coalesce("_now", F.lit(False)))
+    changed = both.where(F.coalesce("present", F.lit(False)) != F.col("_now"))
+    handle = F.coalesce("handle", F.sha2(F.concat("tool", F.lit("\0"), "session"), 256))
+    return changed.select(*keys, handle.alias("handle"), F.lit(generation).cast("int").alias("generation"), F.col("_now").alias("present"))
+
+
+def handles_as_of(log: DataFrame, generation: int) -> DataFrame:
+    """Handles as a generation saw them: (tool, session, handle, present, since), tombstones included."""
+    known = log.where(F.col("generation") <= generation).groupBy("tool", "session")
+    newest = known.agg(F.max_by(F.struct("handle", "present", "generation"), "generation").alias("r"))
+    return newest.select("tool", "session", "r.handle", "r.present", F.col("r.generation").alias("since"))

@@ -11,11 +11,13 @@ from ..operators import edits as E
 from ..operators import library as L
 from ..operators import migration as K
 from ..operators import records as R
+from ..operators import references as RF
 from ..operators import search as S
 from ..operators import sessions as C
 from ..operators import topology as G
 from ..sources import canonical as N
 from ..sources import updates as N2
+from ..streaming import settled as ST
 from .catalog import load, query
 
 # stand-ins: a conversation is a session, its rows are messages -----------------------------------
@@ -442,9 +444,11 @@ def unwrapped_outputs(spark, sf_dir):
 # records and migration ---------------------------------------------------------------------------
 
 
-@query("SELECT event_id FROM events")
+@query("SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS place FROM events ORDER BY place LIMIT 500")
 def library_sort(spark, sf_dir):
-    return load(spark, sf_dir, "events").orderBy(F.desc("ts"), "event_id").select("event_id")
+    """The newest 500 rows of a library and their places, which the order of collected rows gives."""
+    page = L.newest(load(spark, sf_dir, "events"), [F.desc("ts"), F.col("event_id")], 500)
+    return page.select("event_id", F.col("place").cast("long"))
 
 
 @query("SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL AND lang IN ('en', 'de')")
@@ -677,16 +681,27 @@ def model_catalog(spark, sf_dir):
     return R.model_list(found, own).select("id", "origin")
 
 
-@query("SELECT name, price_input, price_output, ordinal FROM (VALUES ('m1', 1.0::DOUBLE, 2.0::DOUBLE, 0), ('m2', 3.0::DOUBLE, 0.0::DOUBLE, 1)) t(name, price_input, price_output, ordinal)")
+@query("""
+    WITH p AS (SELECT DISTINCT p_brand, p_type, p_size FROM part), c AS (SELECT p_brand AS provider, p_type AS name, max(p_size) AS price FROM p GROUP BY 1, 2),
+    n AS (SELECT *, dense_rank() OVER (ORDER BY provider) - 1 AS pos FROM c)
+    SELECT name, CAST(arg_min(price, pos) AS DOUBLE) AS price_input, 0.0::DOUBLE AS price_output, CAST(min(pos) AS INTEGER) AS ordinal FROM n GROUP BY name""")
 def price_source(spark, sf_dir):
-    json = '{"p":{"models":{"m1":{"cost":{"input":1,"output":2}},"free":{}}},"q":{"models":{"m1":{"cost":{"input":9}},"m2":{"cost":{"input":3}}}}}'
-    return R.price_list(spark.createDataFrame([(json,)], "json string")).select("name", "price_input", "price_output", "ordinal")
+    """Brands as providers, part types as models: the first provider's price of a model counts."""
+    p = load(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.max("p_size").alias("price"))
+    item = F.struct(F.col("p_type").alias("key"), F.struct(F.struct(F.col("price").alias("input")).alias("cost")).alias("value"))
+    of = p.groupBy("p_brand").agg(F.struct(F.map_from_entries(F.collect_list(item)).alias("models")).alias("v"))
+    entries = of.agg(F.array_sort(F.collect_list(F.struct("p_brand", F.to_json("v").alias("j")))).alias("e"))
+    text = F.concat(F.lit("{"), F.array_join(F.transform("e", lambda x: F.concat(F.to_json(F.array(x["p_brand"])).substr(F.lit(2), F.length(F.to_json(F.array(x["p_brand"]))) - 2), F.lit(":"), x["j"])), ","), F.lit("}"))
+    return R.price_list(entries.select(text.alias("json"))).select("name", "price_input", "price_output", "ordinal")
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE role = 'user'")
+@query("SELECT conv_id, turn, turn % 5 NOT IN (1, 2) AS codex, turn % 5 <> 1 AS claude FROM conversations WHERE role = 'user' AND NOT starts_with(ltrim(text), '<') AND NOT starts_with(ltrim(text), '[')")
 def turn_starts(spark, sf_dir):
-    c = load(spark, sf_dir, "conversations")
-    return c.where(R.turn_start("codex", F.col("role"), F.lit("text"), F.col("text"))).select("conv_id", "turn")
+    """Users' words, some of which begin as words that a tool puts there."""
+    c = load(spark, sf_dir, "conversations").where("role = 'user' and not startswith(ltrim(text), '<') and not startswith(ltrim(text), '[')")
+    text = F.when(F.col("turn") % 5 == 1, F.concat(F.lit(" <note>"), "text")).when(F.col("turn") % 5 == 2, F.concat(F.lit("[note]"), "text")).otherwise(F.col("text"))
+    starts = lambda tool: R.turn_start(tool, F.col("role"), F.lit("text"), text).alias(tool)
+    return c.select("conv_id", "turn", starts("codex"), starts("claude"))
 
 
 @query("SELECT CAST(count(CASE WHEN lang = 'en' THEN 1 END) AS BIGINT) AS processed, count(*) AS total, count(CASE WHEN lang = 'en' THEN 1 END) >= count(*) AS complete FROM documents")
@@ -800,3 +815,73 @@ def canonical_updates(spark, sf_dir):
     out = N2.updates(rows.unionByName(ends)).blocks
     text = F.coalesce("text", F.get_json_object("input", "$.command"))
     return out.select("session", "message_idx", "block_idx", "role", "kind", "op", F.md5(text).alias("said_md5"), "status", F.md5("output").alias("output_md5"))
+
+
+# references, handles, settled changes ---------------------------------------------------------------
+
+
+@query("""
+    WITH k AS (SELECT DISTINCT concat('c', conv_id) AS id FROM conversations), r AS (
+        SELECT concat('c', conv_id) AS session, unnest([concat('c', conv_id + 1), concat('c', conv_id + 2), concat('c', conv_id + 3)]) AS ref FROM conversations)
+    SELECT DISTINCT session, ref FROM r WHERE ref IN (SELECT id FROM k)""")
+def thread_references(spark, sf_dir):
+    """Ids in an object, in a list, in JSON in a string in JSON in a string; and one under a key that names no session."""
+    c = load(spark, sf_dir, "conversations")
+    name = lambda k: F.concat(F.lit("c"), F.col("conv_id") + k)
+    inner = F.to_json(F.struct(F.to_json(F.struct(F.array(F.struct(name(3).alias("session_id"))).alias("x"))).alias("output")))
+    raw = F.to_json(F.struct(F.struct(F.struct(name(1).alias("thread_id"), name(7).alias("title")).alias("a"), F.array(name(2), "text").alias("agent_thread_id"), inner.alias("arguments"), F.lit("{torn").alias("input")).alias("payload")))
+    known = c.select(F.concat(F.lit("c"), "conv_id").alias("id")).distinct()
+    return RF.thread_references(c.select(F.concat(F.lit("c"), "conv_id").alias("session"), raw.alias("raw")), known)
+
+
+@query("""
+    SELECT concat('r', r_regionkey) AS id FROM region UNION ALL SELECT concat('n', n_nationkey) FROM nation WHERE n_regionkey > 1 OR n_nationkey % 2 = 0
+    UNION ALL SELECT concat('c', c_custkey) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey > 1 OR n_nationkey % 2 = 0""")
+def pruned_subtrees(spark, sf_dir):
+    """Two regions are edited; every other nation, and some customers, are named by what is left."""
+    t = lambda name: load(spark, sf_dir, name)
+    key = lambda letter, c: F.concat(F.lit(letter), F.col(c))
+    nodes = t("region").select(key("r", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent_id"))
+    nodes = nodes.unionByName(t("nation").select(key("n", "n_nationkey").alias("id"), key("r", "n_regionkey").alias("parent_id")))
+    nodes = nodes.unionByName(t("customer").select(key("c", "c_custkey").alias("id"), key("n", "c_nationkey").alias("parent_id")))
+    named = t("nation").where("n_nationkey % 2 = 1").select(key("n", "n_nationkey").alias("ref")).unionByName(t("customer").select(key("c", "c_custkey").alias("ref")))
+    return RF.pruned(nodes, t("region").where("r_regionkey < 2").select(key("r", "r_regionkey").alias("id")), named)[0].select("id")
+
+
+@query("""
+    SELECT lang AS tool, CAST(d.doc_id AS VARCHAR) AS session, sha256(concat(lang, chr(0), d.doc_id)) AS handle, toxic IS DISTINCT FROM 1 AS present,
+           CASE WHEN l.doc_id IS NULL THEN 3 WHEN toxic = 1 THEN 3 ELSE 1 END AS since
+    FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE lang IS NOT NULL""")
+def handle_generations(spark, sf_dir):
+    """All documents, then the labelled ones, then all but the toxic: who came back has the handle of before."""
+    d = load(spark, sf_dir, "documents").where("lang is not null").select(F.col("lang").alias("tool"), F.col("doc_id").cast("string").alias("session"))
+    labels = load(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("session"), "toxic")
+    log = spark.createDataFrame([], "tool string, session string, handle string, generation int, present boolean")
+    for generation, active in enumerate((d, d.join(labels, "session", "left_semi"), d.join(labels.where("toxic = 1"), "session", "left_anti")), 1):
+        log = G._durable(log.unionByName(R.handle_log(log, active, generation)))
+    return R.handles_as_of(log, 3).select("tool", "session", "handle", "present", "since")
+
+
+@query("""
+    WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS source, epoch_ms(ts) AS t, event_type AS token, event_id % 7 = 0 AS nudge, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    p AS (SELECT source, min(t) AS t0 FROM e GROUP BY 1), q AS (SELECT e.source, (t - t0) // 20000 AS t, token, nudge, n FROM e JOIN p ON e.source = p.source),
+    s AS (
+        SELECT source, n, t AS at_ms, token AS last, token AS synced, CAST(NULL AS BIGINT) AS pending, t AS reconciled, CAST(NULL AS VARCHAR) AS reason FROM q WHERE n = 1
+        UNION ALL
+        SELECT b.source, b.n, b.t, b.token,
+               CASE WHEN b.full_scan OR b.hit THEN b.token ELSE b.synced END, CASE WHEN b.full_scan OR b.hit OR b.token = b.synced THEN NULL ELSE b.since END,
+               CASE WHEN b.full_scan THEN b.t ELSE b.reconciled END, CASE WHEN b.full_scan THEN 'reconcile' WHEN b.hit THEN CASE WHEN b.token = b.last THEN 'settled' ELSE 'overdue' END END
+        FROM (SELECT q.source, q.n, q.t, q.token, s.last, s.synced, s.reconciled, coalesce(s.pending, q.t) AS since,
+                     q.token <> s.synced AND (q.token = s.last OR q.t - coalesce(s.pending, q.t) >= 15000) AS hit,
+                     q.t - s.reconciled >= 300000 OR q.nudge AND q.t - s.reconciled >= 5000 AS full_scan
+              FROM s JOIN q ON q.source = s.source AND q.n = s.n + 1) b)
+    SELECT source, at_ms, reason, last AS token FROM s WHERE reason IS NOT NULL""")
+def settled_changes(spark, sf_dir):
+    """Users as sources, their events as polls a twenty-thousandth as far apart: types are tokens."""
+    e = load(spark, sf_dir, "events")
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    w = N.Window.partitionBy("user_id")
+    first = F.min(at).over(w)
+    polls = e.select(F.col("user_id").cast("string").alias("source"), F.floor((at - first) / 20_000).cast("long").alias("at_ms"), F.col("event_type").alias("token"), (F.col("event_id") % 7 == 0).alias("nudge"), "event_id", "ts")
+    order = F.row_number().over(N.Window.partitionBy("source").orderBy("ts", "event_id"))
+    return ST.settled_changes(polls.withColumn("n", order).sort("source", "n").select("source", "at_ms", "token", "nudge", "n"))

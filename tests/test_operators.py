@@ -64,7 +64,6 @@ def test_query_terms_and_literals():
     assert X.required_literals(r"error: \d+ at line") == ["error: ", " at line"]
     assert X.required_literals("abc|def") == [] and X.required_literals("abcd?efg") == ["abc", "efg"]
     assert X.required_literals("(abc)+xyz") == ["xyz"] and X.java_regex("(?P<n>x)") is None
-    assert X.in_workdir("ls", "/a b") == "cd '/a b' && ls"
 
 
 def test_snippets_and_clips(spark):

@@ -91,9 +91,9 @@ def test_metadata_patches_drop_what_is_empty(spark):
 
 
 def test_numbers_flags_and_quotes(spark):
-    df = spark.createDataFrame([("7.9", "TRUE", "it's"), ("-2.5", "x", "ok"), ("n", None, "")], "n string, b string, d string")
+    df = spark.createDataFrame([("7.9", "TRUE", "it's"), ("-2.5", "x", "ok"), ("n", None, ""), ("9007199254740993", None, ""), ("-9223372036854775808", None, ""), ("1e3", None, ""), ("99999999999999999999", None, "")], "n string, b string, d string")
     got = df.select(X.to_int(F.col("n")), X.to_bool(F.col("b")), X.in_workdir(F.lit("ls"), F.col("d"))).collect()
-    assert [tuple(r) for r in got] == [(7, True, "cd 'it'\"'\"'s' && ls"), (-2, None, "cd ok && ls"), (None, None, "ls")]
+    assert [tuple(r) for r in got] == [(7, True, "cd 'it'\"'\"'s' && ls"), (-2, None, "cd ok && ls"), (None, None, "ls"), (9007199254740993, None, "ls"), (-(2**63), None, "ls"), (1000, None, "ls"), (None, None, "ls")]
 
 
 def test_strict_trees_refuse_what_is_wrong(spark):
