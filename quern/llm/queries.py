@@ -149,10 +149,14 @@ def op2_language_mixture_und(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes, and whether each document and source keeps its bounds."""
-    out = op4_mix_sources(spark, sf_dir)
-    bounded = (F.col("taken") <= 2 * F.col("size")) & (F.col("target") <= 2 * F.col("source_size"))
-    return out.select("doc_id", "size", "source_size", bounded.alias("bounded"))
+    """Sizes and targets, whether each document keeps its bound, and whether each source's taken words come within two
+    blocks of its target."""
+    out = op4_mix_sources(spark, sf_dir).transform(materialize)
+    sums = out.groupBy("source").agg(F.sum("taken").alias("words"))
+    bounded = (F.col("taken") <= 2 * F.col("size")).alias("bounded")
+    near = (F.abs(F.col("words") - F.col("target")) <= 256).alias("near")
+    out = out.join(F.broadcast(sums.withColumnRenamed("source", "name")), F.col("source").eqNullSafe(F.col("name")))
+    return out.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), bounded, near)
 
 
 def op7_pack_sequences_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,9 +309,35 @@ def oracle_sql() -> dict[str, str]:
                 FROM s)
             SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
         "op2_language_mixture_und": r"SELECT doc_id, NOT coalesce(regexp_matches(text, '\p{L}'), false) AS und, NOT coalesce(regexp_matches(text, '\p{L}'), false) AS zero FROM documents",
+        # a source is full where the level at which the sources from it on would share what is left lies above twice its size
         "op4_mix_sources_sizes": f"""
-            WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size FROM documents)
-            SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(sum(size) OVER (PARTITION BY source) AS BIGINT) AS source_size, true AS bounded FROM d""",
+            WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size FROM documents),
+            s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS words, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
+            w AS (SELECT *, CASE k % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM s),
+            o AS (SELECT *, row_number() OVER (ORDER BY 2 * words / weight, k) AS n FROM w),
+            v AS (SELECT *, (1.5 * sum(words) OVER () - coalesce(sum(2 * words) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                            / sum(weight) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
+            f AS (SELECT min(CASE WHEN level * weight <= 2 * words THEN n END) AS first FROM v),
+            t AS (SELECT v.source, CASE WHEN v.n < f.first THEN 2 * v.words ELSE v.weight * (SELECT level FROM v x WHERE x.n = f.first) END AS target FROM v CROSS JOIN f)
+            SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(sum(size) OVER (PARTITION BY d.source) AS BIGINT) AS source_size, round(target, 4) AS target,
+                   true AS bounded, true AS near
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source""",
+        "op9_minhash_near_dedup": f"""
+            WITH RECURSIVE d AS (
+                SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w
+                FROM documents),
+            s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [md5(array_to_string(w, ' '))]
+                         ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: md5(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s FROM d),
+            n AS (SELECT r, doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+            e AS (SELECT r, unnest(s) AS h FROM s WHERE doc_id IS NOT NULL),
+            p AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM e a JOIN e b ON a.h = b.h AND a.r < b.r GROUP BY 1, 2),
+            l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM p JOIN n x ON p.a = x.r JOIN n y ON p.b = y.r WHERE 100 * k >= 85 * (x.n + y.n - k)),
+            u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+            g AS (SELECT a AS start, b AS x FROM u UNION SELECT g.start, u.b FROM g JOIN u ON g.x = u.a),
+            c AS (SELECT start, min(x) AS least FROM g GROUP BY start)
+            SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(c.least, n.doc_id)) AS component_id,
+                   n.doc_id IS NULL OR n.doc_id <= coalesce(c.least, n.doc_id) AS kept
+            FROM n LEFT JOIN c ON n.doc_id = c.start""",
         "op7_pack_sequences_cover": "SELECT DISTINCT doc_id, true AS covered, true AS gapless FROM documents",
         "op8_url_rules_fixed": r"""
             WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
