@@ -9,11 +9,13 @@ from ..operators import agents as A
 from ..operators import content_index as I
 from ..operators import edits as E
 from ..operators import library as L
+from ..operators import preview as PV
 from ..operators import migration as K
 from ..operators import records as R
 from ..operators import references as RF
 from ..operators import search as S
 from ..operators import sessions as C
+from ..operators import tools as TL
 from ..operators import topology as G
 from ..sources import canonical as N
 from ..sources import updates as N2
@@ -885,3 +887,38 @@ def settled_changes(spark, sf_dir):
     polls = e.select(F.col("user_id").cast("string").alias("source"), F.floor((at - first) / 20_000).cast("long").alias("at_ms"), F.col("event_type").alias("token"), (F.col("event_id") % 7 == 0).alias("nudge"), "event_id", "ts")
     order = F.row_number().over(N.Window.partitionBy("source").orderBy("ts", "event_id"))
     return ST.settled_changes(polls.withColumn("n", order).sort("source", "n").select("source", "at_ms", "token", "nudge", "n"))
+
+
+@query("""
+    WITH c AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS u, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS m FROM conversations),
+    n AS (SELECT DISTINCT conv_id, CASE WHEN conv_id % 3 <> 0 AND conv_id - conv_id % 3 IN (SELECT conv_id FROM conversations) THEN conv_id - conv_id % 3 END AS parent FROM conversations),
+    k AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY conv_id) - 1 AS place FROM n),
+    p AS (SELECT conv_id, concat('n:', CASE WHEN parent IS NULL THEN '0' ELSE concat('0.', place) END) AS node FROM k),
+    b AS (SELECT c.conv_id, m, node, greatest(1, u) AS round, role,
+                 CASE WHEN role = 'system' AND turn % 5 = 0 THEN 'narrated' WHEN role = 'system' AND c.conv_id % 2 = 0 THEN 'lossy' WHEN role = 'system' THEN 'exact' WHEN role = 'assistant' AND turn % 4 = 1 THEN 'dropped' ELSE 'text' END AS fidelity
+          FROM c JOIN p ON c.conv_id = p.conv_id),
+    v AS (SELECT DISTINCT conv_id, round FROM b WHERE fidelity <> 'dropped')
+    SELECT concat(node, '/m:', m, '/b:0/difference') AS id, CASE WHEN fidelity = 'dropped' THEN 'dropped' ELSE 'degraded' END AS kind, fidelity,
+           CASE fidelity WHEN 'dropped' THEN 'unsupported_thinking' WHEN 'lossy' THEN 'unsupported_tool_fields' ELSE 'tool_to_history' END AS reason_code,
+           substr(node, 3) AS node_path, CAST(b.round AS BIGINT) AS round_index, CASE WHEN v.round IS NOT NULL THEN concat(node, '/r:', b.round) END AS anchor_id, concat('c', b.conv_id) AS node_id
+    FROM b LEFT JOIN v ON b.conv_id = v.conv_id AND b.round = v.round WHERE fidelity NOT IN ('text', 'exact')
+    UNION ALL SELECT concat(node, '/loss:0'), 'dropped', 'dropped', 'migration.truncated', substr(node, 3), NULL, NULL, concat('c', conv_id) FROM p WHERE conv_id % 4 = 0""")
+def migration_differences(spark, sf_dir):
+    """Conversations as small trees; system messages are calls, of which some carry an input that the target lacks and
+    some are of an operation without a rule; some assistant messages are thinking."""
+    c = load(spark, sf_dir, "conversations").withColumn("session", F.concat(F.lit("c"), "conv_id"))
+    ids = c.select("conv_id").distinct()
+    above = ids.select(F.col("conv_id").alias("up"))
+    k = F.col("conv_id")
+    nodes = ids.join(above, (k % 3 != 0) & (k - k % 3 == F.col("up")), "left").select(F.concat(F.lit("c"), k).alias("session"), F.when(F.col("up").isNotNull(), F.concat(F.lit("c"), "up")).alias("parent"), k.alias("ordinal"), F.lit("t").alias("title"))
+    kind = F.when(F.col("role") == "system", "tool").when((F.col("role") == "assistant") & (F.col("turn") % 4 == 1), "thinking").otherwise("text")
+    order = F.row_number().over(N.Window.partitionBy("session").orderBy("turn")).cast("long")
+    fetch, more = F.col("turn") % 5 == 0, k % 2 == 0
+    given = F.when(fetch, F.to_json(F.struct(F.lit("http://x.test").alias("url")))).when(more, F.to_json(F.struct(F.col("text").alias("command"), F.lit(5).alias("timeout_ms")))).otherwise(F.to_json(F.struct(F.col("text").alias("command"))))
+    b = c.select("session", order.alias("message_idx"), F.lit(0).alias("block_idx"), "role", kind.alias("kind"), "text", F.lit("Tool").alias("name"), F.when(fetch, "web.fetch").otherwise("shell.exec").alias("op"), given.alias("input"))
+    none = F.lit(None).cast("string")
+    calls = b.where("kind = 'tool'").withColumns({"output": none, "status": none, "block_kinds": F.array().cast("array<string>"), "attachments": F.lit(0), "truncated": F.lit(False)})
+    decided = TL.decide(calls, TL.rules(spark, {"shell.exec": ("exact", ["command"])}), ["success"], ["text"], [])
+    losses = nodes.where("ordinal % 4 = 0").select("session", F.lit("migration.truncated").alias("code"), F.lit("x").alias("detail")).unionByName(nodes.select("session", F.lit("other.code").alias("code"), F.lit("y").alias("detail")))
+    out = PV.differences(nodes, b, decided, losses, "codex")
+    return out.select("id", "kind", "fidelity", "reason_code", "node_path", "round_index", "anchor_id", "node_id")
