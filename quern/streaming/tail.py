@@ -11,6 +11,7 @@ import os
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 SCHEMA = "file string, offset bigint, raw string"
@@ -111,3 +112,16 @@ class TailSource(DataSource):
 def tail(spark: SparkSession, pattern: str) -> DataFrame:
     spark.dataSource.register(TailSource)
     return spark.readStream.format("quern_tail").option("path", pattern).load()
+
+
+def tailed_lines(spark: SparkSession, pattern: str) -> DataFrame:
+    """`tail` with the columns that the folds of transcripts take: a line's offset is its place, and where it starts is
+    the size of its file so far."""
+    t = tail(spark, pattern)
+    return t.select(
+        "file",
+        F.col("offset").alias("line_no"),
+        "raw",
+        F.col("offset").alias("size"),
+        F.lit(None).cast("long").alias("modified_ms")
+    )
