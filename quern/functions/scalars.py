@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 #: Media types of images, and caps in characters of what a runtime keeps.
 IMAGE_TYPES = ("image/png", "image/jpeg", "image/gif", "image/webp")
-RUNTIME_CAPS = {"text": 16_000, "thinking": 16_000, "tool_result": 4_000, "image": 64_000, "delta": 16_000, "prompt": 16_000}
+RUNTIME_CAPS = {
+    "text": 16_000, "thinking": 16_000, "tool_result": 4_000, "image": 64_000, "delta": 16_000, "prompt": 16_000
+}
 #: Native result states by format. What is not listed is `unknown`.
 STATUSES = {
     "claude": {
@@ -63,13 +65,21 @@ def _ascii_json(json: Column) -> Column:
         high, low = F.shiftright(n - 0x10000, 10) + 0xD800, (n - 0x10000).bitwiseAND(0x3FF) + 0xDC00
         return F.when(n < 128, c).when(n < 0x10000, unit(n)).otherwise(F.concat(unit(high), unit(low)))
 
-    return F.when(json.rlike(r"^[\x00-\x7F]*$"), json).otherwise(F.array_join(F.transform(F.split(json, ""), escaped), ""))
+    return F.when(json.rlike(r"^[\x00-\x7F]*$"), json).otherwise(
+        F.array_join(F.transform(F.split(json, ""), escaped), "")
+    )
 
 
 def revision(tool: Column, ref: Column, updated: Column, size: Column, identity: Column | None = None) -> Column:
     """SHA-256 of the compact JSON of a row's identity, keys in order, nulls kept."""
     identity = identity if identity is not None else F.lit(None).cast("string")
-    fields = F.struct(identity.alias("file_identity"), ref.alias("ref"), size.alias("size"), tool.alias("tool"), updated.alias("updated"))
+    fields = F.struct(
+        identity.alias("file_identity"),
+        ref.alias("ref"),
+        size.alias("size"),
+        tool.alias("tool"),
+        updated.alias("updated")
+    )
     return F.sha2(_ascii_json(F.to_json(fields, {"ignoreNullFields": "false"})), 256)
 
 
@@ -86,12 +96,20 @@ def result_text(blocks: Column) -> Column:
 
 def extracted(blocks: Column, cap: int = 16_000) -> Column:
     """(text, tool_text, clipped) of a message's blocks (kind, text, name, output), each at most `cap` characters."""
-    text = F.array_join(F.transform(F.filter(blocks, lambda b: (b["kind"] == "text") & (b["text"] != "")), lambda b: b["text"]), "\n")
+    text = F.array_join(
+        F.transform(F.filter(blocks, lambda b: (b["kind"] == "text") & (b["text"] != "")), lambda b: b["text"]), "\n"
+    )
     tools = F.filter(blocks, lambda b: b["kind"] == "tool")
-    said = lambda b: F.concat_ws("\n", F.concat(F.lit("[tool "), b["name"], F.lit("]")), F.nullif(b["output"], F.lit("")))
+    said = lambda b: F.concat_ws(
+        "\n", F.concat(F.lit("[tool "), b["name"], F.lit("]")), F.nullif(b["output"], F.lit(""))
+    )
     tool_text = F.array_join(F.transform(tools, said), "\n")
     clipped = (F.length(text) > cap) | (F.length(tool_text) > cap)
-    return F.struct(F.substring(text, 1, cap).alias("text"), F.substring(tool_text, 1, cap).alias("tool_text"), clipped.alias("clipped"))
+    return F.struct(
+        F.substring(text, 1, cap).alias("text"),
+        F.substring(tool_text, 1, cap).alias("tool_text"),
+        clipped.alias("clipped")
+    )
 
 
 def result_status(tool: str, native: Column, is_error: Column, interrupted: Column, exit_code: Column) -> Column:
@@ -100,7 +118,9 @@ def result_status(tool: str, native: Column, is_error: Column, interrupted: Colu
     mapped = F.coalesce(F.try_element_at(table, native), F.lit("unknown"))
     if tool == "claude":
         plain = F.when(native.isNull(), "success").otherwise(mapped)
-        return F.when(F.coalesce(is_error, F.lit(False)), "error").when(F.coalesce(interrupted, F.lit(False)), "interrupted").otherwise(plain)
+        return F.when(F.coalesce(is_error, F.lit(False)), "error").when(
+            F.coalesce(interrupted, F.lit(False)), "interrupted"
+        ).otherwise(plain)
     if tool == "opencode":
         state = F.when(F.coalesce(interrupted, F.lit(False)), "interrupted").otherwise(mapped)
         return F.when((state == "unknown") & F.coalesce(is_error, F.lit(False)), "error").otherwise(state)
@@ -110,7 +130,9 @@ def result_status(tool: str, native: Column, is_error: Column, interrupted: Colu
 def patch_changes(patch: Column) -> Column:
     """Changes of a patch text: (operation, path, destination, hunks); an update with a move line is a move."""
     header = r"\*\*\* (?:Add|Update|Delete) File: [^\r\n]+"
-    parts = F.slice(F.split(F.concat(F.lit("\n"), F.replace(patch, F.lit("\r\n"), F.lit("\n"))), rf"\n(?={header})"), 2, 1 << 30)
+    parts = F.slice(
+        F.split(F.concat(F.lit("\n"), F.replace(patch, F.lit("\r\n"), F.lit("\n"))), rf"\n(?={header})"), 2, 1 << 30
+    )
 
     def change(part: Column) -> Column:
         operation = F.lower(F.regexp_extract(part, r"^\*\*\* (Add|Update|Delete) File: ", 1))
@@ -118,7 +140,12 @@ def patch_changes(patch: Column) -> Column:
         target = F.nullif(F.trim(F.regexp_extract(part, r"(?m)^\*\*\* Move to: ([^\r\n]+)", 1)), F.lit(""))
         moves = (operation == "update") & target.isNotNull()
         hunks = F.regexp_count(part, F.lit(r"(?m)^@@")).cast("long")
-        return F.struct(F.when(moves, "move").otherwise(operation).alias("operation"), path.alias("path"), F.when(moves, target).alias("destination"), hunks.alias("hunks"))
+        return F.struct(
+            F.when(moves, "move").otherwise(operation).alias("operation"),
+            path.alias("path"),
+            F.when(moves, target).alias("destination"),
+            hunks.alias("hunks")
+        )
 
     return F.transform(parts, change)
 
@@ -151,7 +178,14 @@ def image_of(url: Column) -> Column:
 def narrated(name: Column, source: Column, output: Column) -> Column:
     """A tool call told as history: input to 500 characters, output to 2000."""
     said = F.substring(F.coalesce(F.nullif(output, F.lit("")), F.lit("(no output)")), 1, 2000)
-    return F.concat(F.lit("[History: tool "), name, F.lit(" was previously invoked]\nInput: "), F.substring(source, 1, 500), F.lit("\nResult:\n"), said)
+    return F.concat(
+        F.lit("[History: tool "),
+        name,
+        F.lit(" was previously invoked]\nInput: "),
+        F.substring(source, 1, 500),
+        F.lit("\nResult:\n"),
+        said
+    )
 
 
 def visible_text(text: Column) -> Column:
@@ -161,18 +195,24 @@ def visible_text(text: Column) -> Column:
 
 def shell_word(word: Column) -> Column:
     """A word quoted for a shell where it needs it."""
-    return F.when(word.rlike(_PLAIN_WORD), word).otherwise(F.concat(F.lit("'"), F.replace(word, F.lit("'"), F.lit("'\"'\"'")), F.lit("'")))
+    return F.when(word.rlike(_PLAIN_WORD), word).otherwise(
+        F.concat(F.lit("'"), F.replace(word, F.lit("'"), F.lit("'\"'\"'")), F.lit("'"))
+    )
 
 
 def in_workdir(command: Column, workdir: Column) -> Column:
     """The command after a change of directory, the directory quoted for a shell where it needs it."""
-    return F.when(F.coalesce(workdir, F.lit("")) == "", command).otherwise(F.concat(F.lit("cd "), shell_word(workdir), F.lit(" && "), command))
+    return F.when(F.coalesce(workdir, F.lit("")) == "", command).otherwise(
+        F.concat(F.lit("cd "), shell_word(workdir), F.lit(" && "), command)
+    )
 
 
 def merged_metadata(current: Column, patch: Column) -> Column:
     """Maps of JSON texts: the patch wins, then empty values (null, false, zero, "", []) are dropped."""
     both = F.map_concat(F.map_filter(current, lambda k, v: ~F.array_contains(F.map_keys(patch), k)), patch)
-    return F.map_filter(both, lambda k, v: v.isNotNull() & ~F.trim(v).isin("null", "false", '""', "[]", "0", "0.0", "-0.0"))
+    return F.map_filter(
+        both, lambda k, v: v.isNotNull() & ~F.trim(v).isin("null", "false", '""', "[]", "0", "0.0", "-0.0")
+    )
 
 
 def json_args(raw: Column) -> tuple[Column, Column]:
@@ -191,7 +231,9 @@ def unwrapped(raw: Column) -> Column:
     are decoded as UTF-8."""
     v = F.try_parse_json(raw)
     kind = F.try_variant_get(v, "$.type", "string")
-    text = lambda path: F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
+    text = lambda path: F.when(
+        F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string")
+    )
 
     def stream(path: str) -> Column:
         codes = F.try_variant_get(v, path, "array<int>")
@@ -211,7 +253,11 @@ def unwrapped(raw: Column) -> Column:
     )
     coded = out.isNotNull() & kind.isin("Bash", "GrepSearch")
     code = F.when(coded, F.try_variant_get(v, "$.exit_code", "int"))
-    return F.struct(out.alias("text"), code.alias("exit_code"), F.when(coded & (kind == "GrepSearch"), F.nullif(stream("$.stderr"), F.lit(""))).alias("stderr"))
+    return F.struct(
+        out.alias("text"),
+        code.alias("exit_code"),
+        F.when(coded & (kind == "GrepSearch"), F.nullif(stream("$.stderr"), F.lit(""))).alias("stderr")
+    )
 
 
 def _bounded(value, depth: int, left: list[int]):
@@ -245,7 +291,9 @@ def bounded_json(json: Column, most: int = 32 * 1024) -> Column:
             if len(raw) <= most:
                 return out
             preview = raw[: min(4000, max(0, most - 256))].decode(errors="ignore")
-            return dumps({"truncated": True, "sha256": hashlib.sha256(raw).hexdigest(), "preview": preview}, ensure_ascii=False)
+            return dumps(
+                {"truncated": True, "sha256": hashlib.sha256(raw).hexdigest(), "preview": preview}, ensure_ascii=False
+            )
 
         return texts.map(one)
 

@@ -28,7 +28,9 @@ def snippet(text: Column, term: str, before: int = 120, after: int = 240) -> Col
     at = F.locate(term.lower(), F.lower(text))
     lo = F.greatest(F.lit(1), at - before)
     hi = F.least(F.length(text), at + len(term) - 1 + after)
-    cut = F.concat(F.when(lo > 1, "…").otherwise(""), text.substr(lo, hi - lo + 1), F.when(hi < F.length(text), "…").otherwise(""))
+    cut = F.concat(
+        F.when(lo > 1, "…").otherwise(""), text.substr(lo, hi - lo + 1), F.when(hi < F.length(text), "…").otherwise("")
+    )
     return F.when(at > 0, cut).otherwise(F.substring(text, 1, after))
 
 
@@ -42,7 +44,10 @@ def query_terms(query: str) -> list[str]:
     """Quoted phrases and words; bare OR, AND and NOT are not terms."""
     found = re.findall(r'"([^"]+)"|(\S+)', query)
     words = [phrase or word for phrase, word in found]
-    return [w.lower() for w, (phrase, _) in zip(words, found, strict=True) if phrase or w.upper() not in ("OR", "AND", "NOT")]
+    return [
+        w.lower() for w,
+        (phrase, _) in zip(words, found, strict=True) if phrase or w.upper() not in ("OR", "AND", "NOT")
+    ]
 
 
 #: What the prefilter reads: escapes of signs and of the classes and anchors both dialects share, a class of plain

@@ -50,7 +50,9 @@ def json_shape(value, depth: int = 8, nodes: int = 2000) -> None:
 
 def patterns(query: str, more, most: int = 16, length: int = 500) -> list[str]:
     """The query and further patterns, of which any may hit; blank ones are left out."""
-    if more is not None and (not isinstance(more, list) or len(more) > most or not all(isinstance(x, str) and len(x) <= length for x in more)):
+    if more is not None and (
+        not isinstance(more, list) or len(more) > most or not all(isinstance(x, str) and len(x) <= length for x in more)
+    ):
         raise ValueError(f"patterns is a list of at most {most} texts of {length} characters")
     return [x.strip() for x in [query, *(more or [])] if x.strip()]
 

@@ -8,7 +8,16 @@ from pyspark.sql import functions as F
 from .topology import _durable, closure, forest
 
 #: States of an edge by the result of its call, and how sure an association is.
-EDGE_STATES = {"open": "open", "in_progress": "open", "queued": "open", "closed": "closed", "completed": "closed", "failed": "closed", "cancelled": "closed", "canceled": "closed"}
+EDGE_STATES = {
+    "open": "open",
+    "in_progress": "open",
+    "queued": "open",
+    "closed": "closed",
+    "completed": "closed",
+    "failed": "closed",
+    "cancelled": "closed",
+    "canceled": "closed"
+}
 SPAWNED, BY_REGISTRY, BY_HEADER = 1.0, 0.95, 0.75
 #: Longest piece of an identity by which it is looked up in texts.
 GRAM = 8
@@ -17,11 +26,15 @@ GRAM = 8
 def parents(headers: DataFrame, registry: DataFrame) -> DataFrame:
     """(id, parent_id, association, and the other columns of `headers`): the parent that a session's own header names,
     else the one that the registry (child, parent, status) has for it. Of repeated children the greatest parent counts."""
-    known = registry.where("child is not null and parent is not null").groupBy(F.col("child").alias("id")).agg(F.max("parent").alias("_parent"))
+    known = registry.where(
+        "child is not null and parent is not null"
+    ).groupBy(F.col("child").alias("id")).agg(F.max("parent").alias("_parent"))
     out = headers.join(known, "id", "left")
     own = F.nullif(F.col("parent_id"), F.lit(""))
     association = F.when(own.isNotNull(), "parent-metadata").when(F.col("_parent").isNotNull(), "sqlite-parent")
-    return out.withColumn("association", association).withColumn("parent_id", F.coalesce(own, "_parent")).drop("_parent")
+    return out.withColumn("association", association).withColumn(
+        "parent_id", F.coalesce(own, "_parent")
+    ).drop("_parent")
 
 
 def descendants(sessions: DataFrame, roots: DataFrame) -> DataFrame:
@@ -35,10 +48,16 @@ def descendants(sessions: DataFrame, roots: DataFrame) -> DataFrame:
     flagged = sessions.select("id", "parent_id").join(asked, F.col("id") == F.col("_asked"), "left")
     cut = flagged.select("id", F.when(F.col("_asked").isNull(), F.col("parent_id")).alias("parent_id"))
     tree = _durable(forest(cut).select("node", "top"))
-    near = tree.join(asked, F.col("top") == F.col("_asked")).select(F.col("top").alias("root"), F.col("node").alias("id"))
+    near = tree.join(asked, F.col("top") == F.col("_asked")).select(
+        F.col("top").alias("root"), F.col("node").alias("id")
+    )
     # an asked root lies below the asked root that its own parent is nearest to
-    links = flagged.where("_asked is not null and parent_id is not null").select(F.col("id").alias("_root"), F.col("parent_id").alias("root_parent"))
-    above = links.join(near.select(F.col("id").alias("root_parent"), F.col("root").alias("_above")), "root_parent").select(F.col("_root").alias("id"), F.col("_above").alias("parent_id"))
+    links = flagged.where("_asked is not null and parent_id is not null").select(
+        F.col("id").alias("_root"), F.col("parent_id").alias("root_parent")
+    )
+    above = links.join(
+        near.select(F.col("id").alias("root_parent"), F.col("root").alias("_above")), "root_parent"
+    ).select(F.col("_root").alias("id"), F.col("_above").alias("parent_id"))
     pairs = closure(asked.select(F.col("_asked").alias("id")).join(above, "id", "left"))
     out = near.join(pairs.select("ancestor", F.col("node").alias("root")), "root")
     return out.select(F.col("ancestor").alias("root"), "id").distinct()
@@ -47,7 +66,10 @@ def descendants(sessions: DataFrame, roots: DataFrame) -> DataFrame:
 def _grams(text, length: int):
     """All distinct pieces of this many characters of a text."""
     last = F.length(text) - length + 1
-    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda k: F.substring(text, k, F.lit(length)))))
+    return F.when(
+        last > 0,
+        F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda k: F.substring(text, k, F.lit(length))))
+    )
 
 
 def containing(texts: DataFrame, identities: DataFrame, key: str, text: str, identity: str) -> DataFrame:
@@ -64,9 +86,17 @@ def containing(texts: DataFrame, identities: DataFrame, key: str, text: str, ide
     mine = named.select(key, F.col(identity).alias("_identity"), "_n").distinct()
     mine = mine.withColumn("_gram", F.explode(by_length(F.col("_identity"))))
     shared = mine.groupBy(key, "_n", "_gram").agg(F.count(F.lit(1)).alias("_shared"))
-    rarest = mine.join(shared, [key, "_n", "_gram"]).groupBy(key, "_identity").agg(F.min(F.struct("_shared", "_gram")).alias("_r"))
-    looked_up = named.join(rarest.select(key, F.col("_identity").alias(identity), F.col("_r._gram").alias("_gram")), [key, identity])
-    pieces = F.explode(F.array_distinct(F.concat(*(F.coalesce(_grams(F.col(text), n), F.array().cast("array<string>")) for n in lengths))))
+    rarest = mine.join(shared, [key, "_n", "_gram"]).groupBy(key, "_identity").agg(
+        F.min(F.struct("_shared", "_gram")).alias("_r")
+    )
+    looked_up = named.join(
+        rarest.select(key, F.col("_identity").alias(identity), F.col("_r._gram").alias("_gram")), [key, identity]
+    )
+    pieces = F.explode(
+        F.array_distinct(
+            F.concat(*(F.coalesce(_grams(F.col(text), n), F.array().cast("array<string>")) for n in lengths))
+        )
+    )
     found = texts.withColumn("_gram", pieces).join(looked_up, [key, "_gram"])
     return found.where(F.contains(F.col(text), F.col(identity))).drop("_gram", "_n")
 
@@ -87,7 +117,9 @@ def spawn_matches(calls: DataFrame, children: DataFrame) -> DataFrame:
     while not pairs.isEmpty():
         first = pairs.groupBy("parent", "call_id").agg(F.min(F.struct("_b", "child")).alias("x"))
         second = pairs.groupBy("parent", "child").agg(F.min(F.struct("_a", "call_id")).alias("y"))
-        both = first.select("parent", "call_id", F.col("x.child").alias("child")).join(second.select("parent", "child", F.col("y.call_id").alias("_call")), ["parent", "child"])
+        both = first.select("parent", "call_id", F.col("x.child").alias("child")).join(
+            second.select("parent", "child", F.col("y.call_id").alias("_call")), ["parent", "child"]
+        )
         sure = _durable(both.where("call_id = _call").select("parent", "call_id", "child"))
         found = found.unionByName(sure)
         for key in ("call_id", "child"):
@@ -106,26 +138,54 @@ def session_edges(sessions: DataFrame, calls: DataFrame, registry: DataFrame) ->
     """
     child = sessions.where("parent_id is not null and parent_id <> id")
     child = child.join(sessions.select(F.col("id").alias("parent_id")).distinct(), "parent_id", "left_semi")
-    rank = F.row_number().over(Window.partitionBy("parent_id").orderBy(F.coalesce("agent_path", F.lit("")), "id")).cast("long")
+    rank = F.row_number().over(
+        Window.partitionBy("parent_id").orderBy(F.coalesce("agent_path", F.lit("")), "id")
+    ).cast("long")
     child = _durable(child.withColumn("listed", rank))
-    names = child.select(F.col("parent_id").alias("parent"), F.col("id").alias("child"), F.col("listed").alias("ordinal"), F.explode(F.array("id", "agent_id", "agent_path")).alias("identity"))
+    names = child.select(
+        F.col("parent_id").alias("parent"),
+        F.col("id").alias("child"),
+        F.col("listed").alias("ordinal"),
+        F.explode(F.array("id", "agent_id", "agent_path")).alias("identity")
+    )
     haystack = F.concat_ws("\n", "input", "output")
     made = calls.select(F.col("session").alias("parent"), "call_id", haystack.alias("haystack"), "ordinal")
     matched = spawn_matches(made, names.where("identity is not null and identity <> ''"))
     states = F.create_map(*(F.lit(x) for kv in EDGE_STATES.items() for x in kv))
-    of_call = calls.select(F.col("session").alias("parent_id"), "call_id", "message_id", "result_id", F.col("ordinal").alias("call_at"), F.get_json_object("input", "$.prompt").alias("prompt"), F.try_element_at(states, F.col("status")).alias("call_state"))
-    of_call = of_call.join(matched.select(F.col("parent").alias("parent_id"), "call_id", F.col("child").alias("id")), ["parent_id", "call_id"])
+    of_call = calls.select(
+        F.col("session").alias("parent_id"),
+        "call_id",
+        "message_id",
+        "result_id",
+        F.col("ordinal").alias("call_at"),
+        F.get_json_object("input", "$.prompt").alias("prompt"),
+        F.try_element_at(states, F.col("status")).alias("call_state")
+    )
+    of_call = of_call.join(
+        matched.select(F.col("parent").alias("parent_id"), "call_id", F.col("child").alias("id")),
+        ["parent_id", "call_id"]
+    )
     told = registry.groupBy(F.col("child").alias("id")).agg(F.max("status").alias("told"))
     e = child.join(of_call, ["parent_id", "id"], "left").join(told, "id", "left")
     sure = F.col("call_id").isNotNull()
-    place = F.row_number().over(Window.partitionBy("parent_id").orderBy(F.asc_nulls_last("call_at"), "listed")).cast("long")
+    place = F.row_number().over(
+        Window.partitionBy("parent_id").orderBy(F.asc_nulls_last("call_at"), "listed")
+    ).cast("long")
     by = F.when(sure, "spawn-call").otherwise(F.coalesce("association", F.lit("parent-metadata")))
     confidence = F.when(sure, SPAWNED).when(F.col("association") == "sqlite-parent", BY_REGISTRY).otherwise(BY_HEADER)
     edges = e.select(
-        F.col("parent_id").alias("session"), place.alias("ordinal"), F.col("id").alias("child_session_id"), F.col("call_id").alias("source_call_id"),
-        F.col("message_id").alias("spawn_message_id"), F.col("result_id").alias("result_message_id"), "agent_id", "agent_path", "agent_type",
-        F.coalesce("prompt", F.lit("")).alias("prompt"), F.coalesce("call_state", "told").alias("status"), by.alias("association"), confidence.alias("confidence"),
+        F.col("parent_id").alias("session"), place.alias("ordinal"), F.col("id").alias(
+            "child_session_id"
+        ), F.col("call_id").alias("source_call_id"),
+        F.col("message_id").alias("spawn_message_id"), F.col("result_id").alias(
+            "result_message_id"
+        ), "agent_id", "agent_path", "agent_type",
+        F.coalesce("prompt", F.lit("")).alias("prompt"), F.coalesce(
+            "call_state", "told"
+        ).alias("status"), by.alias("association"), confidence.alias("confidence"),
     )
     spawning = calls.select("session").distinct()
     lost = edges.where("source_call_id is null").join(spawning, "session", "left_semi")
-    return edges, lost.select("session", F.lit("session.subagent_unlinked").alias("code"), F.col("child_session_id").alias("detail"))
+    return edges, lost.select(
+        "session", F.lit("session.subagent_unlinked").alias("code"), F.col("child_session_id").alias("detail")
+    )

@@ -57,13 +57,21 @@ def index_plan(current: DataFrame, stored: DataFrame, rows: int = 32, budget: in
     state = reconcile(current, stored, keys, "revision").join(current.select(*keys, "updated", "size"), keys, "left")
     wanted = state.where(F.col("state").isin("new", "changed"))
     first = wanted.orderBy(F.desc("updated"), *keys).limit(rows)
-    used = F.sum(F.coalesce("size", F.lit(0))).over(Window.partitionBy().orderBy(F.desc("updated"), *keys).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    now = first.withColumn("_used", used).where(F.col("_used") <= budget).select(*keys, F.lit("index_now").alias("_action"))  # at most `rows` rows
-    action = F.when(F.col("state") == "same", "keep").when(F.col("state") == "missing", "remove").otherwise(F.coalesce("_action", F.lit("index_later")))
+    used = F.sum(F.coalesce("size", F.lit(0))).over(
+        Window.partitionBy().orderBy(F.desc("updated"), *keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    now = first.withColumn("_used", used).where(F.col("_used") <= budget).select(  # at most `rows` rows
+        *keys, F.lit("index_now").alias("_action")
+    )
+    action = F.when(F.col("state") == "same", "keep").when(F.col("state") == "missing", "remove").otherwise(
+        F.coalesce("_action", F.lit("index_later"))
+    )
     return state.join(now, keys, "left").select(*keys, action.alias("action"))
 
 
-def sync(spark: SparkSession, path: str, current: DataFrame, messages: DataFrame, rows: int = 32, budget: int = 32 << 20) -> DataFrame:
+def sync(
+    spark: SparkSession, path: str, current: DataFrame, messages: DataFrame, rows: int = 32, budget: int = 32 << 20
+) -> DataFrame:
     """Brings the index towards `current` (tool, session, revision, updated, size, and readable, if some cannot be read)
     and returns what was done: (tool, session, action) with keep, remove, index_now, index_later or fail.
 
@@ -72,25 +80,49 @@ def sync(spark: SparkSession, path: str, current: DataFrame, messages: DataFrame
     message, text and, if there, tool_text.
     """
     stored = live(spark, path)
-    plan = index_plan(current.select("tool", "session", "revision", "updated", "size"), stored.select("tool", "session", "revision"), rows, budget)
+    plan = index_plan(
+        current.select("tool", "session", "revision", "updated", "size"),
+        stored.select("tool", "session", "revision"),
+        rows,
+        budget
+    )
     can = F.coalesce(F.col("readable"), F.lit(True)) if "readable" in current.columns else F.lit(True)
     state = current.select("tool", "session", "revision", can.alias("can"))
     plan = plan.join(state, ["tool", "session"], "left")
-    plan = plan.withColumn("action", F.when((F.col("action") == "index_now") & ~F.col("can"), "fail").otherwise(F.col("action")))
+    plan = plan.withColumn(
+        "action", F.when((F.col("action") == "index_now") & ~F.col("can"), "fail").otherwise(F.col("action"))
+    )
     generation = 1 + (_stored(spark, path, "sessions", SESSIONS).agg(F.max("generation")).first()[0] or 0)
     plan = _durable(plan.select("tool", "session", "revision", "action"))
     now = [r.session for r in plan.where("action = 'index_now'").select("session").collect()]  # at most `rows`
-    read = messages.where(F.col("session").isin(now)).select("session", "message", searched_text(messages).alias("text"))
-    postings = read.select("session", "message", F.explode(text_grams(F.col("text"))).alias("gram")).withColumn("bucket", _bucket(F.col("gram")))
+    read = messages.where(F.col("session").isin(now)).select(
+        "session", "message", searched_text(messages).alias("text")
+    )
+    postings = read.select(
+        "session", "message", F.explode(text_grams(F.col("text"))).alias("gram")
+    ).withColumn("bucket", _bucket(F.col("gram")))
     at = lambda table: f"{path}/{table}/generation={generation}"
-    postings.repartition("bucket", F.pmod(F.xxhash64("session"), F.lit(8))).write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
+    postings.repartition(
+        "bucket", F.pmod(F.xxhash64("session"), F.lit(8))
+    ).write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
     made = spark.read.schema("gram string, session string, message long, bucket int").parquet(at("postings"))
-    made.groupBy("bucket", "gram").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").partitionBy("bucket").parquet(at("grams"))
-    sizes = read.groupBy("session").agg(F.count(F.lit(1)).alias("messages"), F.sum(F.length("text")).cast("long").alias("chars"))
+    made.groupBy("bucket", "gram").agg(
+        F.count(F.lit(1)).alias("n")
+    ).write.mode("overwrite").partitionBy("bucket").parquet(at("grams"))
+    sizes = read.groupBy("session").agg(
+        F.count(F.lit(1)).alias("messages"), F.sum(F.length("text")).cast("long").alias("chars")
+    )
     states = {"index_now": "indexed", "fail": "failed", "remove": "removed"}
     named = F.try_element_at(F.create_map(*(F.lit(x) for kv in states.items() for x in kv)), F.col("action"))
     done = plan.where(F.col("action").isin(*states)).join(sizes, "session", "left")
-    done = done.select("tool", "session", "revision", named.alias("state"), F.coalesce("messages", F.lit(0)).cast("long").alias("messages"), F.coalesce("chars", F.lit(0)).cast("long").alias("chars"))
+    done = done.select(
+        "tool",
+        "session",
+        "revision",
+        named.alias("state"),
+        F.coalesce("messages", F.lit(0)).cast("long").alias("messages"),
+        F.coalesce("chars", F.lit(0)).cast("long").alias("chars")
+    )
     done.coalesce(1).write.mode("overwrite").parquet(at("sessions"))
     return plan.select("tool", "session", "action")
 
@@ -100,9 +132,13 @@ def rarest(spark: SparkSession, path: str, term: str) -> list[str]:
     grams = grams_of([term])
     if not grams:
         return []
-    wanted = spark.createDataFrame([(g,) for g in grams], "gram string").select("gram", _bucket(F.col("gram")).alias("bucket"))
+    wanted = spark.createDataFrame([(g,) for g in grams], "gram string").select(
+        "gram", _bucket(F.col("gram")).alias("bucket")
+    )
     wanted = {r.gram: r.bucket for r in wanted.collect()}
-    counts = _stored(spark, path, "grams", COUNTS).where(F.col("bucket").isin(*set(wanted.values())) & F.col("gram").isin(grams))
+    counts = _stored(spark, path, "grams", COUNTS).where(
+        F.col("bucket").isin(*set(wanted.values())) & F.col("gram").isin(grams)
+    )
     n = {r.gram: r.n for r in counts.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
     return sorted(grams, key=lambda g: (n.get(g, 0), g))[:RAREST]
 
@@ -113,11 +149,19 @@ def lookup(spark: SparkSession, path: str, term: str) -> DataFrame | None:
     grams = rarest(spark, path, term)
     if not grams:
         return None
-    buckets = [r[0] for r in spark.createDataFrame([(g,) for g in grams], "gram string").select(_bucket(F.col("gram"))).distinct().collect()]
-    found = _stored(spark, path, "postings", POSTINGS).where(F.col("bucket").isin(*buckets) & F.col("gram").isin(*grams))
+    buckets = [
+        r[0] for r in spark.createDataFrame(
+            [(g,) for g in grams], "gram string"
+        ).select(_bucket(F.col("gram"))).distinct().collect()
+    ]
+    found = _stored(spark, path, "postings", POSTINGS).where(
+        F.col("bucket").isin(*buckets) & F.col("gram").isin(*grams)
+    )
     known = live(spark, path).where("state = 'indexed'").select("session", "generation")
     found = found.join(known, ["session", "generation"])
-    return found.groupBy("session", "message").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(grams)).select("session", "message")
+    return found.groupBy("session", "message").agg(
+        F.count(F.lit(1)).alias("n")
+    ).where(F.col("n") == len(grams)).select("session", "message")
 
 
 def holding(spark: SparkSession, path: str, literals: list[str]) -> DataFrame | None:

@@ -24,11 +24,17 @@ def deleted_turns(records: DataFrame, turns: DataFrame) -> DataFrame:
         above = gone.select("session", F.col("uuid").alias("up"), F.col("up").alias("_up"), F.lit(True).alias("_gone"))
         if gone.join(above, ["session", "up"], "left_semi").isEmpty():
             break
-        gone = _durable(gone.join(above, ["session", "up"], "left").select("session", "uuid", F.when(F.col("_gone"), F.col("_up")).otherwise(F.col("up")).alias("up")))
+        gone = _durable(
+            gone.join(above, ["session", "up"], "left").select(
+                "session", "uuid", F.when(F.col("_gone"), F.col("_up")).otherwise(F.col("up")).alias("up")
+            )
+        )
     else:
         raise ValueError("deleted records run in a circle")
     lost = gone.select("session", F.col("uuid").alias("parent"), "up", F.lit(True).alias("_gone"))
-    out = kept.join(lost, ["session", "parent"], "left").withColumn("parent", F.when(F.col("_gone"), F.col("up")).otherwise(F.col("parent")))
+    out = kept.join(lost, ["session", "parent"], "left").withColumn(
+        "parent", F.when(F.col("_gone"), F.col("up")).otherwise(F.col("parent"))
+    )
     return out.select(*records.columns)
 
 

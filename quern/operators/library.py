@@ -18,25 +18,37 @@ def protection(pinned: Column, archived: Column, tagged: Column) -> Column:
 def delete_preview(rows: DataFrame, cause: str, size: str) -> DataFrame:
     """How many rows and bytes a deletion would take and how many are protected."""
     free = F.col(cause).isNull()
-    return rows.agg(F.count(F.when(free, 1)).alias("deletable"), F.coalesce(F.sum(F.when(free, F.col(size))), F.lit(0)).cast("long").alias("bytes"), F.count(F.when(~free, 1)).alias("protected"))
+    return rows.agg(
+        F.count(F.when(free, 1)).alias("deletable"),
+        F.coalesce(F.sum(F.when(free, F.col(size))), F.lit(0)).cast("long").alias("bytes"),
+        F.count(F.when(~free, 1)).alias("protected")
+    )
 
 
 def groups(rows: DataFrame, pinned: Column, bucket: Column) -> DataFrame:
     """Pinned first, then time buckets from today to earlier."""
     name = F.when(pinned, "pinned").otherwise(bucket)
-    place = F.when(name == "pinned", 0).when(name == "today", 1).when(name == "yesterday", 2).when(name == "last7", 3).when(name == "last30", 4).otherwise(5)
+    place = F.when(name == "pinned", 0).when(name == "today", 1).when(
+        name == "yesterday", 2
+    ).when(name == "last7", 3).when(name == "last30", 4).otherwise(5)
     return rows.select("*", name.alias("group_name"), place.alias("group_place"))
 
 
 def facets(rows: DataFrame, tool: str, place: str, order: str, places: int = 6) -> DataFrame:
     """Counts by tool, and the first `places` distinct places in order of appearance."""
-    tools = rows.groupBy(F.col(tool).alias("value")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first_at")).withColumn("facet", F.lit("tool"))
-    first = rows.groupBy(F.col(place).alias("value")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first_at")).orderBy("first_at").limit(places).withColumn("facet", F.lit("place"))
+    tools = rows.groupBy(F.col(tool).alias("value")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(order).alias("first_at")
+    ).withColumn("facet", F.lit("tool"))
+    first = rows.groupBy(F.col(place).alias("value")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(order).alias("first_at")
+    ).orderBy("first_at").limit(places).withColumn("facet", F.lit("place"))
     return tools.unionByName(first)
 
 
 def history_status(rolled_back: Column, probe_failed: Column, session: Column) -> Column:
-    return F.when(rolled_back, "rolled_back").when(probe_failed, "probe_failed").when(session.isNotNull(), "done").otherwise("failed")
+    return F.when(rolled_back, "rolled_back").when(
+        probe_failed, "probe_failed"
+    ).when(session.isNotNull(), "done").otherwise("failed")
 
 
 def flows(moves: DataFrame, src: str, dst: str, k: int = 5) -> DataFrame:
@@ -57,4 +69,6 @@ def newest(rows: DataFrame, keys: list[str], at: str, ordinal: str) -> DataFrame
 
 def newest(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
     """The first `most` rows of an order with their `place` from 1; the numbering sees no more rows than these."""
-    return rows.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.partitionBy().orderBy(*order)))
+    return rows.orderBy(*order).limit(most).withColumn(
+        "place", F.row_number().over(Window.partitionBy().orderBy(*order))
+    )

@@ -22,15 +22,24 @@ def node_paths(nodes: DataFrame) -> DataFrame:
     pairs = closure(placed.select(F.col("session").alias("id"), F.col("parent").alias("parent_id")))
     steps = pairs.join(placed.select(F.col("session").alias("ancestor"), "place"), "ancestor")
     way = F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), "place")))
-    return steps.groupBy(F.col("node").alias("session")).agg(F.array_join(F.transform(way, lambda x: x["place"].cast("string")), ".").alias("path"))
+    return steps.groupBy(F.col("node").alias("session")).agg(
+        F.array_join(F.transform(way, lambda x: x["place"].cast("string")), ".").alias("path")
+    )
 
 
 def snapshot(text: Column, kind: str, label: Column) -> Column:
     """What is shown of one side: its text on one line, cut, and in full up to a bound."""
     line = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
     cut = lambda c, n, mark: F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit(mark))).otherwise(c)
-    fields = [F.lit(kind).alias("kind"), label.alias("label"), cut(line, SUMMARY, "…").alias("summary"), cut(text, DETAIL, "\n…").alias("detail")]
-    return F.struct(*fields, (F.length(text) > DETAIL).alias("truncated"), F.length(text).cast("long").alias("char_count"))
+    fields = [
+        F.lit(kind).alias("kind"),
+        label.alias("label"),
+        cut(line, SUMMARY, "…").alias("summary"),
+        cut(text, DETAIL, "\n…").alias("detail")
+    ]
+    return F.struct(
+        *fields, (F.length(text) > DETAIL).alias("truncated"), F.length(text).cast("long").alias("char_count")
+    )
 
 
 def _call_text(json: Column, output: Column) -> Column:
@@ -47,10 +56,17 @@ def differences(nodes: DataFrame, blocks: DataFrame, decided: DataFrame, losses:
     where anything of the round is shown. Order: by node_path, message_index and block_index, losses behind them.
     """
     key = F.concat(F.lit("n:"), "path")
-    place = nodes.select("session", F.coalesce("title", F.lit("")).alias("node_title")).join(node_paths(nodes), "session").withColumn("node_key", key)
+    place = nodes.select(
+        "session", F.coalesce("title", F.lit("")).alias("node_title")
+    ).join(node_paths(nodes), "session").withColumn("node_key", key)
     of_message = blocks.groupBy("session", "message_idx").agg(F.min("role").alias("role"))
-    so_far = Window.partitionBy("session").orderBy("message_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rounds = of_message.withColumn("round_index", F.greatest(F.lit(1), F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(so_far)).cast("long"))
+    so_far = Window.partitionBy("session").orderBy("message_idx").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    rounds = of_message.withColumn(
+        "round_index",
+        F.greatest(F.lit(1), F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(so_far)).cast("long")
+    )
     at = ["session", "message_idx", "block_idx"]
     tools = decided.select(*at, "name", "op", "input", "output", "fidelity", "reasons", "ignored")
     text = blocks.where("kind = 'text' and text <> ''").select(*at)
@@ -59,38 +75,74 @@ def differences(nodes: DataFrame, blocks: DataFrame, decided: DataFrame, losses:
 
     native, given = dialects.render(target, F.col("op"), F.col("input"))
     told = narrated(F.coalesce("name", F.lit("")), F.coalesce("input", F.lit("")), F.col("output"))
-    rendered = snapshot(_call_text(F.coalesce(given, F.col("input")), F.col("output")), "tool", F.coalesce(native, F.lit("history")))
+    rendered = snapshot(
+        _call_text(F.coalesce(given, F.col("input")), F.col("output")), "tool", F.coalesce(native, F.lit("history"))
+    )
     history = snapshot(told, "text", F.lit("history"))
     moved = F.col("fidelity").isin("transformed", "lossy")
     keys = F.coalesce(F.json_object_keys("input"), F.array().cast("array<string>"))
     none = F.array().cast("array<string>")
     calls = tools.where("fidelity <> 'exact'").select(
-        *at, "fidelity", F.col("reasons").alias("reason_codes"), F.array_sort(F.array_except(keys, "ignored")).alias("consumed_fields"), F.col("ignored").alias("ignored_fields"),
+        *at, "fidelity", F.col("reasons").alias("reason_codes"), F.array_sort(
+            F.array_except(keys, "ignored")
+        ).alias("consumed_fields"), F.col("ignored").alias("ignored_fields"),
         snapshot(_call_text(F.col("input"), F.col("output")), "tool", F.col("name")).alias("source"),
         F.when(moved, rendered).when(F.col("fidelity") == "narrated", history).alias("target"),
     )
     empty = F.lit(None).cast(calls.schema["target"].dataType)
     silent = blocks.where("kind in ('image', 'thinking')")
     kind = F.col("kind")
-    source = F.when(kind == "thinking", snapshot(F.coalesce("text", F.lit("")), "thinking", F.lit("thinking"))).otherwise(snapshot(F.coalesce("text", F.lit("")), "image", F.coalesce("name", F.lit("image"))))
-    silent = silent.select(*at, F.lit("dropped").alias("fidelity"), F.array(F.concat(F.lit("unsupported_"), kind)).alias("reason_codes"), none.alias("consumed_fields"), none.alias("ignored_fields"), source.alias("source"), empty.alias("target"))
-    inside = calls.unionByName(silent).join(rounds, ["session", "message_idx"]).join(seen, ["session", "round_index"], "left").join(place, "session")
+    source = F.when(
+        kind == "thinking", snapshot(F.coalesce("text", F.lit("")), "thinking", F.lit("thinking"))
+    ).otherwise(snapshot(F.coalesce("text", F.lit("")), "image", F.coalesce("name", F.lit("image"))))
+    silent = silent.select(
+        *at,
+        F.lit("dropped").alias("fidelity"),
+        F.array(F.concat(F.lit("unsupported_"), kind)).alias("reason_codes"),
+        none.alias("consumed_fields"),
+        none.alias("ignored_fields"),
+        source.alias("source"),
+        empty.alias("target")
+    )
+    inside = calls.unionByName(silent).join(rounds, ["session", "message_idx"]).join(
+        seen, ["session", "round_index"], "left"
+    ).join(place, "session")
     message = F.concat("node_key", F.lit("/m:"), F.col("message_idx") - 1)
     anchor = F.when(F.col("shown"), F.concat("node_key", F.lit("/r:"), "round_index"))
     inside = inside.select(
-        F.concat(message, F.lit("/b:"), "block_idx", F.lit("/difference")).alias("id"), F.when(F.col("fidelity") == "dropped", "dropped").otherwise("degraded").alias("kind"), "fidelity",
-        F.get("reason_codes", F.lit(0)).alias("reason_code"), "reason_codes", "consumed_fields", "ignored_fields", F.lit("block").alias("scope"), "node_key", F.col("session").alias("node_id"),
-        "node_title", F.col("path").alias("node_path"), "round_index", message.alias("message_key"), (F.col("message_idx") - 1).cast("long").alias("message_index"),
+        F.concat(
+            message, F.lit("/b:"), "block_idx", F.lit("/difference")
+        ).alias("id"), F.when(
+            F.col("fidelity") == "dropped", "dropped"
+        ).otherwise("degraded").alias("kind"), "fidelity",
+        F.get(
+            "reason_codes", F.lit(0)
+        ).alias(
+            "reason_code"
+        ), "reason_codes", "consumed_fields", "ignored_fields", F.lit("block").alias("scope"), "node_key", F.col("session").alias("node_id"),
+        "node_title", F.col("path").alias("node_path"), "round_index", message.alias("message_key"), (
+            F.col("message_idx") - 1
+        ).cast("long").alias("message_index"),
         F.col("block_idx").cast("long").alias("block_index"), "role", anchor.alias("anchor_id"), "source", "target",
     )
     outcomes = F.create_map(*(F.lit(x) for kv in LOSSES.items() for x in kv))
     nth = F.row_number().over(Window.partitionBy("session").orderBy("code", "detail")) - 1
-    lost = losses.withColumn("nth", nth).withColumn("kind", F.try_element_at(outcomes, F.col("code"))).where("kind is not null").join(place, "session")
+    lost = losses.withColumn("nth", nth).withColumn(
+        "kind", F.try_element_at(outcomes, F.col("code"))
+    ).where("kind is not null").join(place, "session")
     text, long = F.lit(None).cast("string"), F.lit(None).cast("long")
     lost = lost.select(
-        F.concat("node_key", F.lit("/loss:"), "nth").alias("id"), "kind", F.when(F.col("kind") == "degraded", "narrated").otherwise("dropped").alias("fidelity"), F.col("code").alias("reason_code"),
-        F.array("code").alias("reason_codes"), none.alias("consumed_fields"), none.alias("ignored_fields"), F.lit("node").alias("scope"), "node_key", F.col("session").alias("node_id"),
-        "node_title", F.col("path").alias("node_path"), long.alias("round_index"), text.alias("message_key"), long.alias("message_index"), long.alias("block_index"), text.alias("role"), text.alias("anchor_id"),
+        F.concat("node_key", F.lit("/loss:"), "nth").alias("id"), "kind", F.when(
+            F.col("kind") == "degraded", "narrated"
+        ).otherwise("dropped").alias("fidelity"), F.col("code").alias("reason_code"),
+        F.array("code").alias("reason_codes"), none.alias(
+            "consumed_fields"
+        ), none.alias("ignored_fields"), F.lit("node").alias("scope"), "node_key", F.col("session").alias("node_id"),
+        "node_title", F.col("path").alias("node_path"), long.alias(
+            "round_index"
+        ), text.alias("message_key"), long.alias(
+            "message_index"
+        ), long.alias("block_index"), text.alias("role"), text.alias("anchor_id"),
         snapshot(F.coalesce("detail", F.lit("")), "event", F.col("code")).alias("source"), empty.alias("target"),
     )
     return inside.unionByName(lost)

@@ -11,19 +11,32 @@ from ..functions.scalars import merged_metadata
 def recovered(plans: DataFrame, now_ms: int) -> DataFrame:
     """Plans that were under way when the engine stopped have failed."""
     cut = F.col("status").isin("queued", "applying")
-    return plans.withColumns({"status": F.when(cut, "failed").otherwise(F.col("status")), "error_type": F.when(cut, "EngineRestarted").otherwise(F.col("error_type")), "updated_at": F.when(cut, F.lit(now_ms)).otherwise(F.col("updated_at"))})
+    return plans.withColumns(
+        {
+            "status": F.when(cut, "failed").otherwise(F.col("status")),
+            "error_type": F.when(cut, "EngineRestarted").otherwise(F.col("error_type")),
+            "updated_at": F.when(cut, F.lit(now_ms)).otherwise(F.col("updated_at"))
+        }
+    )
 
 
 def expired(plans: DataFrame, now_ms: int, ttl_ms: int = 600_000) -> DataFrame:
     """Plans that nobody ran within their time."""
     late = (F.col("status") == "planned") & (F.col("created_at") + ttl_ms <= now_ms)
-    return plans.withColumns({"status": F.when(late, "expired").otherwise(F.col("status")), "updated_at": F.when(late, F.lit(now_ms)).otherwise(F.col("updated_at"))})
+    return plans.withColumns(
+        {
+            "status": F.when(late, "expired").otherwise(F.col("status")),
+            "updated_at": F.when(late, F.lit(now_ms)).otherwise(F.col("updated_at"))
+        }
+    )
 
 
 def patched_metadata(current: DataFrame, patches: DataFrame, keys: list[str]) -> DataFrame:
     """Metadata (a map of JSON texts) after its patches; an entry that becomes empty goes."""
     none = F.create_map().cast("map<string,string>")
-    out = current.withColumnRenamed("entry", "_old").join(patches.withColumnRenamed("entry", "_patch"), keys, "full_outer")
+    out = current.withColumnRenamed("entry", "_old").join(
+        patches.withColumnRenamed("entry", "_patch"), keys, "full_outer"
+    )
     entry = merged_metadata(F.coalesce("_old", none), F.coalesce("_patch", none))
     return out.select(*keys, entry.alias("entry")).where(F.size("entry") > 0)
 
@@ -37,7 +50,9 @@ def batch_outcomes(asked: DataFrame, rows: DataFrame, failures: DataFrame, keys:
     """Outcome of each asked deletion: skipped with its cause (not_found, revision_changed, pinned, archived, tagged),
     failed with the error, or succeeded. Asked: keys, revision; rows: keys, current, cause; failures: keys, error."""
     out = asked.join(rows, keys, "left").join(failures, keys, "left")
-    cause = F.when(F.col("current").isNull(), "not_found").when(F.col("current") != F.col("revision"), "revision_changed").otherwise(F.col("cause"))
+    cause = F.when(F.col("current").isNull(), "not_found").when(
+        F.col("current") != F.col("revision"), "revision_changed"
+    ).otherwise(F.col("cause"))
     outcome = F.when(cause.isNotNull(), "skipped").when(F.col("error").isNotNull(), "failed").otherwise("succeeded")
     return out.select(*keys, outcome.alias("outcome"), F.coalesce(cause, F.col("error")).alias("reason"))
 
@@ -45,10 +60,14 @@ def batch_outcomes(asked: DataFrame, rows: DataFrame, failures: DataFrame, keys:
 def audit(plans: DataFrame, outcomes: DataFrame) -> DataFrame:
     """One row per plan: how many of its rows succeeded, were skipped, failed."""
     counts = [F.count(F.when(F.col("outcome") == o, 1)).alias(o) for o in ("succeeded", "skipped", "failed")]
-    return plans.join(outcomes.groupBy("plan_id").agg(*counts), "plan_id", "left").fillna(0, ["succeeded", "skipped", "failed"])
+    return plans.join(
+        outcomes.groupBy("plan_id").agg(*counts), "plan_id", "left"
+    ).fillna(0, ["succeeded", "skipped", "failed"])
 
 
-def applied(view: DataFrame, upserts: DataFrame, removals: DataFrame, keys: list[str], have: int, generation: int) -> DataFrame:
+def applied(
+    view: DataFrame, upserts: DataFrame, removals: DataFrame, keys: list[str], have: int, generation: int
+) -> DataFrame:
     """A consumer's view after a delta. A delta that is already there changes nothing; after a gap the view is wrong,
     so ValueError asks for a full reload."""
     if generation <= have:
@@ -124,7 +143,9 @@ def handle_log(log: DataFrame, active: DataFrame, generation: int) -> DataFrame:
     both = last.join(now, keys, "full_outer").withColumn("_now", F.coalesce("_now", F.lit(False)))
     changed = both.where(F.coalesce("present", F.lit(False)) != F.col("_now"))
     handle = F.coalesce("handle", F.sha2(F.concat("tool", F.lit("\0"), "session"), 256))
-    return changed.select(*keys, handle.alias("handle"), F.lit(generation).cast("int").alias("generation"), F.col("_now").alias("present"))
+    return changed.select(
+        *keys, handle.alias("handle"), F.lit(generation).cast("int").alias("generation"), F.col("_now").alias("present")
+    )
 
 
 def handles_as_of(log: DataFrame, generation: int) -> DataFrame:

@@ -9,7 +9,17 @@ from .agents import descendants
 from .topology import _counted, _durable
 
 #: Keys whose strings name a session, and keys whose strings may hold JSON.
-THREAD_KEYS = ("threadId", "thread_id", "agent_thread_id", "sender_thread_id", "new_thread_id", "parent_thread_id", "child_thread_id", "session_id", "forked_from_id")
+THREAD_KEYS = (
+    "threadId",
+    "thread_id",
+    "agent_thread_id",
+    "sender_thread_id",
+    "new_thread_id",
+    "parent_thread_id",
+    "child_thread_id",
+    "session_id",
+    "forked_from_id"
+)
 JSON_KEYS = ("arguments", "output", "input", "metadata", "state")
 
 
@@ -21,20 +31,34 @@ def thread_references(records: DataFrame, known: DataFrame) -> DataFrame:
     found = None
     while True:
         kind = F.schema_of_variant("v")
-        work, left = _counted(work.where("v is not null").withColumn("kind", F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").otherwise(kind)), "session")
+        work, left = _counted(
+            work.where("v is not null").withColumn(
+                "kind",
+                F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").otherwise(kind)
+            ),
+            "session"
+        )
         if not left:
             break
-        text = work.where("kind = 'STRING'").select("session", "key", F.try_variant_get("v", "$", "string").alias("text"))
+        text = work.where("kind = 'STRING'").select(
+            "session", "key", F.try_variant_get("v", "$", "string").alias("text")
+        )
         named = text.where(F.col("key").isin(*THREAD_KEYS)).select("session", F.col("text").alias("ref")).distinct()
         found = named if found is None else found.unionByName(named)
         packed = text.where(F.col("key").isin(*JSON_KEYS) & F.substring("text", 1, 1).isin("[", "{"))
         none = F.lit(None).cast("string")
         inner = packed.select("session", none.alias("key"), F.try_parse_json("text").alias("v"))
-        items = work.where("kind = 'array'").select("session", "key", F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("v"))
-        fields = work.where("kind = 'object'").select("session", F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("key", "v"))
+        items = work.where("kind = 'array'").select(
+            "session", "key", F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("v")
+        )
+        fields = work.where("kind = 'object'").select(
+            "session", F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("key", "v")
+        )
         work = inner.unionByName(items).unionByName(fields)
     ids = known.select(F.col("id").alias("ref")).distinct()
-    return (found if found is not None else ids.select(F.lit(None).cast("string").alias("session"), "ref").limit(0)).distinct().join(ids, "ref", "left_semi").select("session", "ref")
+    return (
+        found if found is not None else ids.select(F.lit(None).cast("string").alias("session"), "ref").limit(0)
+    ).distinct().join(ids, "ref", "left_semi").select("session", "ref")
 
 
 def pruned(nodes: DataFrame, anchor: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,21 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Allowed moves of an operation plan.
-MOVES = {"planned": ("queued", "cancelled", "expired"), "queued": ("applying", "cancelled"), "applying": ("applied", "failed"), "applied": (), "failed": (), "cancelled": (), "expired": ()}
+MOVES = {
+    "planned": ("queued", "cancelled", "expired"),
+    "queued": ("applying", "cancelled"),
+    "applying": ("applied", "failed"),
+    "applied": (),
+    "failed": (),
+    "cancelled": (),
+    "expired": ()
+}
 
 
 def reconcile(current: DataFrame, stored: DataFrame, keys: list[str], revision: str) -> DataFrame:
     """Each key is new, changed, same or missing."""
     c = current.select(*keys, F.col(revision).alias("_now"), F.lit(1).alias("_c"))
     s = stored.select(*keys, F.col(revision).alias("_was"), F.lit(1).alias("_s"))
-    state = F.when(F.col("_s").isNull(), "new").when(F.col("_c").isNull(), "missing").when(F.col("_now").eqNullSafe(F.col("_was")), "same").otherwise("changed")
+    state = F.when(F.col("_s").isNull(), "new").when(F.col("_c").isNull(), "missing").when(
+        F.col("_now").eqNullSafe(F.col("_was")), "same"
+    ).otherwise("changed")
     return c.join(s, keys, "full_outer").select(*keys, state.alias("state"))
 
 
 def delta(before: DataFrame, after: DataFrame, keys: list[str], revision: str) -> DataFrame:
     """upserts and removals that turn `before` into `after`."""
     r = reconcile(after, before, keys, revision)
-    return r.where("state <> 'same'").select(*keys, F.when(F.col("state") == "missing", "removal").otherwise("upsert").alias("op"))
+    return r.where("state <> 'same'").select(
+        *keys, F.when(F.col("state") == "missing", "removal").otherwise("upsert").alias("op")
+    )
 
 
 def apply_delta(before: DataFrame, upserts: DataFrame, removals: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,7 +53,9 @@ class StateTable:
     def __init__(self, spark: SparkSession, path: str, keys: list[str]):
         self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
         self._jvm = spark.sparkContext._jvm
-        self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(
+            spark.sparkContext._jsc.hadoopConfiguration()
+        )
 
     def version(self) -> int:
         at = self._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -78,7 +92,9 @@ class StateTable:
         if not self.version():
             return self.replace(rows)
         have = self.read()
-        clash = have.join(rows.select(*self.keys, F.col(payload).alias("_new")), self.keys).where(~F.col(payload).eqNullSafe(F.col("_new")))
+        clash = have.join(
+            rows.select(*self.keys, F.col(payload).alias("_new")), self.keys
+        ).where(~F.col(payload).eqNullSafe(F.col("_new")))
         if not clash.isEmpty():
             raise ValueError("a known key has another payload")
         return self.replace(have.unionByName(rows.join(have, self.keys, "left_anti")))

@@ -131,7 +131,14 @@ def rules(spark, target: dict[str, tuple[str, list[str]]]) -> DataFrame:
     return spark.createDataFrame(rows, "op string, base string, taken array<string>, annotations array<string>")
 
 
-def decide(calls: DataFrame, target: DataFrame, statuses: list[str], native: list[str], projected: list[str], keeps_attachments: bool = False) -> DataFrame:
+def decide(
+    calls: DataFrame,
+    target: DataFrame,
+    statuses: list[str],
+    native: list[str],
+    projected: list[str],
+    keeps_attachments: bool = False
+) -> DataFrame:
     """Fidelity, reasons and ignored inputs of each call at a target.
 
     Needs op, input (JSON), status (null without a result), block_kinds, attachments, truncated. An invalid input, an
@@ -141,7 +148,12 @@ def decide(calls: DataFrame, target: DataFrame, statuses: list[str], native: lis
     """
     keys = F.coalesce(F.json_object_keys("input"), F.array().cast("array<string>"))
     c = calls.withColumn("valid", valid_input("op", "input")).join(F.broadcast(target), "op", "left")
-    ignored = F.array_sort(F.array_except(F.array_except(keys, F.coalesce("taken", F.array().cast("array<string>"))), F.coalesce("annotations", F.array().cast("array<string>"))))
+    ignored = F.array_sort(
+        F.array_except(
+            F.array_except(keys, F.coalesce("taken", F.array().cast("array<string>"))),
+            F.coalesce("annotations", F.array().cast("array<string>"))
+        )
+    )
     has_result = F.col("status").isNotNull()
     kinds = F.coalesce("block_kinds", F.array().cast("array<string>"))
     known = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
@@ -149,13 +161,27 @@ def decide(calls: DataFrame, target: DataFrame, statuses: list[str], native: lis
     loses = {
         "unsupported_tool_fields": F.size(ignored) > 0,
         "tool_result_block_dropped": has_result & (F.size(F.array_except(kinds, known([*native, *projected]))) > 0),
-        "tool_result_attachments_dropped": has_result & F.coalesce(F.col("attachments") > 0, F.lit(False)) & F.lit(not keeps_attachments),
+        "tool_result_attachments_dropped": has_result & F.coalesce(
+            F.col("attachments") > 0, F.lit(False)
+        ) & F.lit(not keeps_attachments),
         "tool_result_truncated": has_result & F.coalesce(F.col("truncated"), F.lit(False)),
     }
-    why = F.when(~F.col("valid"), "invalid_tool_input").when(F.col("base").isNull(), "tool_to_history").when(F.col("base") == "dropped", "tool_unsupported").when(F.col("status") == "unknown", "unknown_result_status").when(has_result & ~F.col("status").isin(statuses), "unsupported_result_status")
+    why = F.when(~F.col("valid"), "invalid_tool_input").when(F.col("base").isNull(), "tool_to_history").when(
+        F.col("base") == "dropped", "tool_unsupported"
+    ).when(
+        F.col("status") == "unknown", "unknown_result_status"
+    ).when(
+        has_result & ~F.col("status").isin(statuses), "unsupported_result_status"
+    )
     lossy = reduce(lambda a, b: a | b, loses.values())
-    fidelity = F.when(why == "tool_unsupported", "dropped").when(why.isNotNull(), "narrated").when(lossy, "lossy").when((F.col("base") == "transformed") | is_projected, "transformed").otherwise("exact")
-    listed = [F.when(F.col("base") == "transformed", "tool_transformed"), F.when(is_projected, "tool_result_block_degraded"), *(F.when(x, name) for name, x in loses.items())]
+    fidelity = F.when(why == "tool_unsupported", "dropped").when(why.isNotNull(), "narrated").when(lossy, "lossy").when(
+        (F.col("base") == "transformed") | is_projected, "transformed"
+    ).otherwise("exact")
+    listed = [
+        F.when(F.col("base") == "transformed", "tool_transformed"),
+        F.when(is_projected, "tool_result_block_degraded"),
+        *(F.when(x, name) for name, x in loses.items())
+    ]
     reasons = F.when(why.isNotNull(), F.array(why)).otherwise(F.array_compact(F.array(*listed)))
     lost = F.when(why.isNotNull(), F.array_sort(keys)).otherwise(ignored)
     return c.select(*calls.columns, fidelity.alias("fidelity"), reasons.alias("reasons"), lost.alias("ignored"))
@@ -168,9 +194,22 @@ def outcome(fidelity: Column) -> Column:
 def plan(decisions: DataFrame, blocks: DataFrame, losses: DataFrame) -> DataFrame:
     """Counts of a migration: text blocks are exact, images and thinking are dropped, declared losses count by their
     outcome and undeclared ones not at all. Needs decisions.fidelity, blocks.kind, losses.code."""
-    text = blocks.where("kind in ('text', 'image', 'thinking')").select(F.when(F.col("kind") == "text", "exact").otherwise("dropped").alias("fidelity"), F.lit(True).alias("counted"))
+    text = blocks.where("kind in ('text', 'image', 'thinking')").select(
+        F.when(F.col("kind") == "text", "exact").otherwise("dropped").alias("fidelity"), F.lit(True).alias("counted")
+    )
     table = F.create_map(*(F.lit(x) for kv in LOSSES.items() for x in kv))
     lost = losses.select(F.element_at(table, F.col("code")).alias("loss")).where("loss is not null")
-    rows = decisions.select("fidelity", F.lit(True).alias("counted")).unionByName(text).withColumn("result", outcome(F.col("fidelity")))
-    rows = rows.unionByName(lost.select(F.lit(None).cast("string").alias("fidelity"), F.lit(False).alias("counted"), F.when(F.col("loss") == "dropped", "drop").otherwise("degrade").alias("result")))
-    return rows.agg(*(F.count(F.when(F.col("result") == r, 1)).alias(r) for r in ("native", "degrade", "drop")), *(F.count(F.when(F.col("fidelity") == f, 1)).alias(f) for f in FIDELITY))
+    rows = decisions.select(
+        "fidelity", F.lit(True).alias("counted")
+    ).unionByName(text).withColumn("result", outcome(F.col("fidelity")))
+    rows = rows.unionByName(
+        lost.select(
+            F.lit(None).cast("string").alias("fidelity"),
+            F.lit(False).alias("counted"),
+            F.when(F.col("loss") == "dropped", "drop").otherwise("degrade").alias("result")
+        )
+    )
+    return rows.agg(
+        *(F.count(F.when(F.col("result") == r, 1)).alias(r) for r in ("native", "degrade", "drop")),
+        *(F.count(F.when(F.col("fidelity") == f, 1)).alias(f) for f in FIDELITY)
+    )

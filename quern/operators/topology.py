@@ -35,7 +35,9 @@ def _counted(df: DataFrame, column: str | None) -> tuple[DataFrame, int]:
 def closure(nodes: DataFrame, node: str = "id", parent: str = "parent_id", rounds: int = 40) -> DataFrame:
     """(ancestor, node, depth) with each node its own ancestor at depth 0, by doubling: after r rounds every pair up
     to 2^r apart is there, so deep chains take few joins. A node of a cycle ends at itself."""
-    step = nodes.select(F.col(parent).alias("ancestor"), F.col(node).alias("node"), F.lit(1).cast("long").alias("depth")).where("ancestor is not null and ancestor <> node")
+    step = nodes.select(
+        F.col(parent).alias("ancestor"), F.col(node).alias("node"), F.lit(1).cast("long").alias("depth")
+    ).where("ancestor is not null and ancestor <> node")
     pairs, count = _durable(step), -1
     for round_no in range(rounds + 1):
         n = pairs.count()
@@ -45,7 +47,9 @@ def closure(nodes: DataFrame, node: str = "id", parent: str = "parent_id", round
             raise RuntimeError(f"the closure is not complete after {rounds} rounds")
         count = n
         left, right = pairs.alias("l"), pairs.alias("r")
-        longer = left.join(right, F.col("l.node") == F.col("r.ancestor")).select(F.col("l.ancestor"), F.col("r.node"), (F.col("l.depth") + F.col("r.depth")).alias("depth")).where("ancestor <> node")
+        longer = left.join(right, F.col("l.node") == F.col("r.ancestor")).select(
+            F.col("l.ancestor"), F.col("r.node"), (F.col("l.depth") + F.col("r.depth")).alias("depth")
+        ).where("ancestor <> node")
         pairs = _durable(pairs.unionByName(longer).groupBy("ancestor", "node").agg(F.min("depth").alias("depth")))
     own = nodes.select(F.col(node).alias("ancestor"), F.col(node).alias("node"), F.lit(0).cast("long").alias("depth"))
     return pairs.unionByName(own)
@@ -61,11 +65,15 @@ def _doubled(state: DataFrame, sums: list[str], maxima: list[str]) -> DataFrame:
         more = {c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)) for c in sums} | {c: F.greatest(c, f"_{c}") for c in maxima}
     else:
         both, more = state, {}
-    far = state.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"), F.col("depth").alias("_depth"))
+    far = state.select(
+        F.col("node").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"), F.col("depth").alias("_depth")
+    )
     moved = both.where("up is not null").join(far, "up")
     step = (F.col("reach") + F.col("_depth")).alias("depth")
     kept = [more.get(c, F.col(c)).alias(c) for c in [*sums, *maxima]]
-    moved = moved.select("node", F.col("_up").alias("up"), F.col("_top").alias("top"), step, (2 * F.col("reach")).alias("reach"), *kept)
+    moved = moved.select(
+        "node", F.col("_up").alias("up"), F.col("_top").alias("top"), step, (2 * F.col("reach")).alias("reach"), *kept
+    )
     still = both.where("up is null").select("node", "up", "top", "depth", "reach", *kept)
     return moved.unionByName(still)
 
@@ -74,7 +82,9 @@ def _placed(state: DataFrame, start: DataFrame) -> DataFrame:
     return state.drop("up", "reach").join(start.select("node", F.col("up").alias("parent")), "node")
 
 
-def forest(nodes: DataFrame, node: str = "id", parent: str = "parent_id", sums: dict | None = None, maxima: dict | None = None) -> DataFrame:
+def forest(
+    nodes: DataFrame, node: str = "id", parent: str = "parent_id", sums: dict | None = None, maxima: dict | None = None
+) -> DataFrame:
     """Every node once (node), with its parent in the forest (`parent`, null for a root), its root (`top`), its `depth`,
     and for each name in `sums` and `maxima` the sum or maximum of a column expression over its subtree.
 
@@ -86,15 +96,29 @@ def forest(nodes: DataFrame, node: str = "id", parent: str = "parent_id", sums:
     values = [v.alias(k) for k, v in (sums | maxima).items()]
     own = nodes.where(F.col(node).isNotNull()).select(F.col(node).alias("node"), F.col(parent).alias("up"), *values)
     # a repeated id would double in every join
-    own = own.groupBy("node").agg(F.max(F.struct(*(c for c in own.columns if c != "node"))).alias("r")).select("node", "r.*")
+    own = own.groupBy("node").agg(
+        F.max(F.struct(*(c for c in own.columns if c != "node"))).alias("r")
+    ).select("node", "r.*")
     known = own.select(F.col("node").alias("_known")).distinct()
-    own = own.join(known, F.col("up") == F.col("_known"), "left").withColumn("up", F.when(F.col("_known") != F.col("node"), F.col("_known"))).drop("_known")
+    own = own.join(known, F.col("up") == F.col("_known"), "left").withColumn(
+        "up", F.when(F.col("_known") != F.col("node"), F.col("_known"))
+    ).drop("_known")
     own, n = _counted(own, "node")
     cut = None
     while True:
-        start = own if cut is None else own.join(cut, "node", "left").withColumn("up", F.when(F.col("_in_cycle").isNull(), F.col("up"))).drop("_in_cycle")
+        start = own if cut is None else own.join(cut, "node", "left").withColumn(
+            "up", F.when(F.col("_in_cycle").isNull(), F.col("up"))
+        ).drop("_in_cycle")
         one = F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")
-        state = start.select("node", "up", F.coalesce("up", "node").alias("top"), one.alias("depth"), F.lit(1).cast("long").alias("reach"), *sums, *maxima)
+        state = start.select(
+            "node",
+            "up",
+            F.coalesce("up", "node").alias("top"),
+            one.alias("depth"),
+            F.lit(1).cast("long").alias("reach"),
+            *sums,
+            *maxima
+        )
         reach, left = 1, n
         while reach <= n and left:
             state, left = _counted(_doubled(state, list(sums), list(maxima)), "up")
@@ -121,18 +145,32 @@ def settled(hops: DataFrame) -> DataFrame:
             both = now.join(circling, F.col("node") == F.col("_node"), "left")
             return both.select("node", F.when(F.col("_node").isNull(), F.col("up")).alias("up"))
         both = now.join(far, F.col("up") == F.col("_node"), "left")
-        now = _durable(both.select("node", F.when(F.col("_node").isNotNull(), F.col("_up")).otherwise(F.col("up")).alias("up")))
+        now = _durable(
+            both.select("node", F.when(F.col("_node").isNotNull(), F.col("_up")).otherwise(F.col("up")).alias("up"))
+        )
         reach *= 2
 
 
 def rollup(nodes: DataFrame, node: str = "id", parent: str = "parent_id") -> DataFrame:
     """Sums of count and size and the newest update over each subtree; tokens are the node's own."""
-    values = {"count": F.col("count").cast("long"), "size": F.col("size").cast("long"), "tree_count": F.lit(1).cast("long")}
+    values = {
+        "count": F.col("count").cast("long"), "size": F.col("size").cast("long"), "tree_count": F.lit(1).cast("long")
+    }
     tree = forest(nodes, node, parent, values, {"updated": F.col("updated")})
-    children = tree.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("child_count"))
+    children = tree.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(
+        F.count(F.lit(1)).alias("child_count")
+    )
     tokens = nodes.select(F.col(node).alias("node"), "tokens")
     out = tree.join(children, "node", "left").join(tokens, "node")
-    return out.select(F.col("node").alias(node), "tokens", "count", "size", "updated", "tree_count", F.coalesce("child_count", F.lit(0)).cast("long").alias("child_count"))
+    return out.select(
+        F.col("node").alias(node),
+        "tokens",
+        "count",
+        "size",
+        "updated",
+        "tree_count",
+        F.coalesce("child_count", F.lit(0)).cast("long").alias("child_count")
+    )
 
 
 def roots(nodes: DataFrame, node: str = "id", parent: str = "parent_id") -> DataFrame:
@@ -150,7 +188,9 @@ def active_branch(records: DataFrame, session: str, node: str, parent: str, orde
     never all pairs.
     """
     last = F.max_by(F.struct(F.col(node).alias("node"), F.col(parent).alias("up")), order).alias("r")
-    nodes = records.where(F.col(node).isNotNull()).groupBy(session, F.col(node).alias("_id")).agg(last, F.max(order).alias("_at"))
+    nodes = records.where(F.col(node).isNotNull()).groupBy(
+        session, F.col(node).alias("_id")
+    ).agg(last, F.max(order).alias("_at"))
     nodes = _durable(nodes.select(F.col(session).alias("s"), "r.node", "r.up", "_at"))
     leaves = nodes.groupBy("s").agg(F.max_by("node", "_at").alias("node"), F.count(F.lit(1)).alias("n"))
     longest = nodes.groupBy("s").count().agg(F.max("count")).first()[0] or 0
@@ -162,8 +202,12 @@ def active_branch(records: DataFrame, session: str, node: str, parent: str, orde
         digit = F.shiftright("depth", k).bitwiseAND(1).cast("int")
         hop = pointer.withColumn("hops", F.lit(1))
         path = path.withColumn("hops", digit).join(hop, ["s", "node", "hops"], "left")
-        path = path.select("s", F.when(F.col("hops") == 1, F.col("up")).otherwise(F.col("node")).alias("node"), "depth").where("node is not null")
-        further = pointer.alias("a").join(pointer.alias("b"), (F.col("a.s") == F.col("b.s")) & (F.col("a.up") == F.col("b.node")))
+        path = path.select(
+            "s", F.when(F.col("hops") == 1, F.col("up")).otherwise(F.col("node")).alias("node"), "depth"
+        ).where("node is not null")
+        further = pointer.alias("a").join(
+            pointer.alias("b"), (F.col("a.s") == F.col("b.s")) & (F.col("a.up") == F.col("b.node"))
+        )
         pointer, k = further.select("a.s", "a.node", "b.up"), k + 1
     path = path.groupBy("s", "node").agg(F.min("depth").alias("depth"))
     step = F.row_number().over(Window.partitionBy("s").orderBy(F.desc("depth"))).cast("long")
@@ -173,10 +217,14 @@ def active_branch(records: DataFrame, session: str, node: str, parent: str, orde
 def relinked(nodes: DataFrame, removed: DataFrame, node: str = "id", parent: str = "parent_id") -> DataFrame:
     """Surviving nodes with their nearest surviving ancestor as parent; null where there is none."""
     gone = removed.select(F.col(node).alias("_gone")).distinct()
-    hops = nodes.select(F.col(node).alias("node"), F.col(parent).alias("up")).join(gone, F.col("node") == F.col("_gone"), "left_semi")
+    hops = nodes.select(
+        F.col(node).alias("node"), F.col(parent).alias("up")
+    ).join(gone, F.col("node") == F.col("_gone"), "left_semi")
     near = settled(hops).select(F.col("node").alias("_from"), F.col("up").alias("_near"))
     known = nodes.select(F.col(node).alias("_known")).distinct()
-    alive = nodes.join(gone, F.col(node) == F.col("_gone"), "left_anti").join(near, F.col(parent) == F.col("_from"), "left")
+    alive = nodes.join(
+        gone, F.col(node) == F.col("_gone"), "left_anti"
+    ).join(near, F.col(parent) == F.col("_from"), "left")
     alive = alive.withColumn(parent, F.when(F.col("_from").isNotNull(), F.col("_near")).otherwise(F.col(parent)))
     out = alive.join(known, F.col(parent) == F.col("_known"), "left").withColumn(parent, F.col("_known"))
     return out.select(*(c for c in nodes.columns if c != parent), parent)
@@ -185,11 +233,26 @@ def relinked(nodes: DataFrame, removed: DataFrame, node: str = "id", parent: str
 def shape(nodes: DataFrame, label: str, node: str = "id", parent: str = "parent_id") -> DataFrame:
     """An order-free digest of each tree: equal where the trees have equal labels level by level under equal parents.
     Digests are folded upwards one level at a time, so the number of joins is the height of the tallest tree."""
-    placed = forest(nodes, node, parent).select(F.col("node").alias(node), F.col("parent").alias(parent), F.col("depth").alias("level"))
-    now = _durable(nodes.select(node, label).join(placed, node).select(node, parent, "level", F.sha2(F.col(label), 256).alias("digest")))
+    placed = forest(nodes, node, parent).select(
+        F.col("node").alias(node), F.col("parent").alias(parent), F.col("depth").alias("level")
+    )
+    now = _durable(
+        nodes.select(node, label).join(placed, node).select(
+            node, parent, "level", F.sha2(F.col(label), 256).alias("digest")
+        )
+    )
     top = now.agg(F.max("level")).first()[0] or 0
     for level in range(top, 0, -1):
-        kids = now.where(F.col("level") == level).groupBy(F.col(parent).alias("_p")).agg(F.array_join(F.array_sort(F.collect_list("digest")), ",").alias("kids"))
-        now = now.join(kids, now[node] == kids["_p"], "left").select(node, parent, "level", F.when(F.col("kids").isNotNull(), F.sha2(F.concat_ws("|", "digest", "kids"), 256)).otherwise(F.col("digest")).alias("digest"))
+        kids = now.where(F.col("level") == level).groupBy(F.col(parent).alias("_p")).agg(
+            F.array_join(F.array_sort(F.collect_list("digest")), ",").alias("kids")
+        )
+        now = now.join(kids, now[node] == kids["_p"], "left").select(
+            node,
+            parent,
+            "level",
+            F.when(
+                F.col("kids").isNotNull(), F.sha2(F.concat_ws("|", "digest", "kids"), 256)
+            ).otherwise(F.col("digest")).alias("digest")
+        )
         now = _durable(now)
     return now.where("level = 0").select(node, "digest")

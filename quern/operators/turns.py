@@ -13,7 +13,9 @@ def _running(session: str, order: str) -> Column:
 
 def turn_numbers(messages: DataFrame, session: str, order: str) -> DataFrame:
     """message: position from 1; turn_no: user messages so far, 0 before the first."""
-    return messages.withColumn("message", F.row_number().over(Window.partitionBy(session).orderBy(order)).cast("long")).withColumn("turn_no", _running(session, order).cast("long"))
+    return messages.withColumn(
+        "message", F.row_number().over(Window.partitionBy(session).orderBy(order)).cast("long")
+    ).withColumn("turn_no", _running(session, order).cast("long"))
 
 
 def round_numbers(messages: DataFrame, session: str, order: str) -> DataFrame:
@@ -24,25 +26,42 @@ def round_numbers(messages: DataFrame, session: str, order: str) -> DataFrame:
 def turn_spans(messages: DataFrame, session: str, order: str) -> DataFrame:
     """[start, end) of each turn by message position (from 0)."""
     w = Window.partitionBy(session)
-    at = messages.select(session, (F.row_number().over(w.orderBy(order)) - 1).cast("long").alias("start"), "role", F.count(F.lit(1)).over(w).alias("n"))
+    at = messages.select(
+        session,
+        (F.row_number().over(w.orderBy(order)) - 1).cast("long").alias("start"),
+        "role",
+        F.count(F.lit(1)).over(w).alias("n")
+    )
     users = at.where("role = 'user'")
-    return users.select(session, "start", F.coalesce(F.lead("start").over(Window.partitionBy(session).orderBy("start")), "n").cast("long").alias("end"))
+    return users.select(
+        session,
+        "start",
+        F.coalesce(F.lead("start").over(Window.partitionBy(session).orderBy("start")), "n").cast("long").alias("end")
+    )
 
 
 def page_ends(messages: DataFrame, session: str, order: str, limit: int) -> DataFrame:
     """Where a first page of `limit` messages ends so that it never splits a turn."""
     at = F.row_number().over(Window.partitionBy(session).orderBy(order)) - 1
     stop = F.min(F.when((F.col("role") == "user") & (F.col("_at") >= limit), F.col("_at")))
-    return messages.withColumn("_at", at).groupBy(session).agg(F.coalesce(stop, F.count(F.lit(1))).cast("long").alias("page_end"))
+    return messages.withColumn("_at", at).groupBy(session).agg(
+        F.coalesce(stop, F.count(F.lit(1))).cast("long").alias("page_end")
+    )
 
 
 def merge_chunks(rows: DataFrame, session: str, order: str, kind: str, text: str) -> DataFrame:
     """Adjacent rows of one kind become one: the islands of equal `kind` in order."""
     w = Window.partitionBy(session).orderBy(order)
     change = F.when(F.lag(kind).over(w).eqNullSafe(F.col(kind)), 0).otherwise(1)
-    marked = rows.withColumn("_change", change).withColumn("chunk", F.sum("_change").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("long"))
+    marked = rows.withColumn("_change", change).withColumn(
+        "chunk", F.sum("_change").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("long")
+    )
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text))))
-    return marked.groupBy(session, "chunk").agg(F.first(kind).alias(kind), F.count(F.lit(1)).alias("parts"), F.array_join(F.transform(ordered, lambda x: x[text]), "\n").alias(text))
+    return marked.groupBy(session, "chunk").agg(
+        F.first(kind).alias(kind),
+        F.count(F.lit(1)).alias("parts"),
+        F.array_join(F.transform(ordered, lambda x: x[text]), "\n").alias(text)
+    )
 
 
 def pair_calls(calls: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
@@ -51,14 +70,18 @@ def pair_calls(calls: DataFrame, results: DataFrame, keys: list[str]) -> DataFra
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy("ordinal"))
     a = calls.withColumn("nth", nth).withColumnRenamed("ordinal", "call_at")
     b = results.withColumn("nth", nth).withColumnRenamed("ordinal", "result_at")
-    state = F.when(F.col("result_at").isNull(), "unpaired_call").when(F.col("call_at").isNull(), "orphan_result").otherwise("paired")
+    state = F.when(
+        F.col("result_at").isNull(), "unpaired_call"
+    ).when(F.col("call_at").isNull(), "orphan_result").otherwise("paired")
     return a.join(b, [*keys, "nth"], "full_outer").withColumn("state", state)
 
 
 def byte_budget(rows: DataFrame, group: str, order: str, text: str, budget: int) -> DataFrame:
     """The longest prefix of each group whose texts fit the budget in bytes; the first row always stays."""
     w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("used_bytes", F.sum(F.octet_length(text)).over(w).cast("long")).withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(order))).where((F.col("used_bytes") <= budget) | (F.col("_n") == 1)).drop("_n")
+    return rows.withColumn("used_bytes", F.sum(F.octet_length(text)).over(w).cast("long")).withColumn(
+        "_n", F.row_number().over(Window.partitionBy(group).orderBy(order))
+    ).where((F.col("used_bytes") <= budget) | (F.col("_n") == 1)).drop("_n")
 
 
 def strictly_increasing(rows: DataFrame, group: str, order: str, ts: str) -> DataFrame:
@@ -80,7 +103,9 @@ def page(messages: DataFrame, session: str, order: str, text: str, start: int, l
     """One page of each session from message `start` (from 0): at most `limit` messages and `budget` bytes of text, at
     least one message, with the cursor of the next page (null at the end)."""
     w = Window.partitionBy(session)
-    at = messages.withColumn("_at", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    at = messages.withColumn(
+        "_at", F.row_number().over(w.orderBy(order)) - 1
+    ).withColumn("_n", F.count(F.lit(1)).over(w))
     rest = at.where((F.col("_at") >= start) & (F.col("_at") < start + limit)).withColumnRenamed("_n", "_total")
     fits = byte_budget(rest, session, "_at", text, budget).withColumn("_last", F.max("_at").over(w))
     cursor = F.when(F.col("_last") + 1 < F.col("_total"), (F.col("_last") + 1).cast("long"))

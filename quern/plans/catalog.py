@@ -21,10 +21,18 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 NOW = "2024-01-30 00:00:00"
-PRICES = [("acme/alpha-2", 3.0, 15.0, 0.3, 3.75), ("beta", 1.0, 5.0, 0.1, 1.25), ("gamma-mini", 0.25, 2.0, 0.025, 0.3), ("delta.pro", 10.0, 40.0, 1.0, 12.5)]
+PRICES = [
+    ("acme/alpha-2", 3.0, 15.0, 0.3, 3.75),
+    ("beta", 1.0, 5.0, 0.1, 1.25),
+    ("gamma-mini", 0.25, 2.0, 0.025, 0.3),
+    ("delta.pro", 10.0, 40.0, 1.0, 12.5)
+]
 MODELS = ("ALPHA-2", "beta", "beta-20240101", "gamma-mini", "x/delta.pro", "unlisted")
 
-_PRICES_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {a!r}::DECIMAL(10,6), {b!r}::DECIMAL(10,6), {c!r}::DECIMAL(10,6), {d!r}::DECIMAL(10,6), {k})" for k, (n, a, b, c, d) in enumerate(PRICES)) + ") t(name, price_input, price_output, price_cache_read, price_cache_write, ordinal)"
+_PRICES_SQL = "SELECT * FROM (VALUES " + ", ".join(
+    f"('{n}', {a!r}::DECIMAL(10,6), {b!r}::DECIMAL(10,6), {c!r}::DECIMAL(10,6), {d!r}::DECIMAL(10,6), {k})" for k,
+    (n, a, b, c, d) in enumerate(PRICES)
+) + ") t(name, price_input, price_output, price_cache_read, price_cache_write, ordinal)"
 _MODEL_SQL = "CASE user_id % 6 " + " ".join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(MODELS)) + " END"
 _USAGE_SQL = f"""
     prices AS ({_PRICES_SQL}),
@@ -63,13 +71,27 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def prices(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(*p, k) for k, p in enumerate(PRICES)], "name string, price_input double, price_output double, price_cache_read double, price_cache_write double, ordinal int")
+    return spark.createDataFrame(
+        [(*p, k) for k, p in enumerate(PRICES)],
+        "name string, price_input double, price_output double, price_cache_read double, price_cache_write double, ordinal int"
+    )
 
 
 def usage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
     model = F.element_at(F.array(*map(F.lit, MODELS)), (F.col("user_id") % 6 + 1).cast("int"))
-    rows = e.select(F.concat_ws("/", "user_id", F.to_date("ts")).alias("session"), F.col("event_type").alias("tool"), F.concat(F.lit("p"), F.col("user_id") % 12).alias("project"), model.alias("model"), "ts", "event_id", (F.col("event_id") % 1000).alias("input"), (F.col("event_id") % 97).alias("output"), (F.col("user_id") % 13).alias("cache_read"), (F.col("event_id") % 7).alias("cache_write"))
+    rows = e.select(
+        F.concat_ws("/", "user_id", F.to_date("ts")).alias("session"),
+        F.col("event_type").alias("tool"),
+        F.concat(F.lit("p"), F.col("user_id") % 12).alias("project"),
+        model.alias("model"),
+        "ts",
+        "event_id",
+        (F.col("event_id") % 1000).alias("input"),
+        (F.col("event_id") % 97).alias("output"),
+        (F.col("user_id") % 13).alias("cache_read"),
+        (F.col("event_id") % 7).alias("cache_write")
+    )
     return rows
 
 
@@ -82,14 +104,20 @@ def usage_priced(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
 _RUN = "sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)"
 
 
-@query(f"SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS message, CAST({_RUN} AS BIGINT) AS turn_no FROM conversations")
+@query(
+    f"SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS message, CAST({_RUN} AS BIGINT) AS turn_no FROM conversations"
+)
 def turn_numbering(spark, sf_dir):
-    return M.turn_numbers(load(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "message", "turn_no")
+    return M.turn_numbers(
+        load(spark, sf_dir, "conversations"), "conv_id", "turn"
+    ).select("conv_id", "message", "turn_no")
 
 
 @query(f"SELECT conv_id, turn, CAST(greatest(1, {_RUN}) AS BIGINT) AS round_no FROM conversations")
 def round_numbering(spark, sf_dir):
-    return M.round_numbers(load(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", "round_no")
+    return M.round_numbers(
+        load(spark, sf_dir, "conversations"), "conv_id", "turn"
+    ).select("conv_id", "turn", "round_no")
 
 
 @query("""
@@ -99,7 +127,9 @@ def turn_spans(spark, sf_dir):
     return M.turn_spans(load(spark, sf_dir, "conversations"), "conv_id", "turn")
 
 
-@query("SELECT conv_id, CAST(coalesce(min(CASE WHEN role = 'user' AND turn >= 3 THEN turn END), count(*)) AS BIGINT) AS page_end FROM conversations GROUP BY conv_id")
+@query(
+    "SELECT conv_id, CAST(coalesce(min(CASE WHEN role = 'user' AND turn >= 3 THEN turn END), count(*)) AS BIGINT) AS page_end FROM conversations GROUP BY conv_id"
+)
 def page_to_turn_boundary(spark, sf_dir):
     return M.page_ends(load(spark, sf_dir, "conversations"), "conv_id", "turn", 3)
 
@@ -109,7 +139,9 @@ def page_to_turn_boundary(spark, sf_dir):
     b AS (SELECT *, CAST(sum(change) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chunk FROM a)
     SELECT conv_id, chunk, min(role) AS role, count(*) AS parts, md5(string_agg(text, chr(10) ORDER BY turn)) AS text_md5 FROM b GROUP BY conv_id, chunk""")
 def chunk_merge(spark, sf_dir):
-    return M.merge_chunks(load(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text").select("conv_id", "chunk", "role", "parts", F.md5("text").alias("text_md5"))
+    return M.merge_chunks(
+        load(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text"
+    ).select("conv_id", "chunk", "role", "parts", F.md5("text").alias("text_md5"))
 
 
 @query("""
@@ -120,21 +152,27 @@ def chunk_merge(spark, sf_dir):
 def pair_calls_results(spark, sf_dir):
     c = load(spark, sf_dir, "conversations").select("conv_id", "role", F.col("turn").alias("ordinal"))
     part = lambda role: c.where(F.col("role") == role).drop("role")
-    return M.pair_calls(part("user"), part("assistant"), ["conv_id"]).select("conv_id", F.col("nth").cast("long").alias("nth"), "call_at", "result_at", "state")
+    return M.pair_calls(part("user"), part("assistant"), ["conv_id"]).select(
+        "conv_id", F.col("nth").cast("long").alias("nth"), "call_at", "result_at", "state"
+    )
 
 
 @query("""
     WITH a AS (SELECT conv_id, turn, CAST(sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used_bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
     SELECT conv_id, turn, used_bytes FROM a WHERE used_bytes <= 1000 OR n = 1""")
 def byte_budget_prefix(spark, sf_dir):
-    return M.byte_budget(load(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 1000).select("conv_id", "turn", "used_bytes")
+    return M.byte_budget(
+        load(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 1000
+    ).select("conv_id", "turn", "used_bytes")
 
 
 @query("""
     WITH a AS (SELECT conv_id, turn, length(text) % 5 * 10 AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
     SELECT conv_id, turn, CAST(max(t - n) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) + n AS BIGINT) AS t FROM a""")
 def increasing_timestamps(spark, sf_dir):
-    c = load(spark, sf_dir, "conversations").select("conv_id", "turn", (F.length("text") % 5 * 10).cast("long").alias("t"))
+    c = load(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", (F.length("text") % 5 * 10).cast("long").alias("t")
+    )
     return M.strictly_increasing(c, "conv_id", "turn", "t")
 
 
@@ -143,7 +181,9 @@ def increasing_timestamps(spark, sf_dir):
     b AS (SELECT * FROM a WHERE n <= 3 AND (used_bytes <= 2000 OR n = 1)), e AS (SELECT conv_id, max(turn) AS fin FROM conversations GROUP BY conv_id), l AS (SELECT conv_id, max(turn) AS last FROM b GROUP BY conv_id)
     SELECT conv_id, turn, used_bytes, CASE WHEN last < fin THEN last + 1 END AS next_message FROM b JOIN l USING (conv_id) JOIN e USING (conv_id)""")
 def context_page(spark, sf_dir):
-    return M.page(load(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 1, 3, 2000).select("conv_id", "turn", "used_bytes", "next_message")
+    return M.page(
+        load(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 1, 3, 2000
+    ).select("conv_id", "turn", "used_bytes", "next_message")
 
 
 @query(f"SELECT conv_id, turn FROM (SELECT conv_id, turn, greatest(1, {_RUN}) AS r FROM conversations) WHERE r <= 2")
@@ -178,12 +218,16 @@ def content_search_and(spark, sf_dir):
         UNION ALL SELECT doc_id, 1 FROM documents WHERE contains(lower(text), 'license') AND contains(lower(text), 'version')
         UNION ALL SELECT doc_id, 2 FROM documents WHERE contains(lower(text), 'eaux')) GROUP BY doc_id""")
 def content_search_or_patterns(spark, sf_dir):
-    return S.any_pattern(load(spark, sf_dir, "documents"), "doc_id", "text", [["worthless"], ["license", "version"], ["eaux"]]).select("doc_id", "best_pattern")
+    return S.any_pattern(
+        load(spark, sf_dir, "documents"), "doc_id", "text", [["worthless"], ["license", "version"], ["eaux"]]
+    ).select("doc_id", "best_pattern")
 
 
 @query("SELECT lang, count(*) AS n FROM documents WHERE contains(lower(text), 'ñ') GROUP BY lang")
 def short_term_scan(spark, sf_dir):
-    return load(spark, sf_dir, "documents").where(X.contains(F.col("text"), "Ñ")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return load(spark, sf_dir, "documents").where(
+        X.contains(F.col("text"), "Ñ")
+    ).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
 _TF = "CAST((length(lower(text)) - length(replace(lower(text), 'the', ''))) / 3 AS BIGINT)"
@@ -197,7 +241,9 @@ def search_top3_hits(spark, sf_dir):
     return S.top_hits(c, "conv_id", [F.desc("tf"), F.col("turn")]).select("conv_id", "turn", "tf", "hit_no")
 
 
-@query(f"SELECT conv_id, count(*) AS hits, max({_TF}) AS best FROM conversations WHERE contains(lower(text), 'the') GROUP BY conv_id")
+@query(
+    f"SELECT conv_id, count(*) AS hits, max({_TF}) AS best FROM conversations WHERE contains(lower(text), 'the') GROUP BY conv_id"
+)
 def hit_buckets(spark, sf_dir):
     c = load(spark, sf_dir, "conversations").withColumn("tf", X.occurrences(F.col("text"), "the")).where("tf > 0")
     return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("hits"), F.max("tf").alias("best"))
@@ -216,7 +262,9 @@ _BM25 = """
     SELECT doc_id, CAST(hit_group AS INTEGER) AS hit_group, round(score, 6) AS score, (SELECT count(*) FROM g WHERE hit_group IS NOT NULL) AS total_matches
     FROM g WHERE hit_group IS NOT NULL ORDER BY hit_group, round(score, 6) DESC NULLS LAST, doc_id DESC LIMIT 50""")
 def search_ranked(spark, sf_dir):
-    return S.ranked_rows(load(spark, sf_dir, "documents"), "doc_id", "text", ["thea"], X.contains(F.col("source"), "src1"), 50)
+    return S.ranked_rows(
+        load(spark, sf_dir, "documents"), "doc_id", "text", ["thea"], X.contains(F.col("source"), "src1"), 50
+    )
 
 
 @query("SELECT doc_id FROM documents WHERE regexp_matches(text, 'ERTION!+')")
@@ -224,7 +272,9 @@ def regex_scan(spark, sf_dir):
     return S.regex_scan(load(spark, sf_dir, "documents"), "text", "ERTION!+").select("doc_id")
 
 
-@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'license') OR doc_id NOT IN (SELECT doc_id FROM labels)")
+@query(
+    "SELECT doc_id FROM documents WHERE contains(lower(text), 'license') OR doc_id NOT IN (SELECT doc_id FROM labels)"
+)
 def regex_prefilter_candidates(spark, sf_dir):
     """Documents with labels stand for the indexed ones."""
     d = load(spark, sf_dir, "documents")
@@ -232,9 +282,13 @@ def regex_prefilter_candidates(spark, sf_dir):
     return S.candidates(indexed, d.select("doc_id"), "doc_id", "text", ["license"])
 
 
-@query("SELECT doc_id FROM documents WHERE contains(lower(concat_ws(' ', source, lang)), 'src1') AND contains(lower(concat_ws(' ', source, lang)), 'en')")
+@query(
+    "SELECT doc_id FROM documents WHERE contains(lower(concat_ws(' ', source, lang)), 'src1') AND contains(lower(concat_ws(' ', source, lang)), 'en')"
+)
 def metadata_search(spark, sf_dir):
-    return load(spark, sf_dir, "documents").where(S.all_terms(F.concat_ws(" ", "source", "lang"), ["src1", "en"])).select("doc_id")
+    return load(spark, sf_dir, "documents").where(
+        S.all_terms(F.concat_ws(" ", "source", "lang"), ["src1", "en"])
+    ).select("doc_id")
 
 
 @query("""
@@ -242,13 +296,21 @@ def metadata_search(spark, sf_dir):
     WHERE contains(lower(source), 'src2') OR contains(lower(text), 'idiot')""")
 def scope_any(spark, sf_dir):
     d = load(spark, sf_dir, "documents")
-    return d.select("doc_id", X.contains(F.col("source"), "src2").alias("metadata_hit"), X.contains(F.col("text"), "idiot").alias("content_hit")).where("metadata_hit or content_hit")
+    return d.select(
+        "doc_id",
+        X.contains(F.col("source"), "src2").alias("metadata_hit"),
+        X.contains(F.col("text"), "idiot").alias("content_hit")
+    ).where("metadata_hit or content_hit")
 
 
-@query("SELECT lang, count(CASE WHEN length(text) > 16000 THEN 1 END) AS clipped, CAST(sum(length(substr(text, 1, 16000))) AS BIGINT) AS kept_chars FROM documents GROUP BY lang")
+@query(
+    "SELECT lang, count(CASE WHEN length(text) > 16000 THEN 1 END) AS clipped, CAST(sum(length(substr(text, 1, 16000))) AS BIGINT) AS kept_chars FROM documents GROUP BY lang"
+)
 def clipped_records(spark, sf_dir):
     part, more = X.bounded(F.col("text"), 16_000)
-    return load(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.when(more, 1)).alias("clipped"), F.sum(F.length(part)).cast("long").alias("kept_chars"))
+    return load(spark, sf_dir, "documents").groupBy("lang").agg(
+        F.count(F.when(more, 1)).alias("clipped"), F.sum(F.length(part)).cast("long").alias("kept_chars")
+    )
 
 
 @query("""
@@ -270,7 +332,9 @@ def trigram_index_hits(spark, sf_dir):
 # usage -----------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_USAGE_SQL} SELECT {_SUMS_SQL}, count(DISTINCT session) AS sessions, CAST(round(sum(cost), 4) AS DOUBLE) AS cost FROM priced")
+@query(
+    f"WITH {_USAGE_SQL} SELECT {_SUMS_SQL}, count(DISTINCT session) AS sessions, CAST(round(sum(cost), 4) AS DOUBLE) AS cost FROM priced"
+)
 def usage_total(spark, sf_dir):
     return U.total(usage_rows(spark, sf_dir), prices(spark))
 
@@ -294,17 +358,23 @@ def usage_by_project(spark, sf_dir):
     return U.by(usage_priced(spark, sf_dir, "project"), "project")
 
 
-@query(f"WITH {_USAGE_SQL}, b AS (SELECT project, {_SUMS_SQL}, CAST(round(sum(cost), 6) AS DOUBLE) AS cost FROM priced GROUP BY 1) SELECT *, input + output + cache_read + cache_write AS tokens FROM b ORDER BY cost DESC, tokens DESC, project LIMIT 15")
+@query(
+    f"WITH {_USAGE_SQL}, b AS (SELECT project, {_SUMS_SQL}, CAST(round(sum(cost), 6) AS DOUBLE) AS cost FROM priced GROUP BY 1) SELECT *, input + output + cache_read + cache_write AS tokens FROM b ORDER BY cost DESC, tokens DESC, project LIMIT 15"
+)
 def top_by_cost(spark, sf_dir):
     return U.top_by_cost(usage_priced(spark, sf_dir, "project"), "project")
 
 
-@query(f"WITH {_USAGE_SQL} SELECT DISTINCT model FROM priced WHERE priced_as IS NULL AND model IS NOT NULL ORDER BY model LIMIT 20")
+@query(
+    f"WITH {_USAGE_SQL} SELECT DISTINCT model FROM priced WHERE priced_as IS NULL AND model IS NOT NULL ORDER BY model LIMIT 20"
+)
 def unpriced_models(spark, sf_dir):
     return U.unpriced_models(usage_priced(spark, sf_dir))
 
 
-@query(f"WITH {_USAGE_SQL} SELECT CASE WHEN grouping(tool) = 0 THEN 'tool' WHEN grouping(model) = 0 THEN 'model' WHEN grouping(project) = 0 THEN 'project' ELSE 'total' END AS grouped_by, CASE WHEN grouping(tool) = 0 THEN coalesce(nullif(tool, ''), 'unknown') WHEN grouping(model) = 0 THEN coalesce(nullif(model, ''), 'unknown') WHEN grouping(project) = 0 THEN coalesce(nullif(project, ''), 'unknown') END AS name, {_SUMS_SQL}, CAST(round(sum(cost), 6) AS DOUBLE) AS cost FROM priced GROUP BY GROUPING SETS ((), (tool), (model), (project))")
+@query(
+    f"WITH {_USAGE_SQL} SELECT CASE WHEN grouping(tool) = 0 THEN 'tool' WHEN grouping(model) = 0 THEN 'model' WHEN grouping(project) = 0 THEN 'project' ELSE 'total' END AS grouped_by, CASE WHEN grouping(tool) = 0 THEN coalesce(nullif(tool, ''), 'unknown') WHEN grouping(model) = 0 THEN coalesce(nullif(model, ''), 'unknown') WHEN grouping(project) = 0 THEN coalesce(nullif(project, ''), 'unknown') END AS name, {_SUMS_SQL}, CAST(round(sum(cost), 6) AS DOUBLE) AS cost FROM priced GROUP BY GROUPING SETS ((), (tool), (model), (project))"
+)
 def usage_grouping_sets(spark, sf_dir):
     return U.grouping_sets(usage_priced(spark, sf_dir, "tool", "project"), ["tool", "model", "project"])
 
@@ -313,7 +383,15 @@ def usage_grouping_sets(spark, sf_dir):
     WITH t AS (SELECT user_id AS session, event_type AS model, CAST(sum(event_id % 1000 + event_id % 97 + 2 * (user_id % 13)) AS BIGINT) AS tokens, min(event_id) AS pos FROM events GROUP BY ALL)
     SELECT session, model, tokens FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY tokens DESC, pos) AS n FROM t) WHERE n = 1""")
 def dominant_model(spark, sf_dir):
-    e = load(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_type").alias("model"), (F.col("event_id") % 1000).alias("input"), (F.col("event_id") % 97).alias("output"), (F.col("user_id") % 13).alias("cache_read"), (F.col("user_id") % 13).alias("cache_write"), F.col("event_id").alias("first_at"))
+    e = load(spark, sf_dir, "events").select(
+        F.col("user_id").alias("session"),
+        F.col("event_type").alias("model"),
+        (F.col("event_id") % 1000).alias("input"),
+        (F.col("event_id") % 97).alias("output"),
+        (F.col("user_id") % 13).alias("cache_read"),
+        (F.col("user_id") % 13).alias("cache_write"),
+        F.col("event_id").alias("first_at")
+    )
     return U.dominant_model(e, "session")
 
 
@@ -326,22 +404,30 @@ _T = "(input + output + cache_read + cache_write)"
 _CUR, _PREV = "ts >= TIMESTAMP '2024-01-23'", "ts >= TIMESTAMP '2024-01-16' AND ts < TIMESTAMP '2024-01-23'"
 
 
-@query(f"""WITH {_USAGE_SQL} SELECT {", ".join(f"count(CASE WHEN {w} THEN 1 END) AS {n}_rows, CAST(coalesce(sum(CASE WHEN {w} THEN {_T} END), 0) AS BIGINT) AS {n}_tokens, coalesce(CAST(round(sum(CASE WHEN {w} THEN cost END), 6) AS DOUBLE), 0.0) AS {n}_cost" for n, w in (("current", _CUR), ("previous", _PREV)))} FROM priced""")
+@query(
+    f"""WITH {_USAGE_SQL} SELECT {", ".join(f"count(CASE WHEN {w} THEN 1 END) AS {n}_rows, CAST(coalesce(sum(CASE WHEN {w} THEN {_T} END), 0) AS BIGINT) AS {n}_tokens, coalesce(CAST(round(sum(CASE WHEN {w} THEN cost END), 6) AS DOUBLE), 0.0) AS {n}_cost" for n, w in (("current", _CUR), ("previous", _PREV)))} FROM priced"""
+)
 def kpi_period_delta(spark, sf_dir):
     return U.period_delta(usage_priced(spark, sf_dir, "session", "ts"), "ts", NOW, 7)
 
 
-@query(f"WITH {_USAGE_SQL}, s AS (SELECT {_SUMS_SQL} FROM priced), u AS (UNPIVOT s ON input, output, cache_read, cache_write INTO NAME part VALUE tokens) SELECT part, tokens, round(tokens / sum(tokens) OVER () * 100, 4) AS pct FROM u")
+@query(
+    f"WITH {_USAGE_SQL}, s AS (SELECT {_SUMS_SQL} FROM priced), u AS (UNPIVOT s ON input, output, cache_read, cache_write INTO NAME part VALUE tokens) SELECT part, tokens, round(tokens / sum(tokens) OVER () * 100, 4) AS pct FROM u"
+)
 def token_composition(spark, sf_dir):
     return U.composition(usage_rows(spark, sf_dir))
 
 
-@query(f"WITH {_USAGE_SQL} SELECT lower(split_part(model, '/', -1)) AS model, CAST(round(sum(cost), 6) AS DOUBLE) AS cost, CAST(sum(input + output + cache_read + cache_write) AS BIGINT) AS tokens FROM priced WHERE priced_as IS NOT NULL GROUP BY 1 ORDER BY cost DESC, model LIMIT 5")
+@query(
+    f"WITH {_USAGE_SQL} SELECT lower(split_part(model, '/', -1)) AS model, CAST(round(sum(cost), 6) AS DOUBLE) AS cost, CAST(sum(input + output + cache_read + cache_write) AS BIGINT) AS tokens FROM priced WHERE priced_as IS NOT NULL GROUP BY 1 ORDER BY cost DESC, model LIMIT 5"
+)
 def cost_table(spark, sf_dir):
     return U.cost_table(usage_priced(spark, sf_dir))
 
 
-@query(f"WITH {_USAGE_SQL} SELECT count(DISTINCT model) AS models, CAST(coalesce(sum(input + output + cache_read + cache_write), 0) AS BIGINT) AS tokens FROM priced WHERE priced_as IS NULL AND model IS NOT NULL")
+@query(
+    f"WITH {_USAGE_SQL} SELECT count(DISTINCT model) AS models, CAST(coalesce(sum(input + output + cache_read + cache_write), 0) AS BIGINT) AS tokens FROM priced WHERE priced_as IS NULL AND model IS NOT NULL"
+)
 def unpriced_summary(spark, sf_dir):
     return U.unpriced_summary(usage_priced(spark, sf_dir))
 
@@ -357,7 +443,9 @@ def clock_histogram(spark, sf_dir):
     return T.clock(load(spark, sf_dir, "events"), "ts")
 
 
-@query("SELECT count(CASE WHEN hour(ts) >= 21 OR hour(ts) <= 4 THEN 1 END) AS night, count(*) AS total, round(count(CASE WHEN hour(ts) >= 21 OR hour(ts) <= 4 THEN 1 END) / count(*), 6) AS share FROM events")
+@query(
+    "SELECT count(CASE WHEN hour(ts) >= 21 OR hour(ts) <= 4 THEN 1 END) AS night, count(*) AS total, round(count(CASE WHEN hour(ts) >= 21 OR hour(ts) <= 4 THEN 1 END) / count(*), 6) AS share FROM events"
+)
 def night_share(spark, sf_dir):
     return T.night_share(load(spark, sf_dir, "events"), "ts")
 
@@ -400,7 +488,9 @@ def activity_streaks(spark, sf_dir):
     f AS (SELECT g.model, g.month, g.place, CAST(coalesce(e.tokens, 0) AS BIGINT) AS tokens FROM g LEFT JOIN e ON g.model = e.model AND g.month = e.month)
     SELECT model, month, tokens, CAST(row_number() OVER (PARTITION BY month ORDER BY tokens DESC, place) AS BIGINT) AS rank FROM f""")
 def model_bump(spark, sf_dir):
-    o = load(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("model"), "o_orderdate", (F.col("o_orderkey") % 1000).alias("tokens"))
+    o = load(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("model"), "o_orderdate", (F.col("o_orderkey") % 1000).alias("tokens")
+    )
     return T.bump(o, "o_orderdate", "1998-07-15 00:00:00")
 
 
@@ -409,7 +499,11 @@ def model_bump(spark, sf_dir):
 EVENT_TYPES = ["view", "click", "purchase", "signup", "error"]
 
 
-@query("SELECT concat('p', user_id % 12) AS project, count(*) AS n, " + ", ".join(f"count(CASE WHEN event_type = '{t}' THEN 1 END) AS n_{t}" for t in EVENT_TYPES) + " FROM events GROUP BY 1 ORDER BY n DESC, project LIMIT 6")
+@query(
+    "SELECT concat('p', user_id % 12) AS project, count(*) AS n, " + ", ".join(
+        f"count(CASE WHEN event_type = '{t}' THEN 1 END) AS n_{t}" for t in EVENT_TYPES
+    ) + " FROM events GROUP BY 1 ORDER BY n DESC, project LIMIT 6"
+)
 def repo_ranking_pivot(spark, sf_dir):
     e = load(spark, sf_dir, "events").withColumn("project", F.concat(F.lit("p"), F.col("user_id") % 12))
     return L.ranking(e, "project", "event_type", EVENT_TYPES)
@@ -421,32 +515,46 @@ def repo_ranking_pivot(spark, sf_dir):
 def migration_flows(spark, sf_dir):
     t = lambda n: load(spark, sf_dir, n)
     place = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    moves = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(place), F.col("c_nationkey") == F.col("n_nationkey"))
+    moves = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(
+        F.broadcast(place), F.col("c_nationkey") == F.col("n_nationkey")
+    )
     return L.flows(moves.select(F.col("r_name").alias("src"), F.col("o_orderstatus").alias("dst")), "src", "dst")
 
 
 @query("SELECT d.doc_id, source, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def metadata_left_join(spark, sf_dir):
-    return L.with_metadata(load(spark, sf_dir, "documents").select("doc_id", "source"), load(spark, sf_dir, "labels"), ["doc_id"])
+    return L.with_metadata(
+        load(spark, sf_dir, "documents").select("doc_id", "source"), load(spark, sf_dir, "labels"), ["doc_id"]
+    )
 
 
-@query("SELECT d.doc_id, CASE WHEN quality = 0 THEN 'pinned' WHEN toxic = 1 THEN 'archived' WHEN source = 'src3' THEN 'tagged' END AS cause FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+@query(
+    "SELECT d.doc_id, CASE WHEN quality = 0 THEN 'pinned' WHEN toxic = 1 THEN 'archived' WHEN source = 'src3' THEN 'tagged' END AS cause FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
+)
 def protected_rows(spark, sf_dir):
     d = metadata_left_join(spark, sf_dir)
-    return d.select("doc_id", L.protection(F.col("quality") == 0, F.col("toxic") == 1, F.col("source") == "src3").alias("cause"))
+    return d.select(
+        "doc_id", L.protection(F.col("quality") == 0, F.col("toxic") == 1, F.col("source") == "src3").alias("cause")
+    )
 
 
 @query("""
     WITH p AS (SELECT n_chars, CASE WHEN quality = 0 THEN 'pinned' WHEN toxic = 1 THEN 'archived' WHEN source = 'src3' THEN 'tagged' END AS cause FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
     SELECT count(CASE WHEN cause IS NULL THEN 1 END) AS deletable, CAST(coalesce(sum(CASE WHEN cause IS NULL THEN n_chars END), 0) AS BIGINT) AS bytes, count(cause) AS protected FROM p""")
 def delete_preview(spark, sf_dir):
-    return L.delete_preview(protected_rows(spark, sf_dir).join(load(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id"), "cause", "n_chars")
+    return L.delete_preview(
+        protected_rows(spark, sf_dir).join(load(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id"),
+        "cause",
+        "n_chars"
+    )
 
 
 _BUCKET = "CASE WHEN DATE '2024-01-30' - CAST(ts AS DATE) <= 0 THEN 'today' WHEN DATE '2024-01-30' - CAST(ts AS DATE) = 1 THEN 'yesterday' WHEN DATE '2024-01-30' - CAST(ts AS DATE) < 7 THEN 'last7' WHEN DATE '2024-01-30' - CAST(ts AS DATE) < 30 THEN 'last30' ELSE 'earlier' END"
 
 
-@query(f"SELECT CASE WHEN event_type = 'signup' THEN 'pinned' ELSE {_BUCKET} END AS group_name, count(*) AS n FROM events GROUP BY 1")
+@query(
+    f"SELECT CASE WHEN event_type = 'signup' THEN 'pinned' ELSE {_BUCKET} END AS group_name, count(*) AS n FROM events GROUP BY 1"
+)
 def library_groups(spark, sf_dir):
     g = L.groups(load(spark, sf_dir, "events"), F.col("event_type") == "signup", T.time_bucket("ts", NOW))
     return g.groupBy("group_name").agg(F.count(F.lit(1)).alias("n"))
@@ -456,18 +564,36 @@ def library_groups(spark, sf_dir):
     (SELECT event_type AS value, count(*) AS n, min(event_id) AS first_at, 'tool' AS facet FROM events GROUP BY 1)
     UNION ALL (SELECT CAST(user_id AS VARCHAR), count(*), min(event_id) AS f, 'place' FROM events GROUP BY 1 ORDER BY f LIMIT 6)""")
 def library_facets(spark, sf_dir):
-    return L.facets(load(spark, sf_dir, "events").withColumn("user_id", F.col("user_id").cast("string")), "event_type", "user_id", "event_id")
+    return L.facets(
+        load(spark, sf_dir, "events").withColumn("user_id", F.col("user_id").cast("string")),
+        "event_type",
+        "user_id",
+        "event_id"
+    )
 
 
 @query("""
     SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'rolled_back' WHEN o_orderpriority = '1-URGENT' THEN 'probe_failed' WHEN nullif(o_custkey % 7, 0) IS NOT NULL THEN 'done' ELSE 'failed' END AS status
     FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-12-31' AND contains(lower(o_orderpriority), 'u')""")
 def history_filter(spark, sf_dir):
-    o = load(spark, sf_dir, "orders").where(F.col("o_orderdate").between(F.lit("1995-01-01").cast("timestamp_ntz"), F.lit("1995-12-31").cast("timestamp_ntz")) & X.contains(F.col("o_orderpriority"), "U"))
-    return o.select("o_orderkey", L.history_status(F.col("o_orderstatus") == "P", F.col("o_orderpriority") == "1-URGENT", F.nullif(F.col("o_custkey") % 7, F.lit(0))).alias("status"))
-
-
-@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+    o = load(spark, sf_dir, "orders").where(
+        F.col("o_orderdate").between(
+            F.lit("1995-01-01").cast("timestamp_ntz"), F.lit("1995-12-31").cast("timestamp_ntz")
+        ) & X.contains(F.col("o_orderpriority"), "U")
+    )
+    return o.select(
+        "o_orderkey",
+        L.history_status(
+            F.col("o_orderstatus") == "P",
+            F.col("o_orderpriority") == "1-URGENT",
+            F.nullif(F.col("o_custkey") % 7, F.lit(0))
+        ).alias("status")
+    )
+
+
+@query(
+    "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1"
+)
 def merge_newest(spark, sf_dir):
     return L.newest(load(spark, sf_dir, "events"), ["user_id"], "ts", "event_id").select("user_id", "event_id", "value")
 
@@ -484,7 +610,10 @@ def _snapshots(spark, sf_dir):
     """Now: the documents. Stored: those with labels, bad ones under another id, toxic ones with an old revision."""
     d = load(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("rev"))
     known = d.join(load(spark, sf_dir, "labels"), "doc_id")
-    stored = known.select(F.when(F.col("quality") == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"), F.when(F.col("toxic") == 1, "old").otherwise(F.col("rev")).alias("rev"))
+    stored = known.select(
+        F.when(F.col("quality") == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"),
+        F.when(F.col("toxic") == 1, "old").otherwise(F.col("rev")).alias("rev")
+    )
     return d, stored
 
 
@@ -493,7 +622,9 @@ def index_reconcile(spark, sf_dir):
     return R.reconcile(*_snapshots(spark, sf_dir), ["doc_id"], "rev")
 
 
-@query(f"WITH {_SNAP} SELECT doc_id, CASE WHEN state = 'missing' THEN 'removal' ELSE 'upsert' END AS op FROM r WHERE state <> 'same'")
+@query(
+    f"WITH {_SNAP} SELECT doc_id, CASE WHEN state = 'missing' THEN 'removal' ELSE 'upsert' END AS op FROM r WHERE state <> 'same'"
+)
 def delta_upserts_removals(spark, sf_dir):
     after, before = _snapshots(spark, sf_dir)
     return R.delta(before, after, ["doc_id"], "rev")
@@ -511,11 +642,30 @@ _NODES = """
 
 def tree(spark, sf_dir):
     t = lambda n: load(spark, sf_dir, n)
-    row = lambda df, k, p, count, size, up, tok: df.select(k.alias("id"), p.alias("parent_id"), F.lit(count).cast("long").alias("count"), size.cast("long").alias("size"), up.cast("long").alias("updated"), F.lit(tok).cast("long").alias("tokens"))
+    row = lambda df, k, p, count, size, up, tok: df.select(
+        k.alias("id"),
+        p.alias("parent_id"),
+        F.lit(count).cast("long").alias("count"),
+        size.cast("long").alias("size"),
+        up.cast("long").alias("updated"),
+        F.lit(tok).cast("long").alias("tokens")
+    )
     key = lambda letter, c: F.concat(F.lit(letter), F.col(c))
-    r = row(t("region"), key("r", "r_regionkey"), F.lit(None).cast("string"), 1, F.length("r_name"), F.col("r_regionkey"), 5)
-    n = row(t("nation"), key("n", "n_nationkey"), key("r", "n_regionkey"), 2, F.length("n_name"), F.col("n_nationkey"), 7)
-    c = row(t("customer"), key("c", "c_custkey"), key("n", "c_nationkey"), 1, F.col("c_custkey") % 100, F.col("c_custkey"), 1)
+    r = row(
+        t("region"), key("r", "r_regionkey"), F.lit(None).cast("string"), 1, F.length("r_name"), F.col("r_regionkey"), 5
+    )
+    n = row(
+        t("nation"), key("n", "n_nationkey"), key("r", "n_regionkey"), 2, F.length("n_name"), F.col("n_nationkey"), 7
+    )
+    c = row(
+        t("customer"),
+        key("c", "c_custkey"),
+        key("n", "c_nationkey"),
+        1,
+        F.col("c_custkey") % 100,
+        F.col("c_custkey"),
+        1
+    )
     return r.unionByName(n).unionByName(c)
 
 
@@ -538,7 +688,9 @@ def ancestor_closure(spark, sf_dir):
     SELECT CAST(id AS BIGINT) AS id FROM n WHERE parent_id IS NULL OR parent_id NOT IN (SELECT id FROM n) OR id IN (SELECT start FROM w WHERE start = pos)""")
 def cycle_roots(spark, sf_dir):
     k = F.col("n_nationkey").cast("long")
-    parent = F.when(k == 3, 4).when(k == 4, 5).when(k == 5, 3).when(k % 4 == 0, F.lit(None).cast("long")).otherwise(k - 1)
+    parent = F.when(k == 3, 4).when(k == 4, 5).when(k == 5, 3).when(
+        k % 4 == 0, F.lit(None).cast("long")
+    ).otherwise(k - 1)
     return G.roots(load(spark, sf_dir, "nation").select(k.alias("id"), parent.cast("long").alias("parent_id")))
 
 
@@ -548,5 +700,13 @@ def cycle_roots(spark, sf_dir):
     SELECT conv_id, id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY d DESC) AS BIGINT) AS step FROM b""")
 def active_branch(spark, sf_dir):
     c = load(spark, sf_dir, "conversations")
-    r = c.select("conv_id", "turn", F.concat_ws(":", "conv_id", "turn").alias("id"), F.when(F.col("turn") > 0, F.concat_ws(":", F.col("conv_id"), F.greatest(F.lit(0), F.col("turn") - 1 - F.col("turn") % 2))).alias("parent_id"))
+    r = c.select(
+        "conv_id",
+        "turn",
+        F.concat_ws(":", "conv_id", "turn").alias("id"),
+        F.when(
+            F.col("turn") > 0,
+            F.concat_ws(":", F.col("conv_id"), F.greatest(F.lit(0), F.col("turn") - 1 - F.col("turn") % 2))
+        ).alias("parent_id")
+    )
     return G.active_branch(r, "conv_id", "id", "parent_id", "turn")

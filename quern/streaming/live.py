@@ -14,7 +14,9 @@ def stream_rows(spark: SparkSession, path: str, schema: str, per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def delta_sink(table: StateTable, keys: list[str], revision: str, emit: Callable[[int, DataFrame], None]) -> Callable[[DataFrame, int], None]:
+def delta_sink(
+    table: StateTable, keys: list[str], revision: str, emit: Callable[[int, DataFrame], None]
+) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: the newest row per key is merged into the table, the version is the generation, and
     only rows that changed are emitted; a row older than the table's changes nothing. A delta is emitted before its
     version is written: after a crash between the two the batch runs again and emits it again (at least once, with the
@@ -28,7 +30,9 @@ def delta_sink(table: StateTable, keys: list[str], revision: str, emit: Callable
             return
         version, have = table.version(), table.read()
         known = have.select(*keys, F.col(revision).alias("_known"))
-        newer = rows.join(known, keys, "left").where(F.col("_known").isNull() | (F.col(revision) > F.col("_known"))).drop("_known")
+        newer = rows.join(known, keys, "left").where(
+            F.col("_known").isNull() | (F.col(revision) > F.col("_known"))
+        ).drop("_known")
         changed = newer.select(*keys, F.lit("upsert").alias("op"))
         if not changed.isEmpty():
             emit(version + 1, changed)
@@ -39,4 +43,6 @@ def delta_sink(table: StateTable, keys: list[str], revision: str, emit: Callable
 
 def windowed_counts(events: DataFrame, at: str, key: str, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Event-time tumbling counts with a watermark for late rows."""
-    return events.withWatermark(at, late).groupBy(F.window(at, size), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), key, "n")
+    return events.withWatermark(at, late).groupBy(F.window(at, size), key).agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("window.start").alias("start"), key, "n"
+    )
