@@ -67,7 +67,7 @@ def newest(rows: DataFrame, keys: list[str], at: str, ordinal: str) -> DataFrame
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def newest(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
+def page_of(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
     """The first `most` rows of an order with their `place` from 1; the numbering sees no more rows than these."""
     return rows.orderBy(*order).limit(most).withColumn(
         "place", F.row_number().over(Window.partitionBy().orderBy(*order))

@@ -641,7 +641,7 @@ def unwrapped_outputs(spark, sf_dir):
 @query("SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS place FROM events ORDER BY place LIMIT 500")
 def library_sort(spark, sf_dir):
     """The newest 500 rows of a library and their places, which the order of collected rows gives."""
-    page = L.newest(load(spark, sf_dir, "events"), [F.desc("ts"), F.col("event_id")], 500)
+    page = L.page_of(load(spark, sf_dir, "events"), [F.desc("ts"), F.col("event_id")], 500)
     return page.select("event_id", F.col("place").cast("long"))
 
 
