@@ -168,7 +168,7 @@ def synced(spark, sf_dir):
     SELECT CAST(place AS INTEGER) AS place, session, k AS content_match_count, round(best, 9) AS score, total_matches, CAST(0 AS BIGINT) AS unindexed_sessions FROM r WHERE place <= 50""")
 def search_sessions_indexed(spark, sf_dir):
     path, _ = synced(spark, sf_dir)
-    blank = sessions(spark, sf_dir).withColumn("model", F.lit(None).cast("string"))
+    blank = sessions(spark, sf_dir).withColumn("title", F.lit(""))
     out = C.search_sessions(
         blank, tool_messages(spark, sf_dir), "thea", scope="content", limit=50, budget=1 << 20, index=path
     )
@@ -229,7 +229,7 @@ def index_after_syncs(spark, sf_dir):
     r AS (SELECT session, k, row_number() OVER (ORDER BY best DESC, updated DESC, session) AS place FROM ses JOIN hit USING (session))
     SELECT CAST(place AS INTEGER) AS place, r.session, k AS match_count, substr(snippet, 1, 160) AS snippet FROM r JOIN s ON r.session = s.session WHERE place <= 50""")
 def search_result_snippets(spark, sf_dir):
-    blank = sessions(spark, sf_dir).withColumn("model", F.lit(None).cast("string"))
+    blank = sessions(spark, sf_dir).withColumn("title", F.lit(""))
     found = C.search_sessions(blank, messages(spark, sf_dir), "thea", scope="content", limit=50, budget=1 << 20)
     return C.result_rows(found).select("place", "session", "match_count", "snippet")
 
