@@ -118,6 +118,35 @@ def test_top_k_matches_brute_force(spark):
     assert few.count() == 2 and topk.top_k(q.limit(0), F.lit(True), 3).count() == 0
 
 
+def brute_rows(rows, k):
+    """(query id, rank, id, score) over rows: every row of a query meets every row of another id."""
+    out = []
+    for own in {i for i, _ in rows if i % 20 == 0}:
+        pairs = sorted((-sum(a * b for a, b in zip(q, x, strict=True)), j) for i, q in rows if i == own for j, x in rows if j != own)
+        out += [(own, n, j, -s) for n, (s, j) in enumerate(pairs[:k], 1)]
+    return sorted(out)
+
+
+def test_repeated_rows_and_shared_ids_are_candidates_each(spark):
+    rng = np.random.default_rng(11)
+    rows = [(k, rng.integers(-3, 4, 4).tolist()) for k in range(120)]
+    best = [9, 9, 9, 9]
+    rows += [(7, best)] * 3 + [(8, best)] * 30 + [rows[40]] * 2 + [(20, [-2, 1, 0, 3])] + [(60, [9 + j, 9, 9, 9]) for j in range(12)]
+    v = spark.createDataFrame(rows, "vec_id long, v array<long>").repartition(3)
+    for k in (5, 20):
+        assert sorted(map(tuple, topk.top_k(v, F.col("vec_id") % 20 == 0, k, each_row=True).collect())) == brute_rows(rows, k)
+    # an id of many vectors that are all better than the rest leaves its queries k others
+    once = topk.top_k(v, F.col("vec_id") == 60, 20).collect()
+    assert len(once) == 20 and all(r.vec_id != 60 for r in once)
+
+
+def test_the_bound_may_leave_64_bits(spark):
+    big = 1 << 30
+    rows = [(0, [big] * 16)] + [(k, [big if k % 16 == j else -2 for j in range(16)]) for k in range(1, 200)] + [(k, [big // 15] * 16) for k in range(201, 219)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, v array<long>"), F.col("vec_id") == 0, 20)
+    assert sorted(map(tuple, got.collect())) == [r for r in brute_rows(rows, 20) if r[0] == 0]
+
+
 def test_threshold_search_stops_early():
     v = np.diag(np.arange(1, 2001)[::-1])[:, :8].astype(np.int64)
     rows, ids, scores = topk.threshold_search(np.array([[5, 0, 0, 0, 0, 0, 0, 0]]), np.array([-1]), v, [np.array([k]) for k in range(2000)], 1)
