@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .topology import _durable
+
 
 def with_metadata(rows: DataFrame, metadata: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(metadata, keys, "left")
@@ -67,8 +69,14 @@ def newest(rows: DataFrame, keys: list[str], at: str, ordinal: str) -> DataFrame
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def page_of(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
-    """The first `most` rows of an order with their `place` from 1; the numbering sees no more rows than these."""
-    return rows.orderBy(*order).limit(most).withColumn(
-        "place", F.row_number().over(Window.partitionBy().orderBy(*order))
-    )
+def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """All rows with their `place` (long, from 1) in an order. Rows are dealt by ranges of the order and numbered within
+    each; only the counts of the ranges meet in one task. The ranges are written once, as they are drawn from samples."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _durable(rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+    counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy().orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    numbered = dealt.withColumn("place", own).join(F.broadcast(starts), "_range")
+    return numbered.withColumn("place", F.col("_start") + F.col("place")).drop("_range", "_start")

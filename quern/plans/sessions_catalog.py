@@ -638,11 +638,11 @@ def unwrapped_outputs(spark, sf_dir):
 # records and migration ---------------------------------------------------------------------------
 
 
-@query("SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS place FROM events ORDER BY place LIMIT 500")
+@query("SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS place FROM events")
 def library_sort(spark, sf_dir):
-    """The newest 500 rows of a library and their places, which the order of collected rows gives."""
-    page = L.page_of(load(spark, sf_dir, "events"), [F.desc("ts"), F.col("event_id")], 500)
-    return page.select("event_id", F.col("place").cast("long"))
+    """All rows of a library and their places, newest first."""
+    rows = load(spark, sf_dir, "events").select("event_id", "ts")
+    return L.placed(rows, [F.desc_nulls_last("ts"), F.asc_nulls_last("event_id")]).select("event_id", "place")
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import scalars as X
 from quern.functions import validation as V
+from quern.operators import library as L
 from quern.operators import migration as K
 from quern.operators import records as R
 from quern.operators import sessions as C
@@ -119,3 +120,20 @@ def test_plans_expire_and_are_audited(spark):
     assert [r.status for r in R.expired(plans, 1_000_000).orderBy("plan_id").collect()] == ["expired", "planned", "applied"]
     done = spark.createDataFrame([(3, "succeeded"), (3, "failed")], "plan_id int, outcome string")
     assert rows(R.audit(plans, done), "plan_id", "succeeded", "failed") == [(1, 0, 0), (2, 0, 0), (3, 1, 1)]
+
+
+def test_all_rows_of_a_library_have_their_place(spark):
+    rows = [(k * 7 % 1000, None if k % 50 == 0 else k % 90) for k in range(1000)] + [(None, 3), (None, None)]
+    placed = L.placed(spark.createDataFrame(rows, "id long, at long").repartition(5), [F.desc_nulls_last("at"), F.asc_nulls_last("id")])
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0] is None, r[0]))
+    assert [(r.id, r.at, r.place) for r in placed.orderBy("place").collect()] == [(*r, n) for n, r in enumerate(want, 1)]
+    assert dict(placed.dtypes)["place"] == "bigint"
+    assert L.placed(spark.createDataFrame([], "id long, at long"), [F.desc("at")]).collect() == []
+
+
+def test_the_whole_library_is_sorted(spark, tmp_path):
+    from quern.queries import queries
+
+    spark.range(1200).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") % 400).alias("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    got = queries()["library_sort"](spark, str(tmp_path)).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(1, 1201)) and [r.event_id for r in got[:4]] == [399, 799, 1199, 398]
