@@ -23,13 +23,19 @@ SPAWNED, BY_REGISTRY, BY_HEADER = 1.0, 0.95, 0.75
 GRAM = 8
 
 
+def _by_sorting(df: DataFrame) -> DataFrame:
+    """`df` for a join by sorting: files of ids are small and grow in memory, and what grows with the sessions is not to
+    be collected for a broadcast."""
+    return df.hint("merge")
+
+
 def parents(headers: DataFrame, registry: DataFrame) -> DataFrame:
     """(id, parent_id, association, and the other columns of `headers`): the parent that a session's own header names,
     else the one that the registry (child, parent, status) has for it. Of repeated children the greatest parent counts."""
     known = registry.where(
         "child is not null and parent is not null"
     ).groupBy(F.col("child").alias("id")).agg(F.max("parent").alias("_parent"))
-    out = headers.join(known, "id", "left")
+    out = headers.join(_by_sorting(known), "id", "left")
     own = F.nullif(F.col("parent_id"), F.lit(""))
     association = F.when(own.isNotNull(), "parent-metadata").when(F.col("_parent").isNotNull(), "sqlite-parent")
     return out.withColumn("association", association).withColumn(
@@ -86,19 +92,24 @@ def containing(texts: DataFrame, identities: DataFrame, key: str, text: str, ide
     mine = named.select(key, F.col(identity).alias("_identity"), "_n").distinct()
     mine = mine.withColumn("_gram", F.explode(by_length(F.col("_identity"))))
     shared = mine.groupBy(key, "_n", "_gram").agg(F.count(F.lit(1)).alias("_shared"))
-    rarest = mine.join(shared, [key, "_n", "_gram"]).groupBy(key, "_identity").agg(
+    rarest = mine.join(_by_sorting(shared), [key, "_n", "_gram"]).groupBy(key, "_identity").agg(
         F.min(F.struct("_shared", "_gram")).alias("_r")
-    )
-    looked_up = named.join(
-        rarest.select(key, F.col("_identity").alias(identity), F.col("_r._gram").alias("_gram")), [key, identity]
-    )
+    ).select(key, "_identity", F.col("_r._gram").alias("_gram"))
     pieces = F.explode(
         F.array_distinct(
             F.concat(*(F.coalesce(_grams(F.col(text), n), F.array().cast("array<string>")) for n in lengths))
         )
     )
-    found = texts.withColumn("_gram", pieces).join(looked_up, [key, "_gram"])
-    return found.where(F.contains(F.col(text), F.col(identity))).drop("_gram", "_n")
+    # a piece goes with the hash of its text; the texts of a hash are looked at afterwards
+    hashed = F.xxhash64(text).alias("_hash")
+    cut = texts.select(key, text).distinct().select(key, hashed, pieces.alias("_gram"))
+    near = cut.join(_by_sorting(rarest), [key, "_gram"]).select(
+        key, "_hash", F.col("_identity").alias(identity)
+    ).distinct()
+    found = texts.select("*", hashed).join(_by_sorting(near), [key, "_hash"]).where(
+        F.contains(F.col(text), F.col(identity))
+    )
+    return found.join(_by_sorting(named.drop("_n")), [key, identity]).drop("_hash")
 
 
 def spawn_matches(calls: DataFrame, children: DataFrame) -> DataFrame:
@@ -118,12 +129,12 @@ def spawn_matches(calls: DataFrame, children: DataFrame) -> DataFrame:
         first = pairs.groupBy("parent", "call_id").agg(F.min(F.struct("_b", "child")).alias("x"))
         second = pairs.groupBy("parent", "child").agg(F.min(F.struct("_a", "call_id")).alias("y"))
         both = first.select("parent", "call_id", F.col("x.child").alias("child")).join(
-            second.select("parent", "child", F.col("y.call_id").alias("_call")), ["parent", "child"]
+            _by_sorting(second.select("parent", "child", F.col("y.call_id").alias("_call"))), ["parent", "child"]
         )
         sure = _durable(both.where("call_id = _call").select("parent", "call_id", "child"))
         found = found.unionByName(sure)
         for key in ("call_id", "child"):
-            pairs = pairs.join(sure.select("parent", key), ["parent", key], "left_anti")
+            pairs = pairs.join(_by_sorting(sure.select("parent", key)), ["parent", key], "left_anti")
         pairs = _durable(pairs)
     return found
 
@@ -137,7 +148,9 @@ def session_edges(sessions: DataFrame, calls: DataFrame, registry: DataFrame) ->
     Edges are numbered as children are listed: by their call, those without one last by path and id.
     """
     child = sessions.where("parent_id is not null and parent_id <> id")
-    child = child.join(sessions.select(F.col("id").alias("parent_id")).distinct(), "parent_id", "left_semi")
+    child = child.join(
+        _by_sorting(sessions.select(F.col("id").alias("parent_id")).distinct()), "parent_id", "left_semi"
+    )
     rank = F.row_number().over(
         Window.partitionBy("parent_id").orderBy(F.coalesce("agent_path", F.lit("")), "id")
     ).cast("long")
@@ -162,11 +175,11 @@ def session_edges(sessions: DataFrame, calls: DataFrame, registry: DataFrame) ->
         F.try_element_at(states, F.col("status")).alias("call_state")
     )
     of_call = of_call.join(
-        matched.select(F.col("parent").alias("parent_id"), "call_id", F.col("child").alias("id")),
+        _by_sorting(matched.select(F.col("parent").alias("parent_id"), "call_id", F.col("child").alias("id"))),
         ["parent_id", "call_id"]
     )
     told = registry.groupBy(F.col("child").alias("id")).agg(F.max("status").alias("told"))
-    e = child.join(of_call, ["parent_id", "id"], "left").join(told, "id", "left")
+    e = child.join(_by_sorting(of_call), ["parent_id", "id"], "left").join(_by_sorting(told), "id", "left")
     sure = F.col("call_id").isNotNull()
     place = F.row_number().over(
         Window.partitionBy("parent_id").orderBy(F.asc_nulls_last("call_at"), "listed")
@@ -185,7 +198,7 @@ def session_edges(sessions: DataFrame, calls: DataFrame, registry: DataFrame) ->
         ).alias("status"), by.alias("association"), confidence.alias("confidence"),
     )
     spawning = calls.select("session").distinct()
-    lost = edges.where("source_call_id is null").join(spawning, "session", "left_semi")
+    lost = edges.where("source_call_id is null").join(_by_sorting(spawning), "session", "left_semi")
     return edges, lost.select(
         "session", F.lit("session.subagent_unlinked").alias("code"), F.col("child_session_id").alias("detail")
     )
