@@ -66,3 +66,16 @@ def test_descendants_of_nested_roots_and_long_chains(spark):
     assert {r.root: r["count"] for r in got} == {"0": 5000, "4990": 10, "4995": 5}
     circle = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "b")], "id string, parent_id string")
     assert {(r.root, r.id) for r in A.descendants(circle, spark.createDataFrame([("a",)], "id string")).collect()} == {("a", "a"), ("a", "b"), ("a", "c")}
+
+
+def test_no_table_of_sessions_is_broadcast(spark):
+    headers = spark.createDataFrame([("p", None, None, None, None), ("s#a", "p", "A-7", "/z", "t"), ("s#b", None, None, "/a", None)], SESSIONS)
+    registry = spark.createDataFrame([("s#b", "p", "closed")], "child string, parent string, status string")
+    calls = spark.createDataFrame([("p", "k1", "m1", "r1", 1, '{"prompt":"go"}', "started A-7 and /a", "completed")], CALLS)
+    edges, losses = A.session_edges(A.parents(headers, registry), calls, registry)
+    names = headers.select(F.lit("p").alias("parent"), F.col("agent_path").alias("identity"), F.col("id").alias("child"))
+    found = A.containing(calls.select(F.lit("p").alias("parent"), "output"), names, "parent", "output", "identity")
+    assert [r.child for r in found.collect()] == ["s#b"]
+    for df in (edges, losses, found):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
