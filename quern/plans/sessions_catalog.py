@@ -1398,8 +1398,13 @@ def handle_generations(spark, sf_dir):
     SELECT source, at_ms, reason, last AS token FROM s WHERE reason IS NOT NULL""")
 def settled_changes(spark, sf_dir):
     """Users as sources, their events as polls a twenty-thousandth as far apart: types are tokens."""
-    e = load(spark, sf_dir, "events")
-    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    e = load(spark, sf_dir, "events").where("user_id is not null")
+    at = F.unix_millis("ts")
+    if dict(e.dtypes)["ts"] == "timestamp_ntz":  # times without a zone are not to pass through that of the session
+        gone = F.col("ts") - F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+        part = lambda name: F.extract(F.lit(name), gone).cast("long")
+        rest = F.floor(F.extract(F.lit("SECOND"), gone) * 1000)
+        at = ((part("DAY") * 24 + part("HOUR")) * 60 + part("MINUTE")) * 60_000 + rest
     w = N.Window.partitionBy("user_id")
     first = F.min(at).over(w)
     polls = e.select(
@@ -1410,7 +1415,7 @@ def settled_changes(spark, sf_dir):
         "event_id",
         "ts"
     )
-    order = F.row_number().over(N.Window.partitionBy("source").orderBy("ts", "event_id"))
+    order = F.row_number().over(N.Window.partitionBy("source").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id")))
     return ST.settled_changes(
         polls.withColumn("n", order).sort("source", "n").select("source", "at_ms", "token", "nudge", "n")
     )

@@ -75,3 +75,19 @@ def test_any_cut_into_batches_decides_the_same(spark, tmp_path):
         got = spark.read.parquet(f"file://{tmp_path}/out{cut}").select("source", "at_ms", "reason", "token")
         assert sorted(map(tuple, got.collect())) == want
         assert got.where(F.col("reason") == "settled").count() > 0
+
+
+def test_polls_do_not_depend_on_the_zone_of_the_session(spark, tmp_path):
+    from quern.queries import queries
+
+    hours = [(k, "2024-03-10 %02d:30:00.250" % (k // 4), 7, "ab"[k // 3 % 2]) for k in range(24)] + [(99, "2024-03-10 00:00:00", None, "a")]
+    events = spark.createDataFrame(hours, "event_id long, ts string, user_id long, event_type string")
+    events.withColumn("ts", F.to_timestamp_ntz("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    run = lambda: sorted(map(tuple, queries()["settled_changes"](spark, str(tmp_path)).collect()))
+    want, zone = run(), spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")  # no hour from 2 to 3 on that day
+        assert run() == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert {r[1] for r in want} >= {360} and {r[0] for r in want} == {"7"}
