@@ -50,7 +50,7 @@ class WordTokenizer:
     """Token ids of texts, word by word: the vocabulary's normaliser and splitter never join across white space.
 
     Each distinct word of a slice (by its 64-bit hash, A-Z folded as the vocabulary folds them) is encoded
-    once and kept in a bounded store; the ids of the slice are then one gather. A word of Latin letters is a
+    once and kept in a bounded store of flat arrays; the ids of the slice are then one gather. A word of Latin letters is a
     single split, so its merges are asked of the tokenizer's model directly, with one trailing mark as a
     split of its own; every other word, and a whole text that may hold a special token, goes to the tokenizer
     as it stands.
@@ -68,10 +68,11 @@ class WordTokenizer:
         self._reset()
 
     def _reset(self) -> None:
-        self.place: dict[int, int] = {}
-        self.stems: dict[str, bytes] = {}
-        self.sizes = self.starts = np.zeros(0, np.int64)
+        # the words' hashes, ascending, and where the ids of each lie in the pool
+        self.known = np.zeros(0, np.uint64)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.uint32)
+        self.stems: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -98,32 +99,34 @@ class WordTokenizer:
                 return self._stem(low[:-1]) + self._stem(low[-1])
         return self.encode(word)
 
-    def _learn(self, keys: list[int], words: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Keeps the ids of new words; keys: their hashes, ascending."""
         got = list(map(self._word, words))
+        self.stems.clear()  # words of one slice share them; as a store they would be larger than the ids
         size = np.fromiter(map(len, got), np.int64, len(got)) // 4
-        known, upto = len(self.place), np.cumsum(size)
-        self.place.update(zip(keys, range(known, known + len(keys)), strict=True))
-        self.sizes = np.concatenate([self.sizes, size])
-        self.starts = np.concatenate([self.starts, len(self.pool) + upto - size])
+        at = np.searchsorted(self.known, keys)
+        self.known = np.insert(self.known, at, keys)
+        self.starts = np.insert(self.starts, at, len(self.pool) + np.cumsum(size) - size)
+        self.sizes = np.insert(self.sizes, at, size)
         self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(got), np.uint32)])
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text of a slice its ids and the token positions after which a sentence or line ends."""
         import pandas as pd
 
-        if len(self.place) > CACHE:
+        if len(self.known) > CACHE:
             self._reset()
         with np.errstate(over="ignore"):
             starts, ends = word_bounds(data, offsets)
-            code, keys = pd.factorize(span_hashes(data, starts, ends))
-        first = np.empty(len(keys), np.int64)
-        first[code] = np.arange(len(code))
-        raw, listed = data.tobytes(), keys.tolist()
-        new = [u for u, key in enumerate(listed) if key not in self.place]
-        if new:
+            code, keys = pd.factorize(span_hashes(data, starts, ends), sort=True)
+        raw = data.tobytes()
+        new = np.flatnonzero(~np.isin(keys, self.known, assume_unique=True))
+        if len(new):
+            first = np.empty(len(keys), np.int64)
+            first[code] = np.arange(len(code))
             spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
-            self._learn([listed[u] for u in new], [raw[a:b].decode() for a, b in spans])
-        word = np.fromiter(map(self.place.__getitem__, listed), np.int64, len(listed))[code]
+            self._learn(keys[new], [raw[a:b].decode() for a, b in spans])
+        word = np.searchsorted(self.known, keys)[code]
         size = self.sizes[word]
         upto = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.repeat(self.starts[word] - upto[:-1], size) + np.arange(upto[-1])]

@@ -1,5 +1,7 @@
 """Bounds that may not cost results: long texts, repeated rows, URLs of many tokens, groups of large sets."""
 
+import gc
+import tracemalloc
 from collections import Counter
 from itertools import combinations
 
@@ -7,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import mixing, near_dup, quality, sharding, toxicity, url_filter
+from quern.llm import mixing, near_dup, packing, quality, sharding, toxicity, url_filter
+from quern.llm.queries import tokenizer_path
 
 
 def labelled(n):
@@ -134,3 +137,22 @@ def test_copies_of_a_row_and_null_ids_are_dealt_out(spark, monkeypatch):
     mixed = mixing.mixed_documents(docs).collect()
     words = spans.agg(F.sum("length")).first()[0]
     assert sum(len(r.text.split()) for r in mixed) == words and len(mixed) == 500
+
+
+def test_the_store_of_words_is_small():
+    rng = np.random.default_rng(5)
+    drawn = ["".join(map(chr, w)) for w in rng.integers(97, 123, (60_000, 9))]
+    held = [w + "," * (k % 2) for k, w in enumerate(drawn)]
+    texts = [" ".join(held[k : k + 2000]) for k in range(0, len(held), 2000)] + ["", " ".join(reversed(drawn[:2000])), " \n", "Ab ab, AB."]
+    tokenizer = packing.WordTokenizer(tokenizer_path())
+    tokenizer(np.frombuffer(b"warm", np.uint8), np.array([0, 4]))
+    tracemalloc.start()
+    for text in texts:
+        data = text.encode()
+        got = tokenizer(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0][0]
+        assert got.tolist() == tokenizer.tokenizer.encode(text, add_special_tokens=False).ids
+        del got, data
+    gc.collect()
+    grown = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert grown < 100 * len(drawn)
