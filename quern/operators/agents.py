@@ -21,6 +21,8 @@ EDGE_STATES = {
 SPAWNED, BY_REGISTRY, BY_HEADER = 1.0, 0.95, 0.75
 #: Longest piece of an identity by which it is looked up in texts.
 GRAM = 8
+#: Identities for which a partition of pieces is made; a task holds those of its partition.
+NAMED = 20_000
 
 
 def _by_sorting(df: DataFrame) -> DataFrame:
@@ -85,7 +87,8 @@ def containing(texts: DataFrame, identities: DataFrame, key: str, text: str, ide
     identities of its key share, so pairs that share no such piece never meet. Empty identities are in no text.
     """
     named = identities.where(F.col(identity) != "").withColumn("_n", F.least(F.length(identity), F.lit(GRAM)))
-    lengths = sorted(r["_n"] for r in named.select("_n").distinct().collect())
+    counts = {r["_n"]: r["count"] for r in named.groupBy("_n").count().collect()}
+    lengths = sorted(counts)
     if not lengths:
         return texts.join(identities, key).limit(0)
     by_length = lambda c: F.coalesce(*(F.when(F.col("_n") == n, _grams(c, n)) for n in lengths))
@@ -94,18 +97,18 @@ def containing(texts: DataFrame, identities: DataFrame, key: str, text: str, ide
     shared = mine.groupBy(key, "_n", "_gram").agg(F.count(F.lit(1)).alias("_shared"))
     rarest = mine.join(_by_sorting(shared), [key, "_n", "_gram"]).groupBy(key, "_identity").agg(
         F.min(F.struct("_shared", "_gram")).alias("_r")
-    ).select(key, "_identity", F.col("_r._gram").alias("_gram"))
-    pieces = F.explode(
-        F.array_distinct(
-            F.concat(*(F.coalesce(_grams(F.col(text), n), F.array().cast("array<string>")) for n in lengths))
-        )
-    )
-    # a piece goes with the hash of its text; the texts of a hash are looked at afterwards
+    ).select(key, F.col("_identity").alias(identity), F.xxhash64(key, "_r._gram").alias("_gram"))
+    pieces = F.concat(*(F.coalesce(_grams(F.col(text), n), F.array().cast("array<string>")) for n in lengths))
+    # hashes of a piece and of its text meet; the texts of a hash are looked at afterwards
     hashed = F.xxhash64(text).alias("_hash")
-    cut = texts.select(key, text).distinct().select(key, hashed, pieces.alias("_gram"))
-    near = cut.join(_by_sorting(rarest), [key, "_gram"]).select(
-        key, "_hash", F.col("_identity").alias(identity)
-    ).distinct()
+    cut = texts.select(key, text).distinct().select(
+        hashed, F.explode(F.array_distinct(F.transform(pieces, lambda g: F.xxhash64(key, g)))).alias("_gram")
+    )
+    # pieces are many times the identities: they pass by a bounded number of these in each task, and are not sorted
+    n = max(texts.sparkSession.sparkContext.defaultParallelism, sum(counts.values()) // NAMED)
+    sought = rarest.repartition(n, "_gram").hint("shuffle_hash")
+    near = cut.repartition(n, "_gram").join(sought, "_gram").select(key, "_hash", identity)
+    near = near.repartition(n, key, "_hash").distinct()
     found = texts.select("*", hashed).join(_by_sorting(near), [key, "_hash"]).where(
         F.contains(F.col(text), F.col(identity))
     )

@@ -1,5 +1,7 @@
 """Descendants, spawn calls with several children, edges and their certainty."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from quern.operators import agents as A
@@ -79,3 +81,12 @@ def test_no_table_of_sessions_is_broadcast(spark):
     for df in (edges, losses, found):
         df.collect()
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pieces_of_texts_are_not_sorted(spark):
+    texts = spark.createDataFrame([("p", "started /agents/01 and /agents/02"), ("q", "started /agents/01"), (None, "/agents/01"), ("p", None)], "parent string, output string")
+    names = spark.createDataFrame([("p", "/agents/01", "a"), ("p", "/agents/02", "b"), ("p", "02", "c"), ("q", "/agents/02", "d"), (None, "/agents/01", "e"), ("p", "", "f")], "parent string, identity string, child string")
+    found = A.containing(texts, names, "parent", "output", "identity")
+    assert sorted((r.parent, r.child) for r in found.collect()) == [("p", "a"), ("p", "b"), ("p", "c")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [_gram" in plan and not re.search(r"Sort \[(\w+#\d+L? ASC NULLS FIRST, )?_gram#", plan)
